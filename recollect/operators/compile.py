@@ -86,5 +86,3 @@ def normalize_extractions(rows: DataFrame) -> DataFrame:
         "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.7)))),
         "episode_index": F.coalesce(index, F.lit(0)),
     }).where(F.coalesce(F.col("content"), F.lit("")) != "")
-
-

@@ -78,5 +78,3 @@ def query_vector_cache(cache: DataFrame, lookups: DataFrame, as_of: str, ttl_hou
     old = cache.join(lookups.select(*keys).distinct(), keys, "left_anti")
     old = old.where(F.col("expires_at") >= now - F.make_dt_interval(F.lit(keep_days)))
     return hits, fresh.unionByName(old.select(fresh.columns))
-
-
