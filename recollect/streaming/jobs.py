@@ -139,5 +139,5 @@ def outbox_advance(outbox: DataFrame, results: DataFrame, as_of: str, jitter: Co
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """The Parquet files of one table as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*").option("recursiveFileLookup", "true").parquet(folder)
+    """The Parquet files of one table, a file or a folder, as a stream (the glob lets a path be a file)."""
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
