@@ -104,7 +104,8 @@ def memory_pool(requests: DataFrame, memories: DataFrame, semantic: DataFrame |
     if semantic is None:
         return rows.withColumn("semantic", F.lit(None).cast("double"))
     found = semantic.where(F.col("rank") <= SEMANTIC_POOL).select("request_id", "memory_id", "distance", "rank")
-    score = F.greatest(F.lit(0.0), 1 - F.col("distance")) * SEMANTIC
+    # greatest() passes over nulls: without a distance there is no score.
+    score = F.when(F.col("distance").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("distance")) * SEMANTIC)
     rows = rows.join(found, ["request_id", "memory_id"], "left").withColumn("semantic", score)
     asked = requests.select("request_id", "task", "task_tokens", F.col("session_id").alias("current"))
     extra = found.join(rows.select("request_id", "memory_id"), ["request_id", "memory_id"], "left_anti")
