@@ -128,7 +128,9 @@ def edit_trial(docs: DataFrame, k: int = GRAM, w: int = SPAN) -> DataFrame:
     ids = materialize(ids, "winnow-ids")
     order = materialize(with_previous(ids.select("doc_id", "n")), "winnow-order")
 
-    given = docs.join(order.hint("shuffle_hash"), "doc_id")
+    # Both joins deal the same rows by the same key, so Spark shuffles the texts once.
+    named = docs.where("doc_id IS NOT NULL")
+    given = named.join(order.hint("shuffle_hash"), "doc_id")
     given = given.select(
         F.col("pred_id").alias("doc_id"),
         F.expr("left(text, int(pred_n div 4))").alias("_prefix"),
@@ -137,7 +139,10 @@ def edit_trial(docs: DataFrame, k: int = GRAM, w: int = SPAN) -> DataFrame:
     if ids.where("rows > 1").limit(1).count():
         given = given.groupBy("doc_id").agg(F.min(F.struct("_prefix", "_next")).alias("_g")).select("doc_id", "_g.*")
 
-    rows = docs.join(given, "doc_id", "left")
+    rows = named.join(given, "doc_id", "left")
+    if lengths.where("doc_id IS NULL").limit(1).count():
+        nobody = docs.where("doc_id IS NULL")
+        rows = rows.unionByName(nobody, allowMissingColumns=True)
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     rows = rows.withColumn("_q", F.expr("int(n_chars div 4)"))
     edited = F.expr("concat(left(text, int(n_chars) - _q), left(coalesce(_prefix, ''), _q))")
