@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import embedding_neardup, setsketch
+from recollect.llm import embedding_neardup, oracles, setsketch
 from recollect.llm.common import table
 from recollect.llm.mixing import mix
 from recollect.llm.packing import pack
@@ -41,7 +41,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_round_trip(table(spark, sf_dir, "pages"))
+    rows = archive_round_trip(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +72,9 @@ QUERIES = {
         op10_document_fingerprints,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_embedding_near_dedup": oracles.OP1,
+    "op7_warc": oracles.OP7,
+    "op8_minhash_near_dedup": oracles.OP8,
+    "op9_mixing": oracles.OP9,
+}
