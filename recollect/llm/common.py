@@ -42,6 +42,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """Let few rows at a time go to Python: texts can be long, and a worker holds a batch."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a materialized table only if its row count is within the limit."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

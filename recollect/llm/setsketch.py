@@ -11,13 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import materialize, small_side, utf8_words
+from recollect.llm.common import materialize, small_batches, small_side, utf8_words
 from recollect.llm.components import connected_components
 
 
 @dataclass(frozen=True)
 class Params:
-    """Similarity is num / den; registers are `bands` groups of `rows`.
+    """Similarity is num / den; the first bands * rows of the registers are banded.
 
     A pair at 0.85 misses all 20 bands of 4 registers with probability 4e-7; registers are
     floor(1 - log_base(least hash)) cut to 16 bits, so they nearly never agree by chance.
@@ -28,9 +28,10 @@ class Params:
     den: int = 100
     bands: int = 20
     rows: int = 4
+    registers: int = 256
     base: float = 1.0005
     rate: float = 20.0
-    drop: float = 14.0  # log-likelihood that a pair may lie below its best to be verified
+    drop: float = 9.0  # log-likelihood that a pair may lie below its best to be verified
     block: int = 1024  # representatives compared in one task
 
 
@@ -50,7 +51,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxh64_intdigest(word)
         return value
@@ -78,33 +79,62 @@ def shingle_hashes(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def registers(shingles: np.ndarray, p: Params) -> np.ndarray:
-    """SetSketch: register i is floor(1 - log_base(least value of hash i)), cut to 16 bits."""
-    m = p.bands * p.rows
-    salt, odd = _odd(m, 3), _odd(m, 5)
-    least = np.full(m, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        part = (shingles[at : at + 1024, None] ^ salt) * odd
-        np.minimum(least, part.min(axis=0), out=least)
-    u = (least.astype(np.float64) + 0.5) / 2.0**64
-    value = -np.log1p(-np.minimum(u, 1 - 1e-16)) / p.rate
-    return np.clip(np.floor(1 - np.log(value) / np.log(p.base)), 0, 65535).astype("<u2")
+def registers(sets: list[np.ndarray], p: Params, spare: float = 10.0) -> np.ndarray:
+    """SetSketch of several non-empty sets at once: (sets, registers) of 16 bits.
+
+    Each element's hash drives a Poisson process that hits random registers; a register's value is its
+    first hit by any element, so it is exponential with the set's size, and register i of two sets
+    agrees if the same element came first. Hits later than a time by which every register of
+    a set of that size is hit (but with probability exp(-spare) times registers) are not made.
+    The register is floor(1 - log_base(value)), cut to 16 bits.
+    """
+    m = p.registers
+    sizes = np.array([len(s) for s in sets])
+    limit = (np.log(m) + spare) / (sizes * p.rate)
+    h = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    t, most = np.zeros(len(h)), limit[owner]
+    first = np.full(len(sets) * m, np.inf)
+    step = np.uint64(0x9E3779B97F4A7C15)
+    while len(h):
+        h = h + step
+        x = mix64(h)
+        t = t - np.log(((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52) / (p.rate * m)
+        live = t <= most
+        h, t, most, owner, x = h[live], t[live], most[live], owner[live], x[live]
+        np.minimum.at(first, owner * m + (mix64(x) % np.uint64(m)).astype(np.int64), t)
+    first = first.reshape(len(sets), m)
+    late = np.flatnonzero(np.isinf(first).any(axis=1))
+    out = np.clip(np.floor(1 - np.log(np.minimum(first, 1e9)) / np.log(p.base)), 0, 65535).astype("<u2")
+    for i in late:
+        out[i] = registers([sets[i]], p, 3 * spare)[0]
+    return out
+
+
+def _fill(rows: list[tuple[list, np.ndarray]], p: Params) -> None:
+    """Put the registers of each set into the last place of its row."""
+    if rows:
+        for (row, _), regs in zip(rows, registers([x for _, x in rows], p), strict=True):
+            row[2] = regs.tobytes()
 
 
 def _sketcher(p: Params):
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                rows = []
-                for text in batch["text"]:
-                    s = shingle_hashes(text, p.words, hashes)
-                    if len(s):
-                        rows.append((len(s), blake2b(s.tobytes(), digest_size=16).digest(), registers(s, p).tobytes()))
-                    else:
-                        rows.append((0, None, None))
-                out = pd.DataFrame(rows, columns=["n", "digest", "regs"])
-                yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy())[["doc_id", "n", "digest", "regs"]]
+        for batch in batches:
+            rows, full, held = [], [], 0
+            for text in batch["text"]:
+                x = shingle_hashes(text, p.words, hashes)
+                rows.append([len(x), blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None, None])
+                if len(x):
+                    full.append((rows[-1], x))
+                    held += len(x)
+                if held > 200_000:  # bounds the hashes in memory
+                    _fill(full, p)
+                    full, held = [], 0
+            _fill(full, p)
+            out = pd.DataFrame(rows, columns=["n", "digest", "regs"])
+            yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy())[["doc_id", "n", "digest", "regs"]]
 
     return sketch
 
@@ -153,13 +183,16 @@ def _scorer(p: Params):
 
 def _tile(p: Params):
     """Pairs of one tile of a band's bucket, from different components, that may be links."""
+    margin = 5 * np.sqrt(0.25 / p.registers)
+    least = p.num / p.den - margin  # shares of equal registers below it are 5 standard errors off
 
     def tile(g: pd.DataFrame) -> pd.DataFrame:
         g = g.drop_duplicates(["rep"]).sort_values("rep")
         rep, comp, n = g["rep"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy(float)
-        block, regs = g["block"].to_numpy(), _regs(g["regs"])
+        block, regs, band = g["block"].to_numpy(), _regs(g["regs"]), int(g["band"].iloc[0])
         across = g["bi"].iloc[0] != g["bj"].iloc[0]
-        a, b = [], []
+        bands = regs[:, : p.bands * p.rows].reshape(len(g), p.bands, p.rows)[:, :band]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for i in range(len(rep) - 1):
             ok = (comp[i + 1 :] != comp[i]) & (
                 p.den * np.minimum(n[i + 1 :], n[i]) >= p.num * np.maximum(n[i + 1 :], n[i])
@@ -167,13 +200,19 @@ def _tile(p: Params):
             if across:
                 ok &= block[i + 1 :] != block[i]
             at = i + 1 + np.flatnonzero(ok)
+            at = at[(regs[at] == regs[i]).mean(axis=1) >= least]
+            if len(at) and band:  # a pair is compared in the first band where it meets
+                at = at[~(bands[at] == bands[i]).all(axis=2).any(axis=1)]
             if len(at):
-                fit = joint_estimate(np.broadcast_to(regs[i], regs[at].shape), regs[at], np.full(len(at), n[i]), n[at], p)
-                same = (regs[at] == regs[i]).mean(axis=1)
-                at = at[(fit >= -p.drop) | (same >= p.num / p.den)]
-                a += [rep[i]] * len(at)
-                b += rep[at].tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                found.append((np.full(len(at), i), at))
+        if not found:
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = np.concatenate([
+            joint_estimate(regs[a[s : s + 4096]], regs[b[s : s + 4096]], n[a[s : s + 4096]], n[b[s : s + 4096]], p) >= -p.drop
+            for s in range(0, len(a), 4096)
+        ])
+        return pd.DataFrame({"a": rep[a[keep]], "b": rep[b[keep]]})
 
     return tile
 
@@ -222,7 +261,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     1. Every document is sketched where it is read. Documents of equal sets are one class, of
        the least id, so exact copies never meet pairwise.
     2. Classes meet in buckets of equal bands. In each bucket every class is paired with
-       the bucket's least one, never all with all; estimates that can't be links go.
+       the one that meets most others, never all with all; estimates that can't be links go.
     3. The best pair of each class is verified on the full sets, then the other pairs that
        join different components.
     4. Buckets that still hold several components are compared in tiles of bounded size;
@@ -234,7 +273,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """
     p = params or Params()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = docs.mapInPandas(_sketcher(p), "doc_id long, n long, digest binary, regs binary")
+    sketches = small_batches(docs).mapInPandas(_sketcher(p), "doc_id long, n long, digest binary, regs binary")
     sketches = materialize(sketches, "sketch")
     known = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     reps = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
@@ -242,24 +281,31 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
 
     width = 2 * p.rows
     keys = [F.xxhash64(F.lit(i), F.substring("regs", 1 + width * i, width)) for i in range(p.bands)]
-    bands = reps.select("rep", F.explode(F.array(*keys)).alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1")
-    members = materialize(bands.join(buckets, "key"), "sketch-members")
+    bands = reps.select("rep", F.posexplode(F.array(*keys)).alias("band", "key"))
+    sizes = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    members = materialize(bands.join(sizes, "key"), "sketch-buckets")
+    # Original texts share more bands with their copies than the copies with each other.
+    degrees = members.groupBy("rep").agg(F.sum("c").alias("degree"))
+    members = members.join(degrees, "rep")
+    pivots = members.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("pivot"))
+    members = materialize(members.join(pivots, "key"), "sketch-members")
 
     side = reps.select("rep", "n", "regs")
     sa = side.withColumnsRenamed({"rep": "a", "n": "na", "regs": "ra"})
     sb = side.withColumnsRenamed({"rep": "b", "n": "nb", "regs": "rb"})
-    stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    pair = (F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
+    stars = members.where("rep <> pivot").select(*pair, "rep").distinct()
     stars = stars.join(sa, "a").join(sb, "b")
     stars = stars.where(f"{p.den} * least(na, nb) >= {p.num} * greatest(na, nb)")
-    stars = stars.select("a", "b", _scorer(p)("ra", "rb", "na", "nb").alias("same")).where("same >= 0")
+    stars = stars.select("a", "b", "rep", _scorer(p)("ra", "rb", "na", "nb").alias("same")).where("same >= 0")
     stars = materialize(stars, "sketch-stars")
 
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")).select("a", "b")
-    links = _verified(materialize(best, "sketch-best"), docs, p)
+    best = stars.groupBy("rep").agg(F.max(F.struct("same", -F.col("a"), -F.col("b"))).alias("_p"))
+    best = materialize(best.select((-F.col("_p")["col2"]).alias("a"), (-F.col("_p")["col3"]).alias("b")).distinct(), "sketch-best")
+    links = _verified(best, docs, p)
     components = materialize(connected_components(links), "sketch-components")
     rest = _with_component(_with_component(stars, "a", components, "ca"), "b", components, "cb")
-    rest = rest.where("ca <> cb").select("a", "b").join(best, ["a", "b"], "left_anti")
+    rest = rest.where("ca <> cb").select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
     links = links.union(_verified(materialize(rest, "sketch-rest"), docs, p))
     components = materialize(connected_components(links), "sketch-components")
 
@@ -270,7 +316,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     tiles = tiles.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = tiles.select(
-        "key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
+        "key", "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
         "block", "rep", "comp", "n", "regs",
     )
     found = tiles.groupBy("key", "bi", "bj").applyInPandas(_tile(p), "a long, b long").distinct()
