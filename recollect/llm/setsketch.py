@@ -181,40 +181,74 @@ def _scorer(p: Params):
     return score
 
 
-def _tile(p: Params):
-    """Pairs of one tile of a band's bucket, from different components, that may be links."""
-    margin = 5 * np.sqrt(0.25 / p.registers)
-    least = p.num / p.den - margin  # shares of equal registers below it are 5 standard errors off
-
-    def tile(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates(["rep"]).sort_values("rep")
-        rep, comp, n = g["rep"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy(float)
-        block, regs, band = g["block"].to_numpy(), _regs(g["regs"]), int(g["band"].iloc[0])
-        across = g["bi"].iloc[0] != g["bj"].iloc[0]
-        bands = regs[:, : p.bands * p.rows].reshape(len(g), p.bands, p.rows)[:, :band]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(len(rep) - 1):
-            ok = (comp[i + 1 :] != comp[i]) & (
-                p.den * np.minimum(n[i + 1 :], n[i]) >= p.num * np.maximum(n[i + 1 :], n[i])
-            )
-            if across:
-                ok &= block[i + 1 :] != block[i]
-            at = i + 1 + np.flatnonzero(ok)
-            at = at[(regs[at] == regs[i]).mean(axis=1) >= least]
-            if len(at) and band:  # a pair is compared in the first band where it meets
-                at = at[~(bands[at] == bands[i]).all(axis=2).any(axis=1)]
-            if len(at):
-                found.append((np.full(len(at), i), at))
-        if not found:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        keep = np.concatenate([
-            joint_estimate(regs[a[s : s + 4096]], regs[b[s : s + 4096]], n[a[s : s + 4096]], n[b[s : s + 4096]], p) >= -p.drop
-            for s in range(0, len(a), 4096)
-        ])
-        return pd.DataFrame({"a": rep[a[keep]], "b": rep[b[keep]]})
-
-    return tile
+def _tile_pairs(g: pd.DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of a tile's pairs from different components that may be links, each pair in
+    the first band where it meets only."""
+    rep, comp, n = g["rep"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy(float)
+    block, regs, band = g["block"].to_numpy(), _regs(g["regs"]), int(g["band"].iloc[0])
+    across = g["bi"].iloc[0] != g["bj"].iloc[0]
+    least = p.num / p.den - 5 * np.sqrt(0.25 / p.registers)  # shares of equal registers below it are 5 standard errors off
+    bands = regs[:, : p.bands * p.rows].reshape(len(g), p.bands, p.rows)[:, :band]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in range(len(rep) - 1):
+        ok = (comp[i + 1 :] != comp[i]) & (p.den * np.minimum(n[i + 1 :], n[i]) >= p.num * np.maximum(n[i + 1 :], n[i]))
+        if across:
+            ok &= block[i + 1 :] != block[i]
+        at = i + 1 + np.flatnonzero(ok)
+        at = at[(regs[at] == regs[i]).mean(axis=1) >= least]
+        if len(at) and band:
+            at = at[~(bands[at] == bands[i]).all(axis=2).any(axis=1)]
+        if len(at):
+            found.append((np.full(len(at), i), at))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int)
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    keep = np.concatenate([
+        joint_estimate(regs[a[s : s + 4096]], regs[b[s : s + 4096]], n[a[s : s + 4096]], n[b[s : s + 4096]], p) >= -p.drop
+        for s in range(0, len(a), 4096)
+    ])
+    return a[keep], b[keep]
+
+
+TILE = ["key", "band", "bi", "bj", "block", "rep", "comp", "n", "regs"]
+
+
+def _flagger(p: Params):
+    """The members of a tile that may have a link there: at most its rows, never its pairs."""
+
+    def flag(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.drop_duplicates(["rep"]).sort_values("rep", ignore_index=True)
+        a, b = _tile_pairs(g, p)
+        return g.loc[np.union1d(a, b), TILE]
+
+    return flag
+
+
+def _linker(p: Params):
+    """The links of a tile's flagged members by their full sets, as a forest: pairs that are
+    connected in the tile already are not compared again."""
+
+    def link(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.drop_duplicates(["rep"]).sort_values("rep", ignore_index=True)
+        hashes = WordHashes()
+        sets = [frozenset(shingle_hashes(t, p.words, hashes).tolist()) for t in g["text"]]
+        up, out = list(range(len(g))), []
+
+        def root(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        for i, j in zip(*(x.tolist() for x in _tile_pairs(g, p)), strict=True):
+            x, y = root(i), root(j)
+            both = len(sets[i] & sets[j]) if x != y else 0
+            if both and p.den * both >= p.num * (len(sets[i]) + len(sets[j]) - both):
+                up[max(x, y)] = min(x, y)
+                out.append((g["rep"][i], g["rep"][j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return link
 
 
 def _checker(p: Params):
@@ -246,6 +280,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     return materialize(joined.mapInPandas(_checker(p), "a long, b long"), "sketch-links")
 
 
+def _extended(
+    links: DataFrame, components: DataFrame, pairs: DataFrame, docs: DataFrame, p: Params
+) -> tuple[DataFrame, DataFrame]:
+    """Links and components with those of pairs that are links; nothing is computed anew where none is."""
+    if not pairs.limit(1).count():
+        return links, components
+    more = _verified(pairs, docs, p)
+    if not more.limit(1).count():
+        return links, components
+    links = links.union(more)
+    return links, materialize(connected_components(links), "sketch-components")
+
+
 def _with_component(rows: DataFrame, node: str, components: DataFrame, name: str) -> DataFrame:
     found = components.select(F.col("id").alias(node), F.col("component").alias(f"_{name}"))
     return rows.join(found, node, "left").withColumn(name, F.coalesce(f"_{name}", node)).drop(f"_{name}")
@@ -264,8 +311,9 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
        the one that meets most others, never all with all; estimates that can't be links go.
     3. The best pair of each class is verified on the full sets, then the other pairs that
        join different components.
-    4. Buckets that still hold several components are compared in tiles of bounded size;
-       only pairs across components that may be links leave a tile, and are verified.
+    4. Buckets that still hold several components are compared in tiles of bounded size: by
+       registers first, which flags members, then the flagged ones by their full sets. Only a forest
+       of the links found leaves a tile, never its pairs.
 
     Null ids are linked with nothing (component null, kept); null, empty and wordless texts have
     no shingles and are linked with nothing; rows that repeat an id count as one document;
@@ -306,8 +354,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     components = materialize(connected_components(links), "sketch-components")
     rest = _with_component(_with_component(stars, "a", components, "ca"), "b", components, "cb")
     rest = rest.where("ca <> cb").select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
-    links = links.union(_verified(materialize(rest, "sketch-rest"), docs, p))
-    components = materialize(connected_components(links), "sketch-components")
+    links, components = _extended(links, components, materialize(rest, "sketch-rest"), docs, p)
 
     placed = materialize(_with_component(members, "rep", components, "comp"), "sketch-placed")
     open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
@@ -319,10 +366,15 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
         "key", "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
         "block", "rep", "comp", "n", "regs",
     )
-    found = tiles.groupBy("key", "bi", "bj").applyInPandas(_tile(p), "a long, b long").distinct()
-    found = found.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.union(_verified(materialize(found, "sketch-across"), docs, p))
-    components = materialize(connected_components(links), "sketch-components")
+    schema = ", ".join(f"{x} {tiles.schema[x].dataType.simpleString()}" for x in TILE)
+    flagged = materialize(tiles.groupBy("key", "bi", "bj").applyInPandas(_flagger(p), schema), "sketch-flagged")
+    if flagged.limit(1).count():
+        needed = materialize(flagged.select(F.col("rep").alias("doc_id")).distinct(), "sketch-needed")
+        texts = docs.join(small_side(needed), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
+        texted = flagged.join(texts, "rep")
+        more = materialize(texted.groupBy("key", "bi", "bj").applyInPandas(_linker(p), "a long, b long"), "sketch-across")
+        if more.limit(1).count():
+            components = materialize(connected_components(links.union(more)), "sketch-components")
 
     classes = _with_component(reps.select("digest", "rep"), "rep", components, "comp").select("digest", "comp")
     out = sketches.select("doc_id", "n", "digest").join(classes, "digest", "left")
