@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recollect.llm.common import materialize
+from recollect.llm.common import materialize, small_batches
 
 WINDOW = 2048
 STEP = 8  # lengths are packed in units of so many tokens, rounded up
@@ -100,7 +100,7 @@ def _cutter(tokenizer: str, end_id: int, window: int):
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): documents cut at multiples of the window."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(
+    return small_batches(rows).mapInPandas(
         _cutter(tokenizer or default_tokenizer(), end_id, window),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long",
     )

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import materialize
+from recollect.llm.common import materialize, small_batches
 
 BUCKETS = 1 << 20
 GRADES = 3  # 0 poor, 1 readable but toxic, 2 good
@@ -31,7 +31,7 @@ class WordFeatures(dict):
     def __missing__(self, word: bytes) -> tuple[int, int]:
         from xxhash import xxh32_intdigest
 
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         shape = _RUNS.sub(rb"\1", word.translate(_SHAPE))[:8]
         core = word.lower().strip(b".,;:!?*#$%&|\"'()[]{}")
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, seed: int = 5
         rated = rated.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share)
     rated = materialize(rated.groupBy("doc_id").agg(F.min("grade").alias("grade")), "quality-sample")
     joined = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").select("text", "grade")
-    got = materialize(joined.mapInPandas(_extract, "grade int, cols binary, vals binary"), "quality-features")
+    got = materialize(small_batches(joined).mapInPandas(_extract, "grade int, cols binary, vals binary"), "quality-features")
     got = got.toPandas()  # of the sample
     cols = [np.frombuffer(x, np.int32) for x in got["cols"]]
     vals = [np.frombuffer(x, np.float32) for x in got["vals"]]
@@ -213,7 +213,7 @@ def grade_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, samp
     """
     model = train(docs, labels, sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInPandas(_scorer(model), "doc_id long, expected_grade double, p_readable double, p_good double")
+    out = small_batches(rows).mapInPandas(_scorer(model), "doc_id long, expected_grade double, p_readable double, p_good double")
     return out.withColumn("kept", F.col("p_good") >= least)
 
 
@@ -227,4 +227,4 @@ def select_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample:
         s = np.array([score_text(t, words) for t in texts], float)
         return pd.Series(model.tails(s)[:, 1])
 
-    return docs.where(p_good(F.col("text")) >= least)
+    return small_batches(docs).where(p_good(F.col("text")) >= least)

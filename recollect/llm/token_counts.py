@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import utf8_words
+from recollect.llm.common import small_batches, utf8_words
 
 CACHED_WORDS = 500_000
 
@@ -122,4 +122,4 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run = partial(_count, vocabulary=vocabulary or default_vocabulary())
-    return rows.mapInPandas(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return small_batches(rows).mapInPandas(run, "doc_id long, n_words long, n_tokens long, n_unknown long")

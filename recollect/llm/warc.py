@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.common import materialize, scratch_path, small_side
+from recollect.llm.common import materialize, scratch_path, small_batches, small_side
 
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -102,7 +102,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 100, level: int = 4)
     # As strings, for pandas would make floats of whole numbers among nulls.
     ids = [F.col(x).cast("string").alias(x) for x in ("page_id", "refers_to")]
     rows = rows.select("url", "html", "digest", *ids)
-    return materialize(rows.mapInPandas(_writer(folder, level), "path string, records long"), "warc-manifest")
+    return materialize(small_batches(rows).mapInPandas(_writer(folder, level), "path string, records long"), "warc-manifest")
 
 
 class Source:
