@@ -9,7 +9,7 @@ from recollect.functions.text import stamp
 from recollect.operators import documents, lifecycle
 from recollect.operators import compile as comp
 from recollect.plans.support import _M, _t
-from recollect.sources.adapters import AS_OF, EPISODES_SQL, _stamps, episodes, jobs, markdown, oracle_ctes, outbox, resolutions
+from recollect.sources.adapters import AS_OF, EPISODES_SQL, _stamps, episodes, jobs, markdown, oracle_ctes, outbox, resolutions, whole_markdown
 from recollect.sources.scratch import scratch
 from recollect.streaming import jobs as streams
 
@@ -140,6 +140,12 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.chunk_documents(markdown(spark, sf_dir)).select("doc_path", "section", "heading", "breadcrumb", "url", "content_hash")
 
 
+def chunk_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of all of every text; chunk_documents sees 550 characters of each at most."""
+    rows = documents.chunk_documents(whole_markdown(spark, sf_dir))
+    return rows.select("doc_path", "section", "heading", "breadcrumb", "url", "content_hash")
+
+
 def write_pack_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     eps, mem = _both(spark, sf_dir)
     eps = eps.withColumn("provenance", F.to_json(F.struct(F.sha2("episode_id", 256).alias("content_hash"))))
@@ -215,7 +221,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         upsert_resolutions, create_snapshot, latest_snapshot, restore_snapshot, clone_subjects, export_subjects, verify_export, import_payload, pack_state,
-        reseed_pack, delete_subject, purge_subjects, purge_jobs, purge_outbox, chunk_documents, write_pack_jsonl, stream_compile, minute_hits,
+        reseed_pack, delete_subject, purge_subjects, purge_jobs, purge_outbox, chunk_documents, chunk_whole_documents, write_pack_jsonl, stream_compile, minute_hits,
         sliding_admission, health_alert_stream, outbox_advance,
     )
 }
@@ -260,3 +266,6 @@ ORACLES = {
       a AS (SELECT *, CASE WHEN NOT due THEN status WHEN ok THEN 'delivered' WHEN attempts + 1 >= max_attempts THEN 'dead_letter' ELSE 'pending' END AS st FROM d)
       SELECT st AS status, attempts + due::INT AS attempts, count(*) AS n, max({_t("CASE WHEN due AND st = 'pending' THEN TIMESTAMP '1997-01-01' + INTERVAL 30 SECOND * CAST(4 ** attempts AS INT) ELSE next_attempt_at END")}) AS last_next FROM a GROUP BY ALL""",
 }
+ORACLES["chunk_whole_documents"] = ORACLES["chunk_documents"].replace(
+    oracle_ctes("markdown"), f"{oracle_ctes('whole_markdown')}, markdown AS (SELECT * FROM whole_markdown)"
+)

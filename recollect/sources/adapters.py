@@ -71,6 +71,13 @@ SECTIONS_SQL = """SELECT concat('doc-', CAST(doc_id AS STRING)) AS doc_path,
     substr(text, 201, 150), chr(10), '### Empty', chr(10), '## Use & Care', chr(10), substr(text, 351, 200), chr(10)) END AS text
 FROM {documents}"""
 
+#: As SECTIONS_SQL, but all of every text: the last section takes what the first ones leave.
+WHOLE_SECTIONS_SQL = """SELECT concat('doc-', CAST(doc_id AS STRING)) AS doc_path,
+  CASE doc_id % 5 WHEN 4 THEN text ELSE concat('lead in', chr(10), '# Guide ', CAST(doc_id % 17 AS STRING), chr(10),
+    substr(text, 1, 200), chr(10), '## Setup', chr(10), '```', chr(10), '# not a heading', chr(10), '```', chr(10),
+    substr(text, 201, 150), chr(10), '### Empty', chr(10), '## Use & Care', chr(10), substr(text, 351), chr(10)) END AS text
+FROM {documents}"""
+
 MEMORIES_SQL = """SELECT concat('mem-', CAST(e.vec_id AS STRING)) AS memory_id, concat('label-', CAST(e.label AS STRING)) AS subject_id,
   CASE e.vec_id % 4 WHEN 0 THEN 'profile_fact' WHEN 1 THEN 'procedure' ELSE 'episode_summary' END AS kind,
   CASE e.vec_id % 7 WHEN 3 THEN 'superseded' ELSE 'active' END AS status, e.embedding
@@ -106,6 +113,10 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SECTIONS_SQL, documents=_table(spark, sf_dir, "documents"))
 
 
+def whole_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(WHOLE_SECTIONS_SQL, documents=_table(spark, sf_dir, "documents"))
+
+
 def vector_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(MEMORIES_SQL, embeddings=_table(spark, sf_dir, "embeddings"))
 
@@ -118,6 +129,7 @@ def oracle_ctes(*names: str) -> str:
         "jobs": JOBS_SQL.format(orders="orders"),
         "outbox": OUTBOX_SQL.format(orders="orders"),
         "markdown": SECTIONS_SQL.format(documents="documents"),
+        "whole_markdown": WHOLE_SECTIONS_SQL.format(documents="documents"),
         "vectors": MEMORIES_SQL.format(embeddings="embeddings"),
     }
     return "WITH " + ",\n".join(f"{n} AS ({made[n]})" for n in names)
