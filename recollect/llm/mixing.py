@@ -47,21 +47,31 @@ def sainte_lague(targets: DataFrame, blocks: int, shards: int = 1) -> DataFrame:
 
     targets: (ord, target), one row a source. Returns (ord, shard, quota): the seats in order
     of their quotients (ties by ord) are cut into `shards` equal runs, so every shard has
-    integer quotas and each prefix of shards is itself an apportionment. The table of quotients
-    has about blocks + 2 * sources rows, whatever the corpus.
+    integer quotas and each prefix of shards is itself an apportionment. Seats that a source is
+    sure of are counted, not listed: only about three quotients a source and prefix are
+    ranked, however many blocks there are.
     """
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own = targets.where("target > 0").withColumn("_sum", F.sum("target").over(every))
-    # Rounding to odd divisors keeps every source's seats below this.
-    seats_in_all = blocks + F.count("*").over(every) / 2
-    most = F.ceil(F.col("target") * seats_in_all / F.col("_sum") + 0.5)
-    own = own.withColumn("_most", most)
-    seats = own.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most"))))
-    seats = seats.select("ord", (F.col("target") / (2 * F.col("_k") - 1)).alias("_q"))
-    rank = F.row_number().over(Window.orderBy(F.desc("_q"), "ord"))
-    won = seats.withColumn("_r", rank).where(F.col("_r") <= blocks)
-    shard = F.floor((F.col("_r") - 1) * shards / F.lit(blocks)).cast("int")
-    return won.groupBy("ord", shard.alias("shard")).agg(F.count("*").alias("quota"))
+    own = targets.where("target > 0")
+    own = own.crossJoin(F.broadcast(own.agg(F.sum("target").alias("_sum"), F.count("*").alias("_n"))))  # one row
+    # A prefix of shards ends with the last seat whose (rank - 1) * shards / blocks is below its number.
+    ends = F.expr(f"transform(sequence(1, {int(shards)}), j -> struct(j - 1 AS shard, (j * {int(blocks)}L + {int(shards) - 1}) div {int(shards)} AS upto))")
+    own = own.select("ord", "target", "_sum", "_n", F.inline(ends))
+    # Rounding to odd divisors moves all seats by half a source each at most: below the lower
+    # divisor's count every seat is won, above the upper one's none is.
+    low = F.col("target") * (F.col("upto") - F.col("_n") / 2 - 1) / F.col("_sum")
+    high = F.col("target") * (F.col("upto") + F.col("_n") / 2) / F.col("_sum")
+    own = own.withColumn("_sure", F.greatest(F.lit(0), F.floor(low + 0.5) - 1).cast("long"))
+    own = own.withColumn("_k", F.explode(F.sequence(F.col("_sure"), F.greatest(F.col("_sure"), F.ceil(high + 0.5)))))
+    # The row of _k = _sure stands for the sure seats themselves, the others for a seat each.
+    sure = F.col("_k") == F.col("_sure")
+    left = F.col("upto") - F.sum(F.when(sure, F.col("_sure"))).over(Window.partitionBy("shard"))
+    quotient = F.when(~sure, F.col("target") / (2 * F.col("_k") - 1))
+    seats = own.withColumn("_left", left).withColumn("_q", quotient)
+    rank = F.row_number().over(Window.partitionBy("shard").orderBy(F.desc_nulls_last("_q"), "ord"))
+    won = F.when(sure, F.col("_sure")).otherwise((F.col("_r") <= F.col("_left")).cast("long"))
+    upto = seats.withColumn("_r", rank).groupBy("ord", "shard").agg(F.sum(won).alias("_upto"))
+    before = F.lag("_upto", 1, 0).over(Window.partitionBy("ord").orderBy("shard"))
+    return upto.select("ord", "shard", (F.col("_upto") - before).alias("quota")).where("quota > 0")
 
 
 def mix(
@@ -75,7 +85,9 @@ def mix(
     """How many words the mix takes of each document.
 
     A source is a stream of its documents' words in seeded order (md5 of seed and id). It is cut
-    into blocks of equal tokens, the size such that `blocks` of them make the mix; the source's
+    into blocks of equal tokens, the size such that `blocks` of them make the mix, or more where
+    a block would pass a hundredth of the least positive target (a word is the least block), so
+    that no source is lost and small ones come as near to their targets as large ones; the source's
     quota of blocks is taken from the stream's start, going round up to `most` times. So a
     document's `taken` is the overlap of its range with the taken part: only the document
     at a source's last block is cut. A hot source is split over 4,096 ranges of the seeded order.
@@ -90,8 +102,9 @@ def mix(
     rows = materialize(rows, "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = materialize(source_targets(sources, weights, share, most), "mix-sources")
-    wanted = sources.agg(F.sum("target")).first()[0] or 0.0
-    block = max(1, -int(-wanted // blocks))
+    wanted, least = sources.agg(F.sum("target"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
+    wanted = wanted or 0.0
+    block = max(1, min(-int(-wanted // blocks), int((least or 0.0) // 100)))
     seats = max(1, round(wanted / block))
     quotas = sainte_lague(sources.select("ord", "target"), seats).select("ord", "quota")
     sources = sources.join(quotas, "ord", "left").fillna({"quota": 0})

@@ -176,6 +176,33 @@ def test_sainte_lague(spark, blocks):
     assert shards.agg(F.sum("quota")).first()[0] == blocks
 
 
+def test_mix_keeps_small_sources(spark):
+    """Blocks of all the words by 64 would be over twice the targets of small sources."""
+    rows = [(i, "w " * 500, "en", "big") for i in range(60)] + [(100, "x " * 30, "en", "small"), (101, "y " * 150, "en", None), (102, "z", "en", "tiny")]
+    got = mixing.mix(docs(spark, rows), blocks=64).collect()
+    targets, taken = {r["source"]: r["target"] for r in got}, Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    for s, t in targets.items():
+        assert taken[s] > 0 and abs(taken[s] - t) <= 0.01 * t + 1
+    kept = {r["source"] for r in stages.repeat_by_mix(docs(spark, rows), blocks=64).collect()}
+    assert kept == {"big", "small", None, "tiny"}
+
+
+def test_sainte_lague_lists_no_sure_seats(spark):
+    rng = random.Random(5)
+    targets = [(i, float(rng.choice([1, 3, 50, 400, 400]))) for i in range(12)]
+    seats, order = Counter(), []
+    for _ in range(300):
+        best = max((t / (2 * seats[o] + 1), -o) for o, t in targets)
+        seats[-best[1]] += 1
+        order.append(-best[1])
+    got = mixing.sainte_lague(spark.createDataFrame(targets, "ord int, target double"), 300, shards=7).collect()
+    assert {(r["ord"], r["shard"]): r["quota"] for r in got} == Counter((o, i * 7 // 300) for i, o in enumerate(order))
+    large = mixing.sainte_lague(spark.createDataFrame([(1, 7e9), (2, 3.0)], "ord int, target double"), 7_000_000_003).collect()
+    assert {r["ord"]: r["quota"] for r in large} == {1: 7_000_000_000, 2: 3}
+
+
 def test_mixing_stage_writes_the_mix(spark):
     rows = many(120) + ODD
     df = docs(spark, rows)
