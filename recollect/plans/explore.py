@@ -15,14 +15,14 @@ from recollect.sources.adapters import AS_OF, episodes, jobs, oracle_ctes, outbo
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compiled memories after conflicts, with a source episode more for every other one."""
-    rows = resolve_conflicts(compile_memories(uncompiled(episodes(spark, sf_dir))), AS_OF)
+    rows = resolve_conflicts(compile_memories(uncompiled(episodes(spark, sf_dir), cap=None)), AS_OF)
     event = F.substring(F.element_at("source_episode_ids", 1), 4, 20).cast("long")
     more = F.concat(F.lit("ev-"), (event - event % 8).cast("string"))
     return rows.withColumn("source_episode_ids", F.when(event % 2 == 0, F.array_append("source_episode_ids", more)).otherwise(F.col("source_episode_ids")))
 
 
 def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compile_memories(uncompiled(episodes(spark, sf_dir)))
+    return compile_memories(uncompiled(episodes(spark, sf_dir), cap=None))
 
 
 def _health_cache(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def health_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def provenance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     eps = episodes(spark, sf_dir)
-    facts = comp.compile_memories(comp.uncompiled(eps)).where("kind = 'profile_fact'")
+    facts = comp.compile_memories(comp.uncompiled(eps, cap=None)).where("kind = 'profile_fact'")
     return explore.provenance_lookup(eps, facts.select(F.explode("source_episode_ids").alias("episode_id"))).select("episode_id", "type")
 
 

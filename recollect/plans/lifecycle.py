@@ -20,7 +20,7 @@ def _full(df: DataFrame) -> DataFrame:
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     eps = _full(episodes(spark, sf_dir))
-    return eps, comp.compile_memories(comp.uncompiled(eps))
+    return eps, comp.compile_memories(comp.uncompiled(eps, cap=None))
 
 
 def _one_in_three(eps: DataFrame) -> DataFrame:

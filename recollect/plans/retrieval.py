@@ -16,7 +16,7 @@ TASK = "the export job keeps failing after the password change"
 
 
 def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compile_memories(uncompiled(episodes(spark, sf_dir)))
+    return compile_memories(uncompiled(episodes(spark, sf_dir), cap=None))
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:

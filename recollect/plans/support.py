@@ -39,7 +39,7 @@ def payload_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comp.compile_memories(comp.uncompiled(episodes(spark, sf_dir)))
+    return comp.compile_memories(comp.uncompiled(episodes(spark, sf_dir), cap=None))
 
 
 def compile_memories(spark: SparkSession, sf_dir: str) -> DataFrame:

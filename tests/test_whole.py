@@ -1,9 +1,14 @@
 """Small fixtures that a job doing less than the whole would fail."""
 
 import hashlib
+from datetime import datetime, timedelta
+
+import pytest
 
 from recollect.plans import registry
 
+T0 = datetime(2024, 1, 1)
+
 
 def test_all_of_a_text_is_chunked(spark, tmp_path):
     text = " ".join(f"word{i}" for i in range(12_000))
@@ -13,3 +18,24 @@ def test_all_of_a_text_is_chunked(spark, tmp_path):
     assert [r["content_hash"] for r in got if r["doc_path"] == "doc-9"] == [sha(text)]
     rest = [r["content_hash"] for r in got if r["doc_path"] == "doc-5" and r["heading"] == "Use & Care"]
     assert rest == [sha(text[350:])]
+
+
+@pytest.fixture(scope="module")
+def hot(spark, tmp_path_factory):
+    """Tables in which one subject has 700 episodes with text."""
+    folder = str(tmp_path_factory.mktemp("hot"))
+    rows = [(4 * i + 1, T0 + timedelta(minutes=i), 3 if i < 700 else 4, "click") for i in range(710)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["compile_memories", "compile_summaries"])
+def test_hot_subjects_are_compiled_whole(spark, hot, name):
+    assert registry.QUERIES[name](spark, hot).count() == 710
+
+
+def test_hot_subjects_are_resolved_and_exported_whole(spark, hot):
+    resolved = registry.QUERIES["resolve_conflicts"](spark, hot).collect()
+    assert sum(r["n"] for r in resolved if r["subject_id"] == "user-3") == 700
+    exported = {r["subject_id"]: r["memory_count"] for r in registry.QUERIES["export_subjects"](spark, hot).collect()}
+    assert exported == {"user-3": 700, "user-4": 10}
