@@ -195,41 +195,65 @@ def export_rows(episodes: DataFrame, memories: DataFrame, scope: str = "all") ->
     return rows.withColumn("position", F.row_number().over(order)).drop("created_at")
 
 
-def export_subjects(episodes: DataFrame, memories: DataFrame, as_of: str, scope: str = "all", most_rows: int = 100_000) -> DataFrame:
-    """One document a subject: format, counts, rows in order and a checksum over them.
+def export_subjects(
+    episodes: DataFrame, memories: DataFrame, as_of: str, scope: str = "all", most_rows: int = 100_000, most_bytes: int = 1 << 26
+) -> DataFrame:
+    """Documents of each subject: format, the subject's counts, rows in order and a checksum over them.
 
-    A subject of more than `most_rows` rows would be too large a value: its document is null
-    and `too_large` says so; export_rows has its rows.
+    A subject of more than `most_rows` rows, or about `most_bytes` of them, goes into numbered
+    parts (`part` of `parts`), a row each, so `too_large` is never true. A document of several
+    parts holds its number, which the checksum so covers.
     """
     rows = export_rows(episodes, memories, scope)
-    sizes = rows.groupBy("subject_id").agg(F.count("*").alias("_n"))
-    rows = rows.join(sizes, "subject_id")
-    fits = F.col("_n") <= most_rows
-    item = F.when(fits, F.struct("item", "position", "row"))
-    docs = rows.groupBy("subject_id").agg(
-        F.count_if(F.col("item") == "episode").alias("episode_count"), F.count_if(F.col("item") == "memory").alias("memory_count"),
-        F.max(~fits).alias("too_large"), F.sort_array(F.collect_list(item)).alias("_items"),
+    # A row weighs its bytes, and enough that no part holds more than most_rows.
+    weight = F.greatest(F.octet_length("row").cast("long"), F.lit(-(-most_bytes // most_rows)).cast("long"))
+    order = Window.partitionBy("subject_id").orderBy("item", "position")
+    before = F.coalesce(F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_cut", F.floor(before / most_bytes))
+    rows = rows.withColumn("part", F.dense_rank().over(Window.partitionBy("subject_id").orderBy("_cut")))
+    docs = rows.groupBy("subject_id", "part").agg(
+        F.count_if(F.col("item") == "episode").alias("_e"), F.count_if(F.col("item") == "memory").alias("_m"),
+        F.sort_array(F.collect_list(F.struct("item", "position", "row"))).alias("_items"),
     )
-    part = lambda kind: F.transform(F.filter("_items", lambda x: x["item"] == kind), lambda x: x["row"])
-    body = F.concat(F.lit('{"episodes":['), F.array_join(part("episode"), ","), F.lit('],"memories":['), F.array_join(part("memory"), ","), F.lit("]}"))
-    docs = docs.withColumn("document", F.when(~F.col("too_large"), body))
+    items = lambda kind: F.transform(F.filter("_items", lambda x: x["item"] == kind), lambda x: x["row"])
+    rest = F.concat(F.lit('"episodes":['), F.array_join(items("episode"), ","), F.lit('],"memories":['), F.array_join(items("memory"), ","), F.lit("]}"))
+    sizes = rows.groupBy("subject_id").agg(
+        F.count_if(F.col("item") == "episode").alias("episode_count"), F.count_if(F.col("item") == "memory").alias("memory_count"), F.max("part").alias("parts")
+    )
+    docs = docs.select("subject_id", "part", rest.alias("_rest")).join(sizes, "subject_id")
+    docs = docs.withColumn("document", F.concat(_part_head(), "_rest"))
     return docs.select(
-        "subject_id", F.lit(FORMAT).alias("format_version"), F.lit(as_of).alias("exported_at"), "episode_count", "memory_count", "too_large",
-        "document", F.sha2("document", 256).alias("checksum"),
+        "subject_id", F.lit(FORMAT).alias("format_version"), F.lit(as_of).alias("exported_at"), "episode_count", "memory_count", F.lit(False).alias("too_large"),
+        "document", F.sha2("document", 256).alias("checksum"), "part", "parts",
     )
 
 
+def _part_head() -> Column:
+    """How a document opens: with its number where there are several."""
+    number = F.concat(F.lit('{"part":'), F.col("part").cast("string"), F.lit(',"parts":'), F.col("parts").cast("string"), F.lit(","))
+    return F.when(F.col("parts") > 1, number).otherwise("{")
+
+
 def verify_export(docs: DataFrame) -> DataFrame:
-    """Documents with `problem`: null, `format` or `checksum`."""
+    """Documents with `problem`: null, `format`, `checksum`, or `parts` where another part of the subject is missing, repeated or bad."""
+    if "part" not in docs.columns:
+        docs = docs.withColumns({"part": F.lit(1), "parts": F.lit(1)})
     bad = F.coalesce(F.sha2("document", 256) != F.col("checksum"), F.lit(True))
+    named = F.coalesce(F.col("document").startswith(_part_head()), F.lit(False))
     known = F.coalesce(F.col("format_version") == FORMAT, F.lit(False))
-    return docs.withColumn("problem", F.when(~known, "format").when(bad, "checksum"))
+    docs = docs.withColumn("problem", F.when(~known, "format").when(bad | ~named, "checksum"))
+    good = docs.where("problem IS NULL").groupBy("subject_id").agg(
+        F.count("*").alias("_n"), F.count_distinct("part").alias("_d"), F.min("parts").alias("_lo"), F.max("parts").alias("_hi")
+    )
+    whole = good.where("_hi = 1 OR (_n = _hi AND _d = _hi AND _lo = _hi)").select("subject_id", F.lit(True).alias("_whole"))
+    docs = docs.join(whole, "subject_id", "left")
+    return docs.withColumn("problem", F.when(F.col("problem").isNull() & F.col("_whole").isNull(), "parts").otherwise(F.col("problem"))).drop("_whole")
 
 
 def import_payload(
     docs: DataFrame, targets: DataFrame, as_of: str, tenant_id: str | None = None, job: str = "import"
 ) -> tuple[DataFrame, DataFrame]:
-    """(episodes, memories) of valid documents, for targets (subject_id, target_id).
+    """(episodes, memories) of valid documents and of subjects all of whose parts are valid, for targets (subject_id, target_id).
 
     Ids are made anew, provenance follows them (ids that are not in the document go), missing
     fields get defaults, and the original subject and id are kept in provenance and metadata.

@@ -74,7 +74,7 @@ def clone_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lifecycle.export_subjects(*_both(spark, sf_dir), AS_OF)
-    return rows.select("subject_id", "format_version", "episode_count", "memory_count", "too_large")
+    return rows.where("part = 1").select("subject_id", "format_version", "episode_count", "memory_count", "too_large")
 
 
 def verify_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +85,12 @@ def verify_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         "document": F.when(n % 7 == 0, F.concat("document", F.lit(" "))).otherwise(F.col("document")),
         "format_version": F.when(n % 11 == 0, "other").otherwise(F.col("format_version")),
     })
-    return lifecycle.verify_export(rows).select("subject_id", "problem")
+    return lifecycle.verify_export(rows).groupBy("subject_id").agg(F.min("problem").alias("problem"))
 
 
 def import_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lifecycle.export_subjects(*_both(spark, sf_dir), AS_OF)
-    targets = docs.select("subject_id", F.concat(F.lit("in-"), "subject_id").alias("target_id"))
+    targets = docs.where("part = 1").select("subject_id", F.concat(F.lit("in-"), "subject_id").alias("target_id"))
     e, m = lifecycle.import_payload(docs, targets, AS_OF, tenant_id="acme")
     a = e.groupBy("subject_id").agg(F.count("*").alias("episodes"), F.max(stamp(F.col("created_at"))).alias("last_at"))
     b = m.groupBy("subject_id").agg(F.count("*").alias("memories"), F.sum(F.size("source_episode_ids")).alias("cites"), F.max("tenant_id").alias("tenant_id"))

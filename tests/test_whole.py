@@ -4,8 +4,12 @@ import hashlib
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from recollect.operators import compile as comp
+from recollect.operators import lifecycle
 from recollect.plans import registry
+from recollect.sources.adapters import episodes
 
 T0 = datetime(2024, 1, 1)
 
@@ -39,3 +43,23 @@ def test_hot_subjects_are_resolved_and_exported_whole(spark, hot):
     assert sum(r["n"] for r in resolved if r["subject_id"] == "user-3") == 700
     exported = {r["subject_id"]: r["memory_count"] for r in registry.QUERIES["export_subjects"](spark, hot).collect()}
     assert exported == {"user-3": 700, "user-4": 10}
+
+
+@pytest.mark.parametrize("most", [{"most_rows": 150}, {"most_bytes": 20_000}])
+def test_large_subjects_make_the_round_trip(spark, hot, most):
+    as_of = "2024-02-01 00:00:00"
+    eps = episodes(spark, hot).withColumns({"metadata": F.lit("{}"), "provenance": F.lit("{}")})
+    mem = comp.compile_memories(eps)
+    docs = lifecycle.export_subjects(eps, mem, as_of, **most).cache()
+    parts = {(r["part"], r["parts"]) for r in docs.where("subject_id = 'user-3'").collect()}
+    assert len(parts) > 3 and parts == {(i + 1, len(parts)) for i in range(len(parts))}
+    assert docs.where("document IS NULL OR too_large").count() == 0
+    targets = docs.select("subject_id", F.concat(F.lit("in-"), "subject_id").alias("target_id")).distinct()
+    e, m = lifecycle.import_payload(docs, targets, as_of)
+    assert {r["subject_id"]: r["count"] for r in e.groupBy("subject_id").count().collect()} == {"in-user-3": 700, "in-user-4": 10}
+    cites = m.where(F.size("source_episode_ids") == 1).groupBy("subject_id").count().collect()
+    assert {r["subject_id"]: r["count"] for r in cites} == {"in-user-3": 700, "in-user-4": 10}
+    lost = lifecycle.verify_export(docs.where("subject_id = 'user-3' AND part <> 2"))
+    assert {r["problem"] for r in lost.collect()} == {"parts"}
+    renamed = docs.withColumn("part", F.when(F.col("part") == 2, 3).otherwise(F.col("part")))
+    assert "checksum" in {r["problem"] for r in lifecycle.verify_export(renamed).collect()}
