@@ -19,7 +19,9 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
-MAX_HEADER = 1 << 16
+FIRST_READ = 1 << 16
+#: What may still become a header where its end is not read yet.
+OPEN_HEADER = re.compile(rb"WARC/1\.\d+\r\n(?:[!-9;-~]{1,100}:[^\r\n]*\r\n|[ \t][^\r\n]*\r\n)*(?:[!-9;-~]{0,100}|[!-9;-~]{1,100}:[^\r\n]*|[ \t][^\r\n]*)\r?\Z")
 RECORD_SCHEMA = (
     "path string, offset long, length long, status string, reason string, record_type string, page_id long, "
     "target_uri string, payload binary, payload_bytes long, payload_digest string, refers_to long"
@@ -144,12 +146,12 @@ def _member(source: Source, offset: int) -> tuple[bytes, int]:
     return b"".join(out), at - len(inflate.unused_data)
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record that data starts with; raises if a check fails."""
-    end = data.find(b"\r\n\r\n", 0, MAX_HEADER)
-    if not data.startswith(b"WARC/1.") or end < 0:
+def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Headers, block and end of the record that stands in data at a place; raises if a check fails."""
+    end = data.find(b"\r\n\r\n", at) if data.startswith(b"WARC/1.", at) else -1
+    if end < 0:
         raise ValueError("no version line")
-    lines = data[:end].decode("utf-8", "replace").split("\r\n")[1:]
+    lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
     head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     if not re.fullmatch(r"\d+", head.get("content-length", "")):
         raise ValueError("no length")
@@ -165,7 +167,12 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
 
 
 def _plain(source: Source, offset: int) -> tuple[dict[str, str], bytes, int]:
-    data = source.read(offset, MAX_HEADER)
+    n, left = FIRST_READ, source.size - offset
+    data = source.read(offset, n)
+    # A header may be of any length, as long as it still looks like one.
+    while n < left and b"\r\n\r\n" not in data and OPEN_HEADER.match(data):
+        n *= 4
+        data = source.read(offset, min(n, left))
     said = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\r\n", data)
     end = data.find(b"\r\n\r\n")
     if end >= 0 and said and said.start() < end:
@@ -174,23 +181,42 @@ def _plain(source: Source, offset: int) -> tuple[dict[str, str], bytes, int]:
     return head, block, offset + n
 
 
+def _records(content: bytes) -> list[tuple[str, dict[str, str], bytes]]:
+    """(reason, headers, block) of all records and gaps of a member's content; raises where no record is valid."""
+    out, at, why = [], 0, ""
+    while 0 <= at < len(content):
+        try:
+            head, block, at = parse_record(content, at)
+        except ValueError as e:
+            why = why or str(e)
+            at = content.find(b"WARC/1.", at + 1)
+            continue
+        if why:
+            out.append((why, {}, b""))
+            why = ""
+        out.append(("", head, block))
+    if not any(head for _, head, _ in out):
+        raise ValueError(why or "empty member")
+    return out + ([(why, {}, b"")] if why else [])
+
+
 def salvage(source: Source) -> Iterator[tuple[int, int, str, dict[str, str], bytes]]:
     """(offset, length, reason, headers, block) of every record, and of gaps (reason given) between.
 
     Records are gzip members or plain. Where one fails its checks, the next place is searched
     where a member opens or a version line stands and a whole valid record follows; the
-    bytes up to there are a gap.
+    bytes up to there are a gap. All that a member holds has the member's offset, and what comes
+    after its first record or gap has length 0. A member is inflated whole.
     """
     at, bad, why = 0, None, ""
     while at < source.size:
         try:
             if source.read(at, 3) == MEMBER:
                 content, end = _member(source, at)
-                head, block, n = parse_record(content)
-                if n != len(content):
-                    raise ValueError("member holds more than a record")
+                records = _records(content)
             else:
                 head, block, end = _plain(source, at)
+                records = [("", head, block)]
         except (ValueError, zlib.error) as e:
             if bad is None:
                 bad, why = at, str(e)
@@ -201,7 +227,8 @@ def salvage(source: Source) -> Iterator[tuple[int, int, str, dict[str, str], byt
         if bad is not None:
             yield bad, at - bad, why, {}, b""
             bad = None
-        yield at, end - at, "", head, block
+        for i, one in enumerate(records):
+            yield at, 0 if i else end - at, *one
         at = end
     if bad is not None:
         yield bad, source.size - bad, why, {}, b""
@@ -252,7 +279,7 @@ def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFra
     """Records and gaps of all .warc and .warc.gz files of a folder, a row each (RECORD_SCHEMA).
 
     status is `record` or `gap`; gaps are the quarantine log: path, offset, length, reason. Files
-    are streamed; a record is the most that is in memory.
+    are streamed; a record or gzip member is the most that is in memory.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder)
     files = files.select("path")
@@ -265,12 +292,15 @@ def archive_round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     One row a page: page_id, payload_bytes, payload_digest, record_type, refers_to, path,
     offset. A null html is an empty payload, a null url has no target line, a page without an
     id has null page_id; rows that repeat a page are records each (all responses if theirs is the
-    smallest id). An empty table gives an empty result.
+    smallest id). An empty table gives an empty result. Raises if other than all written records are read.
     """
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
     manifest = write_warc(pages, folder, least)
     if not manifest.limit(1).count():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    found = read_warc(spark, folder, payload=False).where("status = 'record'")
+    found = materialize(read_warc(spark, folder, payload=False).where("status = 'record'"), "warc-found")
+    written, read = manifest.agg(F.sum("records")).first()[0], found.count()
+    if written != read:
+        raise ValueError(f"{written} records were written and {read} read")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.element_at(F.split("path", "/"), -1).alias("file"), "offset")

@@ -237,3 +237,31 @@ def test_salvage(packed, damage, monkeypatch):
     gaps = [x for x in found if x[2]]
     assert len(gaps) == (damage != "none")
     assert sum(x[1] for x in found) == len(data)  # every byte is in a record or a gap
+
+
+def test_long_headers_are_read(spark):
+    rows = [(1, "http://a/" + "é x" * 40_000, "p" * 200), (2, "u", "short"), (3, "http://b/" + "y" * 70_000, "p" * 200)]
+    got = warc.archive_round_trip(spark.createDataFrame([(i, u, h, "d", 0, "p") for i, u, h in rows], PAGES)).collect()
+    assert sorted(r["page_id"] for r in got) == [1, 2, 3]
+    parts = [warc.record(i, u, h.encode(), hashlib.sha256(h.encode()).hexdigest(), None) for i, u, h in rows]
+    for data in (b"".join(parts), b"WARC/1.1 junk" * 9000 + b"".join(parts)):
+        assert [x[4] for x in warc.salvage(warc.Source(Memory(data))) if not x[2]] == [h.encode() for _, _, h in rows]
+
+
+def test_all_records_of_a_member_are_read():
+    payloads = [f"page {i} ".encode() * 40 for i in range(6)]
+    parts = [warc.record(i, "u", p, hashlib.sha256(p).hexdigest(), None) for i, p in enumerate(payloads)]
+    data = gzip.compress(b"".join(parts), mtime=0) + gzip.compress(parts[0], mtime=0)
+    found = list(warc.salvage(warc.Source(Memory(data))))
+    assert [x[4] for x in found] == payloads + payloads[:1] and sum(x[1] for x in found) == len(data)
+    parts[2] = parts[2].replace(b"page 2", b"page 7", 1)
+    found = list(warc.salvage(warc.Source(Memory(gzip.compress(b"".join(parts), mtime=0)))))
+    assert [x[2] for x in found] == ["", "", "digest is wrong", "", "", ""]
+
+
+def test_a_lost_record_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "u", "a", "d", 0, "p"), (2, "u", "b", "d", 0, "p")], PAGES)
+    whole = warc.read_warc
+    monkeypatch.setattr(warc, "read_warc", lambda *a, **b: whole(*a, **b).where("page_id = 1"))
+    with pytest.raises(ValueError):
+        warc.archive_round_trip(df)
