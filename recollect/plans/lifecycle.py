@@ -28,6 +28,10 @@ def _one_in_three(eps: DataFrame) -> DataFrame:
     return eps.select("subject_id").distinct().where(n % 3 == 0)
 
 
+def _every(eps: DataFrame) -> DataFrame:
+    return eps.select("subject_id").distinct()
+
+
 def upsert_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     res = resolutions(spark, sf_dir)
     later = res.where("status = 'open'").withColumns({
@@ -37,10 +41,10 @@ def upsert_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("resolution_id", "session_id", "status", stamp(F.col("resolved_at")).alias("resolved_at"), stamp(F.col("created_at")).alias("created_at"))
 
 
-def _snapshots(spark: SparkSession, sf_dir: str):
+def _snapshots(spark: SparkSession, sf_dir: str, pick=_one_in_three):
     eps, mem = _both(spark, sf_dir)
     catalog = spark.createDataFrame([], "snapshot_id string, name string, version int, source_subject_id string, episode_count long, memory_count long, created_at timestamp")
-    requests = _one_in_three(eps).withColumn("name", F.concat(F.lit("base-"), F.substring("subject_id", -1, 1)))
+    requests = pick(eps).withColumn("name", F.concat(F.lit("base-"), F.substring("subject_id", -1, 1)))
     return lifecycle.create_snapshot(eps, mem, resolutions(spark, sf_dir), requests, catalog, AS_OF)
 
 
@@ -48,12 +52,27 @@ def create_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _snapshots(spark, sf_dir)[3].drop("created_at")
 
 
+def create_snapshot_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapshots(spark, sf_dir, _every)[3].drop("created_at")
+
+
 def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.latest_snapshot(create_snapshot(spark, sf_dir)).select("name", "version", "source_subject_id")
 
 
+def latest_snapshot_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.latest_snapshot(create_snapshot_of_all(spark, sf_dir)).select("name", "version", "source_subject_id")
+
+
 def restore_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eps, mem, _, catalog = _snapshots(spark, sf_dir)
+    return _restored(*_snapshots(spark, sf_dir))
+
+
+def restore_snapshot_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _restored(*_snapshots(spark, sf_dir, _every))
+
+
+def _restored(eps: DataFrame, mem: DataFrame, _: DataFrame, catalog: DataFrame) -> DataFrame:
     requests = catalog.select("snapshot_id", F.concat(F.lit("live-"), "source_subject_id").alias("target_id"))
     e, m = lifecycle.restore_snapshot(eps, mem, requests, AS_OF)
     ids = e.select(F.col("episode_id").alias("source")).distinct()
@@ -63,8 +82,16 @@ def restore_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clone_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cloned(spark, sf_dir, _one_in_three)
+
+
+def clone_all_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cloned(spark, sf_dir, _every)
+
+
+def _cloned(spark: SparkSession, sf_dir: str, pick) -> DataFrame:
     eps, mem = _both(spark, sf_dir)
-    targets = _one_in_three(eps).withColumn("target_id", F.concat(F.lit("copy-of-"), "subject_id"))
+    targets = pick(eps).withColumn("target_id", F.concat(F.lit("copy-of-"), "subject_id"))
     e, m = lifecycle.clone_subjects(eps, mem, targets, AS_OF)
     origin = F.get_json_object("provenance", "$.cloned_from_subject_id").alias("origin")
     one = e.select("subject_id", origin, F.lit(1).alias("e"), F.lit(0).alias("m"))
@@ -220,7 +247,8 @@ _MD = f"""{oracle_ctes("markdown")}, ln AS (SELECT doc_path, unnest(ls) AS line,
 QUERIES = {
     f.__name__: f
     for f in (
-        upsert_resolutions, create_snapshot, latest_snapshot, restore_snapshot, clone_subjects, export_subjects, verify_export, import_payload, pack_state,
+        upsert_resolutions, create_snapshot, latest_snapshot, restore_snapshot, clone_subjects, create_snapshot_of_all, latest_snapshot_of_all,
+        restore_snapshot_of_all, clone_all_subjects, export_subjects, verify_export, import_payload, pack_state,
         reseed_pack, delete_subject, purge_subjects, purge_jobs, purge_outbox, chunk_documents, chunk_whole_documents, write_pack_jsonl, stream_compile, minute_hits,
         sliding_admission, health_alert_stream, outbox_advance,
     )
@@ -269,3 +297,9 @@ ORACLES = {
 ORACLES["chunk_whole_documents"] = ORACLES["chunk_documents"].replace(
     oracle_ctes("markdown"), f"{oracle_ctes('whole_markdown')}, markdown AS (SELECT * FROM whole_markdown)"
 )
+_ALL = "s3 AS (SELECT DISTINCT subject_id FROM episodes)"
+for _whole, _part in (
+    ("create_snapshot_of_all", "create_snapshot"), ("latest_snapshot_of_all", "latest_snapshot"), ("restore_snapshot_of_all", "restore_snapshot"),
+    ("clone_all_subjects", "clone_subjects"),
+):
+    ORACLES[_whole] = ORACLES[_part].replace(_S, _ALL)

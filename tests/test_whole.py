@@ -63,3 +63,10 @@ def test_large_subjects_make_the_round_trip(spark, hot, most):
     assert {r["problem"] for r in lost.collect()} == {"parts"}
     renamed = docs.withColumn("part", F.when(F.col("part") == 2, 3).otherwise(F.col("part")))
     assert "checksum" in {r["problem"] for r in lifecycle.verify_export(renamed).collect()}
+
+
+def test_all_subjects_are_snapshot_and_cloned(spark, hot):
+    made = registry.QUERIES["create_snapshot_of_all"](spark, hot).collect()
+    assert {r["source_subject_id"]: r["episode_count"] for r in made} == {"user-3": 700, "user-4": 10}
+    copies = registry.QUERIES["clone_all_subjects"](spark, hot).collect()
+    assert {r["origin"]: (r["episodes"], r["memories"]) for r in copies} == {"user-3": (700, 700), "user-4": (10, 10)}
