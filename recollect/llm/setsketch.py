@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -27,12 +28,12 @@ class Params:
     num: int = 85
     den: int = 100
     bands: int = 20
-    rows: int = 4
-    registers: int = 256
+    rows: int = 4  # at most 4, for a band's registers are one number of 64 bits
+    registers: int = 128  # a power of two up to 4096
     base: float = 1.0005
     rate: float = 20.0
     drop: float = 9.0  # log-likelihood that a pair may lie below its best to be verified
-    block: int = 1024  # representatives compared in one task
+    block: int = 512  # rows of either side of a tile
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -45,16 +46,34 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, kept while the table is small."""
+_BYTES = _odd(256, 23)  # a number for every byte
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))  # the inverse modulo 2**64
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
 
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = value = xxh64_intdigest(word)
-        return value
+@lru_cache(maxsize=8)
+def _powers(base: int, bits: int) -> np.ndarray:
+    out = np.full(1 << bits, base, np.uint64)
+    out[0] = 1
+    return out.cumprod(dtype=np.uint64)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of every word of lower-cased UTF-8 bytes.
+
+    A word's hash is its polynomial in _STEP modulo 2**64: differences of running sums, shifted
+    to the word's start by _STEP's inverse, and mixed.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[raw], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    bits = max(18, len(raw).bit_length())
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * _powers(int(_STEP), bits)[: len(raw)], dtype=np.uint64, out=sums[1:])
+    h = (sums[end] - sums[start]) * _powers(int(_BACK), bits)[start]
+    return start, mix64(h + (end - start).astype(np.uint64))
 
 
 def shingle_words(text: str | None, k: int) -> set[tuple[bytes, ...]]:
@@ -65,50 +84,67 @@ def shingle_words(text: str | None, k: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)}
 
 
-def shingle_hashes(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the same set."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    m, odd = min(n, k), _odd(k + 1, 11)
-    total = np.full(n - m + 1, odd[k] * np.uint64(m), np.uint64)
-    for i in range(m):
-        total += h[i : n - m + 1 + i] * odd[i]
-    return np.unique(mix64(total))
+def shingle_hashes(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's set."""
+    coded = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
+    first = np.cumsum([0] + [len(c) + 1 for c in coded])
+    start, h = word_hashes(b"\n".join(coded))
+    cut = np.searchsorted(start, first)
+    odd = _odd(k + 1, 11)
+    runs = np.full(max(0, len(h) - k + 1), odd[k] * np.uint64(k), np.uint64)
+    for i in range(k):
+        runs += h[i : len(runs) + i] * odd[i]
+    runs = mix64(runs)
+    out = []
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if hi - lo >= k:
+            x = np.sort(runs[lo : hi - k + 1])
+            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
+        elif hi > lo:
+            out.append(mix64(odd[k] * np.uint64(hi - lo) + (h[lo:hi] * odd[: hi - lo]).sum(dtype=np.uint64, keepdims=True)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
-def registers(sets: list[np.ndarray], p: Params, spare: float = 10.0) -> np.ndarray:
+def registers(sets: list[np.ndarray], p: Params) -> np.ndarray:
     """SetSketch of several non-empty sets at once: (sets, registers) of 16 bits.
 
     Each element's hash drives a Poisson process that hits random registers; a register's value is its
     first hit by any element, so it is exponential with the set's size, and register i of two sets
-    agrees if the same element came first. Hits later than a time by which every register of
-    a set of that size is hit (but with probability exp(-spare) times registers) are not made.
+    agrees if the same element came first. A set's processes run on in rounds of equal time until
+    every register of it is hit; elements wait with their next hit.
     The register is floor(1 - log_base(value)), cut to 16 bits.
     """
     m = p.registers
     sizes = np.array([len(s) for s in sets])
-    limit = (np.log(m) + spare) / (sizes * p.rate)
     h = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    t, most = np.zeros(len(h)), limit[owner]
-    first = np.full(len(sets) * m, np.inf)
-    step = np.uint64(0x9E3779B97F4A7C15)
-    while len(h):
-        h = h + step
+    first = np.full((len(sets), m), np.inf)
+    flat = first.ravel()
+
+    def next_hits(h: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h = h + _STEP
         x = mix64(h)
-        t = t - np.log(((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52) / (p.rate * m)
-        live = t <= most
-        h, t, most, owner, x = h[live], t[live], most[live], owner[live], x[live]
-        np.minimum.at(first, owner * m + (mix64(x) % np.uint64(m)).astype(np.int64), t)
-    first = first.reshape(len(sets), m)
-    late = np.flatnonzero(np.isinf(first).any(axis=1))
-    out = np.clip(np.floor(1 - np.log(np.minimum(first, 1e9)) / np.log(p.base)), 0, 65535).astype("<u2")
-    for i in late:
-        out[i] = registers([sets[i]], p, 3 * spare)[0]
-    return out
+        return h, x, t - np.log(((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52) / (p.rate * m)
+
+    h, x, t = next_hits(h, np.zeros(len(h)))
+    until = (np.log(m) + 1.0) / (sizes * p.rate)
+    while len(h):
+        due = np.flatnonzero(t <= until[owner])
+        now = h[due], x[due], t[due], owner[due], due
+        while len(now[0]):
+            hh, xx, tt, oo, at = now
+            np.minimum.at(flat, oo * m + ((xx & np.uint64(4095)).astype(np.int64) * m >> 12), tt)
+            hh, xx, tt = next_hits(hh, tt)
+            h[at], x[at], t[at] = hh, xx, tt
+            live = tt <= until[oo]
+            now = hh[live], xx[live], tt[live], oo[live], at[live]
+        open_ = np.isinf(first).any(axis=1)
+        stay = open_[owner]
+        h, x, t, owner = h[stay], x[stay], t[stay], owner[stay]
+        until += 2.0 / (sizes * p.rate)
+    return np.clip(np.floor(1 - np.log(np.minimum(first, 1e9)) / np.log(p.base)), 0, 65535).astype("<u2")
 
 
 def _fill(rows: list[tuple[list, np.ndarray]], p: Params) -> None:
@@ -118,18 +154,30 @@ def _fill(rows: list[tuple[list, np.ndarray]], p: Params) -> None:
             row[2] = regs.tobytes()
 
 
+def chunks(texts: list[str | None], most: int = 1 << 18) -> Iterator[list[str | None]]:
+    """Runs of texts of about `most` characters, one text at least."""
+    run, held = [], 0
+    for t in texts:
+        if run and held + len(t or "") > most:
+            yield run
+            run, held = [], 0
+        run.append(t)
+        held += len(t or "")
+    if run:
+        yield run
+
+
 def _sketcher(p: Params):
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
             rows, full, held = [], [], 0
-            for text in batch["text"]:
-                x = shingle_hashes(text, p.words, hashes)
-                rows.append([len(x), blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None, None])
-                if len(x):
-                    full.append((rows[-1], x))
-                    held += len(x)
-                if held > 200_000:  # bounds the hashes in memory
+            for texts in chunks(batch["text"].tolist()):
+                for x in shingle_hashes(texts, p.words):
+                    rows.append([len(x), blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None, None])
+                    if len(x):
+                        full.append((rows[-1], x))
+                        held += len(x)
+                if held > 400_000:  # bounds the hashes in memory
                     _fill(full, p)
                     full, held = [], 0
             _fill(full, p)
@@ -140,29 +188,30 @@ def _sketcher(p: Params):
 
 
 def joint_estimate(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray, p: Params) -> np.ndarray:
-    """Log-likelihood of similarity num/den less that of the best similarity, for pairs of sketches.
+    """Log-likelihood of similarity num/den less that of the likeliest one, for pairs of sketches.
 
     With the sizes known, a register of A is above, below or level with B's with probabilities
     q(u - v j), q(v - u j) and the rest, where q(x) = -log_base(1 - x (base - 1) / base), j is
-    the similarity and u, v are the sets' shares of the sizes' sum. The best is over a grid.
+    the similarity and u, v are the sets' shares of the sizes' sum. For bases near 1, q(x) is x
+    and the likeliest j solves m u v j^2 - (level (u^2 + v^2) + up v^2 + down u^2) j + level u v = 0.
     """
     up, down = (ka > kb).sum(axis=1), (ka < kb).sum(axis=1)
-    level = ka.shape[1] - up - down
+    m = ka.shape[1]
+    level = m - up - down
     u = na / (na + nb)
     v = 1 - u
-    grid = np.append(np.linspace(0.0, 1.0, 101), p.num / p.den)
 
     def q(x: np.ndarray) -> np.ndarray:
         return np.clip(-np.log1p(-x * (p.base - 1) / p.base) / np.log(p.base), 1e-9, 1)
 
-    most = np.minimum(u / v, v / u)
-    best = np.full(len(u), -np.inf)
-    for j in grid:
-        jj = np.minimum(j, most)
+    def like(j: np.ndarray | float) -> np.ndarray:
+        jj = np.minimum(j, np.minimum(u / v, v / u))
         a, b = q(u - v * jj), q(v - u * jj)
-        like = up * np.log(a) + down * np.log(b) + level * np.log(np.maximum(1 - a - b, 1e-9))
-        best = np.maximum(best, like)
-    return like - best  # the grid's last point is the threshold
+        return up * np.log(a) + down * np.log(b) + level * np.log(np.maximum(1 - a - b, 1e-9))
+
+    half = level * (u**2 + v**2) + up * v**2 + down * u**2
+    best = (half - np.sqrt(np.maximum(half**2 - 4 * m * level * (u * v) ** 2, 0))) / (2 * m * u * v)
+    return like(p.num / p.den) - like(best)
 
 
 def _regs(column: pd.Series) -> np.ndarray:
@@ -181,43 +230,68 @@ def _scorer(p: Params):
     return score
 
 
+def _far(ka: np.ndarray, kb: np.ndarray, p: Params) -> np.ndarray:
+    """Pairs that agree in fewer registers than a link would, by five standard errors."""
+    m, j = ka.shape[1], p.num / p.den
+    return (ka == kb).sum(axis=1) < m * j - 5 * np.sqrt(m * j * (1 - j))
+
+
 def _tile_pairs(g: pd.DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of a tile's pairs from different components that may be links, each pair in
-    the first band where it meets only."""
-    rep, comp, n = g["rep"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy(float)
-    block, regs, band = g["block"].to_numpy(), _regs(g["regs"]), int(g["band"].iloc[0])
-    across = g["bi"].iloc[0] != g["bj"].iloc[0]
-    least = p.num / p.den - 5 * np.sqrt(0.25 / p.registers)  # shares of equal registers below it are 5 standard errors off
-    bands = regs[:, : p.bands * p.rows].reshape(len(g), p.bands, p.rows)[:, :band]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in range(len(rep) - 1):
-        ok = (comp[i + 1 :] != comp[i]) & (p.den * np.minimum(n[i + 1 :], n[i]) >= p.num * np.maximum(n[i + 1 :], n[i]))
-        if across:
-            ok &= block[i + 1 :] != block[i]
-        at = i + 1 + np.flatnonzero(ok)
-        at = at[(regs[at] == regs[i]).mean(axis=1) >= least]
-        if len(at) and band:
-            at = at[~(bands[at] == bands[i]).all(axis=2).any(axis=1)]
-        if len(at):
-            found.append((np.full(len(at), i), at))
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int)
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    keep = np.concatenate([
-        joint_estimate(regs[a[s : s + 4096]], regs[b[s : s + 4096]], n[a[s : s + 4096]], n[b[s : s + 4096]], p) >= -p.drop
-        for s in range(0, len(a), 4096)
-    ])
-    return a[keep], b[keep]
-
-
-TILE = ["key", "band", "bi", "bj", "block", "rep", "comp", "n", "regs"]
+    """Places (i, j) of pairs of a tile, from different components, that may be links, each pair in
+    the first band where it meets only. g holds whole tiles, in order of TILE's first columns.
+
+    i is in the tile's block of members outside the bucket's main component, j in its block of
+    all; of two such members the lesser one is i, so that each pair has one tile.
+    """
+    rep, comp, n, minor = g["rep"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy(float), g["minor"].to_numpy()
+    regs, band = _regs(g["regs"]), g["band"].to_numpy()
+    shift = np.arange(p.rows, dtype=np.uint64) * np.uint64(16)
+    keys = (regs[:, : p.bands * p.rows].reshape(len(g), p.bands, p.rows).astype(np.uint64) << shift).sum(axis=2, dtype=np.uint64)
+    tile = g[["key", "tx", "ty"]].to_numpy()
+    starts = np.concatenate([[0], np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1, [len(g)]])
+    sizes = np.diff(starts)
+    first, size = np.repeat(starts[:-1], sizes), np.repeat(sizes, sizes)
+    left = np.flatnonzero(minor & (g["bx"] == g["tx"]).to_numpy())
+    right = (g["by"] == g["ty"]).to_numpy()
+    found = [(np.zeros(0, int), np.zeros(0, int))]
+    upto = np.cumsum(size[left])
+    for lo, hi in _cuts(upto, 1 << 18):
+        rows = left[lo:hi]
+        a = np.repeat(rows, size[rows])
+        b = np.arange(len(a)) + np.repeat(first[rows] - (upto[lo:hi] - size[rows] - (upto[lo - 1] if lo else 0)), size[rows])
+        ok = right[b] & (comp[a] != comp[b]) & ((rep[a] < rep[b]) | ~minor[b])
+        ok &= p.den * np.minimum(n[a], n[b]) >= p.num * np.maximum(n[a], n[b])
+        a, b = a[ok], b[ok]
+        met = (keys[a] == keys[b]) & (np.arange(p.bands) < band[a][:, None])
+        ok = ~met.any(axis=1)
+        a, b = a[ok], b[ok]
+        for part in (slice(-32, None), slice(-128, None)):  # a few registers tell most pairs
+            ok = ~_far(regs[a, part], regs[b, part], p)
+            a, b = a[ok], b[ok]
+        for s in range(0, len(a), 8192):
+            x, y = a[s : s + 8192], b[s : s + 8192]
+            fit = joint_estimate(regs[x], regs[y], n[x], n[y], p) >= -p.drop
+            found.append((x[fit], y[fit]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _cuts(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs [lo, hi) of rows whose counts, of running sum `upto`, add up to about `most`."""
+    lo = 0
+    while lo < len(upto):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+TILE = ["key", "tx", "ty", "rep", "band", "bx", "by", "minor", "comp", "n", "regs"]
 
 
 def _flagger(p: Params):
-    """The members of a tile that may have a link there: at most its rows, never its pairs."""
+    """The members of some tiles that may have a link there: at most their rows, never their pairs."""
 
     def flag(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates(["rep"]).sort_values("rep", ignore_index=True)
+        g = g.sort_values(TILE[:4], ignore_index=True)
         a, b = _tile_pairs(g, p)
         return g.loc[np.union1d(a, b), TILE]
 
@@ -225,14 +299,15 @@ def _flagger(p: Params):
 
 
 def _linker(p: Params):
-    """The links of a tile's flagged members by their full sets, as a forest: pairs that are
-    connected in the tile already are not compared again."""
+    """The links of some tiles' flagged members by their full sets, as a forest: pairs that are
+    connected already are not compared again."""
 
     def link(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates(["rep"]).sort_values("rep", ignore_index=True)
-        hashes = WordHashes()
-        sets = [frozenset(shingle_hashes(t, p.words, hashes).tolist()) for t in g["text"]]
-        up, out = list(range(len(g))), []
+        g = g.sort_values(TILE[:4], ignore_index=True)
+        rep, at = np.unique(g["rep"], return_inverse=True)
+        words = g["text"].to_numpy()[np.unique(at, return_index=True)[1]]
+        sets = [x for texts in chunks(words.tolist()) for x in shingle_hashes(texts, p.words)]
+        up, out = list(range(len(rep))), []
 
         def root(i: int) -> int:
             while up[i] != i:
@@ -240,12 +315,18 @@ def _linker(p: Params):
                 i = up[i]
             return i
 
-        for i, j in zip(*(x.tolist() for x in _tile_pairs(g, p)), strict=True):
+        for i, j in zip(*(at[x].tolist() for x in _tile_pairs(g, p)), strict=True):
             x, y = root(i), root(j)
-            both = len(sets[i] & sets[j]) if x != y else 0
-            if both and p.den * both >= p.num * (len(sets[i]) + len(sets[j]) - both):
+            if x == y:
+                continue
+            every = len(sets[i]) + len(sets[j])
+            both = every - len(np.union1d(sets[i], sets[j]))
+            if p.den * both < p.num * (every - both):
+                continue
+            a, b = (shingle_words(words[k], p.words) for k in (i, j))  # hashes agree; do the words?
+            if p.den * len(a & b) >= p.num * len(a | b):
                 up[max(x, y)] = min(x, y)
-                out.append((g["rep"][i], g["rep"][j]))
+                out.append((rep[i], rep[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return link
@@ -311,9 +392,9 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
        the one that meets most others, never all with all; estimates that can't be links go.
     3. The best pair of each class is verified on the full sets, then the other pairs that
        join different components.
-    4. Buckets that still hold several components are compared in tiles of bounded size: by
-       registers first, which flags members, then the flagged ones by their full sets. Only a forest
-       of the links found leaves a tile, never its pairs.
+    4. In buckets that still hold several components, members outside the main one are compared
+       with all in tiles of bounded size: by registers first, which flags members, then the
+       flagged ones by their full sets. Only a forest of the links found leaves a tile, never its pairs.
 
     Null ids are linked with nothing (component null, kept); null, empty and wordless texts have
     no shingles and are linked with nothing; rows that repeat an id count as one document;
@@ -357,22 +438,31 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     links, components = _extended(links, components, materialize(rest, "sketch-rest"), docs, p)
 
     placed = materialize(_with_component(members, "rep", components, "comp"), "sketch-placed")
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    parts = F.ceil(F.col("c") / p.block).cast("int")
-    tiles = placed.join(open_, "key").join(side, "rep").withColumn("parts", parts)
-    tiles = tiles.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = tiles.select(
-        "key", "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
-        "block", "rep", "comp", "n", "regs",
-    )
+    shares = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    main = shares.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("c"), F.max("m").alias("m"))
+    px, py = F.ceil((F.col("c") - F.col("m")) / p.block).cast("int"), F.ceil(F.col("c") / p.block).cast("int")
+    main = materialize(main.where("m < c").select("key", "main", px.alias("px"), py.alias("py"), "c", "m"), "sketch-main")
+    rows = main.agg(F.sum((F.col("c") - F.col("m")) * F.col("py") + F.col("m") * F.col("px"))).first()[0] or 0
+    tiles = placed.select("key", "band", "rep", "comp").join(main, "key").join(side, "rep")
+    tiles = tiles.withColumns({
+        "minor": F.col("comp") != F.col("main"),
+        "bx": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("px")).cast("int"),
+        "by": F.pmod(F.xxhash64("rep", F.lit(2)), F.col("py")).cast("int"),
+    })
+    spot = lambda x, y: F.struct(x.alias("tx"), y.alias("ty"))
+    among_all = F.transform(F.sequence(F.lit(0), F.col("px") - 1), lambda x: spot(x, F.col("by")))
+    as_minor = F.transform(F.sequence(F.lit(0), F.col("py") - 1), lambda y: spot(F.col("bx"), y))
+    spots = F.when(F.col("minor"), F.array_union(among_all, as_minor)).otherwise(among_all)
+    tiles = tiles.withColumn("_t", F.explode(spots)).select("*", "_t.tx", "_t.ty").select(*TILE)
     schema = ", ".join(f"{x} {tiles.schema[x].dataType.simpleString()}" for x in TILE)
-    flagged = materialize(tiles.groupBy("key", "bi", "bj").applyInPandas(_flagger(p), schema), "sketch-flagged")
+    # Most tiles hold a few rows: they are dealt to tasks many at a time.
+    deal = F.pmod(F.xxhash64("key", "tx", "ty"), F.lit(max(16, rows // 8192)))
+    flagged = materialize(tiles.groupBy(deal).applyInPandas(_flagger(p), schema), "sketch-flagged")
     if flagged.limit(1).count():
         needed = materialize(flagged.select(F.col("rep").alias("doc_id")).distinct(), "sketch-needed")
         texts = docs.join(small_side(needed), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
         texted = flagged.join(texts, "rep")
-        more = materialize(texted.groupBy("key", "bi", "bj").applyInPandas(_linker(p), "a long, b long"), "sketch-across")
+        more = materialize(texted.groupBy(deal).applyInPandas(_linker(p), "a long, b long"), "sketch-across")
         if more.limit(1).count():
             components = materialize(connected_components(links.union(more)), "sketch-components")
 
