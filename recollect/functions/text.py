@@ -108,13 +108,18 @@ FACT_PATTERNS = (
 def profile_facts(text: Column) -> Column:
     """All facts of a text, pattern after pattern, without white space and marks at their ends."""
     found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in FACT_PATTERNS]))
-    trimmed = F.transform(found, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    trimmed = F.transform(found, strip)
     return F.transform(trimmed, lambda x: F.regexp_replace(F.regexp_replace(x, r"\.+$", ""), ",+$", ""))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def clean_summary(text: Column) -> Column:
     """A summary's lines without role marks: up to two joined by an arrow, of more the first and last."""
-    lines = F.transform(F.split(F.trim(text), "\n"), lambda x: F.regexp_replace(F.trim(x), r"^(user|assistant|system):\s*", ""))
+    lines = F.transform(F.split(strip(text), "\n"), lambda x: F.regexp_replace(strip(x), r"^(user|assistant|system):\s*", ""))
     parts = F.filter(lines, lambda x: x != "")
     ends = F.concat(F.element_at(parts, 1), F.lit(" → "), F.element_at(parts, -1))
     return F.when(F.size(parts) <= 2, F.array_join(parts, " → ")).otherwise(ends)
@@ -135,8 +140,8 @@ def approx_tokens(text: Column) -> Column:
 
 
 def slugify(text: Column) -> Column:
-    kept = F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9\s-]", "")
-    return F.regexp_replace(F.trim(kept), r"\s+", "-")
+    kept = F.regexp_replace(F.lower(strip(text)), r"[^a-z0-9\s-]", "")
+    return F.regexp_replace(strip(kept), r"\s+", "-")
 
 
 def whole_days(later: Column, earlier: Column) -> Column:

@@ -31,6 +31,23 @@ def join_on(left: DataFrame, right: DataFrame, names: tuple[str, ...], how: str
     return left.join(other, on, how).drop(*[f"_{n}" for n in names])
 
 
+#: Scope of a request that names no tenant: rows of all tenants count.
+ANY_TENANT = "\0"
+SCOPE = ("scope", "subject_id")
+
+
+def scoped(rows: DataFrame) -> DataFrame:
+    """Rows once for requests without a tenant and, if they have a tenant, once for its requests."""
+    scopes = F.when(F.col("tenant_id").isNull(), F.array(F.lit(ANY_TENANT))).otherwise(F.array(F.lit(ANY_TENANT), F.col("tenant_id")))
+    return rows.withColumn("scope", F.explode(scopes))
+
+
+def in_scope(requests: DataFrame) -> DataFrame:
+    """Requests with the scope that they ask for; without a tenant_id column they name no tenant."""
+    tenant = F.col("tenant_id") if "tenant_id" in requests.columns else F.lit(None).cast("string")
+    return requests.withColumn("scope", F.coalesce(tenant, F.lit(ANY_TENANT)))
+
+
 def per_subject_cap(df: DataFrame, cap: int | None, *order: Column, keys: tuple[str, ...] = SUBJECT) -> DataFrame:
     """The first `cap` rows of each subject; all of them where there is no cap."""
     if cap is None:

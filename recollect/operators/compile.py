@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.functions.text import payload_text, profile_facts, stable_id
-from recollect.operators.common import per_subject_cap
+from recollect.functions.text import payload_text, profile_facts, stable_id, strip
+from recollect.operators.common import SUBJECT, per_subject_cap
 
 Compiler = Callable[[DataFrame], DataFrame]
 KINDS = ("profile_fact", "episode_summary", "procedure", "artifact_ref")
@@ -51,24 +52,32 @@ def compile_new(episodes: DataFrame, as_of: str, cap: int | None = 500, compiler
     return compiler(todo), todo.withColumn("last_compiled_at", F.lit(as_of).cast("timestamp"))
 
 
-def pack_prompt_batches(episodes: DataFrame, most: int = 6000, text_cap: int = 4000) -> DataFrame:
-    """Number each subject's texts by prompt batch: in order, a new batch where `most` characters would be passed."""
-    text = F.substring(payload_text(F.col("payload")), 1, text_cap)
-    rows = episodes.withColumn("text", text).where(F.col("text") != "")
-    item = F.struct("created_at", "episode_id", F.length("text").alias("n"))
-    lists = rows.groupBy("tenant_id", "subject_id").agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("used"), F.array().cast("array<struct<episode_id:string,batch:int>>").alias("out"))
+def _batcher(most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        subject, batch, used = None, 0, 0
+        for rows in batches:
+            out = []
+            for tenant, name, n in zip(rows["tenant_id"], rows["subject_id"], rows["n"], strict=True):
+                if (tenant, name) != subject:
+                    subject, batch, used = (tenant, name), 0, 0
+                if used and used + n > most:
+                    batch, used = batch + 1, 0
+                used += n
+                out.append(batch)
+            yield rows[["tenant_id", "subject_id", "episode_id"]].assign(batch=out)
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["used"] == 0) | (acc["used"] + x["n"] <= most)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        return F.struct(
-            batch.alias("batch"), F.when(fits, acc["used"] + x["n"]).otherwise(x["n"]).alias("used"),
-            F.concat(acc["out"], F.array(F.struct(x["episode_id"].alias("episode_id"), batch.alias("batch")))).alias("out"),
-        )
+    return number
 
-    folded = F.aggregate("_items", start, step, lambda acc: acc["out"])
-    return lists.select("tenant_id", "subject_id", F.inline(folded))
+
+def pack_prompt_batches(episodes: DataFrame, most: int = 6000, text_cap: int = 4000) -> DataFrame:
+    """Number each subject's texts by prompt batch: in order, a new batch where `most` characters would be passed.
+
+    Only lengths travel; each subject's are sorted in their partition and read once, with one sum held.
+    """
+    text = F.substring(payload_text(F.col("payload")), 1, text_cap)
+    rows = episodes.select(*SUBJECT, "episode_id", "created_at", F.length(text).alias("n")).where("n > 0")
+    rows = rows.repartition(*SUBJECT).sortWithinPartitions(*SUBJECT, "created_at", "episode_id")
+    return rows.mapInPandas(_batcher(most), "tenant_id string, subject_id string, episode_id string, batch int")
 
 
 def normalize_extractions(rows: DataFrame) -> DataFrame:
@@ -78,7 +87,7 @@ def normalize_extractions(rows: DataFrame) -> DataFrame:
     is cut to 0..1 (0.7 if missing), an index out of range is 0.
     """
     many = F.array_join(F.from_json("content", "array<string>"), "\n")
-    content = F.trim(F.when(F.col("content").startswith("["), F.coalesce(many, "content")).otherwise(F.col("content")))
+    content = strip(F.when(F.col("content").startswith("["), F.coalesce(many, "content")).otherwise(F.col("content")))
     index = F.when((F.col("episode_index") >= 0) & (F.col("episode_index") < F.col("n_episodes")), F.col("episode_index"))
     return rows.withColumns({
         "kind": F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise("episode_summary"),

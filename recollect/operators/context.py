@@ -20,6 +20,8 @@ from recollect.functions.text import (
     word_tokens,
     words,
 )
+from recollect.operators.common import SCOPE, in_scope, scoped
+from recollect.sources.scratch import materialize
 
 # Scores.
 KIND_PRIORITY = {"profile_fact": 10.0, "procedure": 8.0, "episode_summary": 5.0}
@@ -68,23 +70,10 @@ def breadcrumb_bonus(breadcrumbs: Column, task_tokens: Column, stopwords: list[s
     return F.coalesce(F.array_max(F.transform(breadcrumbs, one)), F.lit(0.0))
 
 
-#: Scope of a request that names no tenant: rows of all tenants count.
-ANY_TENANT = "\0"
-
-
-def scoped(rows: DataFrame) -> DataFrame:
-    """Rows once for requests without a tenant and, if they have a tenant, once for its requests."""
-    scopes = F.when(F.col("tenant_id").isNull(), F.array(F.lit(ANY_TENANT))).otherwise(F.array(F.lit(ANY_TENANT), F.col("tenant_id")))
-    return rows.withColumn("scope", F.explode(scopes))
-
-
 def requests_with(requests: DataFrame, rows: DataFrame) -> DataFrame:
     """Every request with the scoped rows of its subject."""
-    own = requests.select(
-        "request_id", F.coalesce("tenant_id", F.lit(ANY_TENANT)).alias("scope"), "subject_id", "task", "task_tokens",
-        F.col("session_id").alias("current"),
-    )
-    return own.join(rows, ["subject_id", "scope"]).drop("scope")
+    own = in_scope(requests).select("request_id", *SCOPE, "task", "task_tokens", F.col("session_id").alias("current"))
+    return own.join(rows, list(SCOPE))
 
 
 def with_tokens(requests: DataFrame) -> DataFrame:
@@ -107,9 +96,9 @@ def memory_pool(requests: DataFrame, memories: DataFrame, semantic: DataFrame |
     # greatest() passes over nulls: without a distance there is no score.
     score = F.when(F.col("distance").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("distance")) * SEMANTIC)
     rows = rows.join(found, ["request_id", "memory_id"], "left").withColumn("semantic", score)
-    asked = requests.select("request_id", "task", "task_tokens", F.col("session_id").alias("current"))
     extra = found.join(rows.select("request_id", "memory_id"), ["request_id", "memory_id"], "left_anti")
-    extra = extra.join(active, "memory_id").join(asked, "request_id")
+    # What was found counts only if the request may see it.
+    extra = requests_with(requests, scoped(active)).join(extra, ["request_id", "memory_id"])
     extra = extra.withColumns({"semantic": score, "pool_rank": 1_000 + F.col("rank")})
     names = [c for c in rows.columns if c not in ("distance", "rank")]
     return rows.select(names).union(extra.select(names))
@@ -150,20 +139,20 @@ def episode_pool(requests: DataFrame, episodes: DataFrame, order: str = "oldest"
 
 def repeat_issues(pool: DataFrame, requests: DataFrame, resolutions: DataFrame) -> DataFrame:
     """(request_id, session_id, repeat): the bonus of resolved sessions whose words the current issue shares."""
-    resolved = resolutions.where("status = 'resolved'")
-    states = resolved.select("subject_id", "session_id").distinct()
+    resolved = scoped(resolutions.where("status = 'resolved'"))
+    states = resolved.select(*SCOPE, "session_id").distinct()
     texts = pool.where("text <> ''")
     now = texts.where("current IS NOT NULL AND session_id = current").groupBy("request_id").agg(F.collect_list("text").alias("_t"))
     issue = requests.join(now, "request_id", "left")
     said = F.concat_ws(" ", F.coalesce("_t", F.array().cast("array<string>")), F.col("task"))
     issue = issue.select("request_id", F.explode(issue_keywords(said)).alias("word"))
     size = issue.groupBy("request_id").agg(F.count("*").alias("n"))
-    prior = texts.where("session_id IS NOT NULL AND NOT session_id <=> current").join(states, ["subject_id", "session_id"])
-    sessions = prior.select("request_id", "subject_id", "session_id").distinct()
-    recent = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("updated_at"), "resolution_id"))
+    prior = texts.where("session_id IS NOT NULL AND NOT session_id <=> current").join(states, [*SCOPE, "session_id"])
+    sessions = prior.select("request_id", *SCOPE, "session_id").distinct()
+    recent = F.row_number().over(Window.partitionBy(*SCOPE).orderBy(F.desc("updated_at"), "resolution_id"))
     notes = resolved.withColumn("_r", recent).where(F.col("_r") <= 20).where("coalesce(resolution_summary, '') <> ''")
-    notes = notes.groupBy("subject_id", "session_id").agg(F.min("resolution_summary").alias("note"))
-    noted = sessions.join(notes, ["subject_id", "session_id"], "left")
+    notes = notes.groupBy(*SCOPE, "session_id").agg(F.min("resolution_summary").alias("note"))
+    noted = sessions.join(notes, [*SCOPE, "session_id"], "left")
     heard = prior.select("request_id", "session_id", F.explode(issue_keywords(F.col("text"))).alias("word")).union(
         noted.where("note IS NOT NULL").select("request_id", "session_id", F.explode(issue_keywords(F.col("note"))).alias("word"))
     )
@@ -175,13 +164,13 @@ def repeat_issues(pool: DataFrame, requests: DataFrame, resolutions: DataFrame)
 
 def episode_scores(pool: DataFrame, requests: DataFrame, resolutions: DataFrame, covered: DataFrame | None = None) -> DataFrame:
     """The pool with `score` and `line`; episodes that pooled summaries cite (request_id, episode_id) go."""
-    states = resolutions.groupBy("subject_id", "session_id").agg(
+    states = scoped(resolutions).groupBy(*SCOPE, "session_id").agg(
         F.max(F.col("status") == "resolved").alias("_resolved"), F.max(F.col("status") == "open").alias("_open")
     )
     rows = pool.withColumn("_recency", recency(F.col("created_at")))
     if covered is not None:
         rows = rows.join(covered, ["request_id", "episode_id"], "left_anti")
-    rows = rows.join(states, ["subject_id", "session_id"], "left").join(repeat_issues(pool, requests, resolutions), ["request_id", "session_id"], "left")
+    rows = rows.join(states, [*SCOPE, "session_id"], "left").join(repeat_issues(pool, requests, resolutions), ["request_id", "session_id"], "left")
     text = F.col("text")
     gain = lambda c, v: F.when(F.coalesce(c, F.lit(False)), v).otherwise(0.0)
     trimmed = F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
@@ -220,11 +209,13 @@ def assemble_context(
     One row a request: the ids kept by section, their sessions, the rendered text and its number of tokens.
     """
     asked = with_tokens(requests)
-    pool = memory_pool(asked, memories, semantic)
+    # Both pools are read several times; they are bounded by requests, not by subjects.
+    pool = materialize(memory_pool(asked, memories, semantic), "context-memories")
     summaries = pool.where("kind = 'episode_summary'")
     covered = summaries.select("request_id", F.explode("source_episode_ids").alias("episode_id")).distinct()
     by_memory = memory_scores(pool, as_of, memory_breadcrumbs(pool, episodes))
-    by_episode = episode_scores(episode_pool(asked, episodes, episode_order), asked, resolutions, covered)
+    heard = materialize(episode_pool(asked, episodes, episode_order), "context-episodes")
+    by_episode = episode_scores(heard, asked, resolutions, covered)
     order = {"facts": 0, "procedures": 1, "history": 2, "episodes": 3}
     place = F.coalesce(*[F.when(F.col("section") == k, v) for k, v in order.items()])
     none = F.lit(None).cast("string")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions.text import slugify
+from recollect.operators.common import SUBJECT, join_on
 
 HEADING = r"^(#{1,3})\s+(.+?)\s*$"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -64,8 +66,9 @@ def pack_rows(episodes: DataFrame, memories: DataFrame) -> tuple[DataFrame, Data
     """Pack lines: an episode's id is its content hash (else its own id); memories cite those, dangling ids go."""
     key = F.coalesce(F.get_json_object("provenance", "$.content_hash"), F.col("episode_id"))
     e = episodes.select(key.alias("id"), "source", "type", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"), "payload", "provenance")
-    ids = episodes.select("subject_id", "episode_id", key.alias("_key"))
-    parts = memories.select("subject_id", "memory_id", F.posexplode("source_episode_ids").alias("pos", "episode_id")).join(ids, ["subject_id", "episode_id"])
+    ids = episodes.select(*SUBJECT, "episode_id", key.alias("_key"))
+    parts = memories.select(*SUBJECT, "memory_id", F.posexplode("source_episode_ids").alias("pos", "episode_id"))
+    parts = join_on(parts, ids, (*SUBJECT, "episode_id"), "inner")
     lists = parts.groupBy("memory_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "_key"))), lambda x: x["_key"]).alias("_ids"))
     m = memories.join(lists, "memory_id", "left").select(
         "kind", "content", "summary", "confidence", F.date_format("valid_from", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("valid_from"),
@@ -82,7 +85,9 @@ def write_pack_jsonl(episodes: DataFrame, memories: DataFrame, folder: str) -> N
 
 def read_pack_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON-lines file or folder; blank lines are skipped, a missing file is empty."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path)

@@ -8,33 +8,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recollect.operators.common import SUBJECT, join_on, page, per_subject_cap, visible_subjects
+from recollect.operators.common import SUBJECT, join_on, page, per_subject_cap, tenant_scope, visible_subjects
+from recollect.operators.health import health_signals, subject_health
+from recollect.operators.sla import SESSION
 
 
 def subject_overview(episodes: DataFrame, memories: DataFrame) -> DataFrame:
-    """Every subject with its numbers of episodes and memories, each side counted before they meet."""
-    e = episodes.groupBy("subject_id").agg(F.count("*").alias("episode_count"))
-    m = memories.groupBy("subject_id").agg(F.count("*").alias("memory_count"))
-    out = visible_subjects(e.join(m, "subject_id", "full_outer"))
-    return out.fillna(0, ["episode_count", "memory_count"])
+    """Every (tenant, subject) with its numbers of episodes and memories, counted in one pass over both."""
+    e = episodes.select(*SUBJECT, F.lit(1).alias("e"), F.lit(0).alias("m"))
+    rows = visible_subjects(e.unionAll(memories.select(*SUBJECT, F.lit(0), F.lit(1))))
+    return rows.groupBy(*SUBJECT).agg(F.sum("e").alias("episode_count"), F.sum("m").alias("memory_count"))
 
 
-def subject_explorer(episodes: DataFrame, memories: DataFrame, resolutions: DataFrame, health_cache: DataFrame) -> DataFrame:
-    """(subject, tenant) with counts, last activity, sessions, open sessions and last health.
-
-    Memories, sessions and open sessions go by subject alone.
-    """
-    e = visible_subjects(episodes).groupBy(*SUBJECT).agg(
-        F.count("*").alias("episode_count"), F.max("created_at").alias("last_activity")
+def subject_explorer(
+    episodes: DataFrame, memories: DataFrame, resolutions: DataFrame, health_cache: DataFrame, tenant_id: str | None = None
+) -> DataFrame:
+    """(tenant, subject) with counts, last activity, sessions, open sessions and last health; of one tenant where given."""
+    out = visible_subjects(tenant_scope(episodes, tenant_id)).groupBy(*SUBJECT).agg(
+        F.count("*").alias("episode_count"), F.max("created_at").alias("last_activity"), F.count_distinct("session_id").alias("session_count")
     )
-    m = memories.groupBy("subject_id").agg(F.count("*").alias("memory_count"))
-    s = episodes.groupBy("subject_id").agg(F.count_distinct("session_id").alias("session_count"))
-    o = resolutions.where("status = 'open'").groupBy("subject_id").agg(F.count("*").alias("open_sessions"))
-    h = health_cache.select("subject_id", F.col("last_state").alias("health_state"), F.col("last_score").alias("health_score"))
-    out = e
-    for other in (m, s, o, h):
-        out = out.join(other, "subject_id", "left")
-    return out.fillna(0, ["memory_count", "session_count", "open_sessions"])
+    m = memories.groupBy(*SUBJECT).agg(F.count("*").alias("memory_count"))
+    o = resolutions.where("status = 'open'").groupBy(*SUBJECT).agg(F.count("*").alias("open_sessions"))
+    h = health_cache.select(*SUBJECT, F.col("last_state").alias("health_state"), F.col("last_score").alias("health_score"))
+    for other in (m, o, h):
+        out = join_on(out, other, SUBJECT)
+    return out.fillna(0, ["memory_count", "open_sessions"])
+
+
+def with_health(rows: DataFrame, episodes: DataFrame, resolutions: DataFrame, as_of: str) -> DataFrame:
+    """A page of the explorer with the health computed of those subjects that the cache lacked."""
+    lacking = rows.where("health_state IS NULL").select(*SUBJECT)
+    signals = health_signals(join_on(episodes, lacking, SUBJECT, "left_semi"), join_on(resolutions, lacking, SUBJECT, "left_semi"), as_of)
+    made = subject_health(signals).select(*SUBJECT, F.col("state").alias("_state"), F.col("score").alias("_score"))
+    out = join_on(rows, made, SUBJECT)
+    return out.withColumns({
+        "health_state": F.coalesce("health_state", "_state"), "health_score": F.coalesce("health_score", "_score"),
+    }).drop("_state", "_score")
 
 
 def explore_page(
@@ -53,21 +62,26 @@ def explore_page(
 
 
 def subject_detail(episodes: DataFrame, memories: DataFrame, resolutions: DataFrame) -> DataFrame:
-    e = episodes.groupBy("subject_id").agg(
+    e = episodes.groupBy(*SUBJECT).agg(
         F.count("*").alias("episode_count"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"),
         F.count_distinct("session_id").alias("_es"),
     )
-    m = memories.groupBy("subject_id").agg(
+    m = memories.groupBy(*SUBJECT).agg(
         F.count("*").alias("memory_count"), F.count_if(F.col("status") == "active").alias("active_memories")
     )
-    r = resolutions.groupBy("subject_id").agg(F.count_distinct("session_id").alias("_rs"))
-    out = e.join(m, "subject_id", "full_outer").join(r, "subject_id", "left")
+    r = resolutions.groupBy(*SUBJECT).agg(F.count_distinct("session_id").alias("_rs"))
+    out = e.select(*SUBJECT).union(m.select(*SUBJECT)).distinct()
+    for other in (e, m, r):
+        out = join_on(out, other, SUBJECT)
     out = out.fillna(0, ["episode_count", "memory_count", "active_memories", "_es", "_rs"])
     return out.withColumn("session_count", F.greatest("_es", "_rs")).drop("_es", "_rs")
 
 
 def usage_metering(tables: Mapping[str, DataFrame], as_of: str) -> DataFrame:
-    """(metric, today, last_7d, last_30d, total): rows of each table by age, and subjects active then."""
+    """(metric, today, last_7d, last_30d, total): rows of each table by age, and subjects active then.
+
+    A subject id that several tenants use is one active subject here, as in dashboard_counts.
+    """
     now = F.lit(as_of).cast("timestamp")
     cuts = {"today": F.date_trunc("day", now), "last_7d": now - F.expr("INTERVAL '7' DAY"), "last_30d": now - F.expr("INTERVAL '30' DAY")}
 
@@ -164,33 +178,45 @@ def subject_timeline(episodes: DataFrame, memories: DataFrame, cap: int | None =
     return rows.withColumn("position", F.row_number().over(order))
 
 
+EPISODE = (*SUBJECT, "episode_id")
+
+
 def cited(memories: DataFrame) -> DataFrame:
-    """(subject_id, episode_id, memory_id, kind, status): each memory with each distinct episode it cites."""
+    """(tenant_id, subject_id, episode_id, memory_id, kind, status): each memory with each distinct episode it cites."""
     one = F.explode(F.array_distinct("source_episode_ids"))
-    return memories.select("subject_id", one.alias("episode_id"), "memory_id", "kind", "status", "created_at")
+    return memories.select(*SUBJECT, one.alias("episode_id"), "memory_id", "kind", "status", F.col("created_at").alias("cited_at"))
 
 
 def citing_memories(episodes: DataFrame, memories: DataFrame) -> DataFrame:
-    """Memories of the same subject that cite an episode."""
-    return episodes.select("subject_id", "episode_id").join(cited(memories), ["subject_id", "episode_id"])
+    """Memories of the same tenant and subject that cite an episode."""
+    return join_on(episodes.select(*EPISODE), cited(memories), EPISODE, "inner")
 
 
 def citing_counts(episodes: DataFrame, memories: DataFrame) -> DataFrame:
-    n = cited(memories).groupBy("subject_id", "episode_id").agg(F.count("*").alias("citing"))
-    out = episodes.select("subject_id", "episode_id", "session_id", "created_at").join(n, ["subject_id", "episode_id"], "left")
-    return out.fillna(0, ["citing"])
+    n = cited(memories).groupBy(*EPISODE).agg(F.count("*").alias("citing"))
+    return join_on(episodes.select(*EPISODE, "session_id", "created_at"), n, EPISODE).fillna(0, ["citing"])
 
 
-def session_timeline(episodes: DataFrame, memories: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Episodes of every session, with how often they are cited, and the session's resolution, in order."""
+def session_timeline(episodes: DataFrame, memories: DataFrame, resolutions: DataFrame, sla: DataFrame | None = None) -> DataFrame:
+    """Episodes of every session, with how often they are cited, and the session's resolution, in order.
+
+    With sla (a row a session, as session_sla gives it) each row carries its session's status and response
+    figures too; a session without them is resolved if it has a resolution, else open.
+    """
     e = citing_counts(episodes.where("session_id IS NOT NULL"), memories)
-    e = e.select("subject_id", "session_id", F.col("created_at").alias("at"), F.lit(0).alias("is_resolution"), F.col("episode_id").alias("item_id"), "citing")
+    e = e.select(*SESSION, F.col("created_at").alias("at"), F.lit(0).alias("is_resolution"), F.col("episode_id").alias("item_id"), "citing")
     r = resolutions.where("resolved_at IS NOT NULL").select(
-        "subject_id", "session_id", F.col("resolved_at").alias("at"), F.lit(1).alias("is_resolution"),
-        F.col("resolution_id").alias("item_id"), F.lit(0).cast("long").alias("citing"),
+        *SESSION, F.col("resolved_at").alias("at"), F.lit(1).alias("is_resolution"), F.col("resolution_id").alias("item_id"), F.lit(0).cast("long").alias("citing"),
     )
-    order = Window.partitionBy("subject_id", "session_id").orderBy("at", "is_resolution", "item_id")
-    return e.unionByName(r).withColumn("position", F.row_number().over(order))
+    order = Window.partitionBy(*SESSION).orderBy("at", "is_resolution", "item_id")
+    rows = e.unionByName(r).withColumn("position", F.row_number().over(order))
+    if sla is None:
+        return rows
+    figures = ["first_response_seconds", "resolution_seconds", "first_response_breached", "resolution_breached"]
+    known = resolutions.groupBy(*SESSION).agg(F.lit("resolved").alias("_known"))
+    rows = join_on(join_on(rows, sla.select(*SESSION, "status", *figures), SESSION), known, SESSION)
+    rows = rows.fillna(False, ["first_response_breached", "resolution_breached"])
+    return rows.withColumn("status", F.coalesce("status", "_known", F.lit("open"))).drop("_known")
 
 
 def provenance_lookup(episodes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -242,10 +268,10 @@ def lineage_siblings(memories: DataFrame, sources: int = 5, n: int = 10) -> Data
     an episode that many memories cite does not meet itself pairwise.
     """
     at = F.struct("created_at", "memory_id")
-    all_ = memories.select("subject_id", F.explode(F.array_distinct("source_episode_ids")).alias("e"), at.alias("m"))
-    newest = all_.groupBy("subject_id", "e").agg(F.slice(F.sort_array(F.collect_list("m"), asc=False), 1, n + 1).alias("ms"))
-    mine = memories.select("subject_id", "memory_id", F.explode(F.array_distinct(F.slice("source_episode_ids", 1, sources))).alias("e"))
-    pairs = mine.join(newest, ["subject_id", "e"]).select("memory_id", F.explode("ms").alias("m"))
+    all_ = memories.select(*SUBJECT, F.explode(F.array_distinct("source_episode_ids")).alias("e"), at.alias("m"))
+    newest = all_.groupBy(*SUBJECT, "e").agg(F.slice(F.sort_array(F.collect_list("m"), asc=False), 1, n + 1).alias("ms"))
+    mine = memories.select(*SUBJECT, "memory_id", F.explode(F.array_distinct(F.slice("source_episode_ids", 1, sources))).alias("e"))
+    pairs = join_on(mine, newest, (*SUBJECT, "e"), "inner").select("memory_id", F.explode("ms").alias("m"))
     pairs = pairs.where("m.memory_id <> memory_id").distinct()
     rank = F.row_number().over(Window.partitionBy("memory_id").orderBy(F.desc("m")))
     top = pairs.withColumn("rank", rank).where(F.col("rank") <= n).select("memory_id", "rank", F.col("m.memory_id").alias("sibling_id"))
@@ -259,23 +285,22 @@ def stale_subjects(episodes: DataFrame, prefix: str, as_of: str, max_age_days: i
     """Subjects of a prefix whose newest episode is older than the age; snapshots never."""
     rows = episodes.where(F.col("subject_id").startswith(prefix) & ~F.col("subject_id").startswith("_snapshot/"))
     cut = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL '{int(max_age_days)}' DAY")
-    return rows.groupBy("subject_id").agg(F.max("created_at").alias("last_at")).where(F.col("last_at") < cut)
+    return rows.groupBy(*SUBJECT).agg(F.max("created_at").alias("last_at")).where(F.col("last_at") < cut)
 
 
 def match_subjects(
     episodes: DataFrame, memories: DataFrame, as_of: str, prefix: str | None = None, older_than_days: int | None = None,
     tenant_id: str | None = None, match_all: bool = False,
 ) -> DataFrame:
-    """Subjects that a bulk deletion would take, with their counts. A filter is needed unless all are meant."""
+    """Subjects (tenant and id) that a bulk deletion would take, with their counts. A filter is needed unless all are meant."""
     if prefix is None and older_than_days is None and tenant_id is None and not match_all:
         raise ValueError("a filter is required")
     rows = visible_subjects(episodes)
     rows = rows if tenant_id is None else rows.where(F.col("tenant_id") == tenant_id)
     rows = rows if prefix is None else rows.where(F.col("subject_id").startswith(prefix))
-    found = rows.groupBy("subject_id").agg(F.max("created_at").alias("last_at"))
+    found = rows.groupBy(*SUBJECT).agg(F.max("created_at").alias("last_at"), F.count("*").alias("episode_count"))
     if older_than_days is not None:
         cut = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL '{int(older_than_days)}' DAY")
         found = found.where(F.col("last_at") < cut)
-    e = episodes.groupBy("subject_id").agg(F.count("*").alias("episode_count"))
-    m = memories.groupBy("subject_id").agg(F.count("*").alias("memory_count"))
-    return found.join(e, "subject_id").join(m, "subject_id", "left").fillna(0, ["memory_count"])
+    m = memories.groupBy(*SUBJECT).agg(F.count("*").alias("memory_count"))
+    return join_on(found, m, SUBJECT).fillna(0, ["memory_count"])

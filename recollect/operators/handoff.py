@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions.text import approx_tokens, payload_text
-from recollect.operators.common import SUBJECT, join_on
-from recollect.operators.context import requests_with, scoped, with_tokens
+from recollect.operators.common import SUBJECT, join_on, scoped
+from recollect.operators.context import requests_with, with_tokens
+from recollect.sources.scratch import materialize
 
 # How much of each part is read and shown.
 FACTS, EPISODES, RESOLUTIONS = 20, 30, 20
@@ -41,6 +42,11 @@ def _section(title: str, lines: Column, bullet: str = "- ") -> Column:
     return F.when(F.size(lines) > 0, F.concat(F.lit(f"## {title}\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit(bullet), x)), "\n"), F.lit("\n\n"))).otherwise("")
 
 
+def _less_one(text: Column) -> Column:
+    """Without the last character."""
+    return F.substring(text, F.lit(1), F.greatest(F.lit(0), F.length(text) - 1))
+
+
 def handoff_brief(
     requests: DataFrame, episodes: DataFrame, memories: DataFrame, resolutions: DataFrame, health: DataFrame, subject_sla: DataFrame,
     session_sla: DataFrame, tokens: Callable[[Column], Column] = approx_tokens,
@@ -101,14 +107,16 @@ def handoff_brief(
     more = F.when(F.size("issue") > 1, F.concat(F.lit(" (+ "), (F.size("issue") - 1).cast("string"), F.lit(" more messages in session)"))).otherwise("")
     issue = F.when(F.size("issue") > 0, F.concat(F.get("issue", F.lit(0)), more)).otherwise("")
     shown = F.array_compact(F.array(F.nullif(issue, F.lit(""))))
+    # Open and resolved issues stand together, without a blank line; the notes end with one line end.
+    open_, solved_ = _section("Open Issues", F.col("open_issues")), _section("Previously Resolved", F.slice("resolved", 1, SHOWN_RESOLVED))
+    history = F.concat(F.when(solved_ != "", _less_one(open_)).otherwise(open_), solved_)
     notes = F.concat(
         F.lit("# Handoff Brief — "), "subject_id", F.lit("\nReason: "), "reason", F.lit("\nSession: "), "session_id", F.lit("\n\n"),
         _section("Customer", F.array(summary), ""), _section("Customer Health", F.array(mood), ""), _section("SLA Status", sla),
-        _section("Active Issue", shown, ""), _section("What Has Been Tried", F.slice("steps", 1, STEPS)), _section("Open Issues", F.col("open_issues")),
-        _section("Previously Resolved", F.slice("resolved", 1, SHOWN_RESOLVED)), _section("Key Facts", F.slice("facts", 1, SHOWN_FACTS)),
+        _section("Active Issue", shown, ""), _section("What Has Been Tried", F.slice("steps", 1, STEPS)), history, _section("Key Facts", F.slice("facts", 1, SHOWN_FACTS)),
         _section("Recent Context (other sessions)", F.col("recent")),
     )
-    rows = rows.withColumn("_notes", F.rtrim(notes)).withColumn("_n", tokens(F.col("_notes")))
+    rows = rows.withColumn("_notes", _less_one(notes)).withColumn("_n", tokens(F.col("_notes")))
     # Cut at the end of the last token that fits; only notes over budget pay for it.
     cut = F.expr(r"regexp_extract(_notes, concat('^(?:\\s*(?:\\w+|[^\\w\\s])){', cast(max_tokens AS string), '}'), 0)")
     return rows.select(

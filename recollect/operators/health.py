@@ -125,15 +125,14 @@ def transition(previous: Column, current: Column) -> Column:
 
 def health_alerts(health: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(alerts, new cache): events of the subjects whose state changed, and everybody's last state."""
-    last = cache.select("subject_id", F.col("last_state").alias("previous_state"))
-    rows = health.join(last, "subject_id", "left")
+    rows = join_on(health, cache.select(*SUBJECT, F.col("last_state").alias("previous_state")), SUBJECT)
     rows = rows.withColumn("event", transition(F.col("previous_state"), F.col("state")))
     alerts = rows.where("event IS NOT NULL").select(
         *SUBJECT, "event", F.coalesce("previous_state", F.lit("healthy")).alias("previous_state"),
         F.col("state").alias("current_state"), "score", F.slice("factors", 1, 3).alias("factors"),
     )
     new = health.select("subject_id", "tenant_id", F.col("state").alias("last_state"), F.col("score").alias("last_score"))
-    kept = cache.join(health.select("subject_id"), "subject_id", "left_anti")
+    kept = join_on(cache, health.select(*SUBJECT), SUBJECT, "left_anti")
     return alerts, new.unionByName(kept.select("subject_id", "tenant_id", "last_state", "last_score"))
 
 
@@ -147,5 +146,5 @@ def health_transitions(history: DataFrame) -> DataFrame:
 
 def health_distribution(subjects: DataFrame, cache: DataFrame) -> DataFrame:
     """(state, n): subjects by last state; `unknown` for those never scored, if there are any."""
-    rows = subjects.select("subject_id").distinct().join(cache.select("subject_id", "last_state"), "subject_id", "left")
+    rows = join_on(subjects.select(*SUBJECT).distinct(), cache.select(*SUBJECT, "last_state"), SUBJECT)
     return rows.groupBy(F.coalesce("last_state", F.lit("unknown")).alias("state")).agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions.text import json_merge, stable_id, stamp
+from recollect.operators.common import SUBJECT, join_on
 from recollect.operators.sla import SESSION
 
 FORMAT = "recollect-export-1"
@@ -48,7 +49,8 @@ def upsert_resolutions(current: DataFrame, updates: DataFrame) -> DataFrame:
 def remap_provenance(memories: DataFrame, ids: DataFrame, keep_unmapped: bool = True) -> DataFrame:
     """source_episode_ids with each id replaced by its new one, in order.
 
-    ids: (subject_id, episode_id, new_id). Ids without a new one are kept or dropped.
+    ids: (subject_id, episode_id, new_id). Ids without a new one are kept or dropped. Subjects here are
+    the targets of a copy or an import, which are new: no two tenants share one.
     """
     parts = memories.select("subject_id", "memory_id", F.posexplode("source_episode_ids").alias("pos", "episode_id"))
     found = parts.join(ids, ["subject_id", "episode_id"], "left")
@@ -60,15 +62,25 @@ def remap_provenance(memories: DataFrame, ids: DataFrame, keep_unmapped: bool =
     return out.withColumn("source_episode_ids", F.coalesce("_sources", F.array().cast("array<string>"))).drop("_sources")
 
 
+def subject_keys(df: DataFrame) -> tuple[str, ...]:
+    """What names a subject in a list: tenant and id, or the id alone where the list has no tenants."""
+    return SUBJECT if "tenant_id" in df.columns else ("subject_id",)
+
+
+def of_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    keys = subject_keys(targets)
+    return join_on(rows, targets.select(*keys, "target_id"), keys, "inner")
+
+
 def copy_subjects(
     episodes: DataFrame, memories: DataFrame, targets: DataFrame, job: str, keep_unmapped: bool = True, keep_tenant: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Copies of the subjects in targets (subject_id, target_id): (episodes, memories) under new ids.
+    """Copies of the subjects in targets (tenant_id, subject_id, target_id): (episodes, memories) under new ids.
 
-    The old ids stay in `_from` columns for stamps.
+    Targets without a tenant_id column take the subject's rows of all tenants. The old ids stay in `_from` columns for stamps.
     """
     def taken(df: DataFrame, name: str) -> DataFrame:
-        rows = df.join(targets.select("subject_id", "target_id"), "subject_id")
+        rows = of_targets(df, targets)
         rows = rows if keep_tenant else rows.withColumn("tenant_id", F.lit(None).cast("string"))
         return rows.withColumn("_new", stable_id(job, F.col("target_id"), F.col(name)))
 
@@ -84,18 +96,19 @@ def copy_subjects(
 def create_snapshot(
     episodes: DataFrame, memories: DataFrame, resolutions: DataFrame, requests: DataFrame, catalog: DataFrame, as_of: str
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(episodes, memories, resolutions, catalog rows) of snapshots of requests (subject_id, name).
+    """(episodes, memories, resolutions, catalog rows) of snapshots of requests (tenant_id, subject_id, name).
 
     A snapshot is a subject `_snapshot/<id>`; its version is one more than the name's last one.
     """
     last = catalog.groupBy("name").agg(F.max("version").alias("_v"))
     rows = requests.join(last, "name", "left")
-    place = F.row_number().over(Window.partitionBy("name").orderBy("subject_id"))
+    keys = subject_keys(requests)
+    place = F.row_number().over(Window.partitionBy("name").orderBy(*[F.col(k) for k in reversed(keys)]))
     rows = rows.withColumn("version", F.coalesce("_v", F.lit(0)) + place)
     rows = rows.withColumn("snapshot_id", stable_id("snapshot", F.col("name"), F.col("version").cast("string"), F.col("subject_id")))
     rows = rows.withColumn("target_id", F.concat(F.lit("_snapshot/"), "snapshot_id"))
     e, m = copy_subjects(episodes, memories, rows, "snapshot", keep_tenant=False)
-    r = resolutions.join(rows.select("subject_id", "target_id"), "subject_id")
+    r = of_targets(resolutions, rows)
     r = r.withColumn("resolution_id", stable_id("snapshot", F.col("target_id"), F.col("resolution_id"))).withColumn("subject_id", F.col("target_id"))
     count = lambda df, name: df.groupBy(F.col("subject_id").alias("target_id")).agg(F.count("*").alias(name))
     new = rows.join(count(e, "episode_count"), "target_id", "left").join(count(m, "memory_count"), "target_id", "left")
@@ -188,17 +201,17 @@ EXPORTED_MEMORY = ["memory_id", "kind", "content", "summary", "confidence", "val
 
 def export_rows(episodes: DataFrame, memories: DataFrame, scope: str = "all") -> DataFrame:
     """One row of JSON per exported episode and memory, with its place: the form for subjects of any size."""
-    e = episodes.select("subject_id", F.lit("episode").alias("item"), "created_at", F.col("episode_id").alias("id"), F.to_json(F.struct(*_text(episodes, EXPORTED_EPISODE))).alias("row"))
-    m = memories.select("subject_id", F.lit("memory").alias("item"), "created_at", F.col("memory_id").alias("id"), F.to_json(F.struct(*_text(memories, EXPORTED_MEMORY))).alias("row"))
+    e = episodes.select(*SUBJECT, F.lit("episode").alias("item"), "created_at", F.col("episode_id").alias("id"), F.to_json(F.struct(*_text(episodes, EXPORTED_EPISODE))).alias("row"))
+    m = memories.select(*SUBJECT, F.lit("memory").alias("item"), "created_at", F.col("memory_id").alias("id"), F.to_json(F.struct(*_text(memories, EXPORTED_MEMORY))).alias("row"))
     rows = e.union(m) if scope == "all" else (e if scope == "episodes" else m)
-    order = Window.partitionBy("subject_id", "item").orderBy("created_at", "id")
+    order = Window.partitionBy(*SUBJECT, "item").orderBy("created_at", "id")
     return rows.withColumn("position", F.row_number().over(order)).drop("created_at")
 
 
 def export_subjects(
     episodes: DataFrame, memories: DataFrame, as_of: str, scope: str = "all", most_rows: int = 100_000, most_bytes: int = 1 << 26
 ) -> DataFrame:
-    """Documents of each subject: format, the subject's counts, rows in order and a checksum over them.
+    """Documents of each tenant's subjects: format, the subject's counts, rows in order and a checksum over them.
 
     A subject of more than `most_rows` rows, or about `most_bytes` of them, goes into numbered
     parts (`part` of `parts`), a row each, so `too_large` is never true. A document of several
@@ -207,23 +220,23 @@ def export_subjects(
     rows = export_rows(episodes, memories, scope)
     # A row weighs its bytes, and enough that no part holds more than most_rows.
     weight = F.greatest(F.octet_length("row").cast("long"), F.lit(-(-most_bytes // most_rows)).cast("long"))
-    order = Window.partitionBy("subject_id").orderBy("item", "position")
+    order = Window.partitionBy(*SUBJECT).orderBy("item", "position")
     before = F.coalesce(F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("_cut", F.floor(before / most_bytes))
-    rows = rows.withColumn("part", F.dense_rank().over(Window.partitionBy("subject_id").orderBy("_cut")))
-    docs = rows.groupBy("subject_id", "part").agg(
+    rows = rows.withColumn("part", F.dense_rank().over(Window.partitionBy(*SUBJECT).orderBy("_cut")))
+    docs = rows.groupBy(*SUBJECT, "part").agg(
         F.count_if(F.col("item") == "episode").alias("_e"), F.count_if(F.col("item") == "memory").alias("_m"),
         F.sort_array(F.collect_list(F.struct("item", "position", "row"))).alias("_items"),
     )
     items = lambda kind: F.transform(F.filter("_items", lambda x: x["item"] == kind), lambda x: x["row"])
     rest = F.concat(F.lit('"episodes":['), F.array_join(items("episode"), ","), F.lit('],"memories":['), F.array_join(items("memory"), ","), F.lit("]}"))
-    sizes = rows.groupBy("subject_id").agg(
+    sizes = rows.groupBy(*SUBJECT).agg(
         F.count_if(F.col("item") == "episode").alias("episode_count"), F.count_if(F.col("item") == "memory").alias("memory_count"), F.max("part").alias("parts")
     )
-    docs = docs.select("subject_id", "part", rest.alias("_rest")).join(sizes, "subject_id")
+    docs = join_on(docs.select(*SUBJECT, "part", rest.alias("_rest")), sizes, SUBJECT)
     docs = docs.withColumn("document", F.concat(_part_head(), "_rest"))
     return docs.select(
-        "subject_id", F.lit(FORMAT).alias("format_version"), F.lit(as_of).alias("exported_at"), "episode_count", "memory_count", F.lit(False).alias("too_large"),
+        *SUBJECT, F.lit(FORMAT).alias("format_version"), F.lit(as_of).alias("exported_at"), "episode_count", "memory_count", F.lit(False).alias("too_large"),
         "document", F.sha2("document", 256).alias("checksum"), "part", "parts",
     )
 
@@ -242,20 +255,21 @@ def verify_export(docs: DataFrame) -> DataFrame:
     named = F.coalesce(F.col("document").startswith(_part_head()), F.lit(False))
     known = F.coalesce(F.col("format_version") == FORMAT, F.lit(False))
     docs = docs.withColumn("problem", F.when(~known, "format").when(bad | ~named, "checksum"))
-    good = docs.where("problem IS NULL").groupBy("subject_id").agg(
+    keys = subject_keys(docs)
+    good = docs.where("problem IS NULL").groupBy(*keys).agg(
         F.count("*").alias("_n"), F.count_distinct("part").alias("_d"), F.min("parts").alias("_lo"), F.max("parts").alias("_hi")
     )
-    whole = good.where("_hi = 1 OR (_n = _hi AND _d = _hi AND _lo = _hi)").select("subject_id", F.lit(True).alias("_whole"))
-    docs = docs.join(whole, "subject_id", "left")
+    whole = good.where("_hi = 1 OR (_n = _hi AND _d = _hi AND _lo = _hi)").select(*keys, F.lit(True).alias("_whole"))
+    docs = join_on(docs, whole, keys)
     return docs.withColumn("problem", F.when(F.col("problem").isNull() & F.col("_whole").isNull(), "parts").otherwise(F.col("problem"))).drop("_whole")
 
 
 def import_payload(
     docs: DataFrame, targets: DataFrame, as_of: str, tenant_id: str | None = None, job: str = "import"
 ) -> tuple[DataFrame, DataFrame]:
-    """(episodes, memories) of valid documents and of subjects all of whose parts are valid, for targets (subject_id, target_id).
+    """(episodes, memories) of valid documents and of subjects all of whose parts are valid, for targets (tenant_id, subject_id, target_id).
 
-    Ids are made anew, provenance follows them (ids that are not in the document go), missing
+    Targets without a tenant_id column take all tenants' documents of the subject. Ids are made anew, provenance follows them (ids that are not in the document go), missing
     fields get defaults, and the original subject and id are kept in provenance and metadata.
     """
     episode = "struct<episode_id:string,source:string,type:string,payload:string,metadata:string,provenance:string,created_at:string>"
@@ -263,7 +277,8 @@ def import_payload(
         "struct<memory_id:string,kind:string,content:string,summary:string,confidence:double,valid_from:string,valid_to:string,"
         "source_episode_ids:array<string>,metadata:string,status:string,created_at:string>"
     )
-    good = verify_export(docs).where("problem IS NULL").join(targets, "subject_id")
+    good = verify_export(docs).where("problem IS NULL")
+    good = of_targets(good, targets)
     parsed = good.select("subject_id", "target_id", F.from_json("document", f"struct<episodes:array<{episode}>,memories:array<{memory}>>").alias("d"))
     now = F.lit(as_of).cast("timestamp")
     time = lambda n: F.try_to_timestamp(F.col(n))
@@ -299,34 +314,36 @@ def pack_owned(pack: str, column: str = "metadata", legacy: str | None = None) -
 
 
 def pack_state(rows: DataFrame, pack: str, column: str = "metadata") -> DataFrame:
-    """Per subject: all rows, the pack's and the operators' own, and the pack version of the newest of the pack's."""
+    """Per tenant and subject: all rows, the pack's and the operators' own, and the pack version of the newest of the pack's."""
     owned = pack_owned(pack, column)
     version = F.when(owned, F.get_json_object(column, "$.starter_pack_version"))
-    return rows.groupBy("subject_id").agg(
+    return rows.groupBy(*SUBJECT).agg(
         F.count("*").alias("total"), F.count_if(owned).alias("owned"), F.count_if(~owned).alias("operator_rows"),
         F.max_by(version, F.when(owned, F.col("created_at"))).alias("version"),
     )
 
 
 def reseed_pack(rows: DataFrame, fresh: DataFrame, pack: str, column: str = "metadata") -> DataFrame:
-    """Rows with the pack's own ones replaced by fresh ones; operators' rows stay. Only subjects in `fresh` change."""
-    subjects = fresh.select("subject_id").distinct().withColumn("_seed", F.lit(True))
-    kept = rows.join(subjects, "subject_id", "left").where(F.col("_seed").isNull() | ~pack_owned(pack, column)).drop("_seed")
+    """Rows with the pack's own ones replaced by fresh ones; operators' rows stay. Only subjects in `fresh` change (of its tenants, if it has them)."""
+    keys = subject_keys(fresh)
+    subjects = fresh.select(*keys).distinct().withColumn("_seed", F.lit(True))
+    kept = join_on(rows, subjects, keys).where(F.col("_seed").isNull() | ~pack_owned(pack, column)).drop("_seed")
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
 def delete_subjects(rows: DataFrame, subjects: DataFrame, tenant_id: str | None = None) -> DataFrame:
-    """Rows without the subjects' ones (of one tenant, where given)."""
-    gone = subjects.select("subject_id").distinct()
+    """Rows without the subjects' ones: of the tenants in `subjects`, if it has them, or of one tenant where given."""
+    keys = subject_keys(subjects)
+    gone = subjects.select(*keys).distinct()
     if tenant_id is None:
-        return rows.join(gone, "subject_id", "left_anti")
-    out = rows.join(gone.withColumn("_gone", F.lit(True)), "subject_id", "left")
+        return join_on(rows, gone, keys, "left_anti")
+    out = join_on(rows, gone.withColumn("_gone", F.lit(True)), keys)
     return out.where(F.col("_gone").isNull() | ~F.col("tenant_id").eqNullSafe(F.lit(tenant_id))).drop("_gone")
 
 
 def purge_subjects(matched: DataFrame, expected: int, *tables: DataFrame) -> list[DataFrame]:
     """Tables without the matched subjects, if there are as many as expected."""
-    found = matched.select("subject_id").distinct()
+    found = matched.select(*subject_keys(matched)).distinct()
     n = found.count()
     if n != expected:
         raise ValueError(f"{n} subjects match, {expected} were expected")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recollect.operators.common import per_subject_cap
+from recollect.operators.common import SCOPE, in_scope, per_subject_cap, scoped
 
 
 def search_memories(memories: DataFrame, kind: str | None = None, query: str | None = None, limit: int | None = 20) -> DataFrame:
@@ -41,23 +41,24 @@ def _nearest(k: int):
 def semantic_topk(queries: DataFrame, memories: DataFrame, k: int = 100, block: int = 256, rows: int = 8192) -> DataFrame:
     """(query_id, rank, memory_id, distance): the k active memories nearest to each query in its subject.
 
-    Queries (query_id, subject_id, vector) and memories of a subject are dealt to blocks of about
+    Queries (query_id, tenant_id, subject_id, vector) search their tenant's memories of the subject; those
+    without a tenant search all tenants'. Queries and memories of a subject are dealt to blocks of about
     `block` queries and `rows` memories; every pair of blocks is one task's matrix product that
     keeps k memories a query, and the blocks' lists are merged. Ties go by memory_id.
     """
     active = memories.where("status = 'active' AND embedding IS NOT NULL AND exists(embedding, x -> x <> 0)")
-    active = active.select("subject_id", "memory_id", F.col("embedding").cast("array<double>").alias("vector"))
-    queries = queries.select("subject_id", "query_id", F.col("vector").cast("array<double>").alias("vector"))
-    nq = queries.groupBy("subject_id").agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))
-    nv = active.groupBy("subject_id").agg(F.ceil(F.count("*") / rows).cast("int").alias("nv"))
-    sizes = nq.join(nv, "subject_id")
-    q = queries.join(sizes, "subject_id").withColumn("bq", F.pmod(F.xxhash64("query_id"), "nq").cast("int"))
+    active = scoped(active).select(*SCOPE, "memory_id", F.col("embedding").cast("array<double>").alias("vector"))
+    queries = in_scope(queries).select(*SCOPE, "query_id", F.col("vector").cast("array<double>").alias("vector"))
+    nq = queries.groupBy(*SCOPE).agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))
+    nv = active.groupBy(*SCOPE).agg(F.ceil(F.count("*") / rows).cast("int").alias("nv"))
+    sizes = nq.join(nv, list(SCOPE))
+    q = queries.join(sizes, list(SCOPE)).withColumn("bq", F.pmod(F.xxhash64("query_id"), "nq").cast("int"))
     q = q.withColumn("bv", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
-    v = active.join(sizes, "subject_id").withColumn("bv", F.pmod(F.xxhash64("memory_id"), "nv").cast("int"))
+    v = active.join(sizes, list(SCOPE)).withColumn("bv", F.pmod(F.xxhash64("memory_id"), "nv").cast("int"))
     v = v.withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    v = v.select(F.col("subject_id").alias("sv"), F.col("bq").alias("vq"), F.col("bv").alias("vv"), "memory_id", "vector")
+    v = v.select(F.col("scope").alias("cv"), F.col("subject_id").alias("sv"), F.col("bq").alias("vq"), F.col("bv").alias("vv"), "memory_id", "vector")
     kind = queries.schema["query_id"].dataType.simpleString()
-    found = q.groupBy("subject_id", "bq", "bv").cogroup(v.groupBy("sv", "vq", "vv")).applyInPandas(
+    found = q.groupBy(*SCOPE, "bq", "bv").cogroup(v.groupBy("cv", "sv", "vq", "vv")).applyInPandas(
         _nearest(k), f"query_id {kind}, memory_id string, distance double"
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 12), "memory_id"))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions.text import stamp
-from recollect.operators import explore, health
+from recollect.operators import explore, health, sla
 from recollect.operators.compile import compile_memories, uncompiled
 from recollect.operators.conflicts import resolve_conflicts
-from recollect.plans.support import _H, _LOST, _M, MEMORIES, _cache, _t
+from recollect.plans.support import _H, _LOST, _M, _SESSIONS, MEMORIES, _cache, _t
 from recollect.sources.adapters import AS_OF, episodes, jobs, oracle_ctes, outbox, resolutions
+from recollect.sources.scratch import materialize
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +19,8 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = resolve_conflicts(compile_memories(uncompiled(episodes(spark, sf_dir), cap=None)), AS_OF)
     event = F.substring(F.element_at("source_episode_ids", 1), 4, 20).cast("long")
     more = F.concat(F.lit("ev-"), (event - event % 8).cast("string"))
-    return rows.withColumn("source_episode_ids", F.when(event % 2 == 0, F.array_append("source_episode_ids", more)).otherwise(F.col("source_episode_ids")))
+    rows = rows.withColumn("source_episode_ids", F.when(event % 2 == 0, F.array_append("source_episode_ids", more)).otherwise(F.col("source_episode_ids")))
+    return materialize(rows, "resolved")  # lineage reads it several times
 
 
 def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +37,11 @@ def subject_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subject_explorer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = explore.subject_explorer(episodes(spark, sf_dir), _memories(spark, sf_dir), resolutions(spark, sf_dir), _health_cache(spark, sf_dir))
-    return explore.explore_page(rows, has_open=True, sort="memory_count", limit=40, offset=5).withColumn("last_activity", stamp(F.col("last_activity")))
+    """A page by memories of the subjects with open sessions; subjects that the cache lacks get their health computed."""
+    eps, res = episodes(spark, sf_dir), resolutions(spark, sf_dir)
+    rows = explore.subject_explorer(eps, _memories(spark, sf_dir), res, _health_cache(spark, sf_dir))
+    page = materialize(explore.explore_page(rows, has_open=True, sort="memory_count", limit=40, offset=5), "explorer-page")
+    return explore.with_health(page, eps, res, AS_OF).withColumn("last_activity", stamp(F.col("last_activity")))
 
 
 def subject_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,17 +99,18 @@ def subject_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = explore.session_timeline(episodes(spark, sf_dir), _resolved(spark, sf_dir), resolutions(spark, sf_dir))
-    return rows.withColumn("at", stamp(F.col("at")))
+    eps, res = episodes(spark, sf_dir), resolutions(spark, sf_dir)
+    rows = explore.session_timeline(eps, _resolved(spark, sf_dir), res, sla.session_sla(eps, res, AS_OF))
+    return rows.withColumns({"at": stamp(F.col("at")), **{n: F.round(n, 3) for n in ("first_response_seconds", "resolution_seconds")}})
 
 
 def citing_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = explore.citing_memories(episodes(spark, sf_dir), _resolved(spark, sf_dir))
-    return rows.select("subject_id", "episode_id", "memory_id", "kind", "status")
+    return rows.select("tenant_id", "subject_id", "episode_id", "memory_id", "kind", "status")
 
 
 def citing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.citing_counts(episodes(spark, sf_dir), _resolved(spark, sf_dir)).select("subject_id", "episode_id", "citing")
+    return explore.citing_counts(episodes(spark, sf_dir), _resolved(spark, sf_dir)).select("tenant_id", "subject_id", "episode_id", "citing")
 
 
 def lineage_superseder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,12 +140,12 @@ _LOGS = oracle_ctes("episodes", "jobs", "outbox") + ", " + MEMORIES
 _CITED = f"""{oracle_ctes("episodes", "resolutions")}, {MEMORIES}, {_LOST}, rm AS (SELECT m.* EXCLUDE (episode_id), CASE WHEN nx IS NULL THEN 'active' ELSE 'superseded' END AS status, m.created_at,
     CASE WHEN ev % 2 = 0 THEN ['ev-' || ev, 'ev-' || (ev - ev % 8)] ELSE ['ev-' || ev] END AS sources
     FROM (SELECT *, CAST(substr(episode_id, 4) AS BIGINT) AS ev FROM m) m LEFT JOIN lost USING (memory_id)),
-  cited AS (SELECT subject_id, unnest(list_distinct(sources)) AS episode_id, memory_id, kind, status, created_at FROM rm)"""
-_COUNTS = """cc AS (SELECT e.subject_id, e.episode_id, e.session_id, e.created_at, count(c.memory_id) AS citing FROM episodes e LEFT JOIN cited c USING (subject_id, episode_id) GROUP BY ALL)"""
-_LINE = """sup AS (SELECT o.memory_id, arg_min(a.memory_id, (a.created_at, a.memory_id)) AS superseding_id FROM rm o JOIN rm a ON o.subject_id = a.subject_id AND o.kind = a.kind
+  cited AS (SELECT tenant_id, subject_id, sk, unnest(list_distinct(sources)) AS episode_id, memory_id, kind, status, created_at FROM rm)"""
+_COUNTS = """cc AS (SELECT e.tenant_id, e.subject_id, e.sk, e.episode_id, e.session_id, e.created_at, count(c.memory_id) AS citing FROM episodes e LEFT JOIN cited c USING (sk, episode_id) GROUP BY ALL)"""
+_LINE = """sup AS (SELECT o.memory_id, arg_min(a.memory_id, (a.created_at, a.memory_id)) AS superseding_id FROM rm o JOIN rm a ON o.sk = a.sk AND o.kind = a.kind
     AND o.status = 'superseded' AND a.status = 'active' AND a.created_at > o.created_at GROUP BY ALL),
   gone AS (SELECT * FROM (SELECT a.memory_id, row_number() OVER (PARTITION BY a.memory_id ORDER BY o.created_at DESC, o.memory_id DESC) AS rank, o.memory_id AS superseded_id
-    FROM rm a JOIN rm o ON o.subject_id = a.subject_id AND o.kind = a.kind AND o.status = 'superseded' AND a.status = 'active' AND o.created_at < a.created_at) WHERE rank <= 5)"""
+    FROM rm a JOIN rm o ON o.sk = a.sk AND o.kind = a.kind AND o.status = 'superseded' AND a.status = 'active' AND o.created_at < a.created_at) WHERE rank <= 5)"""
 
 QUERIES = {
     f.__name__: f
@@ -150,17 +156,17 @@ QUERIES = {
     )
 }
 ORACLES = {
-    "subject_overview": f"""{_M}, e AS (SELECT subject_id, count(*) AS n FROM episodes GROUP BY ALL), mm AS (SELECT subject_id, count(*) AS n FROM m GROUP BY ALL)
-      SELECT coalesce(e.subject_id, mm.subject_id) AS subject_id, coalesce(e.n, 0) AS episode_count, coalesce(mm.n, 0) AS memory_count FROM e FULL JOIN mm USING (subject_id)""",
-    "subject_explorer": f"""{_H}, {MEMORIES}, e AS (SELECT tenant_id, subject_id, count(*) AS episode_count, max(created_at) AS last_activity, count(DISTINCT session_id) AS session_count FROM episodes GROUP BY ALL),
-      mm AS (SELECT subject_id, count(*) AS n FROM m GROUP BY ALL), o AS (SELECT subject_id, count(*) AS n FROM resolutions WHERE status = 'open' GROUP BY ALL),
+    "subject_overview": f"""{_M}, e AS (SELECT tenant_id, subject_id, sk, count(*) AS n FROM episodes GROUP BY ALL), mm AS (SELECT sk, count(*) AS n FROM m GROUP BY ALL)
+      SELECT tenant_id, subject_id, e.n AS episode_count, coalesce(mm.n, 0) AS memory_count FROM e LEFT JOIN mm USING (sk)""",
+    "subject_explorer": f"""{_H}, {MEMORIES}, e AS (SELECT tenant_id, subject_id, sk, count(*) AS episode_count, max(created_at) AS last_activity, count(DISTINCT session_id) AS session_count FROM episodes GROUP BY ALL),
+      mm AS (SELECT sk, count(*) AS n FROM m GROUP BY ALL), o AS (SELECT sk, count(*) AS n FROM resolutions WHERE status = 'open' GROUP BY ALL),
       x AS (SELECT e.subject_id, e.tenant_id, episode_count, {_t("last_activity")} AS last_activity, coalesce(mm.n, 0) AS memory_count, session_count, coalesce(o.n, 0) AS open_sessions,
-        cache.last_state AS health_state, CASE WHEN cache.last_state IS NOT NULL THEN 50 END AS health_score FROM e LEFT JOIN mm USING (subject_id) LEFT JOIN o USING (subject_id) LEFT JOIN cache USING (subject_id))
+        coalesce(cache.last_state, h.state) AS health_state, CASE WHEN cache.last_state IS NOT NULL THEN 50 ELSE h.score END AS health_score FROM e LEFT JOIN mm USING (sk) LEFT JOIN o USING (sk) LEFT JOIN cache USING (sk) LEFT JOIN h USING (sk))
       SELECT *, count(*) OVER () AS total FROM x WHERE open_sessions > 0 ORDER BY memory_count DESC, subject_id, tenant_id LIMIT 40 OFFSET 5""",
-    "subject_detail": f"""{oracle_ctes("episodes", "resolutions")}, {MEMORIES}, e AS (SELECT subject_id, count(*) AS episode_count, min(created_at) AS lo, max(created_at) AS hi, count(DISTINCT session_id) AS s FROM episodes GROUP BY ALL),
-      mm AS (SELECT subject_id, count(*) AS n FROM m GROUP BY ALL), r AS (SELECT subject_id, count(DISTINCT session_id) AS s FROM resolutions GROUP BY ALL)
-      SELECT e.subject_id, episode_count, {_t("lo")} AS first_at, {_t("hi")} AS last_at, coalesce(n, 0) AS memory_count, coalesce(n, 0) AS active_memories, greatest(e.s, coalesce(r.s, 0)) AS session_count
-      FROM e LEFT JOIN mm USING (subject_id) LEFT JOIN r USING (subject_id)""",
+    "subject_detail": f"""{oracle_ctes("episodes", "resolutions")}, {MEMORIES}, e AS (SELECT tenant_id, subject_id, sk, count(*) AS episode_count, min(created_at) AS lo, max(created_at) AS hi, count(DISTINCT session_id) AS s FROM episodes GROUP BY ALL),
+      mm AS (SELECT sk, count(*) AS n FROM m GROUP BY ALL), r AS (SELECT sk, count(DISTINCT session_id) AS s FROM resolutions GROUP BY ALL)
+      SELECT tenant_id, subject_id, episode_count, {_t("lo")} AS first_at, {_t("hi")} AS last_at, coalesce(n, 0) AS memory_count, coalesce(n, 0) AS active_memories, greatest(e.s, coalesce(r.s, 0)) AS session_count
+      FROM e LEFT JOIN mm USING (sk) LEFT JOIN r USING (sk)""",
     "usage_metering": f"""{_LOGS}, a AS (SELECT 'episodes' AS metric, created_at FROM episodes UNION ALL SELECT 'memories', created_at FROM m UNION ALL SELECT 'jobs', created_at FROM jobs
       UNION ALL SELECT 'outbox', created_at FROM outbox UNION ALL SELECT 'active_subjects', max(created_at) FROM episodes GROUP BY subject_id)
       SELECT metric, count(*) FILTER (created_at >= TIMESTAMP '2024-01-15') AS today, count(*) FILTER (created_at >= TIMESTAMP '2024-01-08 12:00:00') AS last_7d,
@@ -182,17 +188,19 @@ ORACLES = {
       UNION ALL SELECT tenant_id, subject_id, 'memory', memory_id, kind, created_at FROM m),
       c AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, subject_id, item ORDER BY created_at, item_id) AS rn FROM u)
       SELECT tenant_id, subject_id, item, item_id, label, {_t("created_at")} AS created_at, CAST(row_number() OVER (PARTITION BY tenant_id, subject_id ORDER BY c.created_at, item, item_id) AS INT) AS position FROM c WHERE rn <= 100""",
-    "session_timeline": f"""{_CITED}, {_COUNTS}, u AS (SELECT subject_id, session_id, created_at AS "at", 0 AS is_resolution, episode_id AS item_id, citing FROM cc WHERE session_id IS NOT NULL
-      UNION ALL SELECT subject_id, session_id, resolved_at, 1, resolution_id, 0 FROM resolutions WHERE resolved_at IS NOT NULL)
-      SELECT subject_id, session_id, {_t('u."at"')} AS "at", is_resolution, item_id, citing, CAST(row_number() OVER (PARTITION BY subject_id, session_id ORDER BY u."at", is_resolution, item_id) AS INT) AS position FROM u""",
-    "citing_memories": f"{_CITED} SELECT c.subject_id, c.episode_id, memory_id, kind, status FROM cited c JOIN episodes e USING (subject_id, episode_id)",
-    "citing_counts": f"{_CITED}, {_COUNTS} SELECT subject_id, episode_id, citing FROM cc",
+    "session_timeline": f"""{_CITED}, {_COUNTS}, {_SESSIONS}, u AS (SELECT tenant_id, subject_id, sk, session_id, created_at AS "at", 0 AS is_resolution, episode_id AS item_id, citing FROM cc WHERE session_id IS NOT NULL
+      UNION ALL SELECT tenant_id, subject_id, sk, session_id, resolved_at, 1, resolution_id, 0 FROM resolutions WHERE resolved_at IS NOT NULL)
+      SELECT u.tenant_id, u.subject_id, u.session_id, {_t('u."at"')} AS "at", is_resolution, item_id, citing, CAST(row_number() OVER (PARTITION BY u.sk, u.session_id ORDER BY u."at", is_resolution, item_id) AS INT) AS position,
+        coalesce(s.status, 'open') AS status, round(frs, 3) AS first_response_seconds, round(rs, 3) AS resolution_seconds, coalesce(frs > 300, false) AS first_response_breached, coalesce(rs > 86400, false) AS resolution_breached
+      FROM u LEFT JOIN s ON s.session_id = u.session_id AND concat(coalesce(s.tenant_id, ''), '/', s.subject_id) = u.sk""",
+    "citing_memories": f"{_CITED} SELECT c.tenant_id, c.subject_id, c.episode_id, memory_id, kind, status FROM cited c JOIN episodes e USING (sk, episode_id)",
+    "citing_counts": f"{_CITED}, {_COUNTS} SELECT tenant_id, subject_id, episode_id, citing FROM cc",
     "lineage_superseder": f"{_CITED}, {_LINE} SELECT * FROM sup",
     "lineage_superseded": f"{_CITED}, {_LINE} SELECT memory_id, CAST(rank AS INT) AS rank, superseded_id FROM gone",
-    "lineage_siblings": f"""{_CITED}, {_LINE}, p AS (SELECT DISTINCT a.memory_id, b.memory_id AS sibling_id, b.created_at FROM cited a JOIN cited b ON a.subject_id = b.subject_id AND a.episode_id = b.episode_id AND a.memory_id <> b.memory_id),
+    "lineage_siblings": f"""{_CITED}, {_LINE}, p AS (SELECT DISTINCT a.memory_id, b.memory_id AS sibling_id, b.created_at FROM cited a JOIN cited b ON a.sk = b.sk AND a.episode_id = b.episode_id AND a.memory_id <> b.memory_id),
       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY memory_id ORDER BY created_at DESC, sibling_id DESC) AS INT) AS rank FROM p)
       SELECT memory_id, rank, sibling_id FROM r WHERE rank <= 10 AND (memory_id, sibling_id) NOT IN (SELECT (memory_id, superseding_id) FROM sup UNION ALL SELECT (memory_id, superseded_id) FROM gone)""",
-    "stale_subjects": f"""{_E} SELECT subject_id, {_t("max(created_at)")} AS last_at FROM episodes WHERE starts_with(subject_id, 'user-1') GROUP BY subject_id HAVING max(created_at) < TIMESTAMP '2024-01-30 22:00:00'""",
-    "match_subjects": f"""{_M}, f AS (SELECT subject_id, max(created_at) AS hi FROM episodes WHERE tenant_id = 'acme' AND starts_with(subject_id, 'user-1') GROUP BY ALL)
-      SELECT subject_id, {_t("hi")} AS last_at, (SELECT count(*) FROM episodes e WHERE e.subject_id = f.subject_id) AS episode_count, (SELECT count(*) FROM m WHERE m.subject_id = f.subject_id) AS memory_count FROM f""",
+    "stale_subjects": f"""{_E} SELECT tenant_id, subject_id, {_t("max(created_at)")} AS last_at FROM episodes WHERE starts_with(subject_id, 'user-1') GROUP BY tenant_id, subject_id HAVING max(created_at) < TIMESTAMP '2024-01-30 22:00:00'""",
+    "match_subjects": f"""{_M}, f AS (SELECT tenant_id, subject_id, sk, max(created_at) AS hi FROM episodes WHERE tenant_id = 'acme' AND starts_with(subject_id, 'user-1') GROUP BY ALL)
+      SELECT tenant_id, subject_id, {_t("hi")} AS last_at, (SELECT count(*) FROM episodes e WHERE e.sk = f.sk) AS episode_count, (SELECT count(*) FROM m WHERE m.sk = f.sk) AS memory_count FROM f""",
 }

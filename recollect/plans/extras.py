@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from recollect.functions import text
 from recollect.operators import compile as comp
 from recollect.operators import context, explore, health, lifecycle, sla
-from recollect.operators.common import tenant_scope, visible_subjects
-from recollect.plans.support import _M, TEXTS, _t
+from recollect.operators.common import SUBJECT, join_on, tenant_scope, visible_subjects
+from recollect.plans.support import _M, MEMORIES, TEXTS, _t
 from recollect.sources.adapters import AS_OF, _stamps, _table, episodes, jobs, oracle_ctes, outbox, resolutions
-from recollect.sources.schemas import check_episodes
+from recollect.sources.schemas import check_episodes, ingest_episodes, read_episodes, read_memories, read_resolutions
+from recollect.sources.scratch import scratch
 from recollect.streaming import jobs as streams
 
 
@@ -43,7 +44,8 @@ def provenance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bundle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of bundles that hold each subject's first twenty episodes."""
     eps = episodes(spark, sf_dir)
-    first = comp.uncompiled(eps, cap=20).groupBy(F.col("subject_id").alias("request_id")).agg(F.collect_list("episode_id").alias("episode_ids"))
+    name = F.concat(F.coalesce("tenant_id", F.lit("")), F.lit("/"), "subject_id")
+    first = comp.uncompiled(eps, cap=20).groupBy(name.alias("request_id")).agg(F.collect_list("episode_id").alias("episode_ids"))
     rows = context.bundle_sessions(first, eps)
     return rows.withColumns({n: text.stamp(F.col(n)) for n in ("first_at", "last_at")})
 
@@ -58,6 +60,20 @@ def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_episodes(broken).groupBy("rejected").agg(F.count("*").alias("n"))
 
 
+def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes of which some are broken, taken in, and memories and resolutions, written and read by the readers."""
+    eps = episodes(spark, sf_dir).withColumns({n: F.lit(None).cast("string") for n in ("metadata", "provenance")})
+    n = F.substring("episode_id", 4, 20).cast("long")
+    folder = scratch(spark, "tables")
+    ingest_episodes(eps.withColumn("payload", F.when(n % 13 == 0, '["list"]').otherwise(F.col("payload"))), f"{folder}/episodes")
+    comp.compile_memories(comp.uncompiled(eps, cap=None)).write.parquet(f"{folder}/memories")
+    resolutions(spark, sf_dir).write.orc(f"{folder}/resolutions")
+    e = read_episodes(spark, f"{folder}/episodes").where("last_compiled_at IS NULL AND metadata = '{}'")
+    tables = {"episodes": e, "memories": read_memories(spark, f"{folder}/memories"), "resolutions": read_resolutions(spark, f"{folder}/resolutions", "orc")}
+    parts = [t.groupBy("tenant_id").agg(F.count("*").alias("n"), F.max(text.stamp(F.col("created_at"))).alias("last_at")).select(F.lit(name).alias("name"), "*") for name, t in tables.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 def tenant_visible_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tenant_scope(episodes(spark, sf_dir), "globex")
     n = F.substring("subject_id", 6, 20).cast("long")
@@ -118,9 +134,9 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sla.session_firsts(episodes(spark, sf_dir), sla.USER_SOURCES, sla.AGENT_SOURCES, fallback=False)
-    rows = rows.groupBy("subject_id").agg(F.count("*").alias("sessions"), F.count("first_user").alias("asked"), F.count("first_agent").alias("answered"))
-    open_ = resolutions(spark, sf_dir).groupBy("subject_id").agg(F.count_if(F.col("status") == "open").alias("open"))
-    return rows.join(open_, "subject_id", "left")
+    rows = rows.groupBy(*SUBJECT).agg(F.count("*").alias("sessions"), F.count("first_user").alias("asked"), F.count("first_agent").alias("answered"))
+    open_ = resolutions(spark, sf_dir).groupBy(*SUBJECT).agg(F.count_if(F.col("status") == "open").alias("open"))
+    return join_on(rows, open_, SUBJECT)
 
 
 _E = oracle_ctes("episodes")
@@ -131,7 +147,7 @@ _OVER = "[" + ",".join(f"'{w}'" for w in text.OVERLAP_STOPWORDS) + "]"
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_extractions, health_transitions, provenance_lookup, bundle_sessions, ingest_rejects, tenant_visible_subjects, subject_ids, id_conflicts,
+        normalize_extractions, health_transitions, provenance_lookup, bundle_sessions, ingest_rejects, stored_tables, tenant_visible_subjects, subject_ids, id_conflicts,
         clone_strategies, retire_old_jobs, expire_windows, due_events, text_functions, session_firsts,
     )
 }
@@ -144,9 +160,12 @@ ORACLES = {
       SELECT CASE WHEN worse > 0 THEN 'subject.health_degraded' ELSE 'subject.health_improved' END AS event, before AS previous_state, state, count(*) AS n FROM v WHERE worse > 0 OR (worse < 0 AND before IS NOT NULL) GROUP BY ALL""",
     "provenance_lookup": f"{_M} SELECT episode_id, type FROM episodes WHERE episode_id IN (SELECT episode_id FROM m WHERE kind = 'profile_fact')",
     "bundle_sessions": f"""{_E}, f AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, subject_id ORDER BY created_at, episode_id) AS rn FROM episodes)
-      SELECT subject_id AS request_id, session_id, count(*) AS episode_count, {_t("min(created_at)")} AS first_at, {_t("max(created_at)")} AS last_at FROM f WHERE rn <= 20 AND session_id IS NOT NULL GROUP BY ALL""",
+      SELECT sk AS request_id, session_id, count(*) AS episode_count, {_t("min(created_at)")} AS first_at, {_t("max(created_at)")} AS last_at FROM f WHERE rn <= 20 AND session_id IS NOT NULL GROUP BY ALL""",
     "ingest_rejects": f"""{_E} SELECT CASE WHEN n % 7 = 0 THEN 'subject_id' WHEN n % 11 = 0 THEN 'source' WHEN n % 13 = 0 OR n % 17 = 0 THEN 'payload' END AS rejected, count(*) AS n
       FROM (SELECT CAST(substr(episode_id, 4) AS BIGINT) AS n FROM episodes) GROUP BY ALL""",
+    "stored_tables": f"""{oracle_ctes("episodes", "resolutions")}, {MEMORIES}, a AS (SELECT 'episodes' AS name, tenant_id, created_at FROM episodes WHERE CAST(substr(episode_id, 4) AS BIGINT) % 13 <> 0
+      UNION ALL SELECT 'memories', tenant_id, created_at FROM m UNION ALL SELECT 'resolutions', tenant_id, created_at FROM resolutions)
+      SELECT name, tenant_id, count(*) AS n, max({_t("created_at")}) AS last_at FROM a GROUP BY ALL""",
     "tenant_visible_subjects": f"{_E} SELECT DISTINCT subject_id FROM episodes WHERE tenant_id = 'globex' AND CAST(substr(subject_id, 6) AS BIGINT) % 5 > 1",
     "subject_ids": """WITH n AS (SELECT c_custkey, concat(CASE WHEN c_custkey % 3 = 0 THEN 'demo_web_' ELSE '' END, c_name, CASE WHEN c_custkey % 4 = 0 THEN ' x' ELSE '' END) AS s FROM customer)
       SELECT c_custkey, regexp_full_match(s, '[A-Za-z0-9_.:-]{1,128}') AS valid, concat(substr(regexp_replace(CASE WHEN starts_with(s, 'demo_web_') THEN 'imported-' || substr(s, 10) ELSE s END, '[^A-Za-z0-9_.:-]', '-', 'g'), 1, 119),
@@ -172,8 +191,8 @@ ORACLES = {
         CASE WHEN len(ls) <= 2 THEN coalesce(array_to_string(ls, ' → '), '') ELSE ls[1] || ' → ' || ls[-1] END AS note,
         regexp_replace(trim(regexp_replace(lower(trim(substr(text, 1, 30))), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g') AS slug,
         CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at)) / 86400e6) AS INT) AS days, CAST(len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS INT) AS approx FROM l""",
-    "session_firsts": f"""{oracle_ctes("episodes", "resolutions")}, u AS (SELECT *, min(CASE WHEN source IN ('user', 'chat') THEN created_at END) OVER (PARTITION BY subject_id, session_id) AS fu FROM episodes WHERE session_id IS NOT NULL),
-      f AS (SELECT subject_id, session_id, min(fu) AS fu, min(CASE WHEN source IN ('agent', 'system') AND created_at >= fu THEN created_at END) AS fa FROM u GROUP BY ALL),
-      o AS (SELECT subject_id, count(*) FILTER (status = 'open') AS n FROM resolutions GROUP BY ALL)
-      SELECT f.subject_id, count(*) AS sessions, count(fu) AS asked, count(fa) AS answered, any_value(o.n) AS "open" FROM f LEFT JOIN o USING (subject_id) GROUP BY f.subject_id""",
+    "session_firsts": f"""{oracle_ctes("episodes", "resolutions")}, u AS (SELECT *, min(CASE WHEN source IN ('user', 'chat') THEN created_at END) OVER (PARTITION BY sk, session_id) AS fu FROM episodes WHERE session_id IS NOT NULL),
+      f AS (SELECT tenant_id, subject_id, sk, session_id, min(fu) AS fu, min(CASE WHEN source IN ('agent', 'system') AND created_at >= fu THEN created_at END) AS fa FROM u GROUP BY ALL),
+      o AS (SELECT sk, count(*) FILTER (status = 'open') AS n FROM resolutions GROUP BY ALL)
+      SELECT f.tenant_id, f.subject_id, count(*) AS sessions, count(fu) AS asked, count(fa) AS answered, any_value(o.n) AS "open" FROM f LEFT JOIN o USING (sk) GROUP BY f.tenant_id, f.subject_id""",
 }

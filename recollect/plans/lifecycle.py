@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions.text import stamp
 from recollect.operators import documents, lifecycle
 from recollect.operators import compile as comp
+from recollect.operators.common import SUBJECT
 from recollect.plans.support import _M, _t
 from recollect.sources.adapters import AS_OF, EPISODES_SQL, _stamps, episodes, jobs, markdown, oracle_ctes, outbox, resolutions, whole_markdown
 from recollect.sources.scratch import scratch
@@ -24,12 +25,18 @@ def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _one_in_three(eps: DataFrame) -> DataFrame:
+    """Subjects to delete or seed anew: the operation's own argument."""
     n = F.substring("subject_id", 6, 20).cast("long")
-    return eps.select("subject_id").distinct().where(n % 3 == 0)
+    return eps.select(*SUBJECT).distinct().where(n % 3 == 0)
 
 
 def _every(eps: DataFrame) -> DataFrame:
-    return eps.select("subject_id").distinct()
+    return eps.select(*SUBJECT).distinct()
+
+
+def _named(prefix: str) -> Column:
+    """A new name for a tenant's subject."""
+    return F.concat(F.lit(prefix), F.coalesce("tenant_id", F.lit("")), F.lit("-"), "subject_id")
 
 
 def upsert_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +48,10 @@ def upsert_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("resolution_id", "session_id", "status", stamp(F.col("resolved_at")).alias("resolved_at"), stamp(F.col("created_at")).alias("created_at"))
 
 
-def _snapshots(spark: SparkSession, sf_dir: str, pick=_one_in_three):
+def _snapshots(spark: SparkSession, sf_dir: str):
     eps, mem = _both(spark, sf_dir)
     catalog = spark.createDataFrame([], "snapshot_id string, name string, version int, source_subject_id string, episode_count long, memory_count long, created_at timestamp")
-    requests = pick(eps).withColumn("name", F.concat(F.lit("base-"), F.substring("subject_id", -1, 1)))
+    requests = _every(eps).withColumn("name", F.concat(F.lit("base-"), F.substring("subject_id", -1, 1)))
     return lifecycle.create_snapshot(eps, mem, resolutions(spark, sf_dir), requests, catalog, AS_OF)
 
 
@@ -53,7 +60,7 @@ def create_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def create_snapshot_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _snapshots(spark, sf_dir, _every)[3].drop("created_at")
+    return create_snapshot(spark, sf_dir)
 
 
 def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +68,7 @@ def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_snapshot_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.latest_snapshot(create_snapshot_of_all(spark, sf_dir)).select("name", "version", "source_subject_id")
+    return latest_snapshot(spark, sf_dir)
 
 
 def restore_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +76,11 @@ def restore_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restore_snapshot_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _restored(*_snapshots(spark, sf_dir, _every))
+    return restore_snapshot(spark, sf_dir)
 
 
 def _restored(eps: DataFrame, mem: DataFrame, _: DataFrame, catalog: DataFrame) -> DataFrame:
-    requests = catalog.select("snapshot_id", F.concat(F.lit("live-"), "source_subject_id").alias("target_id"))
+    requests = catalog.select("snapshot_id", F.concat(F.lit("live-"), F.substring("snapshot_id", 1, 12)).alias("target_id"))
     e, m = lifecycle.restore_snapshot(eps, mem, requests, AS_OF)
     ids = e.select(F.col("episode_id").alias("source")).distinct()
     cites = m.select("subject_id", F.explode("source_episode_ids").alias("source")).join(ids, "source").groupBy("subject_id").agg(F.count("*").alias("cites"))
@@ -81,17 +88,13 @@ def _restored(eps: DataFrame, mem: DataFrame, _: DataFrame, catalog: DataFrame)
     return times.join(cites, "subject_id", "left")
 
 
-def clone_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cloned(spark, sf_dir, _one_in_three)
-
-
 def clone_all_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cloned(spark, sf_dir, _every)
+    return clone_subjects(spark, sf_dir)
 
 
-def _cloned(spark: SparkSession, sf_dir: str, pick) -> DataFrame:
+def clone_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     eps, mem = _both(spark, sf_dir)
-    targets = pick(eps).withColumn("target_id", F.concat(F.lit("copy-of-"), "subject_id"))
+    targets = _every(eps).withColumn("target_id", _named("copy-of-"))
     e, m = lifecycle.clone_subjects(eps, mem, targets, AS_OF)
     origin = F.get_json_object("provenance", "$.cloned_from_subject_id").alias("origin")
     one = e.select("subject_id", origin, F.lit(1).alias("e"), F.lit(0).alias("m"))
@@ -101,7 +104,7 @@ def _cloned(spark: SparkSession, sf_dir: str, pick) -> DataFrame:
 
 def export_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lifecycle.export_subjects(*_both(spark, sf_dir), AS_OF)
-    return rows.where("part = 1").select("subject_id", "format_version", "episode_count", "memory_count", "too_large")
+    return rows.where("part = 1").select(*SUBJECT, "format_version", "episode_count", "memory_count", "too_large", "document", "checksum")
 
 
 def verify_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,12 +115,12 @@ def verify_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         "document": F.when(n % 7 == 0, F.concat("document", F.lit(" "))).otherwise(F.col("document")),
         "format_version": F.when(n % 11 == 0, "other").otherwise(F.col("format_version")),
     })
-    return lifecycle.verify_export(rows).groupBy("subject_id").agg(F.min("problem").alias("problem"))
+    return lifecycle.verify_export(rows).groupBy(*SUBJECT).agg(F.min("problem").alias("problem"))
 
 
 def import_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lifecycle.export_subjects(*_both(spark, sf_dir), AS_OF)
-    targets = docs.where("part = 1").select("subject_id", F.concat(F.lit("in-"), "subject_id").alias("target_id"))
+    targets = docs.where("part = 1").select(*SUBJECT, _named("in-").alias("target_id"))
     e, m = lifecycle.import_payload(docs, targets, AS_OF, tenant_id="acme")
     a = e.groupBy("subject_id").agg(F.count("*").alias("episodes"), F.max(stamp(F.col("created_at"))).alias("last_at"))
     b = m.groupBy("subject_id").agg(F.count("*").alias("memories"), F.sum(F.size("source_episode_ids")).alias("cites"), F.max("tenant_id").alias("tenant_id"))
@@ -137,9 +140,9 @@ def pack_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reseed_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _packed(spark, sf_dir)
-    fresh = _one_in_three(rows).select("subject_id", F.lit("fresh").alias("episode_id"), F.lit('{"starter_pack_id":"demo"}').alias("metadata"))
+    fresh = _one_in_three(rows).select(*SUBJECT, F.lit("fresh").alias("episode_id"), F.lit('{"starter_pack_id":"demo"}').alias("metadata"))
     out = lifecycle.reseed_pack(rows, fresh, "demo")
-    return out.groupBy("subject_id").agg(F.count("*").alias("n"), F.count_if(F.col("episode_id") == "fresh").alias("fresh"))
+    return out.groupBy(*SUBJECT).agg(F.count("*").alias("n"), F.count_if(F.col("episode_id") == "fresh").alias("fresh"))
 
 
 def delete_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +152,7 @@ def delete_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def purge_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     eps, mem = _both(spark, sf_dir)
-    found = eps.where("tenant_id = 'acme'").select("subject_id").distinct()
+    found = eps.where("tenant_id = 'acme'").select(*SUBJECT).distinct()
     e, m = lifecycle.purge_subjects(found, found.count(), eps, mem)
     return e.agg(F.count("*").alias("episodes")).crossJoin(m.agg(F.count("*").alias("memories")))
 
@@ -168,7 +171,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of all of every text; chunk_documents sees 550 characters of each at most."""
+    """Sections of all of every text, with a long last one; chunk_documents cuts it at every line."""
     rows = documents.chunk_documents(whole_markdown(spark, sf_dir))
     return rows.select("doc_path", "section", "heading", "breadcrumb", "url", "content_hash")
 
@@ -227,14 +230,20 @@ def outbox_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = outbox(spark, sf_dir)
     due = streams.due_events(rows, "1997-01-01 00:00:00", most=None)
     n = F.substring("event_id", 6, 20).cast("long")
-    results = due.select("event_id", (n % 3 > 0).alias("ok"))
+    ok = n % 3 > 0
+    results = due.select("event_id", ok.alias("ok"), F.when(ok, 200).when(n % 3 == 0, F.when(n % 2 == 0, 503)).alias("http_status"), F.when(~ok, F.concat(F.lit("HTTP "), "event_id")).alias("error"))
     after = streams.outbox_advance(rows, results, "1997-01-01 00:00:00")
-    return after.groupBy("status", "attempts").agg(F.count("*").alias("n"), F.max(stamp(F.col("next_attempt_at"))).alias("last_next"))
+    return after.select(
+        "event_id", "status", "attempts", stamp(F.col("next_attempt_at")).alias("next_attempt_at"), stamp(F.col("last_attempt_at")).alias("last_attempt_at"),
+        stamp(F.col("delivered_at")).alias("delivered_at"), "last_error", "http_status",
+    )
 
 
 _E = oracle_ctes("episodes")
-_S = "s3 AS (SELECT DISTINCT subject_id FROM episodes WHERE CAST(substr(subject_id, 6) AS BIGINT) % 3 = 0)"
-_SNAP = f"""{_M}, {_S}, sn AS (SELECT subject_id, 'base-' || substr(subject_id, -1) AS name FROM s3), sv AS (SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY subject_id) AS INT) AS version FROM sn)"""
+_S = "s3 AS (SELECT DISTINCT tenant_id, subject_id, sk FROM episodes WHERE CAST(substr(subject_id, 6) AS BIGINT) % 3 = 0)"
+_ALL = "s3 AS (SELECT DISTINCT tenant_id, subject_id, sk FROM episodes)"
+_SNAP = f"""{_M}, {_ALL}, sn AS (SELECT *, 'base-' || substr(subject_id, -1) AS name FROM s3), sv AS (SELECT *, sha256(concat_ws('|', 'snapshot', name, CAST(version AS STRING), subject_id)) AS snapshot_id
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY subject_id, tenant_id NULLS FIRST) AS INT) AS version FROM sn))"""
 _PACKED = f"""{_E}, pk AS (SELECT *, n % 3 = 0 AND (n % 2 = 0 OR n % 6 = 3) AS owned, CASE WHEN n % 6 = 0 THEN CAST(n % 4 AS STRING) END AS version FROM (SELECT *, CAST(substr(episode_id, 4) AS BIGINT) AS n FROM episodes))"""
 _MD = f"""{oracle_ctes("markdown")}, ln AS (SELECT doc_path, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_path, string_split(text, chr(10)) AS ls FROM markdown)),
   fx AS (SELECT *, starts_with(trim(line), '```') AS fence FROM ln), fi AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_path ORDER BY pos) % 2 AS inside FROM fx),
@@ -242,7 +251,8 @@ _MD = f"""{oracle_ctes("markdown")}, ln AS (SELECT doc_path, unnest(ls) AS line,
   sc AS (SELECT *, sum((lv > 0)::INT) OVER (PARTITION BY doc_path ORDER BY pos) AS section, CASE WHEN lv > 0 THEN regexp_extract(line, '^(#{{1,3}})\\s+(.+?)\\s*$', 2) END AS title FROM hd),
   g AS (SELECT doc_path, section, max(title) AS heading, max(lv) AS lv, trim(string_agg(line, chr(10) ORDER BY pos) FILTER (lv = 0), chr(10) || chr(13) || chr(9) || ' ') AS text FROM sc
     WHERE section > 0 OR doc_path NOT IN (SELECT doc_path FROM sc WHERE section > 0) GROUP BY ALL),
-  h1 AS (SELECT *, (SELECT arg_max(p.heading, p.section) FROM g p WHERE p.doc_path = g.doc_path AND p.section < g.section AND p.lv = 1) AS parent FROM g)"""
+  h1 AS (SELECT *, last_value(CASE WHEN lv = 1 THEN heading END IGNORE NULLS) OVER w AS parent, last_value(CASE WHEN lv = 2 THEN heading END IGNORE NULLS) OVER w AS parent2 FROM g
+    WINDOW w AS (PARTITION BY doc_path ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 QUERIES = {
     f.__name__: f
@@ -256,35 +266,45 @@ QUERIES = {
 ORACLES = {
     "upsert_resolutions": f"""{oracle_ctes("episodes", "resolutions")} SELECT resolution_id, session_id, CASE status WHEN 'open' THEN 'resolved' ELSE status END AS status,
       CASE status WHEN 'open' THEN {_t(f"TIMESTAMP '{AS_OF}'")} ELSE {_t("resolved_at")} END AS resolved_at, {_t("created_at")} AS created_at FROM resolutions""",
-    "create_snapshot": f"""{_SNAP} SELECT sha256(concat_ws('|', 'snapshot', name, CAST(version AS STRING), subject_id)) AS snapshot_id, name, version, subject_id AS source_subject_id,
-      (SELECT count(*) FROM episodes e WHERE e.subject_id = sv.subject_id) AS episode_count, (SELECT count(*) FROM m WHERE m.subject_id = sv.subject_id) AS memory_count FROM sv""",
+    "create_snapshot": f"""{_SNAP} SELECT snapshot_id, name, version, subject_id AS source_subject_id,
+      (SELECT count(*) FROM episodes e WHERE e.sk = sv.sk) AS episode_count, (SELECT count(*) FROM m WHERE m.sk = sv.sk) AS memory_count FROM sv""",
     "latest_snapshot": f"{_SNAP} SELECT name, max(version) AS version, arg_max(subject_id, version) AS source_subject_id FROM sv GROUP BY ALL",
-    "restore_snapshot": f"""{_M}, {_S}, t AS (SELECT subject_id, count(*) AS n, min(created_at) AS lo, max(created_at) AS hi FROM episodes JOIN s3 USING (subject_id) GROUP BY ALL),
-      c AS (SELECT subject_id, count(*) AS n FROM m GROUP BY ALL) SELECT 'live-' || t.subject_id AS subject_id, t.n AS episodes, {_t(f"lo + (TIMESTAMP '{AS_OF}' - hi)")} AS first_at, {_t(f"TIMESTAMP '{AS_OF}'")} AS last_at, c.n AS cites
-      FROM t LEFT JOIN c USING (subject_id)""",
-    "clone_subjects": f"""{_M}, {_S} SELECT 'copy-of-' || subject_id AS subject_id, subject_id AS origin, (SELECT count(*) FROM episodes e WHERE e.subject_id = s3.subject_id) AS episodes,
-      (SELECT count(*) FROM m WHERE m.subject_id = s3.subject_id) AS memories FROM s3""",
-    "export_subjects": f"""{_M}, e AS (SELECT subject_id, count(*) AS n FROM episodes GROUP BY ALL), c AS (SELECT subject_id, count(*) AS n FROM m GROUP BY ALL)
-      SELECT subject_id, 'recollect-export-1' AS format_version, e.n AS episode_count, coalesce(c.n, 0) AS memory_count, false AS too_large FROM e LEFT JOIN c USING (subject_id)""",
-    "verify_export": f"""{_E} SELECT DISTINCT subject_id, CASE WHEN CAST(substr(subject_id, 6) AS BIGINT) % 11 = 0 THEN 'format' WHEN CAST(substr(subject_id, 6) AS BIGINT) % 7 = 0 THEN 'checksum' END AS problem FROM episodes""",
-    "import_payload": f"""{_M}, e AS (SELECT subject_id, count(*) AS n, {_t("max(created_at)")} AS hi FROM episodes GROUP BY ALL), c AS (SELECT subject_id, count(*) AS n FROM m GROUP BY ALL)
-      SELECT 'in-' || e.subject_id AS subject_id, e.n AS episodes, hi AS last_at, c.n AS memories, c.n AS cites, CASE WHEN c.n IS NOT NULL THEN 'acme' END AS tenant_id FROM e LEFT JOIN c USING (subject_id)""",
-    "pack_state": f"""{_PACKED} SELECT subject_id, count(*) AS total, count(*) FILTER (owned) AS owned, count(*) FILTER (NOT owned) AS operator_rows,
+    "restore_snapshot": f"""{_SNAP}, t AS (SELECT snapshot_id, sk, count(*) AS n, min(created_at) AS lo, max(created_at) AS hi FROM episodes JOIN sv USING (sk) GROUP BY ALL),
+      c AS (SELECT sk, count(*) AS n FROM m GROUP BY ALL) SELECT 'live-' || substr(snapshot_id, 1, 12) AS subject_id, t.n AS episodes, {_t(f"lo + (TIMESTAMP '{AS_OF}' - hi)")} AS first_at, {_t(f"TIMESTAMP '{AS_OF}'")} AS last_at, c.n AS cites
+      FROM t LEFT JOIN c USING (sk)""",
+    "clone_subjects": f"""{_M}, {_ALL} SELECT concat('copy-of-', coalesce(tenant_id, ''), '-', subject_id) AS subject_id, subject_id AS origin, (SELECT count(*) FROM episodes e WHERE e.sk = s3.sk) AS episodes,
+      (SELECT count(*) FROM m WHERE m.sk = s3.sk) AS memories FROM s3""",
+    "export_subjects": f"""{_M}, x AS (SELECT tenant_id, subject_id, 0 AS kind, created_at, episode_id AS id, concat('{{"episode_id":"', episode_id, '","source":"', source, '","type":"', type, '","payload":', to_json(payload),
+        ',"metadata":"{{}}","provenance":"{{}}","created_at":"', {_t("created_at")}, '"}}') AS row FROM episodes
+      UNION ALL SELECT tenant_id, subject_id, 1, created_at, memory_id, concat('{{"memory_id":"', memory_id, '","kind":"', kind, '","content":', to_json(content), ',"summary":', to_json(substr(content, 1, 200)), ',"confidence":', confidence,
+        ',"valid_from":"', {_t("created_at")}, '","source_episode_ids":["', episode_id, '"],"metadata":"{{}}","status":"active","created_at":"', {_t("created_at")}, '"}}') FROM m),
+      d AS (SELECT tenant_id, subject_id, count(*) FILTER (kind = 0) AS e, count(*) FILTER (kind = 1) AS m, concat('{{"episodes":[', coalesce(string_agg(row, ',' ORDER BY x.created_at, id) FILTER (kind = 0), ''),
+        '],"memories":[', coalesce(string_agg(row, ',' ORDER BY x.created_at, id) FILTER (kind = 1), ''), ']}}') AS document FROM x GROUP BY ALL)
+      SELECT tenant_id, subject_id, 'recollect-export-1' AS format_version, e AS episode_count, m AS memory_count, false AS too_large, document, sha256(document) AS checksum FROM d""",
+    "verify_export": f"""{_E} SELECT DISTINCT tenant_id, subject_id, CASE WHEN CAST(substr(subject_id, 6) AS BIGINT) % 11 = 0 THEN 'format' WHEN CAST(substr(subject_id, 6) AS BIGINT) % 7 = 0 THEN 'checksum' END AS problem FROM episodes""",
+    "import_payload": f"""{_M}, e AS (SELECT tenant_id, subject_id, sk, count(*) AS n, {_t("max(created_at)")} AS hi FROM episodes GROUP BY ALL), c AS (SELECT sk, count(*) AS n FROM m GROUP BY ALL)
+      SELECT concat('in-', coalesce(e.tenant_id, ''), '-', e.subject_id) AS subject_id, e.n AS episodes, hi AS last_at, c.n AS memories, c.n AS cites, CASE WHEN c.n IS NOT NULL THEN 'acme' END AS tenant_id FROM e LEFT JOIN c USING (sk)""",
+    "pack_state": f"""{_PACKED} SELECT tenant_id, subject_id, count(*) AS total, count(*) FILTER (owned) AS owned, count(*) FILTER (NOT owned) AS operator_rows,
       arg_max_null(version, created_at) FILTER (owned) AS version FROM pk GROUP BY ALL""",
-    "reseed_pack": f"""{_PACKED}, x AS (SELECT subject_id, CAST(substr(subject_id, 6) AS BIGINT) % 3 = 0 AS seeded, owned FROM pk)
-      SELECT subject_id, count(*) FILTER (NOT (seeded AND owned)) + max(seeded::INT) AS n, CAST(max(seeded::INT) AS BIGINT) AS fresh FROM x GROUP BY ALL""",
+    "reseed_pack": f"""{_PACKED}, x AS (SELECT tenant_id, subject_id, CAST(substr(subject_id, 6) AS BIGINT) % 3 = 0 AS seeded, owned FROM pk)
+      SELECT tenant_id, subject_id, count(*) FILTER (NOT (seeded AND owned)) + max(seeded::INT) AS n, CAST(max(seeded::INT) AS BIGINT) AS fresh FROM x GROUP BY ALL""",
     "delete_subject": f"{_E}, {_S} SELECT subject_id, count(*) AS n FROM episodes WHERE subject_id NOT IN (SELECT subject_id FROM s3) GROUP BY ALL",
     "purge_subjects": f"{_M} SELECT (SELECT count(*) FROM episodes WHERE tenant_id IS DISTINCT FROM 'acme') AS episodes, (SELECT count(*) FROM m WHERE tenant_id IS DISTINCT FROM 'acme') AS memories",
     "purge_jobs": f"""{oracle_ctes("jobs")} SELECT status, tenant_id, count(*) AS n FROM jobs WHERE NOT (status IN ('completed', 'failed') AND coalesce(tenant_id, '') = 'acme'
       AND created_at < TIMESTAMP '1995-12-25') GROUP BY ALL""",
     "purge_outbox": f"{oracle_ctes('outbox')} SELECT status, count(*) AS n FROM outbox WHERE status <> 'dead_letter' GROUP BY ALL",
-    "chunk_documents": f"""{_MD}, o AS (SELECT *, array_to_string(list_filter([CASE WHEN lv > 1 THEN parent END, heading], lambda x: x IS NOT NULL), ' › ') AS breadcrumb FROM h1 WHERE text <> '')
+    "chunk_documents": f"""{_MD}, o AS (SELECT *, array_to_string(list_filter([CASE WHEN lv > 1 THEN parent END, CASE WHEN lv > 2 THEN parent2 END, heading], lambda x: x IS NOT NULL), ' › ') AS breadcrumb FROM h1 WHERE text <> '')
       SELECT doc_path, CAST(section AS BIGINT) AS section, heading, breadcrumb, doc_path || coalesce('#' || regexp_replace(trim(regexp_replace(lower(trim(heading)), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g'), '') AS url,
       sha256(text) AS content_hash FROM o""",
     "write_pack_jsonl": f"{_M} SELECT kind, count(*) AS cites, count(DISTINCT episode_id) AS episodes FROM m GROUP BY ALL",
     "stream_compile": f"{_M.replace('WHERE rn <= 500 AND', 'WHERE')} SELECT memory_id, subject_id, kind, content FROM m",
     "minute_hits": """SELECT user_id % 7 AS key, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS hits, count(*) > 2 AS limited,
       CASE WHEN count(*) > 2 THEN CAST(greatest(1, 60 - second(max(ts))) AS INT) END AS retry_after FROM events GROUP BY user_id % 7, date_trunc('minute', ts)""",
+    "sliding_admission": """WITH RECURSIVE e AS (SELECT CAST(user_id % 7 AS BIGINT) AS key, CAST(event_id AS BIGINT) AS event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 7 ORDER BY epoch_us(ts), event_id) AS k FROM events),
+      r AS (SELECT key, 0::BIGINT AS k, NULL::BIGINT AS event_id, false AS admitted, []::BIGINT[] AS w FROM (SELECT DISTINCT key FROM e)
+        UNION ALL SELECT key, k, event_id, len(w) < 5, CASE WHEN len(w) < 5 THEN list_append(w, t) ELSE w END FROM
+          (SELECT e.key, e.k, e.event_id, e.t, list_filter(r.w, lambda v: v > e.t - 3600000000) AS w FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1))
+      SELECT key, event_id, admitted FROM r WHERE k > 0""",
     "health_alert_stream": """WITH s AS (SELECT 'user-' || user_id AS subject_id, CASE event_type WHEN 'error' THEN 'at_risk' WHEN 'view' THEN 'watch' ELSE 'healthy' END AS state, ts FROM events),
       l AS (SELECT *, lag(state) OVER (PARTITION BY subject_id ORDER BY ts) AS before FROM s),
       v AS (SELECT *, CASE state WHEN 'at_risk' THEN 2 WHEN 'watch' THEN 1 ELSE 0 END - CASE before WHEN 'at_risk' THEN 2 WHEN 'watch' THEN 1 ELSE 0 END AS worse FROM l)
@@ -292,14 +312,15 @@ ORACLES = {
       strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM v WHERE worse > 0 OR (worse < 0 AND before IS NOT NULL)""",
     "outbox_advance": f"""{oracle_ctes("outbox")}, d AS (SELECT *, status = 'pending' AND next_attempt_at <= TIMESTAMP '1997-01-01' AS due, CAST(substr(event_id, 6) AS BIGINT) % 3 > 0 AS ok FROM outbox),
       a AS (SELECT *, CASE WHEN NOT due THEN status WHEN ok THEN 'delivered' WHEN attempts + 1 >= max_attempts THEN 'dead_letter' ELSE 'pending' END AS st FROM d)
-      SELECT st AS status, attempts + due::INT AS attempts, count(*) AS n, max({_t("CASE WHEN due AND st = 'pending' THEN TIMESTAMP '1997-01-01' + INTERVAL 30 SECOND * CAST(4 ** attempts AS INT) ELSE next_attempt_at END")}) AS last_next FROM a GROUP BY ALL""",
+      SELECT event_id, st AS status, attempts + due::INT AS attempts, {_t("CASE WHEN due AND st = 'pending' THEN TIMESTAMP '1997-01-01' + INTERVAL 30 SECOND * CAST(4 ** attempts AS INT) ELSE next_attempt_at END")} AS next_attempt_at,
+        CASE WHEN due THEN {_t("TIMESTAMP '1997-01-01'")} END AS last_attempt_at, CASE WHEN due AND ok THEN {_t("TIMESTAMP '1997-01-01'")} END AS delivered_at, CASE WHEN due AND NOT ok THEN 'HTTP ' || event_id END AS last_error,
+        CASE WHEN NOT due THEN NULL WHEN ok THEN 200 WHEN CAST(substr(event_id, 6) AS BIGINT) % 2 = 0 THEN 503 END AS http_status FROM a""",
 }
 ORACLES["chunk_whole_documents"] = ORACLES["chunk_documents"].replace(
     oracle_ctes("markdown"), f"{oracle_ctes('whole_markdown')}, markdown AS (SELECT * FROM whole_markdown)"
 )
-_ALL = "s3 AS (SELECT DISTINCT subject_id FROM episodes)"
 for _whole, _part in (
     ("create_snapshot_of_all", "create_snapshot"), ("latest_snapshot_of_all", "latest_snapshot"), ("restore_snapshot_of_all", "restore_snapshot"),
     ("clone_all_subjects", "clone_subjects"),
 ):
-    ORACLES[_whole] = ORACLES[_part].replace(_S, _ALL)
+    ORACLES[_whole] = ORACLES[_part]

@@ -125,15 +125,15 @@ def _t(name: str) -> str:
 _SESSIONS = """capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, subject_id ORDER BY created_at, episode_id) AS rn
     FROM episodes) WHERE rn <= 500 AND session_id IS NOT NULL),
   fu AS (SELECT *, min(CASE WHEN source IN ('user', 'chat', 'support-chat', 'support_chat', 'customer', 'manual_input') THEN created_at END)
-    OVER (PARTITION BY subject_id, session_id) AS fu FROM capped),
-  f AS (SELECT tenant_id, subject_id, session_id, min(fu) AS fu, min(created_at) AS first_at,
+    OVER (PARTITION BY sk, session_id) AS fu FROM capped),
+  f AS (SELECT tenant_id, subject_id, sk, session_id, min(fu) AS fu, min(created_at) AS first_at,
     min(CASE WHEN source IN ('assistant', 'agent', 'system', 'tool', 'support', 'staff') AND (fu IS NULL OR created_at >= fu) THEN created_at END) AS fa
     FROM fu GROUP BY ALL),
   s AS (SELECT f.tenant_id, f.subject_id, f.session_id, coalesce(r.status, 'unknown') AS status, coalesce(fu, first_at) AS first_message_at,
     fa AS first_response_at, CASE WHEN fu IS NOT NULL THEN r.resolved_at END AS resolved_at,
     (epoch_us(fa) - epoch_us(fu)) / 1e6 AS frs, (epoch_us(r.resolved_at) - epoch_us(fu)) / 1e6 AS rs,
     CASE WHEN r.status = 'open' THEN (epoch_us(TIMESTAMP '{as_of}') - epoch_us(fu)) / 1e6 END AS od
-    FROM f LEFT JOIN resolutions r ON r.session_id = f.session_id AND r.subject_id = f.subject_id)""".format(as_of=AS_OF)
+    FROM f LEFT JOIN resolutions r ON r.session_id = f.session_id AND r.sk = f.sk)""".format(as_of=AS_OF)
 _ER = oracle_ctes("episodes", "resolutions")
 _SUBJECT_SLA = (
     _ER + ", " + _SESSIONS + """ SELECT tenant_id, subject_id, count(*) AS total_sessions,
@@ -165,49 +165,49 @@ MEMORIES = f"""{TEXTS}, recent AS (SELECT * FROM (SELECT *, row_number() OVER (P
       created_at, episode_id, 0 AS ordinal FROM recent
     UNION ALL SELECT tenant_id, subject_id, 'profile_fact', regexp_replace(regexp_replace(trim(fact), '\\.+$', ''), ',+$', ''), 0.6::DOUBLE,
       created_at, episode_id, ordinal FROM facts),
-  m AS (SELECT *, sha256(concat_ws('|', 'compile', episode_id, kind, ordinal)) AS memory_id FROM memories)"""
+  m AS (SELECT *, concat(coalesce(tenant_id, ''), '/', subject_id) AS sk, sha256(concat_ws('|', 'compile', episode_id, kind, ordinal)) AS memory_id FROM memories)"""
 
 _LOST = """tk AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda w: w <> '')) AS ws FROM m),
   lost AS (SELECT a.memory_id, arg_min((b.memory_id, b.created_at), (b.created_at, b.memory_id)) AS nx FROM tk a JOIN tk b
-    ON a.tenant_id IS NOT DISTINCT FROM b.tenant_id AND a.subject_id = b.subject_id AND a.kind = b.kind AND (a.created_at, a.memory_id) < (b.created_at, b.memory_id)
+    ON a.sk = b.sk AND a.kind = b.kind AND (a.created_at, a.memory_id) < (b.created_at, b.memory_id)
     AND 5 * len(list_intersect(a.ws, b.ws)) >= (CASE a.kind WHEN 'profile_fact' THEN 3 ELSE 4 END) * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))
     GROUP BY a.memory_id)"""
 
 _SIGNALS = """ep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, subject_id ORDER BY created_at, episode_id) AS rn FROM episodes) WHERE rn <= 200),
   re AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, subject_id ORDER BY updated_at DESC, resolution_id) AS rn FROM resolutions) WHERE rn <= 200),
-  hu AS (SELECT *, min(CASE WHEN source IN ('user', 'chat', 'support-chat') THEN created_at END) OVER (PARTITION BY subject_id, session_id) AS fu FROM ep WHERE session_id IS NOT NULL),
-  hs AS (SELECT subject_id, session_id, min(fu) AS fu, max(created_at) AS last_at,
+  hu AS (SELECT *, min(CASE WHEN source IN ('user', 'chat', 'support-chat') THEN created_at END) OVER (PARTITION BY sk, session_id) AS fu FROM ep WHERE session_id IS NOT NULL),
+  hs AS (SELECT sk, session_id, min(fu) AS fu, max(created_at) AS last_at,
     min(CASE WHEN source IN ('assistant', 'agent', 'system', 'tool') AND created_at >= fu THEN created_at END) AS fa FROM hu GROUP BY ALL),
   rs AS (SELECT r.*, fu, fa, last_at, CASE WHEN status = 'open' THEN floor((epoch_us(TIMESTAMP '{as_of}') - epoch_us(last_at)) / 86400e6) END AS idle
-    FROM re r LEFT JOIN hs USING (subject_id, session_id)),
-  wd AS (SELECT e.subject_id, r.status, json_extract_string(m, '$.content') AS c FROM ep e JOIN re r USING (subject_id, session_id),
+    FROM re r LEFT JOIN hs USING (sk, session_id)),
+  wd AS (SELECT e.sk, r.status, json_extract_string(m, '$.content') AS c FROM ep e JOIN re r USING (sk, session_id),
     unnest(CAST(json_extract(e.payload, '$.messages') AS JSON[])) AS u(m) WHERE json_exists(e.payload, '$.messages') AND r.status IN ('open', 'resolved')),
-  ww AS (SELECT subject_id, status, unnest(regexp_split_to_array(lower(c), '\\s+')) AS w FROM wd),
+  ww AS (SELECT sk, status, unnest(regexp_split_to_array(lower(c), '\\s+')) AS w FROM wd),
   wk AS (SELECT DISTINCT * FROM ww WHERE length(w) > 2 AND w NOT IN ('the','are','was','were','and','for','you','this','that','with')),
-  wn AS (SELECT subject_id, count(DISTINCT w) FILTER (status = 'open') AS o, count(DISTINCT w) FILTER (status = 'resolved') AS r,
-    count(*) - count(DISTINCT w) AS b FROM wk GROUP BY subject_id),
-  sg AS (SELECT e.tenant_id, e.subject_id, e.escalations, coalesce(total_sessions, 0) AS total_sessions, coalesce(open_sessions, 0) AS open_sessions,
+  wn AS (SELECT sk, count(DISTINCT w) FILTER (status = 'open') AS o, count(DISTINCT w) FILTER (status = 'resolved') AS r,
+    count(*) - count(DISTINCT w) AS b FROM wk GROUP BY sk),
+  sg AS (SELECT e.tenant_id, e.subject_id, e.sk, e.escalations, coalesce(total_sessions, 0) AS total_sessions, coalesce(open_sessions, 0) AS open_sessions,
       coalesce(resolved_sessions, 0) AS resolved_sessions, coalesce(recent, 0) AS recent, coalesce(breaches, 0) AS breaches,
-      coalesce(b / least(o, r) >= 0.3 AND least(o, r) > 0, false) AS repeated, idle_session, response
-    FROM (SELECT tenant_id, subject_id, count(*) FILTER (json_exists(payload, '$.messages') AND regexp_matches(lower(json_extract_string(payload, '$.messages[0].content') || ' ' || json_extract_string(payload, '$.messages[1].content')),
+      coalesce(b / least(o, r) >= 0.3 AND least(o, r) > 0, false) AS repeated, idle_session, idle_days, response
+    FROM (SELECT tenant_id, subject_id, sk, count(*) FILTER (json_exists(payload, '$.messages') AND regexp_matches(lower(json_extract_string(payload, '$.messages[0].content') || ' ' || json_extract_string(payload, '$.messages[1].content')),
         'urgent|critical|asap|emergency|escalat|broken|down|outage|blocker|p0|p1|sev1|sev2')) AS escalations FROM ep GROUP BY ALL) e
-    LEFT JOIN (SELECT subject_id, count(*) AS total_sessions, count(*) FILTER (status = 'open') AS open_sessions, count(*) FILTER (status = 'resolved') AS resolved_sessions,
+    LEFT JOIN (SELECT sk, count(*) AS total_sessions, count(*) FILTER (status = 'open') AS open_sessions, count(*) FILTER (status = 'resolved') AS resolved_sessions,
         count(*) FILTER (status = 'resolved' AND floor((epoch_us(TIMESTAMP '{as_of}') - epoch_us(resolved_at)) / 86400e6) <= 7) AS recent,
         count(*) FILTER (status = 'resolved' AND epoch_us(resolved_at) - epoch_us(fu) > 86400e6) AS breaches,
-        arg_max(session_id, updated_at) FILTER (idle >= 7) AS idle_session, avg((epoch_us(fa) - epoch_us(fu)) / 1e6) AS response FROM rs GROUP BY ALL) USING (subject_id)
-    LEFT JOIN wn USING (subject_id))""".format(as_of=AS_OF)
+        arg_max(session_id, updated_at) FILTER (idle >= 7) AS idle_session, CAST(arg_max(idle, updated_at) FILTER (idle >= 7) AS INT) AS idle_days, avg((epoch_us(fa) - epoch_us(fu)) / 1e6) AS response FROM rs GROUP BY ALL) USING (sk)
+    LEFT JOIN wn USING (sk))""".format(as_of=AS_OF)
 
 _HEALTH = """fx AS (SELECT *, CASE WHEN open_sessions > 0 THEN -least(open_sessions * 15, 45) END AS f1, CASE WHEN repeated THEN -20 END AS f2,
     CASE WHEN escalations > 0 THEN -least(escalations * 10, 20) END AS f3, CASE WHEN idle_session IS NOT NULL THEN -15 END AS f4,
     CASE WHEN recent > 0 THEN 10 END AS f5, CASE WHEN total_sessions >= 2 AND resolved_sessions / total_sessions >= 0.8 THEN 10 END AS f6,
     CASE WHEN breaches > 0 THEN -least(breaches * 10, 20) END AS f7, CASE WHEN response / 60 > 10 THEN -5 END AS f8 FROM sg),
-  hc AS (SELECT tenant_id, subject_id, CAST(greatest(0, least(100, 100 + coalesce(f1, 0) + coalesce(f2, 0) + coalesce(f3, 0) + coalesce(f4, 0)
+  hc AS (SELECT tenant_id, subject_id, sk, CAST(greatest(0, least(100, 100 + coalesce(f1, 0) + coalesce(f2, 0) + coalesce(f3, 0) + coalesce(f4, 0)
       + coalesce(f5, 0) + coalesce(f6, 0) + coalesce(f7, 0) + coalesce(f8, 0))) AS INT) AS score,
     concat_ws(',', 'unresolved_issues:' || f1, 'repeated_issues:' || f2, 'escalations:' || f3, 'idle_open_issue:' || f4, 'recent_resolution:' || f5,
       'high_resolution_rate:' || f6, 'sla_resolution_breaches:' || f7, 'slow_first_response:' || f8) AS factors FROM fx),
   h AS (SELECT *, CASE WHEN score >= 70 THEN 'healthy' WHEN score >= 40 THEN 'watch' ELSE 'at_risk' END AS state FROM hc),
-  cache AS (SELECT subject_id, CASE WHEN n % 3 = 1 THEN 'healthy' ELSE 'at_risk' END AS last_state
-    FROM (SELECT subject_id, CAST(substr(subject_id, 6) AS BIGINT) AS n FROM h) WHERE n % 3 > 0)"""
+  cache AS (SELECT sk, CASE WHEN n % 3 = 1 THEN 'healthy' ELSE 'at_risk' END AS last_state
+    FROM (SELECT sk, CAST(substr(subject_id, 6) AS BIGINT) AS n FROM h) WHERE n % 3 > 0)"""
 _H = f"{_ER}, {_SIGNALS}, {_HEALTH}"
 _M = f"{oracle_ctes('episodes')}, {MEMORIES}"
 
@@ -238,11 +238,11 @@ ORACLES = {
     "prompt_batches": f"""{oracle_ctes("episodes")}, {TEXTS}, l AS (SELECT tenant_id, subject_id, list(CAST(least(length(text), 4000) AS BIGINT) ORDER BY created_at, episode_id) AS ns
       FROM texts WHERE text <> '' GROUP BY ALL) SELECT tenant_id, subject_id,
       CAST(list_reduce(ns, lambda a, x: CASE WHEN a % 10000 + x <= 600 THEN a + x ELSE (a // 10000 + 1) * 10000 + x END) // 10000 + 1 AS INT) AS batches, len(ns) AS n FROM l""",
-    "health_signals": f"{_H} SELECT * REPLACE (round(response, 3) AS response) FROM sg",
+    "health_signals": f"{_H} SELECT * EXCLUDE (sk, idle_days) REPLACE (round(response, 3) AS response) FROM sg",
     "subject_health": f"{_H} SELECT tenant_id, subject_id, score, state, factors FROM h",
     "health_alerts": f"""{_H} SELECT tenant_id, subject_id, CASE WHEN sv > pv THEN 'subject.health_degraded' ELSE 'subject.health_improved' END AS event,
       coalesce(last_state, 'healthy') AS previous_state, state AS current_state, score FROM (SELECT h.*, last_state,
         CASE state WHEN 'at_risk' THEN 2 WHEN 'watch' THEN 1 ELSE 0 END AS sv, CASE last_state WHEN 'at_risk' THEN 2 WHEN 'watch' THEN 1 ELSE 0 END AS pv
-        FROM h LEFT JOIN cache USING (subject_id)) WHERE sv > pv OR (sv < pv AND last_state IS NOT NULL)""",
-    "health_distribution": f"{_H} SELECT coalesce(last_state, 'unknown') AS state, count(*) AS n FROM h LEFT JOIN cache USING (subject_id) GROUP BY ALL",
+        FROM h LEFT JOIN cache USING (sk)) WHERE sv > pv OR (sv < pv AND last_state IS NOT NULL)""",
+    "health_distribution": f"{_H} SELECT coalesce(last_state, 'unknown') AS state, count(*) AS n FROM h LEFT JOIN cache USING (sk) GROUP BY ALL",
 }

@@ -25,7 +25,7 @@ _BODY = """CASE event_type
   END"""
 
 EPISODES_SQL = f"""SELECT concat('ev-', CAST(event_id AS STRING)) AS episode_id,
-  CASE user_id % 3 WHEN 1 THEN 'acme' WHEN 2 THEN 'globex' END AS tenant_id,
+  CASE WHEN user_id % 5 = 0 AND event_id % 3 = 0 THEN 'initech' WHEN user_id % 3 = 1 THEN 'acme' WHEN user_id % 3 = 2 THEN 'globex' END AS tenant_id,
   concat('user-', CAST(user_id AS STRING)) AS subject_id,
   CASE WHEN event_id % 10 <> 0 THEN concat('s-', CAST(user_id AS STRING), '-',
     CAST(CAST(floor((dayofyear(ts) - 1) / 3) AS BIGINT) AS STRING)) END AS session_id,
@@ -42,7 +42,7 @@ EPISODES_SQL = f"""SELECT concat('ev-', CAST(event_id AS STRING)) AS episode_id,
   ts AS created_at
 FROM {{events}}"""
 
-RESOLUTIONS_SQL = """SELECT concat('res-', session_id) AS resolution_id, tenant_id, subject_id, session_id,
+RESOLUTIONS_SQL = """SELECT concat('res-', coalesce(tenant_id, ''), '-', session_id) AS resolution_id, tenant_id, subject_id, session_id,
   CASE k % 5 WHEN 0 THEN 'open' WHEN 4 THEN 'unresolved' ELSE 'resolved' END AS status,
   CASE WHEN k % 5 IN (1, 2) THEN 'Restarted the export job and cleared the cache' END AS resolution_summary,
   CASE WHEN k % 5 IN (1, 2, 3) THEN hi + INTERVAL '1' HOUR * (k % 30) END AS resolved_at,
@@ -66,12 +66,12 @@ OUTBOX_SQL = """SELECT concat('hook-', CAST(o_orderkey AS STRING)) AS event_id,
 FROM {orders}"""
 
 SECTIONS_SQL = """SELECT concat('doc-', CAST(doc_id AS STRING)) AS doc_path,
-  CASE doc_id % 5 WHEN 4 THEN substr(text, 1, 300) ELSE concat('lead in', chr(10), '# Guide ', CAST(doc_id % 17 AS STRING), chr(10),
-    substr(text, 1, 200), chr(10), '## Setup', chr(10), '```', chr(10), '# not a heading', chr(10), '```', chr(10),
-    substr(text, 201, 150), chr(10), '### Empty', chr(10), '## Use & Care', chr(10), substr(text, 351, 200), chr(10)) END AS text
+  CASE doc_id % 5 WHEN 4 THEN text ELSE concat('lead in', chr(10), '# Guide ', CAST(doc_id % 17 AS STRING), chr(10),
+    '## Setup', chr(10), '```', chr(10), '# not a heading', chr(10), '```', chr(10), '### Empty', chr(10), '## Use & Care', chr(10),
+    replace(text, chr(10), concat(chr(10), '### More', chr(10))), chr(10)) END AS text
 FROM {documents}"""
 
-#: As SECTIONS_SQL, but all of every text: the last section takes what the first ones leave.
+#: Other headings in the same texts: the last section takes what the first ones leave.
 WHOLE_SECTIONS_SQL = """SELECT concat('doc-', CAST(doc_id AS STRING)) AS doc_path,
   CASE doc_id % 5 WHEN 4 THEN text ELSE concat('lead in', chr(10), '# Guide ', CAST(doc_id % 17 AS STRING), chr(10),
     substr(text, 1, 200), chr(10), '## Setup', chr(10), '```', chr(10), '# not a heading', chr(10), '```', chr(10),
@@ -79,6 +79,7 @@ WHOLE_SECTIONS_SQL = """SELECT concat('doc-', CAST(doc_id AS STRING)) AS doc_pat
 FROM {documents}"""
 
 MEMORIES_SQL = """SELECT concat('mem-', CAST(e.vec_id AS STRING)) AS memory_id, concat('label-', CAST(e.label AS STRING)) AS subject_id,
+  CASE e.vec_id % 5 WHEN 1 THEN 'acme' WHEN 2 THEN 'acme' WHEN 3 THEN 'globex' END AS tenant_id,
   CASE e.vec_id % 4 WHEN 0 THEN 'profile_fact' WHEN 1 THEN 'procedure' ELSE 'episode_summary' END AS kind,
   CASE e.vec_id % 7 WHEN 3 THEN 'superseded' ELSE 'active' END AS status, e.embedding
 FROM {embeddings} AS e"""
@@ -132,4 +133,7 @@ def oracle_ctes(*names: str) -> str:
         "whole_markdown": WHOLE_SECTIONS_SQL.format(documents="documents"),
         "vectors": MEMORIES_SQL.format(embeddings="embeddings"),
     }
-    return "WITH " + ",\n".join(f"{n} AS ({made[n]})" for n in names)
+    keyed = ("episodes", "resolutions")  # sk names tenant and subject, so that null tenants join too
+    return "WITH " + ",\n".join(
+        f"{n} AS (SELECT *, concat(coalesce(tenant_id, ''), '/', subject_id) AS sk FROM ({made[n]}))" if n in keyed else f"{n} AS ({made[n]})" for n in names
+    )

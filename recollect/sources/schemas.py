@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.functions.text import strip
+
 EPISODES = (
     "episode_id string, tenant_id string, subject_id string, session_id string, source string, type string, "
     "payload string, metadata string, provenance string, created_at timestamp, last_compiled_at timestamp"
@@ -48,12 +50,12 @@ def read_jdbc(
 
 
 def _too_long(name: str, most: int) -> Column:
-    return F.coalesce(F.length(F.trim(name)) == 0, F.lit(True)) | (F.length(name) > most)
+    return F.coalesce(F.length(strip(F.col(name))) == 0, F.lit(True)) | (F.length(name) > most)
 
 
 def check_episodes(df: DataFrame) -> DataFrame:
     """Add `rejected`: why an incoming episode is invalid, else null; fill empty JSON columns."""
-    object_ = F.coalesce(F.trim("payload").startswith("{") & F.try_parse_json("payload").isNotNull(), F.lit(False))
+    object_ = F.coalesce(strip(F.col("payload")).startswith("{") & F.try_parse_json("payload").isNotNull(), F.lit(False))
     why = (
         F.when(_too_long("subject_id", MAX_SUBJECT), "subject_id")
         .when(_too_long("source", MAX_SOURCE), "source")

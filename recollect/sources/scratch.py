@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary one only where none is set."""
+    """A new path in the folder that spark.checkpoint.dir names; a temporary one only where none is set
+    and the master is local, for executors of a cluster do not share the driver's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="recollect-"))
         folder = spark.sparkContext.getCheckpointDir()
     return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write a table that several parts of a job read, once, and read it back; it survives lost executors."""
+    spark = df.sparkSession
+    path = scratch(spark, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -123,9 +123,17 @@ def due_events(outbox: DataFrame, as_of: str, most: int | None = 20) -> DataFram
 
 
 def outbox_advance(outbox: DataFrame, results: DataFrame, as_of: str, jitter: Column | float = 1.0) -> DataFrame:
-    """The outbox after attempts (event_id, ok, http_status, error): delivered, due again later, or given up."""
+    """The outbox after attempts (event_id, ok, http_status, error): delivered, due again later, or given up.
+
+    An attempt sets last_attempt_at and http_status (null where no answer came); delivered_at on success, last_error on failure, which
+    else stay. Columns that the outbox or the results lack count as null.
+    """
     now = F.lit(as_of).cast("timestamp")
-    rows = outbox.join(results, "event_id", "left")
+    for name, kind in (("last_attempt_at", "timestamp"), ("delivered_at", "timestamp"), ("last_error", "string"), ("http_status", "int")):
+        if name not in outbox.columns:
+            outbox = outbox.withColumn(name, F.lit(None).cast(kind))
+    of = lambda name, kind: (F.col(name) if name in results.columns else F.lit(None)).cast(kind).alias(f"_{name}")
+    rows = outbox.join(results.select("event_id", "ok", of("http_status", "int"), of("error", "string")), "event_id", "left")
     tried = F.col("ok").isNotNull()
     n = F.col("attempts") + 1
     wait = backoff_seconds(n) * (F.lit(jitter) if isinstance(jitter, float) else jitter)
@@ -135,7 +143,11 @@ def outbox_advance(outbox: DataFrame, results: DataFrame, as_of: str, jitter: Co
         "next_attempt_at": F.when(tried & (after == "pending"), later).otherwise(F.col("next_attempt_at")),
         "status": F.when(tried, after).otherwise(F.col("status")),
         "attempts": F.when(tried, n).otherwise(F.col("attempts")),
-    }).drop("ok")
+        "last_attempt_at": F.when(tried, now).otherwise(F.col("last_attempt_at")),
+        "http_status": F.when(tried, F.col("_http_status")).otherwise(F.col("http_status")),
+        "delivered_at": F.when(tried & F.col("ok"), now).otherwise(F.col("delivered_at")),
+        "last_error": F.when(tried & ~F.col("ok"), F.col("_error")).otherwise(F.col("last_error")),
+    }).drop("ok", "_http_status", "_error")
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
