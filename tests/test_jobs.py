@@ -54,6 +54,38 @@ def test_clean_summary(spark):
     assert one(spark, "user: a\n\nuser: b\nassistant: c", text.clean_summary) == "a → c"
 
 
+@pytest.mark.parametrize("fn", [text.strip, text.slugify, text.clean_summary])
+def test_all_white_space_is_trimmed(spark, fn):
+    assert one(spark, "\t\r\n  a b\u00a0\r\n", fn) == ("a-b" if fn is text.slugify else "a b")
+
+
+def test_outbox_records_attempts(spark):
+    rows = [(i, "pending", 0 if i < 3 else 1, 2, "old") for i in range(5)]
+    outbox = spark.createDataFrame([(f"e{i}", s, n, m, T0, T0, e) for i, s, n, m, e in rows], "event_id string, status string, attempts int, max_attempts int, created_at timestamp, next_attempt_at timestamp, last_error string")
+    results = spark.createDataFrame([("e0", True, 200, None), ("e1", False, 503, "HTTP 503"), ("e3", False, None, "timeout")], "event_id string, ok boolean, http_status int, error string")
+    got = {r["event_id"]: r for r in streams.outbox_advance(outbox, results, "2024-01-02 00:00:00").collect()}
+    assert [(got[f"e{i}"]["status"], got[f"e{i}"]["http_status"], got[f"e{i}"]["last_error"]) for i in range(5)] == [
+        ("delivered", 200, "old"), ("pending", 503, "HTTP 503"), ("pending", None, "old"), ("dead_letter", None, "timeout"), ("pending", None, "old"),
+    ]
+    assert [got[f"e{i}"]["last_attempt_at"] is not None for i in range(5)] == [True, True, False, True, False]
+    assert [got[f"e{i}"]["delivered_at"] is not None for i in range(5)] == [True, False, False, False, False]
+
+
+def test_a_missing_pack_is_empty(spark, tmp_path):
+    assert documents.read_pack_jsonl(spark, f"{tmp_path}/none.jsonl", documents.PACK_MEMORY).count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from recollect.sources import scratch
+
+    context_ = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context_)
+    with pytest.raises(ValueError):
+        scratch.scratch(session, "x")
+
+
 def test_tokens_split_on_unicode_space(spark):
     assert one(spark, " A b  B ", text.word_tokens) == ["a", "b"]
 
