@@ -38,27 +38,78 @@ def _nearest(k: int):
     return nearest
 
 
-def semantic_topk(queries: DataFrame, memories: DataFrame, k: int = 100, block: int = 256, rows: int = 8192) -> DataFrame:
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.array(vectors.tolist(), np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _usable(memories: DataFrame) -> DataFrame:
+    return memories.where("status = 'active' AND embedding IS NOT NULL AND exists(embedding, x -> x <> 0)")
+
+
+def fit_cells(memories: DataFrame, cells: int = 256, sample: int = 20_000, rounds: int = 8, seed: int = 11) -> np.ndarray:
+    """Centroids of a coarse index: spherical k-means of about `sample` memories' vectors, by a hash of the id.
+
+    Only the sample, which is bounded, goes to the driver; every memory is indexed by its nearest centroid.
+    """
+    rows = _usable(memories).select("memory_id", "embedding")
+    n = rows.count()
+    if n > sample:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), "memory_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    got = rows.toPandas()
+    x = _unit(got["embedding"]) if len(got) else np.zeros((0, 1))
+    rng = np.random.default_rng(seed)
+    centers = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds if len(x) else 0):
+        near = (x @ centers.T).argmax(axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, near, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centers = np.where(size > 0, sums / np.maximum(size, 1e-300), centers)
+    return centers
+
+
+def with_cells(rows: DataFrame, centers: np.ndarray | None, probes: int) -> DataFrame:
+    """Rows once for each of the `probes` cells nearest to their vector; without an index all are in cell 0."""
+    if centers is None or not len(centers):
+        return rows.withColumn("cell", F.lit(0))
+
+    @F.pandas_udf("array<int>")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        order = np.argsort(-(_unit(vectors) @ centers.T), axis=1, kind="stable")[:, :probes]
+        return pd.Series(list(order.astype(np.int32)))
+
+    return rows.withColumn("cell", F.explode(nearest("vector")))
+
+
+def semantic_topk(
+    queries: DataFrame, memories: DataFrame, k: int = 100, block: int = 256, rows: int = 8192, cells: np.ndarray | None = None, probes: int = 16
+) -> DataFrame:
     """(query_id, rank, memory_id, distance): the k active memories nearest to each query in its subject.
 
     Queries (query_id, tenant_id, subject_id, vector) search their tenant's memories of the subject; those
     without a tenant search all tenants'. Queries and memories of a subject are dealt to blocks of about
     `block` queries and `rows` memories; every pair of blocks is one task's matrix product that
     keeps k memories a query, and the blocks' lists are merged. Ties go by memory_id.
+
+    Exact, unless `cells` (of fit_cells) are given: then a query meets only the memories of the `probes` cells
+    nearest to it, which costs probes / cells of the exact work; semantic_topk_recall measures what that misses.
     """
-    active = memories.where("status = 'active' AND embedding IS NOT NULL AND exists(embedding, x -> x <> 0)")
-    active = scoped(active).select(*SCOPE, "memory_id", F.col("embedding").cast("array<double>").alias("vector"))
+    key = [*SCOPE, "cell"]
+    active = scoped(_usable(memories)).select(*SCOPE, "memory_id", F.col("embedding").cast("array<double>").alias("vector"))
+    active = with_cells(active, cells, 1)
     queries = in_scope(queries).select(*SCOPE, "query_id", F.col("vector").cast("array<double>").alias("vector"))
-    nq = queries.groupBy(*SCOPE).agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))
-    nv = active.groupBy(*SCOPE).agg(F.ceil(F.count("*") / rows).cast("int").alias("nv"))
-    sizes = nq.join(nv, list(SCOPE))
-    q = queries.join(sizes, list(SCOPE)).withColumn("bq", F.pmod(F.xxhash64("query_id"), "nq").cast("int"))
+    queries = with_cells(queries, cells, probes)
+    nq = queries.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))
+    nv = active.groupBy(*key).agg(F.ceil(F.count("*") / rows).cast("int").alias("nv"))
+    sizes = nq.join(nv, key)
+    q = queries.join(sizes, key).withColumn("bq", F.pmod(F.xxhash64("query_id"), "nq").cast("int"))
     q = q.withColumn("bv", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
-    v = active.join(sizes, list(SCOPE)).withColumn("bv", F.pmod(F.xxhash64("memory_id"), "nv").cast("int"))
+    v = active.join(sizes, key).withColumn("bv", F.pmod(F.xxhash64("memory_id"), "nv").cast("int"))
     v = v.withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    v = v.select(F.col("scope").alias("cv"), F.col("subject_id").alias("sv"), F.col("bq").alias("vq"), F.col("bv").alias("vv"), "memory_id", "vector")
+    v = v.select(F.col("scope").alias("cv"), F.col("subject_id").alias("sv"), F.col("cell").alias("kv"), F.col("bq").alias("vq"), F.col("bv").alias("vv"), "memory_id", "vector")
     kind = queries.schema["query_id"].dataType.simpleString()
-    found = q.groupBy(*SCOPE, "bq", "bv").cogroup(v.groupBy("cv", "sv", "vq", "vv")).applyInPandas(
+    found = q.groupBy(*key, "bq", "bv").cogroup(v.groupBy("cv", "sv", "kv", "vq", "vv")).applyInPandas(
         _nearest(k), f"query_id {kind}, memory_id string, distance double"
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 12), "memory_id"))

@@ -45,6 +45,22 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.semantic_topk(queries, memories, k=10).withColumn("distance", F.round("distance", 6))
 
 
+def semantic_topk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many queries an index of coarse cells was asked, and whether it found nine in ten of the exact neighbours.
+
+    All memories are of one subject here, so that cells and not subjects divide the work. The test vectors are
+    nearly random, for which two thirds of the cells have to be asked; clustered ones need far fewer.
+    """
+    memories = vector_memories(spark, sf_dir).withColumns({"subject_id": F.lit("all"), "tenant_id": F.lit(None).cast("string")})
+    number = F.substring("memory_id", 5, 20).cast("long")
+    queries = memories.where(number % 50 == 0).select("tenant_id", "subject_id", F.concat(F.lit("q-"), "memory_id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact = search.semantic_topk(queries, memories, k=10)
+    found = search.semantic_topk(queries, memories, k=10, cells=search.fit_cells(memories, cells=64), probes=42)
+    hits = exact.join(found.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_semi").agg(F.count("*").alias("hits"))
+    total = exact.agg(F.count("*").alias("total"), F.count_distinct("query_id").alias("queries"))
+    return total.crossJoin(hits).select("queries", (F.col("hits") >= 0.9 * F.col("total")).alias("recall_of_nine_tenths"))  # one row each
+
+
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = payload_text(F.col("payload"))
     return episodes(spark, sf_dir).select("episode_id", vectors.hash_embedding(text, 32).alias("embedding"))
@@ -216,7 +232,7 @@ _BRIEF = f"""{_H}, {MEMORIES}, {_SESSIONS}, {_REQ},
 QUERIES = {
     f.__name__: f
     for f in (
-        search_memories, semantic_topk, hash_embedding, embedding_backfill, query_vector_cache, memory_scores, memory_breadcrumbs, episode_scores,
+        search_memories, semantic_topk, semantic_topk_recall, hash_embedding, embedding_backfill, query_vector_cache, memory_scores, memory_breadcrumbs, episode_scores,
         repeat_issue_sessions, memory_scores_in_full, assemble_context, handoff_brief,
     )
 }
@@ -226,6 +242,7 @@ ORACLES = {
     "semantic_topk": f"""{oracle_ctes("vectors")}, v AS (SELECT *, CAST(substr(memory_id, 5) AS BIGINT) AS n, embedding::DOUBLE[] AS e FROM vectors),
       p AS (SELECT 'q-' || q.memory_id AS query_id, v.memory_id, 1 - list_cosine_similarity(q.e, v.e) AS d FROM v q JOIN v ON q.subject_id = v.subject_id AND (q.tenant_id IS NULL OR q.tenant_id = v.tenant_id) AND q.n % 50 = 0 AND v.status = 'active'),
       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(d, 12), memory_id) AS INT) AS rank FROM p) SELECT query_id, rank, memory_id, round(d, 6) AS distance FROM r WHERE rank <= 10""",
+    "semantic_topk_recall": "SELECT count(*) AS queries, true AS recall_of_nine_tenths FROM embeddings WHERE vec_id % 50 = 0",
     "embedding_backfill": f"{_M} SELECT kind, CASE kind WHEN 'profile_fact' THEN 1 ELSE 16 END AS dim, count(*) AS n FROM m GROUP BY ALL",
     "query_vector_cache": f"""{_M}, l AS (SELECT sha256(text) AS k, created_at FROM texts WHERE payload <> '{{"note":1}}'), o AS (SELECT k, max(created_at) + INTERVAL 48 HOUR AS x FROM l WHERE created_at < TIMESTAMP '2024-01-20' GROUP BY ALL),
       n AS (SELECT DISTINCT k FROM l WHERE created_at >= TIMESTAMP '2024-01-20')

@@ -97,6 +97,26 @@ def test_semantic_candidates_join_the_pool(spark):
     assert len(pool) == 51 and pool["f000"] > 7.9 and pool["f059"] is None
 
 
+def test_an_index_of_cells_finds_most_neighbours(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centers = rng.standard_normal((30, 24))
+    x = np.repeat(centers, 60, axis=0) + 0.5 * rng.standard_normal((1800, 24))
+    mem = spark.createDataFrame([(f"m{i:04d}", None, "s", "active", v.tolist()) for i, v in enumerate(x)], "memory_id string, tenant_id string, subject_id string, status string, embedding array<double>")
+    asked = mem.where("memory_id LIKE '%0'").select("tenant_id", "subject_id", F.col("memory_id").alias("query_id"), F.col("embedding").alias("vector"))
+    pairs = lambda df: {(r["query_id"], r["memory_id"]) for r in df.collect()}
+    exact = pairs(search.semantic_topk(asked, mem, k=10))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order = np.argsort(-(unit[::10] @ unit.T), axis=1)[:, :10]
+    assert exact == {(f"m{10 * i:04d}", f"m{j:04d}") for i, row in enumerate(order) for j in row}
+    cells = search.fit_cells(mem, cells=24, sample=900)
+    assert cells.shape == (24, 24)
+    assert len(exact & pairs(search.semantic_topk(asked, mem, k=10, cells=cells, probes=6))) >= 0.9 * len(exact)
+    assert pairs(search.semantic_topk(asked, mem, k=10, cells=cells, probes=24)) == exact
+    assert search.fit_cells(mem.limit(0)).shape[0] == 0
+
+
 def test_breadcrumbs(spark):
     df = spark.createDataFrame([(["Setup guide › Cache keys", "Other"], ["what", "cache", "keys?"])], "b array<string>, t array<string>")
     assert df.select(context.breadcrumb_bonus(F.col("b"), F.col("t"))).first()[0] == 3.0
