@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set and the master is
+    local, for executors of a cluster do not share the driver's folders."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="recollect-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -43,7 +47,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """Let few rows at a time go to Python: texts can be long, and a worker holds a batch."""
+    """Let few rows at a time go to Python: texts can be long, and a worker holds a batch.
+
+    Spark reads the setting when the plan runs, so it is left on the session; a smaller one stays.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= rows:
         conf.set(key, str(rows))
@@ -55,6 +62,14 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def free_name(df: DataFrame, name: str = "_helper") -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def with_position(df: DataFrame, order: list[Column], tag: str) -> tuple[DataFrame, int]:
     """Add `_pos`, the 0-based global position by `order`, and give the row count.
 
@@ -73,6 +88,28 @@ def with_position(df: DataFrame, order: list[Column], tag: str) -> tuple[DataFra
     return out.withColumn("_pos", F.col("_off") + index).drop("_part", "_n", "_off", "_mid"), total
 
 
+class Memo(dict):
+    """word -> make(word), kept for at most two generations of `most` words: words that come again
+    pass to the next one, so a vocabulary of any size keeps its frequent words."""
+
+    def __init__(self, most: int = 250_000):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def make(self, word: bytes):
+        raise NotImplementedError
+
+    def __missing__(self, word: bytes):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        self[word] = found
+        return found
+
+
 def utf8_words(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` of a text, as UTF-8 (bytes.split knows exactly these separators)."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

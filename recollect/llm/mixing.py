@@ -74,31 +74,23 @@ def sainte_lague(targets: DataFrame, blocks: int, shards: int = 1) -> DataFrame:
     return upto.select("ord", "shard", (F.col("_upto") - before).alias("quota")).where("quota > 0")
 
 
-def mix(
+def seeded_key(doc_id: Column, seed: int) -> Column:
+    """Place of a document in its source's stream: hexadecimal digits that depend on seed and id alone."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+
+
+def mixed(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
     share: float = 1.5,
     most: int = 2,
     blocks: int = 65_536,
+    shards: int = 8,
     seed: int = 7,
 ) -> DataFrame:
-    """How many words the mix takes of each document.
-
-    A source is a stream of its documents' words in seeded order (md5 of seed and id). It is cut
-    into blocks of equal tokens, the size such that `blocks` of them make the mix, or more where
-    a block would pass a hundredth of the least positive target (a word is the least block), so
-    that no source is lost and small ones come as near to their targets as large ones; the source's
-    quota of blocks is taken from the stream's start, going round up to `most` times. So a
-    document's `taken` is the overlap of its range with the taken part: only the document
-    at a source's last block is cut. A hot source is split over 4,096 ranges of the seeded order.
-
-    A null text has no words, a null source is a source, repeated rows are separate
-    documents, an empty table gives an empty result. Returns doc_id, source, size,
-    source_size, target, taken, quota (blocks of the source) and block_words.
-    """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_key"))
-    rows = rows.withColumn("_part", F.substring("_key", 1, 3))
+    """mix() with `_key`, `_whole` and `_part`: a row's text is taken `_whole` times, and `_part` words of it once more."""
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), seed).alias("_key"))
+    rows = rows.withColumn("_slice", F.substring("_key", 1, 3))
     rows = materialize(rows, "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = materialize(source_targets(sources, weights, share, most), "mix-sources")
@@ -106,34 +98,67 @@ def mix(
     wanted = wanted or 0.0
     block = max(1, min(-int(-wanted // blocks), int((least or 0.0) // 100)))
     seats = max(1, round(wanted / block))
-    quotas = sainte_lague(sources.select("ord", "target"), seats).select("ord", "quota")
+    quotas = sainte_lague(sources.select("ord", "target"), seats, shards).groupBy("ord").agg(
+        F.sum("quota").alias("quota"), F.map_from_entries(F.collect_list(F.struct("shard", "quota"))).alias("_of")
+    )
     sources = sources.join(quotas, "ord", "left").fillna({"quota": 0})
+    # _ends: how many blocks of the source's stream the shards up to each take.
+    each = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.coalesce(F.element_at("_of", s), F.lit(0)))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda n: F.aggregate(F.slice(each, F.lit(1), n), F.lit(0).cast("long"), lambda x, y: x + y))
     full = F.least(F.col("quota") * block, most * F.col("source_size"))
-    sources = materialize(sources.withColumn("_take", full), "mix-quotas")
+    sources = materialize(sources.withColumns({"_take": full, "_ends": ends}).drop("_of"), "mix-quotas")
 
-    parts = rows.groupBy("source", "_part").agg(F.sum("size").alias("_psize"))
-    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("source", "_slice").agg(F.sum("size").alias("_psize"))
+    before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_off", F.coalesce(F.sum("_psize").over(before), F.lit(0)))
     same = parts["source"].eqNullSafe(sources["source"])
     parts = parts.join(small_side(sources), same).drop(sources["source"])
     parts = materialize(parts, "mix-parts")
 
-    within = Window.partitionBy("source", "_part").orderBy("_key", "doc_id", "size")
+    within = Window.partitionBy("source", "_slice").orderBy("_key", "doc_id", "size")
     within = within.rowsBetween(Window.unboundedPreceding, -1)
     laid = rows.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    other = parts.withColumnsRenamed({"source": "_s", "_part": "_p"})
-    laid = laid.join(small_side(other), laid["source"].eqNullSafe(other["_s"]) & (laid["_part"] == other["_p"]))
+    other = parts.withColumnsRenamed({"source": "_s", "_slice": "_p"})
+    laid = laid.join(small_side(other), laid["source"].eqNullSafe(other["_s"]) & (laid["_slice"] == other["_p"]))
     start = F.col("_off") + F.col("_in")
     size, whole = F.col("size"), F.expr("CASE WHEN source_size > 0 THEN _take div source_size ELSE 0L END")
     rest = F.col("_take") - whole * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(start + size, rest) - start)
+    laid = laid.withColumns({"_whole": whole, "_part": part.cast("long"), "_block": F.expr(f"(_off + _in) div {block}L")})
+    taken = F.col("_whole") * size + F.col("_part")
+    shard = F.size(F.filter("_ends", lambda e: e <= F.col("_block"))).cast("int")
     return laid.select(
         "doc_id",
         "source",
         "size",
         "source_size",
         "target",
-        (whole * size + part).cast("long").alias("taken"),
+        taken.cast("long").alias("taken"),
         "quota",
         F.lit(block).cast("long").alias("block_words"),
+        F.when(taken > 0, F.least(shard, F.lit(shards - 1))).alias("shard"),
+        "_key",
+        "_whole",
+        "_part",
     )
+
+
+def mix(docs: DataFrame, **mixing) -> DataFrame:
+    """How many words the mix takes of each document, and for which shard first.
+
+    A source is a stream of its documents' words in seeded order (md5 of seed and id). It is cut
+    into blocks of equal tokens, the size such that `blocks` of them make the mix, or more where
+    a block would pass a hundredth of the least positive target (a word is the least block), so
+    that no source is lost and small ones come as near to their targets as large ones. The seats
+    that a source wins are dealt to `shards` in order of their quotients, so each shard has an integer
+    quota of every source; a shard's blocks are the next ones of the seeded stream, going round up to
+    `most` times. So a document's `taken` is the overlap of its range with the taken part: only
+    the document at a source's last block is cut. A hot source is split over 4,096 ranges of the
+    seeded order.
+
+    A null text has no words, a null source is a source, repeated rows are separate
+    documents, an empty table gives an empty result. Returns doc_id, source, size,
+    source_size, target, taken, quota (blocks of the source), block_words and shard (the one that
+    takes its first word; null if nothing is taken).
+    """
+    return mixed(docs, **mixing).drop("_key", "_whole", "_part")

@@ -27,6 +27,7 @@ OP8 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coal
   nodes AS (SELECT doc_id AS id FROM documents), {_COMPONENTS}
   SELECT doc_id, len(ss) AS n_shingles, component_id, doc_id = component_id AS kept FROM l JOIN c ON c.x = l.doc_id"""
 
+ENDS = ", ".join(f"count(*) FILTER (shard <= {s})" for s in range(8))
 OP9 = rf"""WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
   s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, row_number() OVER (ORDER BY source NULLS LAST) AS ord FROM z GROUP BY source),
   w AS (SELECT *, [3, 1, 2][(ord - 1) % 3 + 1] AS weight, 2 * ss AS cap FROM s),
@@ -35,9 +36,11 @@ OP9 = rf"""WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(tex
   t AS (SELECT source, ss, ord, coalesce(least(cap::DOUBLE, (SELECT arg_min(level, (own, ord)) FROM l WHERE level <= own) * weight), cap::DOUBLE) AS target FROM l),
   b AS (SELECT greatest(1, CAST(ceil(sum(target) / 65536) AS BIGINT)) AS block, sum(target) AS wanted, count(*) FILTER (target > 0) AS live FROM t),
   q AS (SELECT ord, target / (2 * unnest(generate_series(1, CAST(ceil(target * (round(wanted / block) + live / 2) / wanted + 0.5) AS BIGINT))) - 1) AS q FROM t, b WHERE target > 0),
-  r AS (SELECT ord, count(*) AS quota FROM (SELECT ord, row_number() OVER (ORDER BY q DESC, ord) AS n FROM q) WHERE n <= (SELECT greatest(1, round(wanted / block)) FROM b) GROUP BY ord),
-  u AS (SELECT t.*, coalesce(quota, 0) AS quota, block, least(coalesce(quota, 0) * block, 2 * ss) AS take FROM t LEFT JOIN r USING (ord), b),
+  seats AS (SELECT CAST(greatest(1, round(wanted / block)) AS BIGINT) AS seats FROM b),
+  won AS (SELECT ord, (n - 1) * 8 // seats AS shard FROM (SELECT ord, row_number() OVER (ORDER BY q DESC, ord) AS n FROM q), seats WHERE n <= seats),
+  r AS (SELECT ord, count(*) AS quota, [{ENDS}] AS ends FROM won GROUP BY ord),
+  u AS (SELECT t.*, coalesce(quota, 0) AS quota, ends, block, least(coalesce(quota, 0) * block, 2 * ss) AS take FROM t LEFT JOIN r USING (ord), b),
   d AS (SELECT z.*, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM z),
   x AS (SELECT d.*, u.* EXCLUDE (source), CASE WHEN ss > 0 THEN take // ss ELSE 0 END AS whole FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
   SELECT doc_id, source, size, ss AS source_size, target, CAST(whole * size + greatest(0, least(start + size, take - whole * ss) - start) AS BIGINT) AS taken,
-    quota, block AS block_words FROM x"""
+    quota, block AS block_words, CAST(CASE WHEN taken > 0 THEN least(7, len(list_filter(ends, lambda e: e <= start // block))) END AS INTEGER) AS shard FROM x"""
