@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,17 +44,31 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """Let few rows at a time go to Python: texts can be long, and a worker holds a batch.
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again. What was made of them has been written itself."""
+    for df in tables:
+        path, context = getattr(df, "scratch", None), getattr(df.sparkSession, "sparkContext", None)
+        if path and context:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
-    Spark reads the setting when the plan runs, so it is left on the session; a smaller one stays.
+
+def small_batches(df: DataFrame, rows: int = 512, size: int = 1 << 24) -> DataFrame:
+    """Let few rows, and few bytes, at a time go to Python: texts can be long, and a worker holds a batch.
+
+    Spark reads the settings when the plan runs, so they are left on the session; smaller ones stay.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, str(rows))
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = conf.get(key, None) or "-1"
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(key, str(most))
     return df
 
 
@@ -62,6 +77,11 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often and deep body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def free_name(df: DataFrame, name: str = "_helper") -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}

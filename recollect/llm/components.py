@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import materialize
+from recollect.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every node of edges (a, b); component is the least id reachable.
 
     Nulls and loops are ignored; an empty edge table gives an empty result. Every round is
-    written to the shared folder, so a lost executor costs one round at most.
+    written to the shared folder, so a lost executor costs one round at most, and the one before is deleted.
     """
     edges = edges.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
@@ -45,8 +45,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        edges = materialize(_star(_star(edges, True), False), "components")
+        old, edges = edges, materialize(_star(_star(edges, True), False), "components")
         before, state = state, _state(edges)
+        discard(old)
         if before == state:
             break
     else:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import materialize, small_batches, small_side, utf8_words
+from recollect.llm.common import discard, materialize, small_batches, small_side, utf8_words
 from recollect.llm.components import connected_components
 
 
@@ -358,7 +358,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     joined = pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-    return materialize(joined.mapInPandas(_checker(p), "a long, b long"), "sketch-links")
+    links = materialize(joined.mapInPandas(_checker(p), "a long, b long"), "sketch-links")
+    discard(needed, texts)
+    return links
 
 
 def _extended(
@@ -412,12 +414,13 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     keys = [F.xxhash64(F.lit(i), F.substring("regs", 1 + width * i, width)) for i in range(p.bands)]
     bands = reps.select("rep", F.posexplode(F.array(*keys)).alias("band", "key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = materialize(bands.join(sizes, "key"), "sketch-buckets")
+    buckets = members = materialize(bands.join(sizes, "key"), "sketch-buckets")
     # Original texts share more bands with their copies than the copies with each other.
     degrees = members.groupBy("rep").agg(F.sum("c").alias("degree"))
     members = members.join(degrees, "rep")
     pivots = members.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("pivot"))
     members = materialize(members.join(pivots, "key"), "sketch-members")
+    discard(buckets)
 
     side = reps.select("rep", "n", "regs")
     sa = side.withColumnsRenamed({"rep": "a", "n": "na", "regs": "ra"})
@@ -435,9 +438,11 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     components = materialize(connected_components(links), "sketch-components")
     rest = _with_component(_with_component(stars, "a", components, "ca"), "b", components, "cb")
     rest = rest.where("ca <> cb").select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
-    links, components = _extended(links, components, materialize(rest, "sketch-rest"), docs, p)
+    rest = materialize(rest, "sketch-rest")
+    links, components = _extended(links, components, rest, docs, p)
 
     placed = materialize(_with_component(members, "rep", components, "comp"), "sketch-placed")
+    discard(members, stars, best, rest)
     shares = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
     main = shares.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("c"), F.max("m").alias("m"))
     px, py = F.ceil((F.col("c") - F.col("m")) / p.block).cast("int"), F.ceil(F.col("c") / p.block).cast("int")
@@ -465,6 +470,8 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
         more = materialize(texted.groupBy(deal).applyInPandas(_linker(p), "a long, b long"), "sketch-across")
         if more.limit(1).count():
             components = materialize(connected_components(links.union(more)), "sketch-components")
+        discard(needed, more)
+    discard(placed, main, flagged)
 
     classes = _with_component(reps.select("digest", "rep"), "rep", components, "comp").select("digest", "comp")
     out = sketches.select("doc_id", "n", "digest").join(classes, "digest", "left")
