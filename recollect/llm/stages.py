@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import WORD, free_name, materialize, small_side, with_position
+from recollect.llm.common import WORD, discard, free_name, let, materialize, small_side, with_position
 from recollect.llm.mixing import mixed, n_words, seeded_key
 from recollect.llm.setsketch import Params, near_duplicates
 
@@ -45,17 +45,17 @@ def repeat_by_mix(docs: DataFrame, seed: int = 7, **mixing) -> DataFrame:
         F.count("*").alias("rows"), F.count_if(F.col("_part") == F.col("size")).alias("full"),
         F.max(F.when(F.col("_part") < F.col("size"), F.col("_part"))).alias("cut"),
     ).withColumnRenamed("of", "_of")
-    bounds = materialize(bounds.join(there, bounds["of"].eqNullSafe(there["_of"]), "left").drop("_of"), "stage-last")
+    first, bounds = bounds, materialize(bounds.join(there, bounds["of"].eqNullSafe(there["_of"]), "left").drop("_of"), "stage-last")
+    discard(taken, first)
 
     columns, name = docs.columns, free_name(docs)
     side = bounds.select(F.struct("of", "whole", "last", "rows", "full", "cut").alias(name))
     rows = docs.join(small_side(side), docs["source"].eqNullSafe(side[f"{name}.of"]))
     at = F.struct(seeded_key(F.col("doc_id"), seed).alias("_key"), n_words(F.col("text")).alias("size"))
-    rows = rows.withColumn(name, F.struct(f"{name}.*", at.alias("at"), F.lit(0).cast("long").alias("rank")))
-    rows = rows.where(F.col(name)["at"]["size"] > 0)
+    rows = rows.withColumn(name, F.struct(f"{name}.*", F.lit(0).cast("long").alias("rank")))
     m = F.col(name)
     if bounds.where("rows > 1").limit(1).count():
-        tied = F.coalesce((m["rows"] > 1) & (m["at"] == m["last"]), F.lit(False))
+        tied = F.coalesce((m["rows"] > 1) & (at == m["last"]), F.lit(False))
         ranked = rows.where(tied).select(
             F.struct("*").alias("_row"), m["of"].alias("_of"), F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_id")
         )
@@ -66,14 +66,17 @@ def repeat_by_mix(docs: DataFrame, seed: int = 7, **mixing) -> DataFrame:
         rank = m.withField("rank", F.col("_rank"))
         placed = placed.select("_row.*", (F.col("_pos") - F.col("_first")).alias("_rank")).withColumn(name, rank)
         rows = rows.where(~tied).unionByName(placed.select(rows.columns))
-    before = F.coalesce(m["at"] < m["last"], F.lit(False))
-    here = F.coalesce(m["at"] == m["last"], F.lit(False))
-    whole = m["whole"] + F.when(before | (here & (m["rank"] < m["full"])), 1).otherwise(0)
-    rest = F.when(here & (m["rank"] == m["full"]), F.coalesce(m["cut"], F.lit(0))).otherwise(0)
-    rows = rows.withColumn(name, F.concat(
-        F.array_repeat(F.lit(0).cast("long"), whole.cast("int")),
-        F.when(rest > 0, F.array(rest.cast("long"))).otherwise(F.array().cast("array<bigint>")),
-    ))
+    none = F.array().cast("array<bigint>")
+
+    def copies(a: Column) -> Column:
+        """0 for each whole copy of a text, then the words of a cut one."""
+        before, here = F.coalesce(a < m["last"], F.lit(False)), F.coalesce(a == m["last"], F.lit(False))
+        whole = m["whole"] + F.when(before | (here & (m["rank"] < m["full"])), 1).otherwise(0)
+        rest = F.when(here & (m["rank"] == m["full"]), F.coalesce(m["cut"], F.lit(0))).otherwise(0)
+        cut = F.when(rest > 0, F.array(rest.cast("long"))).otherwise(none)
+        return F.when(a["size"] > 0, F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), cut)).otherwise(none)
+
+    rows = rows.withColumn(name, let(at, copies))  # the words of a text are counted once
     rows = rows.withColumn(name, F.explode(name))
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col(name).cast("int"))
     rows = rows.withColumn("text", F.when(F.col(name) > 0, F.array_join(words, " ")).otherwise(F.col("text")))
