@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from recollect.llm.common import materialize, small_side
+from recollect.llm.common import let, materialize, with_position
 
 GRAM = 3  # words hashed together
 SPAN = 8  # grams of a window: any match of GRAM + SPAN - 1 words is found
@@ -16,11 +13,6 @@ TOKEN = r"[^\x20\x09-\x0D]{1,16}"  # a word; long runs, as of scripts without sp
 LOW32 = (1 << 32) - 1
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once, however often and deep body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _packed(h: Column, at: Column) -> Column:
     """31 bits of hash over the position counted down: the least one has the rightmost tie."""
     high = F.shiftleft(F.shiftrightunsigned(h, 33), 32)
@@ -82,26 +74,13 @@ def likeness(a: Column, b: Column) -> Column:
 def with_previous(ids: DataFrame) -> DataFrame:
     """(doc_id, pred_id, pred_n) of distinct (doc_id, n): who comes before each, the last before the first.
 
-    Ids are windowed in runs of 1,024 and the runs' last ones in runs of runs, so no window
-    over all documents is needed.
+    Ids are laid out in sorted ranges and met by position, so ids may lie close or be spread over
+    all of 64 bits, and no window takes all documents.
     """
-    first, second = F.shiftright("doc_id", 10), F.shiftright("doc_id", 20)
-    rows = ids.withColumns({"_r1": first, "_r2": second})
-    last = F.struct(F.col("doc_id").alias("id"), F.col("n").alias("n"))
-    runs = materialize(rows.groupBy("_r1", "_r2").agg(F.max(last).alias("_last")), "winnow-runs")
-    tops = runs.groupBy("_r2").agg(F.max("_last").alias("_top"))
-    final = runs.agg(F.max("_last").alias("_final"))
-    tops = tops.crossJoin(F.broadcast(final))  # one row
-    before = F.lag("_top").over(Window.orderBy("_r2"))
-    tops = tops.select("_r2", F.coalesce(before, F.col("_final")).alias("_before"))
-    tops = materialize(tops, "winnow-tops")
-    inner = F.lag("_last").over(Window.partitionBy("_r2").orderBy("_r1"))
-    runs = runs.withColumn("_lag", inner).join(small_side(tops), "_r2")
-    runs = materialize(runs.select("_r1", F.coalesce("_lag", "_before").alias("_before")), "winnow-before")
-    own = F.lag(last).over(Window.partitionBy("_r1").orderBy("doc_id"))
-    rows = rows.withColumn("_own", own).join(small_side(runs), "_r1")
-    rows = rows.withColumn("_pred", F.coalesce("_own", "_before"))
-    return rows.select("doc_id", F.col("_pred.id").alias("pred_id"), F.col("_pred.n").alias("pred_n"))
+    placed, total = with_position(ids, [F.col("doc_id")], "winnow-order")
+    after = F.pmod(F.col("_pos") + 1, F.lit(max(1, total)))
+    before = placed.select(after.alias("_pos"), F.col("doc_id").alias("pred_id"), F.col("n").alias("pred_n"))
+    return placed.join(before, "_pos").select("doc_id", "pred_id", "pred_n")
 
 
 def fingerprints(docs: DataFrame, k: int = GRAM, w: int = SPAN) -> DataFrame:
@@ -128,13 +107,15 @@ def edit_trial(docs: DataFrame, k: int = GRAM, w: int = SPAN) -> DataFrame:
     ids = materialize(ids, "winnow-ids")
     order = materialize(with_previous(ids.select("doc_id", "n")), "winnow-order")
 
-    # Both joins deal the same rows by the same key, so Spark shuffles the texts once.
+    # Both joins deal the same rows by the same key, so Spark shuffles the texts once, and each
+    # text's grams, chosen where it is read, with it.
+    docs = docs.withColumn("_a", winnow(F.col("text"), k, w))
     named = docs.where("doc_id IS NOT NULL")
     given = named.join(order.hint("shuffle_hash"), "doc_id")
     given = given.select(
         F.col("pred_id").alias("doc_id"),
         F.expr("left(text, int(pred_n div 4))").alias("_prefix"),
-        hashes(winnow(F.col("text"), k, w)).alias("_next"),
+        hashes(F.col("_a")).alias("_next"),
     )
     if ids.where("rows > 1").limit(1).count():
         given = given.groupBy("doc_id").agg(F.min(F.struct("_prefix", "_next")).alias("_g")).select("doc_id", "_g.*")
@@ -146,8 +127,8 @@ def edit_trial(docs: DataFrame, k: int = GRAM, w: int = SPAN) -> DataFrame:
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     rows = rows.withColumn("_q", F.expr("int(n_chars div 4)"))
     edited = F.expr("concat(left(text, int(n_chars) - _q), left(coalesce(_prefix, ''), _q))")
-    rows = rows.select("doc_id", "n_chars", "text", "_next", edited.alias("_edited"))
-    rows = rows.withColumns({"_a": winnow(F.col("text"), k, w), "_b": winnow(F.col("_edited"), k, w)})
+    rows = rows.select("doc_id", "n_chars", "_a", "_next", edited.alias("_edited"))
+    rows = rows.withColumn("_b", winnow(F.col("_edited"), k, w))
     rows = rows.withColumns({"_ha": hashes(F.col("_a")), "_hb": hashes(F.col("_b"))})
     after = F.coalesce(F.col("_next"), F.array().cast("array<int>"))
     return rows.select(
