@@ -20,7 +20,7 @@ class Plan:
     """What the codes of one corpus look like; every figure follows from its size and width."""
 
     dim: int
-    bits: int  # of a band; a bucket holds about 32 vectors that are unlike
+    bits: int  # of a band; a bucket holds about 32 vectors that are unlike, more beyond 2**23 vectors
     bands: int
     cosine: float
     miss: float = 1e-5  # of a pair right at the threshold, over all bands
@@ -29,8 +29,10 @@ class Plan:
     block: int = 1024
 
     @classmethod
-    def of(cls, n: int, dim: int, cosine: float) -> Plan:
-        bits = max(4, round(math.log2(max(2, n))) - 5)
+    def of(cls, n: int, dim: int, cosine: float, most_bits: int = 18) -> Plan:
+        """Bits grow with the number of vectors up to most_bits, and with them the number of bands and of
+        a vector's copies: 188 at most for a cosine of 0.9. Beyond that buckets grow, and are split."""
+        bits = min(most_bits, max(4, round(math.log2(max(2, n))) - 5))
         hit = (1 - math.acos(cosine) / math.pi) ** bits
         return cls(dim, bits, math.ceil(math.log(cls.miss) / math.log1p(-hit)), cosine)
 
@@ -69,13 +71,11 @@ def _coder(plan: Plan, full: bool):
                 y = y[:, : plan.dim]
                 factor = np.abs(y).sum(axis=1) / math.sqrt(plan.dim)
                 scale = np.abs(y).max(axis=1)
-                query = np.round(y / scale[:, None] * 127).astype(np.int8)
-                sign = np.packbits(y > 0, axis=1)
+                query = np.round(y / scale[:, None] * 127).astype(np.int8).view(np.uint8)
+                codes = np.hstack([np.packbits(y > 0, axis=1), query])
                 numbers = {"rep": part["rep"].to_numpy(), "factor": factor, "scale": scale}
-                binary = {"keys": keys, "sign": sign, "query": query}
                 out = pd.DataFrame({k: np.repeat(v, plan.bands) for k, v in numbers.items()}).assign(key=ids.ravel())
-                for k, v in binary.items():
-                    out[k] = pd.Series([r.tobytes() for r in v], dtype=object).repeat(plan.bands).to_numpy()
+                out["code"] = pd.Series([r.tobytes() for r in codes], dtype=object).repeat(plan.bands).to_numpy()
                 yield out
 
     return code
@@ -109,15 +109,15 @@ def _estimator(plan: Plan):
 
     def estimate(g: pd.DataFrame) -> pd.DataFrame:
         g, cuts = _segments(g)
-        n = len(g)
-        keys = np.frombuffer(b"".join(g["keys"]), "<u4").reshape(n, -1)
-        sign = np.unpackbits(np.frombuffer(b"".join(g["sign"]), np.uint8).reshape(n, -1), axis=1)[:, : plan.dim]
+        n, width = len(g), -(-plan.dim // 8)
+        code = np.frombuffer(b"".join(g["code"]), np.uint8).reshape(n, -1)
+        sign = np.unpackbits(code[:, :width], axis=1)[:, : plan.dim]
         sign = ((sign.astype(np.float32) * 2 - 1) / math.sqrt(plan.dim)).astype(np.float32)
-        query = np.frombuffer(b"".join(g["query"]), np.int8).reshape(n, -1).astype(np.float32)
+        query = code[:, width:].view(np.int8).astype(np.float32)
         query *= (g["scale"].to_numpy(np.float32) / 127)[:, None]
         factor = g["factor"].to_numpy(np.float32)
         bound = spread * np.sqrt(np.maximum(1 - factor**2, 0)) / factor
-        band, own, across = (g["key"].to_numpy() >> 32), g["block"].to_numpy(), (g["bi"] != g["bj"]).to_numpy()
+        own, across = g["block"].to_numpy(), (g["bi"] != g["bj"]).to_numpy()
         flag = np.zeros(n, bool)
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if hi - lo < 2:
@@ -126,10 +126,10 @@ def _estimator(plan: Plan):
             # <o, q> is about <code of o, q> / <code of o, o>, without bias; its error has a bound
             most = (sign[s] @ query[s].T) / factor[s, None] + bound[s, None]
             near = np.minimum(most, most.T) >= plan.cosine
-            if near.sum() == hi - lo and near.trace() == hi - lo:
-                continue
-            i, j = _pairs_here(near, keys[s], int(band[lo]), own[s], bool(across[lo]))
-            flag[lo + i] = flag[lo + j] = True
+            if across[lo]:
+                near &= own[s, None] != own[None, s]
+            np.fill_diagonal(near, False)
+            flag[s] = near.any(axis=1)
         return g.loc[flag, ["key", "bi", "bj", "block", "rep"]]
 
     return estimate
@@ -215,21 +215,25 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9) -> DataFrame:
 
 
 def _tiles(classes: DataFrame, plan: Plan, n: int) -> DataFrame:
+    """Link counts and forests of all tiles. A vector is sent once a band with its code alone
+    (about 1.1 bytes a dimension); the vectors themselves go to the tiles that need them."""
     bare = classes.select("rep", "e")
     hot = bare.mapInPandas(_coder(plan, False), "key long").groupBy("key").count()
     hot = hot.where(F.col("count") > 2 * plan.block)
-    hot = hot.select("key", F.ceil(F.col("count") / plan.block).cast("int").alias("parts"))
-    schema = "key long, rep long, keys binary, sign binary, query binary, factor double, scale double"
-    rows = bare.mapInPandas(_coder(plan, True), schema)
-    rows = rows.join(small_side(materialize(hot, "embed-hot")), "key", "left").fillna({"parts": 1})
+    parts = F.ceil(F.col("count") / plan.block).cast("int")
+    hot = materialize(hot.select("key", "count", parts.alias("parts")), "embed-hot")
+    more = hot.agg(F.sum(F.col("count") * (F.col("parts") - 1))).first()[0] or 0
+    rows = bare.mapInPandas(_coder(plan, True), "key long, rep long, code binary, factor float, scale float")
+    rows = rows.join(small_side(hot.select("key", "parts")), "key", "left").fillna({"parts": 1})
     block = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(0).cast("int")
     rows = rows.withColumn("block", block)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
     # Tiles are dealt to tasks many at a time; a tile has at most about two blocks of rows.
-    deal = F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(max(16, n * plan.bands // 16_384)))
+    deal = F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(max(16, (n * plan.bands + more) // 16_384)))
     rows = rows.drop("parts", "other").withColumn("g", deal)
     maybe = rows.groupBy("g").applyInPandas(_estimator(plan), "key long, bi int, bj int, block int, rep long")
-    maybe = materialize(maybe, "embed-maybe").join(classes.select("rep", "e", "m"), "rep")
-    deal = F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(max(16, n * plan.bands // 65_536)))
+    maybe = materialize(maybe, "embed-maybe")
+    deal = F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(max(16, maybe.count() // 16_384)))
+    maybe = maybe.join(classes.select("rep", "e", "m"), "rep")
     return maybe.withColumn("g", deal).groupBy("g").applyInPandas(_exact(plan), "rep long, links long, root long")
