@@ -27,6 +27,13 @@ def test_same_rows(spark, name):
     assert rows([tuple(r) for r in df.collect()], df.columns) == rows(found.fetchall(), list(found.columns))
 
 
+def test_all_are_registered():
+    import __spark_entry__
+
+    names = set(__spark_entry__.queries())
+    assert set(QUERIES) | {"pipeline"} <= names and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0

@@ -40,6 +40,12 @@ def test_components(spark, shape):
     assert got == {k: v for k, v in roots({x for e in edges for x in e}, edges).items() if k in nodes}
 
 
+def test_components_of_a_hub(spark):
+    edges = spark.range(1, 100_001).selectExpr("50000L AS a", "CASE WHEN id = 50000 THEN 0 ELSE id END AS b")
+    got = connected_components(edges).selectExpr("count(*)", "count(DISTINCT id)", "max(component)").first()
+    assert tuple(got) == (100_001, 100_001, 0)
+
+
 def shingles(text, k):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     return set(zip(*[words[i:] for i in range(k)])) if len(words) >= k else ({tuple(words)} if words else set())
@@ -138,6 +144,19 @@ def test_near_vectors_in_blocks(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in got} == {(89, 0)}
 
 
+def test_codes_are_small_whatever_the_number_of_bands():
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    rows = pd.DataFrame({"rep": range(20), "e": list(rng.standard_normal((20, 64)))})
+    for n in (50_000, 10**9, 10**12):
+        plan = embedding_neardup.Plan.of(n, 64, 0.9)
+        assert plan.bands <= 190
+        out = pd.concat(embedding_neardup._coder(plan, True)([rows]))
+        assert len(out) == 20 * plan.bands and list(out.columns) == ["rep", "factor", "scale", "key", "code"]
+        assert set(out["code"].map(len)) == {64 // 8 + 64}
+
+
 def test_near_vectors_of_nothing(spark):
     assert embedding_neardup.near_duplicates(spark.createDataFrame([], EMBED)).count() == 0
     one = embedding_neardup.near_duplicates(spark.createDataFrame([(4, [1.0, 0.0], 0, 1, 1, 1)], EMBED)).first()

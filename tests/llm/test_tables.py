@@ -1,5 +1,6 @@
 """Operators that place or weigh documents: packing, sharding, mixing, and the pipeline."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -128,6 +129,40 @@ def test_shards(spark, n):
     assert [r["curve"] for r in order] == sorted(r["curve"] for r in got)
 
 
+def test_shards_prune(spark):
+    """A filter on any of the curve's dimensions touches far fewer shards than in the order of a hash."""
+    rng = random.Random(6)
+    langs, sources = ["en", "fr", "de", "es"], [f"s{i}" for i in range(12)]
+    rows = [(i, "w" * rng.randint(1, 4000), rng.choice(langs), rng.choice(sources)) for i in range(4000)]
+    got = {r["doc_id"]: r for r in sharding.hilbert_shards(docs(spark, rows)).collect()}
+    by_hash = {i: zlib.crc32(str(i).encode()) % 40 for i, _, _, _ in rows}
+    for keep in (lambda r: r[2] == "fr" and r[3] == "s3", lambda r: r[3] == "s5" and len(r[1]) > 3000, lambda r: r[2] == "de" and len(r[1]) < 500):
+        chosen = [r[0] for r in rows if keep(r)]
+        assert len({got[i]["shard"] for i in chosen}) * 2 <= len({by_hash[i] for i in chosen})
+
+
+def test_shards_follow_a_brute_order(spark):
+    """Every row's cell, its place on the curve and the cut into runs, worked out row by row."""
+    rows = many(300) + ODD
+    df = docs(spark, rows)
+    cells = df.select("doc_id", "text", sharding._category("lang").alias("a"), sharding._category("source").alias("b")).collect()
+    sizes = sorted(len((r["text"] or "").encode()) + 16 for r in cells)
+    n = len(sizes)
+    cuts = sorted({sizes[max(0, -(-n * i // 64) - 1)] for i in range(1, 64)})
+    walk = np.stack(np.meshgrid(*[np.arange(64)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
+    place = dict(zip(map(tuple, walk.tolist()), sharding.hilbert_index(walk, 6).tolist(), strict=True))
+    want = []
+    for r in cells:
+        data = (r["text"] or "").encode()
+        size = len(data) + 16
+        curve = place[(r["a"], r["b"], sum(size > c for c in cuts))]
+        want.append((curve, zlib.crc32(data), -1 if r["doc_id"] is None else r["doc_id"], size))
+    want.sort()
+    got = sorted(sharding.hilbert_shards(df).collect(), key=lambda r: (r["shard"], r["slot"]))
+    assert [(r["curve"], r["text_crc32"], -1 if r["doc_id"] is None else r["doc_id"], r["size"]) for r in got] == want
+    assert [r["shard"] for r in got] == [i * 40 // n for i in range(n)]
+
+
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
     w = {s: weights[i % 3] for i, s in enumerate(names)}
@@ -176,6 +211,27 @@ def test_sainte_lague(spark, blocks):
     assert shards.agg(F.sum("quota")).first()[0] == blocks
 
 
+def test_mix_deals_quotas_to_shards(spark):
+    """A document's shard is the one whose quota holds the stream's block with its first word."""
+    rows = many(300)
+    got = mixing.mix(docs(spark, rows), blocks=60, shards=5).collect()
+    block = got[0]["block_words"]
+    targets = sorted({(r["source"] is None, r["source"] or "", r["target"]) for r in got})
+    seats, order = Counter(), []
+    for _ in range(round(sum(t for _, _, t in targets) / block)):
+        best = max((t / (2 * seats[i] + 1), -i) for i, (_, _, t) in enumerate(targets) if t)
+        seats[-best[1]] += 1
+        order.append(-best[1])
+    for i, (null, name, _) in enumerate(targets):
+        mine = [r for r in got if (r["source"] is None, r["source"] or "") == (null, name)]
+        dealt = [n * 5 // len(order) for n, o in enumerate(order) if o == i]
+        assert all(r["quota"] == len(dealt) for r in mine)
+        at = 0
+        for r in sorted(mine, key=lambda r: (hashlib.md5(f"7:{r['doc_id']}".encode()).hexdigest(), r["size"])):
+            assert r["shard"] == (dealt[min(at // block, len(dealt) - 1)] if r["taken"] else None)
+            at += r["size"]
+
+
 def test_mix_keeps_small_sources(spark):
     """Blocks of all the words by 64 would be over twice the targets of small sources."""
     rows = [(i, "w " * 500, "en", "big") for i in range(60)] + [(100, "x " * 30, "en", "small"), (101, "y " * 150, "en", None), (102, "z", "en", "tiny")]
@@ -216,6 +272,24 @@ def test_mixing_stage_writes_the_mix(spark):
     assert words == Counter({i: n for (i, _), n in taken.items() if n})
 
 
+@pytest.mark.parametrize("seed", [7, 8, 9, 10])
+def test_mixing_stage_with_ties_and_clashing_names(spark, seed):
+    """Rows that repeat id and size where a source's last word lies, and columns named as helpers."""
+    rows = [(None, f"w{i} " * 7, "en", "a") for i in range(50)] + [(3, "same text here", "en", "b")] * 40 + [(i, f"v{i} v", "en", "c") for i in range(30)]
+    df = docs(spark, rows).withColumns({n: F.lit(5) for n in ("_helper", "_k", "_take", "_pos", "_mid", "_part", "rank", "last", "_row", "_id")})
+    out = stages.repeat_by_mix(df, seed=seed, weights=(1, 2, 1))
+    assert out.columns == df.columns
+    want, got = Counter(), Counter()
+    for r in mixing.mix(df, seed=seed, weights=(1, 2, 1)).collect():
+        want[(r["doc_id"], r["source"])] += r["taken"]
+    for r in out.collect():
+        got[(r["doc_id"], r["source"])] += len(r["text"].split())
+        assert (r["_helper"], r["_pos"], r["rank"]) == (5, 5, 5) and r["n_chars"] in (len(r["text"]), len(r["text"]) + 1)
+    assert got == Counter({k: v for k, v in want.items() if v})
+    texts = Counter(r["text"] for r in stages.repeat_by_mix(df.where("source = 'a'"), seed=seed).collect())
+    assert max(texts.values()) <= 2
+
+
 def test_near_duplicate_stage(spark):
     text = " ".join(f"w{i}" for i in range(100))
     df = docs(spark, [(4, text, "en", "a"), (2, text.upper(), "en", "a"), (9, text + " more", "en", "b"), (None, text, "en", "b"), (7, None, None, None)])

@@ -50,9 +50,69 @@ def test_novel_strings():
     base, novel = scan(text)
     assert not base and [text[s:e] for s, _, e in novel] == ["9xQ2LmZ7rT0vKp4WyB8n"]
     assert scan("nothing said before 9xQ2LmZ7rT0vKp4WyB8n") == ([], [])
+    assert scan("9xQ2LmZ7rT0vKp4WyB8n is the secret key")[1] == [(0, 3, 20)]
     assert secrets.redact("token=abcdefgh1 x", scan("token=abcdefgh1 x")[0]) == "[ASSIGN] x"
 
 
+B64, ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+PLANTED = {
+    "hex of 24": ("0123456789abcdef", 24, "the signing secret is {} here"),
+    "base64": (B64, 32, "Authorization: Basic {}\n"),
+    "letters alone": (ALNUM[:52], 20, "passphrase {} was set"),
+    "short": (ALNUM, 14, 'client.login("root", "{}")'),
+    "quoted value": (ALNUM, 24, 'webhook = "{}"'),
+    "url": (ALNUM, 16, "postgres://admin:{}@db.internal:5432/main"),
+    "cue after": (ALNUM, 20, "{} is your access token"),
+    "form": (ALNUM, 36, "see ghp_{} in the log"),
+}
+PLAIN = [
+    "def get_access_token(self): return self.session_store.lookup_session_token(user_session_identifier)",
+    "private static final AuthorizationRequestRepository authorizationRequestRepository = createRepository();",
+    "the key is in /usr/local/share/application/configuration/settings_default.yaml on host2.example.com",
+    "token expires 2024-01-15T10:30:00Z and the password policy is documented in password-policy-document-v2.html",
+    "import javax.crypto.KeyGenerator; KeyGenerator.getInstance(algorithmName1); session.setAttribute(attributeName2, value)",
+]
+
+
+def prose(rng, n):
+    words = ["the", "of", "value", "shows", "results", "between", "service", "request", "response", "handler", "customers", "about", "without"]
+    return " ".join(rng.choices(words, k=n))
+
+
+@pytest.mark.parametrize("kind", sorted(PLANTED))
+def test_planted_secrets_are_novel(kind):
+    rng = random.Random(len(kind))
+    alphabet, n, frame = PLANTED[kind]
+    scanner, found = secrets.Scanner(), 0
+    for _ in range(100):
+        secret = "".join(rng.choices(alphabet, k=n))
+        text = f"{prose(rng, 40)} {frame.format(secret)} {prose(rng, 40)}"
+        found += any(secret in text[s:e] for s, _, e in scanner.novel(text))
+    assert found >= 90
+
+
+def test_names_near_cues_are_not_novel():
+    rng = random.Random(4)
+    scanner = secrets.Scanner()
+    for line in PLAIN:
+        text = f"{prose(rng, 30)}\n{line}\n{prose(rng, 30)}"
+        assert [text[s:e] for s, _, e in scanner.novel(text)] == []
+
+
+def test_many_secrets_in_one_text():
+    rng = random.Random(1)
+    values = ["".join(rng.choices(ALNUM, k=24)) for _ in range(3000)]
+    base, novel = secrets.Scanner().scan("\n".join(f"token = {v}" for v in values))
+    assert len(base) == 3000 and len(novel) > 2900
+
+
+def test_dictionary_holds_words_not_secrets(spark):
+    rows = [(i, f"handler_name value{i} same_words here aB3dE5fG7hJ9kL1m") for i in range(20)] + [(99, None), (None, "handler_name")]
+    words = secrets.corpus_words(docs(spark, rows)).decode().split()
+    assert "handler_name" in words and words[-1] == "handler_name" and not any(w.startswith("aB3") for w in words)
+    assert secrets.corpus_words(docs(spark, [])) == b""
+
+
 def test_redaction_keeps_columns(spark):
     df = docs(spark, ODD + [(9, "my secret: hunter2hunter2!")])
     out = secrets.redact_secrets(df)
@@ -94,6 +154,37 @@ def test_quality_edges(spark):
     assert quality.grade_documents(df.limit(0), some).count() == 0
 
 
+def test_scores_are_features_times_weights():
+    rng = random.Random(3)
+    cache = quality.WordFeatures()
+    texts = [t or "" for _, t in ODD] + ["A b\na b\nA b c!! 12", "repeat\nrepeat\nrepeat\n\nx", "Mixed CASE words, words; (words)"]
+    weights = {b: rng.uniform(-1, 1) for t in texts for b in quality.features(t, cache)}
+    words = quality.WordWeights(weights)
+    for t in texts:
+        assert quality.score_text(t, words) == pytest.approx(sum(weights[b] * v for b, v in quality.features(t, cache).items()))
+
+
+def test_gradient_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(2)
+    n, d = 40, 6
+    row, col, val = rng.integers(0, n, 150), rng.integers(0, d, 150), rng.random(150)
+    grades, weight = rng.integers(0, 3, n), rng.random(n) + 0.5
+    p = rng.normal(size=d + quality.GRADES - 1)
+    loss = lambda q: quality.objective(q, row, col, val, grades, weight, 0.1)[0]
+    slope = quality.objective(p, row, col, val, grades, weight, 0.1)[1]
+    for i in range(len(p)):
+        step = np.zeros_like(p)
+        step[i] = 1e-5
+        assert slope[i] == pytest.approx((loss(p + step) - loss(p - step)) / 2e-5, rel=1e-4, abs=1e-7)
+
+
+def test_repeated_labelled_rows_are_one_document(spark):
+    rows = toy(60, 4) + [(1, "river stone", 2)] * 500
+    labels = spark.createDataFrame([(i, int(g > 0), int(g == 1)) for i, _, g in toy(60, 4)], "doc_id long, quality int, toxic int")
+    df = docs(spark, [(i, t) for i, t, _ in rows])
+    assert quality.grade_documents(df, labels).count() == len(rows)
+
+
 def test_ordinal_gradient_direction():
     rng = np.random.default_rng(0)
     n = 600
@@ -160,6 +251,45 @@ def test_winnowing(spark):
         assert r["f"] == ",".join(f"{r['g'][i]:x}:{i}" for i in sorted(want))
 
 
+def brute_hashes(text, k):
+    """31-bit hashes of grams: XXH64 of the words in turn, each seeded with the one before."""
+    from xxhash import xxh64_intdigest
+
+    words = re.findall(r"[^\x20\x09-\x0D]{1,16}", text.lower())
+    grams = [words[i : i + k] for i in range(len(words) - k + 1)] if len(words) >= k else []
+    out = []
+    for g in grams:
+        h = 42
+        for w in g:
+            h = xxh64_intdigest(w.encode(), h)
+        out.append(h >> 33)
+    return out
+
+
+def test_fingerprints_from_first_principles(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices(["a", "b", "cc", "long" * 7], k=rng.randint(3, 60)))) for i in range(30)]
+    for r, (_, t) in zip(winnow.fingerprints(docs(spark, rows).coalesce(1)).collect(), rows, strict=True):
+        h = brute_hashes(t, winnow.GRAM)
+        assert r["fingerprint"] == ",".join(f"{h[i]:x}:{i}" for i in sorted(brute_winnow(t, h, winnow.GRAM, winnow.SPAN)))
+
+
+def test_likenesses_of_spread_ids(spark):
+    """Ids over all of 64 bits; likeness is the Jaccard similarity of the fingerprints' hashes."""
+    rng = random.Random(9)
+    rows = sorted((rng.randint(-(2**63), 2**63 - 1), " ".join(rng.choices(["a", "b", "cc", "d"], k=rng.randint(0, 80)))) for _ in range(200))
+    got = {r["doc_id"]: r for r in winnow.edit_trial(docs(spark, rows)).collect()}
+    of = lambda f: {x.split(":")[0] for x in f.split(",") if x}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for at, (i, t) in enumerate(rows):
+        after_id, after = rows[(at + 1) % len(rows)]
+        q = len(t) // 4
+        assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()
+        mine = of(got[i]["fingerprint"])
+        assert got[i]["near_edited"] == pytest.approx(like(mine, of(got[i]["edited_fingerprint"])))
+        assert got[i]["near_next"] == pytest.approx(like(mine, of(got[after_id]["fingerprint"])))
+
+
 def test_match_guarantee(spark):
     shared = [f"s{i}" for i in range(winnow.GRAM + winnow.SPAN - 1)]
     a, b = " ".join(["x1", "x2", "x3"] + shared + ["y1"]), " ".join(["z"] * 9 + shared + ["q1", "q2"])
@@ -248,6 +378,13 @@ def test_long_headers_are_read(spark):
         assert [x[4] for x in warc.salvage(warc.Source(Memory(data))) if not x[2]] == [h.encode() for _, _, h in rows]
 
 
+def test_unknown_stores_fail_early(spark):
+    with pytest.raises(ValueError):
+        warc.read_warc(spark, "s3a://bucket/folder")
+    with pytest.raises(ValueError):
+        warc.write_warc(spark.createDataFrame([], PAGES), "s3a://bucket/folder")
+
+
 def test_all_records_of_a_member_are_read():
     payloads = [f"page {i} ".encode() * 40 for i in range(6)]
     parts = [warc.record(i, "u", p, hashlib.sha256(p).hexdigest(), None) for i, p in enumerate(payloads)]
