@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -14,12 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recollect.llm.common import materialize, small_batches
+from recollect.llm.common import Memo, materialize, small_batches, small_side
 
 WINDOW = 2048
 STEP = 8  # lengths are packed in units of so many tokens, rounded up
-SALTS = 64
-CACHED_WORDS = 400_000
+SALTED = 100_000  # pieces of one length ranked in one task, about
 #: ASCII marks that the pre-tokenizer splits from a word before them (the apostrophe is not one).
 MARKS = '!"#$%&()*+,-./:;=?@[\\]^_`{|}~'
 
@@ -37,7 +38,22 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordIds(dict):
+ASCII_WORD = re.compile(rb"([A-Za-z]+)([" + re.escape(MARKS.encode()) + rb"]*)")
+
+
+class CoreIds(Memo):
+    """lower-case word of Latin letters (UTF-8) -> the model's ids; its bytes are written as letters first."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, byte_letters()
+
+    def make(self, core: bytes) -> bytes:
+        ids = [t.id for t in self.model.tokenize(core.decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class WordIds(Memo):
     """word (UTF-8) -> its token ids as little-endian 32-bit bytes, found when first asked for.
 
     The tokenizer never joins characters across white space, so a text's ids are those of its
@@ -50,39 +66,37 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(500_000)
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
+        self.cores = CoreIds(self.tokenizer.model)
 
-    def __missing__(self, word: bytes) -> bytes:
+    def make(self, word: bytes) -> bytes:
+        if found := ASCII_WORD.fullmatch(word):
+            core, marks = found.groups()
+            return self.cores[core.lower()] + self[marks] if marks else self.cores[core.lower()]
         text = word.decode("utf-8", "replace")
         core = text.lower().rstrip(MARKS)
-        plain = core.isalpha() and max(core) < "\u0250" and not set("<'\u0130") & set(text)
-        if not plain:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        elif core.isascii():
-            ids = [t.id for t in self.model.tokenize(core)]
-        else:
-            letters = core.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(letters)]
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if plain and (marks := text[len(core) :]):
-            found += self[marks.encode()]
-        self[word] = found
-        return found
+        if core.isalpha() and max(core) < "\u0250" and not set("<'\u0130") & set(text):
+            found, marks = self.cores[core.encode()], text[len(core) :]
+            return found + self[marks.encode()] if marks else found
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def of(self, text: str | None) -> bytes:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split())) if text else b""
+        return b"".join([self[w] for w in text.encode("utf-8", "replace").split()]) if text else b""
+
+
+@lru_cache(maxsize=2)
+def shared_words(path: str) -> WordIds:
+    """One table a worker process, which goes on from task to task."""
+    return WordIds(path)
 
 
 def _cutter(tokenizer: str, end_id: int, window: int):
     last = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(tokenizer)
+        words = shared_words(tokenizer)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -232,8 +246,8 @@ def pack(
     A document's ids and `end_id` are cut at multiples of the window; only its last piece is
     shorter. Pieces are counted by length in units of `step` tokens (a histogram of
     window / step rows, the one thing the driver gets), planned by packing_plan and dealt to
-    their sequences by rank among equal lengths. Ranks are per length and salt, so that a
-    length that a third of all rows share is counted in many tasks.
+    their sequences by rank among equal lengths. Ranks are per length and salt, and salts grow
+    with the pieces, so that a length that a third of all rows share is counted in many tasks.
 
     A null or empty text is the end id alone; repeated rows are packed each; an empty table
     gives an empty result. Returns doc_id, start, length, ids_crc32, doc_tokens,
@@ -241,18 +255,20 @@ def pack(
     """
     units = window // step
     unit = F.ceil(F.col("length") / step).cast("int")
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int")
     pieces = token_pieces(docs, tokenizer, end_id, window)
-    pieces = materialize(pieces.withColumn("_unit", unit).withColumn("_salt", salt), "pack-pieces")
-    counts = materialize(pieces.groupBy("_unit", "_salt").agg(F.count("*").alias("_n")), "pack-counts")
-    histogram = {r[0]: r[1] for r in counts.groupBy("_unit").agg(F.sum("_n")).collect()}
+    pieces = materialize(pieces.withColumn("_unit", unit), "pack-pieces")
+    histogram = {r[0]: r[1] for r in pieces.groupBy("_unit").count().collect()}  # at most units rows
     plan = packing_plan(histogram, units, depth)
+    salts = max(64, max(histogram.values(), default=0) // SALTED)
+    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")
+    pieces = pieces.withColumn("_salt", salt)
+    counts = materialize(pieces.groupBy("_unit", "_salt").agg(F.count("*").alias("_n")), "pack-counts")
 
     before = Window.partitionBy("_unit").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_unit", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     within = Window.partitionBy("_unit", "_salt").orderBy("doc_id", "start", "ids_crc32")
     ranked = pieces.withColumn("_in", F.row_number().over(within) - 1)
-    ranked = ranked.join(F.broadcast(offsets), ["_unit", "_salt"])  # at most units * SALTS rows
+    ranked = ranked.join(small_side(offsets), ["_unit", "_salt"])
     put = ranked.withColumn("_put", _placer(plan)("_unit", F.col("_off") + F.col("_in")))
     put = put.withColumn("sequence_id", F.col("_put.sequence_id")).withColumn("_place", F.col("_put.place"))
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("_unit"), "_place")
