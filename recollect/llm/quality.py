@@ -11,8 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh32_intdigest
 
-from recollect.llm.common import materialize, small_batches
+from recollect.llm.common import Memo, materialize, small_batches
 
 BUCKETS = 1 << 20
 GRADES = 3  # 0 poor, 1 readable but toxic, 2 good
@@ -22,21 +23,16 @@ _SHAPE = bytes(
 )
 
 
-class WordFeatures(dict):
+class WordFeatures(Memo):
     """word -> (bucket of the lower-cased word, bucket of its shape).
 
     The shape writes letters a or A, digits 0 and marks as they are, each run once.
     """
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        from xxhash import xxh32_intdigest
-
-        if len(self) > 150_000:
-            self.clear()
+    def make(self, word: bytes) -> tuple[int, int]:
         shape = _RUNS.sub(rb"\1", word.translate(_SHAPE))[:8]
         core = word.lower().strip(b".,;:!?*#$%&|\"'()[]{}")
-        self[word] = found = (xxh32_intdigest(core, 1) % BUCKETS, xxh32_intdigest(shape, 2) % BUCKETS)
-        return found
+        return xxh32_intdigest(core, 1) % BUCKETS, xxh32_intdigest(shape, 2) % BUCKETS
 
 
 def features(text: str | None, cache: WordFeatures) -> dict[int, float]:
@@ -70,15 +66,41 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
+def objective(
+    p: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarray, grades: np.ndarray, weight: np.ndarray, l2: float
+) -> tuple[float, np.ndarray]:
+    """Weighted mean negative log-likelihood of the grades and its gradient.
+
+    p holds the weights of columns, then the first threshold and the logarithms of the gaps to the
+    next ones, so thresholds stay in order. Features are triplets (row, col, val).
+    """
+    n, d = len(grades), len(p) - GRADES + 1
+    w, gaps, at = p[:d], np.exp(p[d + 1 :]), np.arange(n)
+    cuts = p[d] + np.concatenate([[0.0], np.cumsum(gaps)])
+    s = np.bincount(row, val * w[col], n)
+    tail = 1 / (1 + np.exp(np.clip(cuts[None, :] - s[:, None], -40, 40)))
+    full = np.hstack([np.ones((n, 1)), tail, np.zeros((n, 1))])
+    here = np.maximum(full[at, grades] - full[at, grades + 1], 1e-9)
+    slope = full * (1 - full)
+    up, down = slope[at, grades] / here, slope[at, grades + 1] / here
+    g = -weight * (up - down) / n
+    cut_grad = np.array([np.sum(weight * (up * (grades == k) - down * (grades == k - 1))) / n for k in range(1, GRADES)])
+    loss = -np.sum(weight * np.log(here)) / n + l2 / 2 * np.sum(w**2)
+    later = np.cumsum(cut_grad[:0:-1])[::-1] * gaps
+    return loss, np.concatenate([np.bincount(col, val * g[row], d) + l2 * w, [cut_grad.sum()], later])
+
+
 def fit_ordinal(
     rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grades: np.ndarray,
     least_docs: int = 5, screen: float = 4.0, l2: float = 1e-4, steps: int = 1500, rate: float = 0.05,
 ) -> OrdinalModel:
-    """Adam on the mean negative log-likelihood of the grades; buckets of few documents, or whose
-    documents' grades are within `screen` standard errors of all documents', get no weight.
+    """Adam on the objective; buckets of few documents, or whose documents' grades are within
+    `screen` standard errors of all documents', get no weight.
 
-    Thresholds are the first one plus exponentials, so they stay in order. Without rows, or
-    with one grade only, the weights are zero and every document is taken as good.
+    Rare grades weigh more, by the square root of their rarity: selection should not pass toxic
+    documents because they are few. So p_good is a cautious figure, below the share of good documents
+    where good ones are many. Without rows, or with one grade only, the weights are zero and every
+    document is taken as good.
     """
     n = len(grades)
     _, at, df = np.unique(cols, return_inverse=True, return_counts=True)
@@ -94,24 +116,10 @@ def fit_ordinal(
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.array([-30.0, -29.0]))
     balance = np.sqrt(n / (len(np.unique(grades)) * np.bincount(grades, minlength=GRADES)[grades]))
     p = np.zeros(d + GRADES - 1)
-    p[d], p[d + 1 :] = -1.0, 0.0
+    p[d] = -1.0
     m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, steps + 1):
-        w, low, gaps = p[:d], p[d], np.exp(p[d + 1 :])
-        cuts = low + np.concatenate([[0.0], np.cumsum(gaps)])
-        s = np.bincount(row, val * w[col], n)
-        tail = 1 / (1 + np.exp(np.clip(cuts[None, :] - s[:, None], -40, 40)))
-        full = np.hstack([np.ones((n, 1)), tail, np.zeros((n, 1))])
-        here = np.maximum(full[np.arange(n), grades] - full[np.arange(n), grades + 1], 1e-9)
-        slope = full * (1 - full)
-        up, down = slope[np.arange(n), grades] / here, slope[np.arange(n), grades + 1] / here
-        g = -balance * (up - down) / n
-        cut_grad = np.array([
-            np.sum(balance * (up * (grades == k) - down * (grades == k - 1))) / n for k in range(1, GRADES)
-        ])
-        grad = np.concatenate([
-            np.bincount(col, val * g[row], d) + l2 * w, [cut_grad.sum()], np.cumsum(cut_grad[:0:-1])[::-1] * gaps
-        ])
+        grad = objective(p, row, col, val, grades, balance, l2)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     cuts = p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
@@ -147,7 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, seed: int = 5
         share = int(sample / n * (1 << 30))
         rated = rated.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share)
     rated = materialize(rated.groupBy("doc_id").agg(F.min("grade").alias("grade")), "quality-sample")
-    joined = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").select("text", "grade")
+    # A rated id that many rows repeat is one document: its least text.
+    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(rated), "doc_id")
+    joined = joined.groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("text", "grade")
     got = materialize(small_batches(joined).mapInPandas(_extract, "grade int, cols binary, vals binary"), "quality-features")
     got = got.toPandas()  # of the sample
     cols = [np.frombuffer(x, np.int32) for x in got["cols"]]
@@ -164,10 +174,9 @@ class WordWeights(WordFeatures):
         super().__init__()
         self.weights = weights
 
-    def __missing__(self, word: bytes):
-        w, s = super().__missing__(word)
-        self[word] = found = (w, self.weights.get(w, 0.0), self.weights.get(s, 0.0))
-        return found
+    def make(self, word: bytes) -> tuple[int, float, float]:
+        w, s = super().make(word)
+        return w, self.weights.get(w, 0.0), self.weights.get(s, 0.0)
 
 
 def score_text(text: str | None, words: WordWeights) -> float:
@@ -218,7 +227,12 @@ def grade_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, samp
 
 
 def select_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = 8_000) -> DataFrame:
-    """The rows that grade_documents keeps, with all their columns."""
+    """The rows that grade_documents keeps, with all their columns.
+
+    Null, empty and wordless texts are judged by the thresholds alone; rows of null ids and repeated
+    rows are judged each by their text; without labels, or with one grade only, all rows stay; an
+    empty table gives an empty one. No helper column is added.
+    """
     model = train(docs, labels, sample)
 
     @F.pandas_udf("double")
