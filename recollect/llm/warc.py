@@ -51,10 +51,21 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return VERSION + b"\r\n" + lines.encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
 
 
+#: Schemes of the paths that tasks can open; an object store's rename is a copy.
+SCHEMES = ("file", "hdfs", "viewfs", "s3", "gs", "gcs", "abfs", "abfss")
+
+
+def _openable(uri: str) -> str:
+    scheme = uri.partition(":")[0] if ":" in uri else "file"
+    if scheme not in SCHEMES:
+        raise ValueError(f"WARC files can't be opened under {scheme}:, only under {', '.join(SCHEMES)}")
+    return uri
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", _openable(uri)))
 
 
 def _writer(folder: str, level: int):
@@ -88,6 +99,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 100, level: int = 4)
     response and the others revisit it. Digests are found first, so only the table of
     repeated digests meets the pages: broadcast if small, else by a shuffle join.
     """
+    _openable(folder)
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
@@ -281,6 +293,7 @@ def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFra
     status is `record` or `gap`; gaps are the quarantine log: path, offset, length, reason. Files
     are streamed; a record or gzip member is the most that is in memory.
     """
+    _openable(folder)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder)
     files = files.select("path")
     return files.mapInPandas(_reader(payload), RECORD_SCHEMA)
