@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import small_batches, utf8_words
-
-CACHED_WORDS = 500_000
+from recollect.llm.common import Memo, small_batches, utf8_words
 
 
 def default_vocabulary() -> str:
@@ -88,27 +86,31 @@ class Automaton:
         return pieces
 
 
-class Counts(dict):
+class Counts(Memo):
     """word -> pieces, 0 for one that is unknown."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
         self.automaton = automaton
 
-    def __missing__(self, word: bytes) -> int:
-        n = self.automaton.count(word.decode("utf-8", "replace"))
-        if len(self) < CACHED_WORDS:
-            self[word] = n
-        return n
+    def make(self, word: bytes) -> int:
+        return self.automaton.count(word.decode("utf-8", "replace"))
+
+
+@lru_cache(maxsize=2)
+def shared_counts(vocabulary: str) -> Counts:
+    """One automaton and table a worker process, which go on from task to task."""
+    return Counts(Automaton(*sentencepiece_vocabulary(vocabulary)))
 
 
 def _count(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.DataFrame]:
-    counts = Counts(Automaton(*sentencepiece_vocabulary(vocabulary)))
+    counts = shared_counts(vocabulary)
     for batch in batches:
         rows = np.zeros((len(batch), 3), np.int64)
         for i, text in enumerate(batch["text"]):
-            found = np.fromiter(map(counts.__getitem__, words := utf8_words(text)), np.int64, len(words))
-            rows[i] = len(words), found.sum() + (found == 0).sum(), (found == 0).sum()
+            found = [counts[w] for w in utf8_words(text)]
+            unknown = found.count(0)
+            rows[i] = len(found), sum(found) + unknown, unknown
         out = pd.DataFrame(rows, columns=["n_words", "n_tokens", "n_unknown"])
         yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy())[["doc_id", "n_words", "n_tokens", "n_unknown"]]
 
