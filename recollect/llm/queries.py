@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm import embedding_neardup, oracles, setsketch
 from recollect.llm.common import table
+from recollect.llm.hard_negatives import hard_negatives
+from recollect.llm.merkle import manifest
 from recollect.llm.mixing import mix
 from recollect.llm.packing import pack
 from recollect.llm.quality import grade_documents
 from recollect.llm.secrets import find_secrets
 from recollect.llm.sharding import hilbert_shards
 from recollect.llm.token_counts import count_tokens
+from recollect.llm.toxicity import score_documents
 from recollect.llm.warc import archive_round_trip
 from recollect.llm.winnow import edit_trial
 
@@ -57,6 +60,18 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_trial(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +85,9 @@ QUERIES = {
         op8_minhash_near_dedup,
         op9_mixing,
         op10_document_fingerprints,
+        op11_toxicity,
+        op12_merkle_manifest,
+        op13_hard_negatives,
     )
 }
 ORACLES: dict[str, str] = {
@@ -77,4 +95,6 @@ ORACLES: dict[str, str] = {
     "op7_warc": oracles.OP7,
     "op8_minhash_near_dedup": oracles.OP8,
     "op9_mixing": oracles.OP9,
+    "op12_merkle_manifest": oracles.OP12,
+    "op13_hard_negatives": oracles.OP13,
 }
