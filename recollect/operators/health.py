@@ -137,8 +137,8 @@ def health_alerts(health: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
 
 
 def health_transitions(history: DataFrame) -> DataFrame:
-    """Alerts over a history of (subject, state, updated_at): each state against the one before it."""
-    before = F.lag("state").over(Window.partitionBy(*SUBJECT).orderBy("updated_at"))
+    """Alerts over a history of (subject, state, updated_at): each state against the one before it; those of one time go by name."""
+    before = F.lag("state").over(Window.partitionBy(*SUBJECT).orderBy("updated_at", "state"))
     return history.withColumn("previous_state", before).withColumn(
         "event", transition(F.col("previous_state"), F.col("state"))
     ).where("event IS NOT NULL")

@@ -215,12 +215,31 @@ def sliding_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.sliding_admission(events, rpm=5, seconds=3600.0).select("key", "event_id", "admitted")
 
 
+def _in_batches(spark: SparkSession, rows: DataFrame, at: str, folder: str, files: int = 4) -> DataFrame:
+    """Rows as a stream of so many batches that each hold some of all times, and a last one that only moves the watermark on."""
+    rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(folder)
+    end = rows.agg((F.max(at) + F.expr("INTERVAL 1000 DAYS")).alias(at))
+    end.select(*[F.col(at) if n == at else F.lit(None).cast(t).alias(n) for n, t in rows.dtypes]).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def sliding_admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "admission")
+    events = _stamps(spark.read.parquet(f"{sf_dir}/events.parquet")).select((F.col("user_id") % 7).alias("key"), "event_id", "ts")
+    stream = _in_batches(spark, events, "ts", f"{out}/source")
+    judged = streams.sliding_admission_stream(stream, rpm=5, seconds=3600.0, delay="400 days")
+    streams.run_to_end(judged, f"{out}/rows", f"{out}/checkpoint")
+    rows = spark.read.schema(judged.schema).parquet(f"{out}/rows")
+    return rows.where("key IS NOT NULL").select("key", "event_id", "admitted", "late")
+
+
 def health_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tenants share a fifth of the subjects, as in the model tables."""
     out = scratch(spark, "health-alerts")
-    events = _stamps(_events(spark, sf_dir))
-    state = F.when(F.col("event_type") == "error", "at_risk").when(F.col("event_type") == "view", "watch").otherwise("healthy")
-    states = events.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("subject_id"), state.alias("state"), F.col("ts").alias("updated_at"))
-    alerts = streams.health_alert_stream(states)
+    e = episodes(spark, sf_dir)
+    state = F.when(F.col("source") == "user", "at_risk").when(F.col("source") == "chat", "watch").otherwise("healthy")
+    states = e.select("tenant_id", "subject_id", state.alias("state"), F.col("created_at").alias("updated_at"))
+    alerts = streams.health_alert_stream(_in_batches(spark, states, "updated_at", f"{out}/source"), "400 days")
     streams.run_to_end(alerts, f"{out}/rows", f"{out}/checkpoint")
     rows = spark.read.schema(alerts.schema).parquet(f"{out}/rows")
     return rows.withColumn("updated_at", stamp(F.col("updated_at")))
@@ -260,7 +279,7 @@ QUERIES = {
         upsert_resolutions, create_snapshot, latest_snapshot, restore_snapshot, clone_subjects, create_snapshot_of_all, latest_snapshot_of_all,
         restore_snapshot_of_all, clone_all_subjects, export_subjects, verify_export, import_payload, pack_state,
         reseed_pack, delete_subject, purge_subjects, purge_jobs, purge_outbox, chunk_documents, chunk_whole_documents, write_pack_jsonl, stream_compile, minute_hits,
-        sliding_admission, health_alert_stream, outbox_advance,
+        sliding_admission, sliding_admission_stream, health_alert_stream, outbox_advance,
     )
 }
 ORACLES = {
@@ -305,17 +324,18 @@ ORACLES = {
         UNION ALL SELECT key, k, event_id, len(w) < 5, CASE WHEN len(w) < 5 THEN list_append(w, t) ELSE w END FROM
           (SELECT e.key, e.k, e.event_id, e.t, list_filter(r.w, lambda v: v > e.t - 3600000000) AS w FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1))
       SELECT key, event_id, admitted FROM r WHERE k > 0""",
-    "health_alert_stream": """WITH s AS (SELECT 'user-' || user_id AS subject_id, CASE event_type WHEN 'error' THEN 'at_risk' WHEN 'view' THEN 'watch' ELSE 'healthy' END AS state, ts FROM events),
-      l AS (SELECT *, lag(state) OVER (PARTITION BY subject_id ORDER BY ts) AS before FROM s),
+    "health_alert_stream": f"""{_E}, s AS (SELECT *, CASE source WHEN 'user' THEN 'at_risk' WHEN 'chat' THEN 'watch' ELSE 'healthy' END AS state FROM episodes),
+      l AS (SELECT *, lag(state) OVER (PARTITION BY tenant_id, subject_id ORDER BY created_at, state) AS before FROM s),
       v AS (SELECT *, CASE state WHEN 'at_risk' THEN 2 WHEN 'watch' THEN 1 ELSE 0 END - CASE before WHEN 'at_risk' THEN 2 WHEN 'watch' THEN 1 ELSE 0 END AS worse FROM l)
-      SELECT subject_id, CASE WHEN worse > 0 THEN 'subject.health_degraded' ELSE 'subject.health_improved' END AS event, coalesce(before, 'healthy') AS previous_state, state AS current_state,
-      strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM v WHERE worse > 0 OR (worse < 0 AND before IS NOT NULL)""",
+      SELECT tenant_id, subject_id, CASE WHEN worse > 0 THEN 'subject.health_degraded' ELSE 'subject.health_improved' END AS event, coalesce(before, 'healthy') AS previous_state, state AS current_state,
+      {_t("created_at")} AS updated_at FROM v WHERE worse > 0 OR (worse < 0 AND before IS NOT NULL)""",
     "outbox_advance": f"""{oracle_ctes("outbox")}, d AS (SELECT *, status = 'pending' AND next_attempt_at <= TIMESTAMP '1997-01-01' AS due, CAST(substr(event_id, 6) AS BIGINT) % 3 > 0 AS ok FROM outbox),
       a AS (SELECT *, CASE WHEN NOT due THEN status WHEN ok THEN 'delivered' WHEN attempts + 1 >= max_attempts THEN 'dead_letter' ELSE 'pending' END AS st FROM d)
       SELECT event_id, st AS status, attempts + due::INT AS attempts, {_t("CASE WHEN due AND st = 'pending' THEN TIMESTAMP '1997-01-01' + INTERVAL 30 SECOND * CAST(4 ** attempts AS INT) ELSE next_attempt_at END")} AS next_attempt_at,
         CASE WHEN due THEN {_t("TIMESTAMP '1997-01-01'")} END AS last_attempt_at, CASE WHEN due AND ok THEN {_t("TIMESTAMP '1997-01-01'")} END AS delivered_at, CASE WHEN due AND NOT ok THEN 'HTTP ' || event_id END AS last_error,
         CASE WHEN NOT due THEN NULL WHEN ok THEN 200 WHEN CAST(substr(event_id, 6) AS BIGINT) % 2 = 0 THEN 503 END AS http_status FROM a""",
 }
+ORACLES["sliding_admission_stream"] = ORACLES["sliding_admission"].replace("SELECT key, event_id, admitted FROM r", "SELECT key, event_id, admitted, false AS late FROM r")
 ORACLES["chunk_whole_documents"] = ORACLES["chunk_documents"].replace(
     oracle_ctes("markdown"), f"{oracle_ctes('whole_markdown')}, markdown AS (SELECT * FROM whole_markdown)"
 )

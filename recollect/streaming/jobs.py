@@ -8,18 +8,20 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 from recollect.functions.text import backoff_seconds
+from recollect.operators.common import SUBJECT
 from recollect.operators.compile import Compiler, compile_memories
+from recollect.streaming.ordered import NEVER, in_order, keyed_state
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partition_by: tuple[str, ...] = ()) -> None:
     """Write all that a bounded source holds to a Parquet folder; a restart goes on from the checkpoint."""
-    query = (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode(mode).partitionBy(*partition_by).trigger(availableNow=True).start()
-    )
+    with keyed_state(stream.sparkSession):
+        query = (
+            stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .outputMode(mode).partitionBy(*partition_by).trigger(availableNow=True).start()
+        )
     query.awaitTermination()
 
 
@@ -39,10 +41,23 @@ def latest(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "epoch").alias("_r")).select(*keys, "_r.*")
 
 
-def stream_compile(episodes: DataFrame, delay: str = "1 hour", compiler: Compiler = compile_memories) -> DataFrame:
-    """Memories of a stream of episodes, each episode once; the checkpoint stands for last_compiled_at."""
-    once = episodes.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["episode_id"])
-    return compiler(once)
+def stream_compile(episodes: DataFrame, delay: str | None = "1 hour", compiler: Compiler = compile_memories) -> DataFrame:
+    """Memories of a stream of episodes; the checkpoint stands for last_compiled_at.
+
+    Every episode is compiled, however late its own time is. One that the source repeats within `delay` of its first arrival
+    goes; state is kept for that time only. A later repeat, or any where `delay` is None, is compiled again, into memories of the same
+    ids, of which distinct_memories takes one.
+    """
+    if delay is None:
+        return compiler(episodes)
+    # The watermark goes by the time of arrival, which no episode is behind.
+    seen = episodes.withColumn("_seen", F.current_timestamp()).withWatermark("_seen", delay)
+    return compiler(seen.dropDuplicatesWithinWatermark(["episode_id"]).drop("_seen"))
+
+
+def distinct_memories(memories: DataFrame) -> DataFrame:
+    """One row of each memory id, where a stream has compiled an episode more than once."""
+    return memories.dropDuplicates(["memory_id"])
 
 
 def minute_hits(events: DataFrame, rpm: int, delay: str = "5 minutes") -> DataFrame:
@@ -62,6 +77,16 @@ def expire_windows(windows: DataFrame, as_of: str, minutes: int = 5) -> DataFram
     return windows.where(F.col("window_start") >= cut)
 
 
+def _admitted(window: deque, micros: int, rpm: int, seconds: float) -> bool:
+    """Whether an event at `micros` is admitted after those of the window, which is moved on."""
+    while window and window[0] <= micros - seconds * 1e6:
+        window.popleft()
+    if len(window) >= rpm:
+        return False
+    window.append(micros)
+    return True
+
+
 def _admit(rpm: int, seconds: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, window = None, deque()
@@ -70,11 +95,7 @@ def _admit(rpm: int, seconds: float) -> Callable[[Iterator[pd.DataFrame]], Itera
             for k, t in zip(batch["key"], batch["micros"], strict=True):
                 if k != key:
                     key, window = k, deque()
-                while window and window[0] <= t - seconds * 1e6:
-                    window.popleft()
-                kept.append(len(window) < rpm)
-                if kept[-1]:
-                    window.append(t)
+                kept.append(_admitted(window, t, rpm, seconds))
             yield batch.assign(admitted=kept)
 
     return admit
@@ -91,29 +112,59 @@ def sliding_admission(events: DataFrame, rpm: int, seconds: float = 60.0) -> Dat
     return rows.mapInPandas(_admit(rpm, seconds), "key long, event_id long, micros long, admitted boolean")
 
 
+def sliding_admission_stream(events: DataFrame, rpm: int, seconds: float = 60.0, delay: str = "5 minutes") -> DataFrame:
+    """The same on a stream of (key, event_id, ts), in order over all batches: (key, event_id, micros, admitted, late).
+
+    A key's state holds the admitted times of one window, which go once they have left it, and the rows of the last `delay`. A row that
+    comes after a later one of its key was judged is given out as late, with `admitted` null; it does not count. event_id is
+    read as text of its number.
+    """
+
+    def step(key: tuple, carry: list[tuple], rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+        window, out = deque(t for t, _ in carry), []
+        for micros, name, _ in rows:
+            out.append((int(name), micros, _admitted(window, micros, rpm, seconds), False))
+        return [(t, "") for t in window], out
+
+    # Numbers in order as texts: a sign, then digits of one length.
+    order = F.format_string("%020d", F.col("event_id").cast("long"))
+    return in_order(
+        events.withColumn("ts", F.col("ts").cast("timestamp")), ["key"], "ts", order, F.lit(""), delay, step,
+        lambda key, row: (int(row[1]), row[0], None, True), ["event_id", "micros", "admitted", "late"],
+        "key long, event_id long, micros long, admitted boolean, late boolean", forget=int(seconds * 1e6),
+    )
+
+
 SEVERITY = {"healthy": 0, "watch": 1, "at_risk": 2}
 
 
-def _transitions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values("updated_at")
-    before = state.get[0] if state.exists else None
-    out = []
-    for now, at in zip(rows["state"], rows["updated_at"], strict=True):
-        worse = SEVERITY.get(now, 0) - SEVERITY.get(before or "healthy", 0)
-        if worse > 0 or worse < 0 and before is not None:
-            out.append((key[0], "subject.health_degraded" if worse > 0 else "subject.health_improved", before or "healthy", now, at))
-        before = now
-    state.update((before,))
-    yield pd.DataFrame(out, columns=["subject_id", "event", "previous_state", "current_state", "updated_at"])
-
-
-def health_alert_stream(states: DataFrame) -> DataFrame:
-    """Alerts of a stream of (subject_id, state, updated_at); a subject's last state is kept between batches."""
-    return states.groupBy("subject_id").applyInPandasWithState(
-        _transitions,
-        "subject_id string, event string, previous_state string, current_state string, updated_at timestamp",
-        "last_state string", "append", "NoTimeout",
+def health_alert_stream(states: DataFrame, delay: str = "1 hour", forget_days: float | None = None) -> DataFrame:
+    """Alerts of a stream of (tenant_id, subject_id, state, updated_at), in order of time over all batches:
+    (tenant_id, subject_id, event, previous_state, current_state, updated_at).
+
+    The key is (tenant, subject); states of one time are taken in order of their names. Each row waits until the newest one
+    of the stream is `delay` ahead. A row that comes after a later one of its subject was read, or has no time, gives the event `late`, with
+    null previous state, and changes nothing. A subject's last state is kept for ever, or for `forget_days` after its last row;
+    after that it is new again. A restart from the checkpoint repeats no alert. Start the query within `keyed_state`, as run_to_end does.
+    """
+
+    def step(key: tuple, carry: list[tuple], rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+        before, out = carry[0][1] if carry else None, []
+        for micros, now, _ in rows:
+            worse = SEVERITY.get(now, 0) - SEVERITY.get(before or "healthy", 0)
+            if worse > 0 or worse < 0 and before is not None:
+                out.append(("subject.health_degraded" if worse > 0 else "subject.health_improved", before or "healthy", now, micros))
+            before = now
+        return [(rows[-1][0], before)], out
+
+    columns = ["event", "previous_state", "current_state", "micros"]
+    alerts = in_order(
+        states, list(SUBJECT), "updated_at", F.col("state"), F.lit(""), delay, step,
+        lambda key, row: ("late", None, row[1], None if row[0] == NEVER else row[0]), columns,
+        "tenant_id string, subject_id string, event string, previous_state string, current_state string, micros long",
+        None if forget_days is None else int(forget_days * 86_400e6),
     )
+    return alerts.withColumn("updated_at", F.timestamp_micros("micros")).drop("micros")
 
 
 def due_events(outbox: DataFrame, as_of: str, most: int | None = 20) -> DataFrame:
