@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 # Words and cues the jobs agree on.
 CONTEXT_URGENCY = (
-    "urgent critical blocked deadline asap emergency breaking outage downtime compliance sla escalat immediately "
-    "production_down p0 p1 severity"
-).split()
+    "urgent", "critical", "blocked", "deadline", "asap", "emergency", "breaking", "outage", "downtime", "compliance", "sla", "escalat",
+    "immediately", "production down", "p0", "p1", "severity",
+)
 HEALTH_URGENCY = "urgent critical asap emergency escalat broken down outage blocker p0 p1 sev1 sev2".split()
 ISSUE_STOPWORDS = (
     "i me my we our you your he she it they them their this that is am are was were be been being have has had do does "
@@ -90,8 +90,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def has_cue(text: Column, cues: Iterable[str]) -> Column:
-    """Whether a lower-cased text holds any cue, also inside words; `_` in a cue is a space."""
-    return F.lower(text).rlike("|".join(c.replace("_", " ") for c in cues))
+    """Whether a lower-cased text holds any cue, also inside words."""
+    return F.lower(text).rlike("|".join(cues))
 
 
 # What a fact about a person looks like, in order.
@@ -139,6 +139,11 @@ def approx_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\w+|[^\w\s]"))
 
 
+def approx_cut(text: Column, most: Column) -> Column:
+    """The text up to the end of the last of its first `most` tokens, as approx_tokens counts them. White space goes with the token after it."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"\s*(?:\w+|[^\w\s])"), F.lit(0)), F.lit(1), most), "")
+
+
 def slugify(text: Column) -> Column:
     kept = F.regexp_replace(F.lower(strip(text)), r"[^a-z0-9\s-]", "")
     return F.regexp_replace(strip(kept), r"\s+", "-")

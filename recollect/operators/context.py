@@ -20,7 +20,7 @@ from recollect.functions.text import (
     word_tokens,
     words,
 )
-from recollect.operators.common import SCOPE, in_scope, scoped
+from recollect.operators.common import ANY_TENANT, SCOPE, in_scope, scoped
 from recollect.sources.scratch import materialize
 
 # Scores.
@@ -97,9 +97,11 @@ def memory_pool(requests: DataFrame, memories: DataFrame, semantic: DataFrame |
     score = F.when(F.col("distance").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("distance")) * SEMANTIC)
     rows = rows.join(found, ["request_id", "memory_id"], "left").withColumn("semantic", score)
     extra = found.join(rows.select("request_id", "memory_id"), ["request_id", "memory_id"], "left_anti")
-    # What was found counts only if the request may see it.
-    extra = requests_with(requests, scoped(active)).join(extra, ["request_id", "memory_id"])
-    extra = extra.withColumns({"semantic": score, "pool_rank": 1_000 + F.col("rank")})
+    # What was found is looked up by its id, at most SEMANTIC_POOL rows a request; it counts only if the request may see it.
+    asked = in_scope(requests).select("request_id", "scope", F.col("subject_id").alias("_subject"), "task", "task_tokens", F.col("session_id").alias("current"))
+    extra = extra.join(active, "memory_id").join(asked, "request_id")
+    seen = (F.col("subject_id") == F.col("_subject")) & ((F.col("scope") == ANY_TENANT) | F.col("tenant_id").eqNullSafe(F.col("scope")))
+    extra = extra.where(seen).withColumns({"semantic": score, "pool_rank": 1_000 + F.col("rank")})
     names = [c for c in rows.columns if c not in ("distance", "rank")]
     return rows.select(names).union(extra.select(names))
 
@@ -108,8 +110,10 @@ def memory_breadcrumbs(pool: DataFrame, episodes: DataFrame) -> DataFrame:
     """(memory_id, breadcrumbs): the headings of the episodes that a memory came from."""
     payload = F.col("payload")
     heading = lambda key: F.nullif(F.get_json_object(payload, key), F.lit(""))
-    marked = episodes.select("episode_id", F.coalesce(heading("$.breadcrumb"), heading("$.title")).alias("b")).where("b IS NOT NULL")
     cites = pool.select("memory_id", "source_episode_ids").dropDuplicates(["memory_id"]).select("memory_id", F.explode("source_episode_ids").alias("episode_id"))
+    # Only cited episodes' payloads are parsed.
+    cited = episodes.select("episode_id", "payload").join(cites.select("episode_id").distinct(), "episode_id", "left_semi")
+    marked = cited.select("episode_id", F.coalesce(heading("$.breadcrumb"), heading("$.title")).alias("b")).where("b IS NOT NULL")
     return cites.join(marked, "episode_id").groupBy("memory_id").agg(F.sort_array(F.collect_list("b")).alias("breadcrumbs"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recollect.functions.text import approx_tokens, payload_text
+from recollect.functions.text import approx_cut, approx_tokens, payload_text
 from recollect.operators.common import SUBJECT, join_on, scoped
 from recollect.operators.context import requests_with, with_tokens
 from recollect.sources.scratch import materialize
@@ -49,13 +49,13 @@ def _less_one(text: Column) -> Column:
 
 def handoff_brief(
     requests: DataFrame, episodes: DataFrame, memories: DataFrame, resolutions: DataFrame, health: DataFrame, subject_sla: DataFrame,
-    session_sla: DataFrame, tokens: Callable[[Column], Column] = approx_tokens,
+    session_sla: DataFrame, tokens: Callable[[Column], Column] = approx_tokens, cut: Callable[[Column, Column], Column] = approx_cut,
 ) -> DataFrame:
     """Briefs for requests (request_id, tenant_id, subject_id, session_id, reason, max_tokens).
 
     Parts in order: customer, health, response times, active issue, what was tried, open issues,
-    previously resolved, key facts, recent context. Notes longer than the budget are cut by
-    tokens (a prefix of `max_tokens` of the pluggable counter's tokens).
+    previously resolved, key facts, recent context. Notes longer than the budget are cut to its first
+    `max_tokens` tokens by `cut(text, most)`, which has to go by the same tokens as the counter `tokens`.
     """
     asked = with_tokens(requests.withColumn("task", F.lit("")))
     facts = requests_with(asked, _top(memories.where("status = 'active' AND kind = 'profile_fact'"), FACTS, F.desc("created_at"), F.col("memory_id")))
@@ -117,12 +117,10 @@ def handoff_brief(
         _section("Recent Context (other sessions)", F.col("recent")),
     )
     rows = rows.withColumn("_notes", _less_one(notes)).withColumn("_n", tokens(F.col("_notes")))
-    # Cut at the end of the last token that fits; only notes over budget pay for it.
-    cut = F.expr(r"regexp_extract(_notes, concat('^(?:\\s*(?:\\w+|[^\\w\\s])){', cast(max_tokens AS string), '}'), 0)")
     return rows.select(
         "request_id", "tenant_id", "subject_id", "session_id", "reason", summary.alias("customer_summary"), issue.alias("active_issue"),
         F.slice("steps", 1, STEPS).alias("attempted_steps"), F.slice("facts", 1, SHOWN_FACTS).alias("key_facts"), "recent", "open_issues", "resolved",
         F.col("score").alias("health_score"), F.col("state").alias("health_state"),
-        F.when(F.col("_n") > F.col("max_tokens"), cut).otherwise(F.col("_notes")).alias("handoff_notes"),
+        F.when(F.col("_n") > F.col("max_tokens"), cut(F.col("_notes"), F.col("max_tokens"))).otherwise(F.col("_notes")).alias("handoff_notes"),
         F.least(F.col("_n"), F.col("max_tokens")).alias("token_estimate"), "fact_ids", "issue_ids", "resolution_ids", "recent_ids",
     )

@@ -20,6 +20,8 @@ from recollect.operators.sla import SESSION, session_firsts
 # Narrower source lists than those of response times.
 USER_SOURCES = ("user", "chat", "support-chat")
 AGENT_SOURCES = ("assistant", "agent", "system", "tool")
+#: Fixed value: episodes, and resolutions, that one request reads of a subject.
+REQUEST_CAP = 200
 DAY = 86_400.0
 STATES = ("healthy", "watch", "at_risk")
 
@@ -40,9 +42,10 @@ def _overlaps(episodes: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def health_signals(
-    episodes: DataFrame, resolutions: DataFrame, as_of: str, episode_cap: int | None = 200, resolution_cap: int | None = 200
+    episodes: DataFrame, resolutions: DataFrame, as_of: str, episode_cap: int | None = None, resolution_cap: int | None = None
 ) -> DataFrame:
-    """What the score is made from, a row a subject that has episodes or resolutions."""
+    """What the score is made from, a row a subject that has episodes or resolutions: all of them, or the oldest
+    episodes and latest resolutions up to caps (REQUEST_CAP is that of a single request)."""
     now = F.lit(as_of).cast("timestamp")
     eps = per_subject_cap(episodes, episode_cap, F.col("created_at"), F.col("episode_id"))
     res = per_subject_cap(resolutions, resolution_cap, F.desc("updated_at"), F.col("resolution_id"))

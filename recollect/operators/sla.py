@@ -12,6 +12,8 @@ from recollect.operators.common import SUBJECT, join_on, per_subject_cap
 # Who speaks for the customer and who answers.
 USER_SOURCES = ("user", "chat", "support-chat", "support_chat", "customer", "manual_input")
 AGENT_SOURCES = ("assistant", "agent", "system", "tool", "support", "staff")
+#: Fixed value: episodes that one request reads of a subject.
+REQUEST_CAP = 500
 SESSION = (*SUBJECT, "session_id")
 
 
@@ -42,9 +44,10 @@ def session_sla(
     as_of: str,
     first_response: float = 300.0,
     resolution: float = 86_400.0,
-    episode_cap: int | None = 500,
+    episode_cap: int | None = None,
 ) -> DataFrame:
-    """Response and resolution figures of every session, from a subject's oldest episodes up to the cap."""
+    """Response and resolution figures of every session, from all episodes, or from a subject's oldest ones up to a cap
+    (REQUEST_CAP is that of a single request)."""
     capped = per_subject_cap(episodes, episode_cap, F.col("created_at"), F.col("episode_id"))
     s = session_firsts(capped, USER_SOURCES, AGENT_SOURCES, fallback=True)
     # Of several states of a session the one updated first holds.

@@ -316,7 +316,7 @@ ORACLES = {
       SELECT doc_path, CAST(section AS BIGINT) AS section, heading, breadcrumb, doc_path || coalesce('#' || regexp_replace(trim(regexp_replace(lower(trim(heading)), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g'), '') AS url,
       sha256(text) AS content_hash FROM o""",
     "write_pack_jsonl": f"{_M} SELECT kind, count(*) AS cites, count(DISTINCT episode_id) AS episodes FROM m GROUP BY ALL",
-    "stream_compile": f"{_M.replace('WHERE rn <= 500 AND', 'WHERE')} SELECT memory_id, subject_id, kind, content FROM m",
+    "stream_compile": f"{_M} SELECT memory_id, subject_id, kind, content FROM m",
     "minute_hits": """SELECT user_id % 7 AS key, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS hits, count(*) > 2 AS limited,
       CASE WHEN count(*) > 2 THEN CAST(greatest(1, 60 - second(max(ts))) AS INT) END AS retry_after FROM events GROUP BY user_id % 7, date_trunc('minute', ts)""",
     "sliding_admission": """WITH RECURSIVE e AS (SELECT CAST(user_id % 7 AS BIGINT) AS key, CAST(event_id AS BIGINT) AS event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 7 ORDER BY epoch_us(ts), event_id) AS k FROM events),

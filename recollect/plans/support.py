@@ -10,6 +10,9 @@ from recollect.operators import compile as comp
 from recollect.operators import conflicts, health, sla
 from recollect.sources.adapters import AS_OF, episodes, oracle_ctes, resolutions
 
+#: What the capped queries read of a subject.
+CAP = 12
+
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 3) for n in names})
@@ -21,6 +24,13 @@ def session_sla(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(rows, "first_response_seconds", "resolution_seconds", "open_duration_seconds")
 
 
+def session_sla_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a single request sees it: a subject's oldest episodes only. The cap is lowered so that the test tables meet it."""
+    rows = sla.session_sla(episodes(spark, sf_dir), resolutions(spark, sf_dir), AS_OF, episode_cap=CAP)
+    rows = rows.select("tenant_id", "subject_id", "session_id", "status", stamp(F.col("first_message_at")).alias("first_message_at"), "first_response_seconds")
+    return _round(rows, "first_response_seconds")
+
+
 def _subject_sla(spark: SparkSession, sf_dir: str, **limits: float) -> DataFrame:
     rows = sla.subject_sla(sla.session_sla(episodes(spark, sf_dir), resolutions(spark, sf_dir), AS_OF, **limits))
     return _round(rows, "avg_first_response_seconds", "avg_resolution_seconds")
@@ -91,6 +101,12 @@ def health_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def health_signals_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a single request sees it: oldest episodes and latest resolutions only."""
+    rows = health.health_signals(episodes(spark, sf_dir), resolutions(spark, sf_dir), AS_OF, episode_cap=CAP, resolution_cap=CAP // 4)
+    return rows.select("tenant_id", "subject_id", "escalations", "total_sessions", "open_sessions", "resolved_sessions", "recent", "breaches", "repeated")
+
+
 def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.subject_health(_signals(spark, sf_dir))
 
@@ -123,7 +139,7 @@ def _t(name: str) -> str:
 
 
 _SESSIONS = """capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, subject_id ORDER BY created_at, episode_id) AS rn
-    FROM episodes) WHERE rn <= 500 AND session_id IS NOT NULL),
+    FROM episodes) WHERE session_id IS NOT NULL),
   fu AS (SELECT *, min(CASE WHEN source IN ('user', 'chat', 'support-chat', 'support_chat', 'customer', 'manual_input') THEN created_at END)
     OVER (PARTITION BY sk, session_id) AS fu FROM capped),
   f AS (SELECT tenant_id, subject_id, sk, session_id, min(fu) AS fu, min(created_at) AS first_at,
@@ -159,7 +175,7 @@ _FACTS = ", ".join(
     )
 )
 MEMORIES = f"""{TEXTS}, recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, subject_id ORDER BY created_at, episode_id) AS rn
-    FROM texts) WHERE rn <= 500 AND text <> ''),
+    FROM texts) WHERE text <> ''),
   facts AS (SELECT *, unnest(fs) AS fact, generate_subscripts(fs, 1) AS ordinal FROM (SELECT *, flatten([{_FACTS}]) AS fs FROM recent)),
   memories AS (SELECT tenant_id, subject_id, 'episode_summary' AS kind, substr(text, 1, 500) AS content, 0.8::DOUBLE AS confidence,
       created_at, episode_id, 0 AS ordinal FROM recent
@@ -173,8 +189,8 @@ _LOST = """tk AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lowe
     AND 5 * len(list_intersect(a.ws, b.ws)) >= (CASE a.kind WHEN 'profile_fact' THEN 3 ELSE 4 END) * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))
     GROUP BY a.memory_id)"""
 
-_SIGNALS = """ep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, subject_id ORDER BY created_at, episode_id) AS rn FROM episodes) WHERE rn <= 200),
-  re AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, subject_id ORDER BY updated_at DESC, resolution_id) AS rn FROM resolutions) WHERE rn <= 200),
+_SIGNALS = """ep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, subject_id ORDER BY created_at, episode_id) AS rn FROM episodes)),
+  re AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, subject_id ORDER BY updated_at DESC, resolution_id) AS rn FROM resolutions)),
   hu AS (SELECT *, min(CASE WHEN source IN ('user', 'chat', 'support-chat') THEN created_at END) OVER (PARTITION BY sk, session_id) AS fu FROM ep WHERE session_id IS NOT NULL),
   hs AS (SELECT sk, session_id, min(fu) AS fu, max(created_at) AS last_at,
     min(CASE WHEN source IN ('assistant', 'agent', 'system', 'tool') AND created_at >= fu THEN created_at END) AS fa FROM hu GROUP BY ALL),
@@ -215,7 +231,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         session_sla, subject_sla, subject_sla_custom_thresholds, payload_texts, compile_memories, compile_summaries, compile_profile_facts,
-        uncompiled_capped, conflict_pairs, resolve_conflicts, prompt_batches, health_signals, subject_health, health_alerts, health_distribution,
+        session_sla_capped, health_signals_capped, uncompiled_capped, conflict_pairs, resolve_conflicts, prompt_batches, health_signals, subject_health, health_alerts, health_distribution,
     )
 }
 ORACLES = {
@@ -223,6 +239,8 @@ ORACLES = {
       {_t("first_response_at")} AS first_response_at, {_t("resolved_at")} AS resolved_at, round(frs, 3) AS first_response_seconds,
       coalesce(frs > 300, false) AS first_response_breached, round(rs, 3) AS resolution_seconds, coalesce(rs > 86400, false) AS resolution_breached,
       round(od, 3) AS open_duration_seconds FROM s""",
+    "session_sla_capped": f"""{_ER}, {_SESSIONS.replace("WHERE session_id", f"WHERE rn <= {CAP} AND session_id")} SELECT tenant_id, subject_id, session_id, status,
+      {_t("first_message_at")} AS first_message_at, round(frs, 3) AS first_response_seconds FROM s""",
     "subject_sla": _SUBJECT_SLA.replace("{fr}", "300").replace("{res}", "86400"),
     "subject_sla_custom_thresholds": _SUBJECT_SLA.replace("{fr}", "3600").replace("{res}", "7200"),
     "payload_texts": f"{oracle_ctes('episodes')}, {TEXTS} SELECT episode_id, text FROM texts",
@@ -238,6 +256,8 @@ ORACLES = {
     "prompt_batches": f"""{oracle_ctes("episodes")}, {TEXTS}, l AS (SELECT tenant_id, subject_id, list(CAST(least(length(text), 4000) AS BIGINT) ORDER BY created_at, episode_id) AS ns
       FROM texts WHERE text <> '' GROUP BY ALL) SELECT tenant_id, subject_id,
       CAST(list_reduce(ns, lambda a, x: CASE WHEN a % 10000 + x <= 600 THEN a + x ELSE (a // 10000 + 1) * 10000 + x END) // 10000 + 1 AS INT) AS batches, len(ns) AS n FROM l""",
+    "health_signals_capped": f"""{_ER}, {_SIGNALS.replace("AS rn FROM episodes)", f"AS rn FROM episodes) WHERE rn <= {CAP}").replace("AS rn FROM resolutions)", f"AS rn FROM resolutions) WHERE rn <= {CAP // 4}")}
+      SELECT tenant_id, subject_id, escalations, total_sessions, open_sessions, resolved_sessions, recent, breaches, repeated FROM sg""",
     "health_signals": f"{_H} SELECT * EXCLUDE (sk, idle_days) REPLACE (round(response, 3) AS response) FROM sg",
     "subject_health": f"{_H} SELECT tenant_id, subject_id, score, state, factors FROM h",
     "health_alerts": f"""{_H} SELECT tenant_id, subject_id, CASE WHEN sv > pv THEN 'subject.health_degraded' ELSE 'subject.health_improved' END AS event,

@@ -138,3 +138,43 @@ def test_handoff(spark, world):
     nobody = spark.createDataFrame([("n", None, "ghost", "", "z", 100, "r")], REQUEST)
     empty = handoff.handoff_brief(nobody, eps, mem, res, scores, sla.subject_sla(sessions), sessions).first()
     assert empty["customer_summary"] == "Subject: ghost" and empty["health_score"] == 100 and empty["active_issue"] == ""
+
+
+@pytest.mark.parametrize("budget", [4_000, 32_000])
+def test_long_notes_are_cut_to_any_budget(spark, world, budget):
+    mem, eps, _ = world
+    words = " ".join(f"step{i}, done." if i % 7 else f"(naïve—{i})" for i in range(5_000))
+    res = resolutions(spark, [("a", "open", words), ("b", "resolved", "restarted export job")]).withColumn("created_at", F.col("updated_at"))
+    sessions = sla.session_sla(eps, res, AS_OF)
+    scores = health.subject_health(health.health_signals(eps, res, AS_OF))
+    got = handoff.handoff_brief(request(spark, "", "b", budget), eps, mem, res, scores, sla.subject_sla(sessions), sessions).first()
+    whole = handoff.handoff_brief(request(spark, "", "b", 10**9), eps, mem, res, scores, sla.subject_sla(sessions), sessions).first()["handoff_notes"]
+    pieces = re.findall(r"\s*(?:\w+|[^\w\s])", whole, re.A)
+    assert 16_000 < len(pieces) < 32_000
+    assert got["handoff_notes"] == (whole if budget > len(pieces) else "".join(pieces[:budget]))
+    assert got["token_estimate"] == min(budget, len(pieces))
+
+
+def test_notes_are_cut_by_the_given_counter(spark, world):
+    mem, eps, res = world
+    res = res.withColumn("created_at", F.col("updated_at"))
+    sessions = sla.session_sla(eps, res, AS_OF)
+    scores = health.subject_health(health.health_signals(eps, res, AS_OF))
+    got = handoff.handoff_brief(
+        request(spark, "", "b", 33), eps, mem, res, scores, sla.subject_sla(sessions), sessions, tokens=F.length, cut=lambda text, most: F.substring(text, F.lit(1), most)
+    ).first()
+    assert len(got["handoff_notes"]) == 33 == got["token_estimate"]
+
+
+def test_semantic_finds_are_looked_up_by_id_and_scope(spark):
+    rows = [(f"f{i:03d}", ["acme", "globex", None][i % 3], ["s", "t"][i % 2], "rare", f"fact {i}", T0 + timedelta(hours=i), []) for i in range(24)]
+    mem = spark.createDataFrame(rows, MEMORY).withColumns({"status": F.when(F.col("memory_id") == "f006", "superseded").otherwise("active"), "valid_to": F.lit(None).cast("timestamp")})
+    asked = spark.createDataFrame([("all", None, "s", "x", None, 100, "r"), ("acme", "acme", "s", "x", None, 100, "r")], REQUEST)
+    found = spark.createDataFrame([(q, r[0], 0.5, k) for q in ("all", "acme") for k, r in enumerate(rows)], "request_id string, memory_id string, distance double, rank int")
+    pool = context.memory_pool(context.with_tokens(asked), mem, found)
+    got = {(r["request_id"], r["memory_id"]) for r in pool.collect()}  # a kind without a pool comes in by its finds alone
+    mine = [r for r in rows if r[2] == "s" and r[0] != "f006"]
+    assert got == {("all", r[0]) for r in mine} | {("acme", r[0]) for r in mine if r[1] == "acme"}
+    text = context.memory_pool(context.with_tokens(asked), mem, found)._jdf.queryExecution().optimizedPlan().toString()
+    # Each of the two readings of memories beside finds meets them by id: one Expand of scopes, that of the pools, is left.
+    assert text.count("Generate explode") == 2

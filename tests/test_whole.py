@@ -3,6 +3,7 @@
 import hashlib
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,29 @@ def test_hot_subjects_are_resolved_and_exported_whole(spark, hot):
     assert exported == {"user-3": 700, "user-4": 10}
 
 
+@pytest.fixture(scope="module")
+def busy(spark, tmp_path_factory):
+    """Events of all kinds, 700 of them of one subject, and no other tables."""
+    folder = str(tmp_path_factory.mktemp("busy"))
+    kinds = ["error", "click", "view", "purchase", "signup"]
+    rows = [(i, T0 + timedelta(minutes=37 * i), 5 if i % 8 else 4, kinds[(i * 7 + i // 5) % 5]) for i in range(800)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["session_sla", "subject_sla", "health_signals", "subject_health", "session_sla_capped", "health_signals_capped"])
+def test_busy_subjects_are_judged_by_all_their_episodes(spark, busy, name):
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{busy}/events.parquet/*.parquet')")
+    found = con.sql(registry.ORACLES[name])
+    df = registry.QUERIES[name](spark, busy)
+    columns = sorted(df.columns)
+    assert columns == sorted(found.columns)
+    order = [list(found.columns).index(c) for c in columns]
+    text = lambda rows: sorted(repr([round(float(v), 6) if isinstance(v, float) else v for v in r]) for r in rows)
+    assert text(tuple(r) for r in df.select(columns).collect()) == text([r[i] for i in order] for r in found.fetchall())
+
+
 @pytest.mark.parametrize("most", [{"most_rows": 150}, {"most_bytes": 20_000}])
 def test_large_subjects_make_the_round_trip(spark, hot, most):
     as_of = "2024-02-01 00:00:00"
