@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recollect.operators.asof import count_before, last_before
 from recollect.operators.common import SUBJECT, join_on, page, per_subject_cap, tenant_scope, visible_subjects
 from recollect.operators.health import health_signals, subject_health
 from recollect.operators.sla import SESSION
+from recollect.sources.scratch import materialize
 
 
 def subject_overview(episodes: DataFrame, memories: DataFrame) -> DataFrame:
@@ -227,38 +229,35 @@ LINE = (*SUBJECT, "kind")
 
 
 def lineage_superseder(memories: DataFrame) -> DataFrame:
-    """For each superseded memory with sources: the next active memory of its subject and kind."""
-    at = F.struct("created_at", "memory_id")
-    # Backwards in time, the least active row so far; rows of the same time are not later ones.
-    rows = memories.withColumn("_active", F.when(F.col("status") == "active", at))
-    per_time = rows.groupBy(*LINE, "created_at").agg(F.min("_active").alias("_active"))
-    before = Window.partitionBy(*LINE).orderBy(F.desc("created_at")).rowsBetween(Window.unboundedPreceding, -1)
-    next_ = per_time.withColumn("_next", F.last("_active", ignorenulls=True).over(before)).select(*LINE, "created_at", "_next")
-    lost = memories.where("status = 'superseded' AND size(source_episode_ids) > 0")
-    out = join_on(lost, next_, (*LINE, "created_at"))
-    return out.select("memory_id", F.col("_next.memory_id").alias("superseding_id")).where("superseding_id IS NOT NULL")
+    """For each superseded memory with sources: the next active memory of its subject and kind.
+
+    A subject's line is read backwards in range partitions, so a hot one is spread over tasks.
+    """
+    active = F.col("status") == "active"
+    rows = memories.where(active | ((F.col("status") == "superseded") & (F.size("source_episode_ids") > 0)))
+    rows = rows.select(*LINE, "created_at", "memory_id", active.alias("active"))
+    # Of one time the superseded ones come first, since what is of their time isn't later; then the active ones, the least id last.
+    order = [F.desc("created_at"), F.col("active"), F.desc("memory_id")]
+    out = last_before(rows, list(LINE), order, F.when(F.col("active"), F.col("memory_id")), "lineage-line")
+    return out.where("NOT active AND found IS NOT NULL").select("memory_id", F.col("found").alias("superseding_id"))
 
 
 def lineage_superseded(memories: DataFrame, n: int = 5) -> DataFrame:
     """For each active memory: the n latest superseded ones before it, of its subject and kind.
 
-    The superseded ones before each time are kept as a sliding list of n, so no pair of rows meets.
+    Superseded memories are numbered along their line, in range partitions; an active one with c of them before it looks up
+    the numbers c, c - 1, ..., so no pair of rows meets otherwise and a hot subject is spread over tasks.
     """
-    gone = F.when(F.col("status") == "superseded", F.struct("created_at", "memory_id"))
-    times = memories.groupBy(*LINE, "created_at").agg(F.sort_array(F.collect_list(gone), asc=False).alias("_gone"))
-    times = times.withColumn("_gone", F.slice("_gone", 1, n)).withColumn("_k", F.size("_gone"))
-    full = Window.partitionBy(*LINE).orderBy("created_at")
-    back = times.withColumn("_count", F.sum(F.when(F.col("_k") > 0, 1).otherwise(0)).over(full))
-    lists = back.where("_k > 0").withColumn(
-        "_last", F.flatten(F.reverse(F.collect_list("_gone").over(full.rowsBetween(-(n - 1), 0))))
-    )
-    lists = lists.select(*LINE, F.col("_count").alias("_c"), F.slice("_last", 1, n).alias("_last"))
-    active = join_on(memories.where("status = 'active'"), back.select(*LINE, "created_at", "_count", "_k"), (*LINE, "created_at"), "inner")
-    active = active.withColumn("_c", F.col("_count") - F.when(F.col("_k") > 0, 1).otherwise(0))
-    out = join_on(active.select("memory_id", *LINE, "_c"), lists, (*LINE, "_c"), "inner")
-    return out.select("memory_id", F.posexplode("_last").alias("rank", "_m")).select(
-        "memory_id", (F.col("rank") + 1).alias("rank"), F.col("_m.memory_id").alias("superseded_id")
-    )
+    gone = F.col("status") == "superseded"
+    rows = memories.where("status IN ('active', 'superseded')").select(*LINE, "created_at", "memory_id", gone.alias("gone"))
+    # Of one time the active ones come first: what is of their time isn't earlier.
+    order = [F.col("created_at"), F.col("gone"), F.col("memory_id")]
+    placed = materialize(count_before(rows, list(LINE), order, F.col("gone"), "lineage-count"), "lineage-placed")
+    numbered = placed.where("gone").select(*LINE, (F.col("found") + 1).alias("_k"), F.col("memory_id").alias("superseded_id"))
+    asks = placed.where("NOT gone AND found > 0")
+    asks = asks.withColumn("_k", F.explode(F.sequence(F.col("found"), F.greatest(F.col("found") - (n - 1), F.lit(1)), F.lit(-1).cast("long"))))
+    out = join_on(asks, numbered, (*LINE, "_k"), "inner")
+    return out.select("memory_id", (F.col("found") - F.col("_k") + 1).cast("int").alias("rank"), "superseded_id")
 
 
 def lineage_siblings(memories: DataFrame, sources: int = 5, n: int = 10) -> DataFrame:

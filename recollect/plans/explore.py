@@ -16,7 +16,8 @@ from recollect.sources.scratch import materialize
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compiled memories after conflicts, with a source episode more for every other one."""
-    rows = resolve_conflicts(compile_memories(uncompiled(episodes(spark, sf_dir), cap=None)), AS_OF)
+    made = materialize(compile_memories(uncompiled(episodes(spark, sf_dir), cap=None)), "compiled")  # read twice
+    rows = resolve_conflicts(made, AS_OF)
     event = F.substring(F.element_at("source_episode_ids", 1), 4, 20).cast("long")
     more = F.concat(F.lit("ev-"), (event - event % 8).cast("string"))
     rows = rows.withColumn("source_episode_ids", F.when(event % 2 == 0, F.array_append("source_episode_ids", more)).otherwise(F.col("source_episode_ids")))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from recollect.functions.text import payload_text, stamp
 from recollect.operators import compile as comp
-from recollect.operators import conflicts, health, sla
+from recollect.operators import conflict_index, conflicts, health, sla
 from recollect.sources.adapters import AS_OF, episodes, oracle_ctes, resolutions
+from recollect.sources.scratch import materialize, scratch
 
 #: What the capped queries read of a subject.
 CAP = 12
@@ -79,8 +80,16 @@ def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("memory_id", "superseded_by", stamp(F.col("valid_to")).alias("valid_to"))
 
 
+def conflict_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same marks from three batches that come in turn, each against what the ones before left in the index."""
+    path, rows = scratch(spark, "conflict-index"), materialize(_memories(spark, sf_dir), "conflict-memories")
+    for batch in range(3):
+        conflict_index.add_batch(path, rows.where(F.pmod(F.xxhash64("memory_id"), F.lit(3)) == batch), batch, buckets=8)
+    return conflict_index.marks(spark, path, 3).withColumn("valid_to", stamp(F.col("valid_to")))
+
+
 def resolve_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = conflicts.resolve_conflicts(_memories(spark, sf_dir), AS_OF)
+    rows = conflicts.resolve_conflicts(materialize(_memories(spark, sf_dir), "conflict-memories"), AS_OF)  # read twice
     return rows.groupBy("subject_id", "kind", "status").agg(F.count("*").alias("n"), F.max(stamp(F.col("valid_to"))).alias("last_valid_to"))
 
 
@@ -231,7 +240,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         session_sla, subject_sla, subject_sla_custom_thresholds, payload_texts, compile_memories, compile_summaries, compile_profile_facts,
-        session_sla_capped, health_signals_capped, uncompiled_capped, conflict_pairs, resolve_conflicts, prompt_batches, health_signals, subject_health, health_alerts, health_distribution,
+        session_sla_capped, health_signals_capped, uncompiled_capped, conflict_pairs, conflict_batches, resolve_conflicts, prompt_batches, health_signals, subject_health, health_alerts, health_distribution,
     )
 }
 ORACLES = {
@@ -251,6 +260,7 @@ ORACLES = {
     "uncompiled_capped": f"""{oracle_ctes("episodes")} SELECT subject_id, count(*) AS n, max({_t("created_at")}) AS last_at FROM (
       SELECT *, row_number() OVER (PARTITION BY tenant_id, subject_id ORDER BY created_at, episode_id) AS rn FROM episodes) WHERE rn <= 20 GROUP BY ALL""",
     "conflict_pairs": f"{_M}, {_LOST} SELECT memory_id, nx[1] AS superseded_by, {_t('nx[2]')} AS valid_to FROM lost",
+    "conflict_batches": f"{_M}, {_LOST} SELECT memory_id, nx[1] AS superseded_by, {_t('nx[2]')} AS valid_to FROM lost",
     "resolve_conflicts": f"""{_M}, {_LOST} SELECT subject_id, kind, CASE WHEN nx IS NULL THEN 'active' ELSE 'superseded' END AS status, count(*) AS n,
       max({_t("nx[2]")}) AS last_valid_to FROM m LEFT JOIN lost USING (memory_id) GROUP BY ALL""",
     "prompt_batches": f"""{oracle_ctes("episodes")}, {TEXTS}, l AS (SELECT tenant_id, subject_id, list(CAST(least(length(text), 4000) AS BIGINT) ORDER BY created_at, episode_id) AS ns

@@ -94,8 +94,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to as many tasks as there are cores, where a small file would give fewer; large inputs stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() * 2 < cores else rows
+
+
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stamps(spark.sql(EPISODES_SQL, events=_table(spark, sf_dir, "events")))
+    return _stamps(spark.sql(EPISODES_SQL, events=spread(_table(spark, sf_dir, "events"), "event_id")))
 
 
 def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
