@@ -109,24 +109,34 @@ def with_position(df: DataFrame, order: list[Column], tag: str) -> tuple[DataFra
 
 
 class Memo(dict):
-    """word -> make(word), kept for at most two generations of `most` words: words that come again
-    pass to the next one, so a vocabulary of any size keeps its frequent words."""
+    """word -> make(word), kept for at most two generations: words that come again pass to the next one, so a vocabulary
+    of any size keeps its frequent words.
 
-    def __init__(self, most: int = 250_000):
+    A generation ends at `most` words or `size` bytes, counting words, what is made of them if it is bytes, and 200 bytes
+    each for their objects. Words of over LONG bytes are made anew each time: they are seldom repeated and may be of any length.
+    """
+
+    LONG = 64
+
+    def __init__(self, most: int = 250_000, size: int = 1 << 26):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.size, self.held, self.old = most, size, 0, {}
 
     def make(self, word: bytes):
         raise NotImplementedError
 
     def __missing__(self, word: bytes):
-        if len(self) >= self.most:
+        if len(word) > self.LONG:
+            return self.make(word)
+        if len(self) >= self.most or self.held >= self.size:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         found = self.old.get(word)
         if found is None:
             found = self.make(word)
         self[word] = found
+        self.held += len(word) + (len(found) if isinstance(found, bytes) else 0) + 200
         return found
 
 
