@@ -5,12 +5,13 @@ import hashlib
 import io
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.llm import quality, secrets, token_counts, warc, winnow
+from recollect.llm import common, quality, secrets, token_counts, warc, winnow
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, kept boolean, grade int, page_id long"
 
@@ -91,14 +92,70 @@ def test_planted_secrets_are_novel(kind):
     assert found >= 90
 
 
-def test_names_near_cues_are_not_novel():
+@pytest.mark.parametrize("kind", sorted(PLANTED))
+@pytest.mark.parametrize("gap", ["", ". Again: ", "\n", " " + "x" * 50 + " ", " and so on" * 25 + " "])
+def test_repeated_secrets_are_novel_at_both_places(kind, gap):
+    rng = random.Random(len(kind) + len(gap))
+    alphabet, n, frame = PLANTED[kind]
+    scanner, found = secrets.Scanner(), 0
+    for _ in range(60):
+        secret = "".join(rng.choices(alphabet, k=n))
+        line = frame.format(secret)
+        text = f"{prose(rng, 40)} {line}{gap or ' '}{line} {prose(rng, 40)}"
+        found += sum(text[s:e].count(secret) for s, _, e in scanner.novel(text))
+    assert found >= 0.9 * 120
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_names_near_cues_are_not_novel(times):
     rng = random.Random(4)
     scanner = secrets.Scanner()
     for line in PLAIN:
-        text = f"{prose(rng, 30)}\n{line}\n{prose(rng, 30)}"
+        text = f"{prose(rng, 30)}\n{(line + chr(10)) * times}{prose(rng, 30)}"
         assert [text[s:e] for s, _, e in scanner.novel(text)] == []
 
 
+def test_secrets_in_copied_documents_stay_out_of_the_dictionary(spark):
+    """Each secret twice within 100 characters, in five copies of its document and in a sixth that differs a little."""
+    rng, rows, kept = random.Random(12), [], []
+    for k, kind in enumerate(sorted(PLANTED) * 6):
+        alphabet, n, frame = PLANTED[kind]
+        secret = "".join(rng.choices(alphabet, k=n)) if k % 3 or kind != "letters alone" else "hunterPass" + "".join(rng.choices(alphabet, k=10))
+        text = f"{prose(rng, 60)} {frame.format(secret)} again {frame.format(secret)} {prose(rng, 60)}"
+        kept.append((kind, secret, text))
+        rows += [(10 * k + j, text) for j in range(5)] + [(10 * k + 5, text + " more"), (10 * k + 6, text + " less")]
+    words = secrets.corpus_words(docs(spark, rows))
+    assert b"customers" in words and not any(w in secret for w in words.decode().split() for _, secret, _ in kept if len(w) > 5)
+    scanner, found = secrets.Scanner(dictionary=words), Counter()
+    for kind, secret, text in kept:
+        found[kind] += sum(text[s:e].count(secret) for s, _, e in scanner.novel(text))
+    assert all(found[kind] >= 0.9 * 12 for kind in PLANTED), found
+
+
+def test_speakable_words_are_those_of_a_language():
+    rng = random.Random(3)
+    words = {w: 5 for w in secrets.PRIMER.split()}
+    odd = {"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)): 5 for _ in range(20)}
+    kept = set(secrets.speakable(words | odd))
+    assert len(kept & set(odd)) <= 2 and len(kept & set(words)) >= 0.9 * len(words)
+    assert secrets.speakable({}) == []
+
+
+def test_memos_keep_no_long_words():
+    class Doubled(common.Memo):
+        def make(self, word):
+            return word * 2
+
+    memo = Doubled(most=1000, size=100_000)
+    for i in range(20_000):
+        assert memo[b"%d" % i * 300] == b"%d" % i * 600
+    assert len(memo) == len(memo.old) == 0
+    for i in range(5_000):
+        assert memo[b"word%d" % i] == b"word%d" % i * 2
+    assert 0 < len(memo) <= 500 and 0 < len(memo.old) <= 500  # bounded by bytes before entries
+    assert memo[b"word4999"] == b"word4999word4999"
+
+
 def test_many_secrets_in_one_text():
     rng = random.Random(1)
     values = ["".join(rng.choices(ALNUM, k=24)) for _ in range(3000)]
