@@ -38,26 +38,29 @@ def _nearest(k: int):
     return nearest
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def units(vectors: pd.Series) -> np.ndarray:
+    """Vectors of length one, as rows; a zero vector stays zero."""
     x = np.array(vectors.tolist(), np.float64)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def _usable(memories: DataFrame) -> DataFrame:
+def usable(memories: DataFrame) -> DataFrame:
+    """Active memories that have a direction."""
     return memories.where("status = 'active' AND embedding IS NOT NULL AND exists(embedding, x -> x <> 0)")
 
 
-def fit_cells(memories: DataFrame, cells: int = 256, sample: int = 20_000, rounds: int = 8, seed: int = 11) -> np.ndarray:
-    """Centroids of a coarse index: spherical k-means of about `sample` memories' vectors, by a hash of the id.
-
-    Only the sample, which is bounded, goes to the driver; every memory is indexed by its nearest centroid.
-    """
-    rows = _usable(memories).select("memory_id", "embedding")
+def sample_units(memories: DataFrame, sample: int, seed: int) -> np.ndarray:
+    """Unit vectors of about `sample` memories, by a hash of the id, on the driver."""
+    rows = usable(memories).select("memory_id", "embedding")
     n = rows.count()
     if n > sample:
         rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), "memory_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
     got = rows.toPandas()
-    x = _unit(got["embedding"]) if len(got) else np.zeros((0, 1))
+    return units(got["embedding"]) if len(got) else np.zeros((0, 1))
+
+
+def spherical_centers(x: np.ndarray, cells: int, rounds: int, seed: int) -> np.ndarray:
+    """Spherical k-means of unit vectors."""
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds if len(x) else 0):
@@ -69,6 +72,14 @@ def fit_cells(memories: DataFrame, cells: int = 256, sample: int = 20_000, round
     return centers
 
 
+def fit_cells(memories: DataFrame, cells: int = 256, sample: int = 20_000, rounds: int = 8, seed: int = 11) -> np.ndarray:
+    """Centroids of a coarse index: spherical k-means of about `sample` memories' vectors, by a hash of the id.
+
+    Only the sample, which is bounded, goes to the driver; every memory is indexed by its nearest centroid.
+    """
+    return spherical_centers(sample_units(memories, sample, seed), cells, rounds, seed)
+
+
 def with_cells(rows: DataFrame, centers: np.ndarray | None, probes: int) -> DataFrame:
     """Rows once for each of the `probes` cells nearest to their vector; without an index all are in cell 0."""
     if centers is None or not len(centers):
@@ -76,12 +87,26 @@ def with_cells(rows: DataFrame, centers: np.ndarray | None, probes: int) -> Data
 
     @F.pandas_udf("array<int>")
     def nearest(vectors: pd.Series) -> pd.Series:
-        order = np.argsort(-(_unit(vectors) @ centers.T), axis=1, kind="stable")[:, :probes]
+        order = np.argsort(-(units(vectors) @ centers.T), axis=1, kind="stable")[:, :probes]
         return pd.Series(list(order.astype(np.int32)))
 
     return rows.withColumn("cell", F.explode(nearest("vector")))
 
 
+def dealt(queries: DataFrame, rows: DataFrame, more: list[str], block: int, most: int, run, schema: str) -> DataFrame:
+    """`run` of each block of about `block` queries with each block of about `most` rows of the same (scope, subject, *more)."""
+    key = [*SCOPE, *more]
+    nq = queries.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))
+    nv = rows.groupBy(*key).agg(F.ceil(F.count("*") / most).cast("int").alias("nv"))
+    sizes = nq.join(nv, key)
+    q = queries.join(sizes, key).withColumn("bq", F.pmod(F.xxhash64("query_id"), "nq").cast("int"))
+    q = q.withColumn("bv", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
+    v = rows.join(sizes, key).withColumn("bv", F.pmod(F.xxhash64("memory_id"), "nv").cast("int"))
+    v = v.withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).drop("nq", "nv")
+    v = v.withColumnsRenamed({n: f"_{n}" for n in (*key, "bq", "bv")})
+    return q.groupBy(*key, "bq", "bv").cogroup(v.groupBy(*[f"_{n}" for n in (*key, "bq", "bv")])).applyInPandas(run, schema)
+
+
 def semantic_topk(
     queries: DataFrame, memories: DataFrame, k: int = 100, block: int = 256, rows: int = 8192, cells: np.ndarray | None = None, probes: int = 16
 ) -> DataFrame:
@@ -95,23 +120,12 @@ def semantic_topk(
     Exact, unless `cells` (of fit_cells) are given: then a query meets only the memories of the `probes` cells
     nearest to it, which costs probes / cells of the exact work; semantic_topk_recall measures what that misses.
     """
-    key = [*SCOPE, "cell"]
-    active = scoped(_usable(memories)).select(*SCOPE, "memory_id", F.col("embedding").cast("array<double>").alias("vector"))
+    active = scoped(usable(memories)).select(*SCOPE, "memory_id", F.col("embedding").cast("array<double>").alias("vector"))
     active = with_cells(active, cells, 1)
     queries = in_scope(queries).select(*SCOPE, "query_id", F.col("vector").cast("array<double>").alias("vector"))
     queries = with_cells(queries, cells, probes)
-    nq = queries.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))
-    nv = active.groupBy(*key).agg(F.ceil(F.count("*") / rows).cast("int").alias("nv"))
-    sizes = nq.join(nv, key)
-    q = queries.join(sizes, key).withColumn("bq", F.pmod(F.xxhash64("query_id"), "nq").cast("int"))
-    q = q.withColumn("bv", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
-    v = active.join(sizes, key).withColumn("bv", F.pmod(F.xxhash64("memory_id"), "nv").cast("int"))
-    v = v.withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    v = v.select(F.col("scope").alias("cv"), F.col("subject_id").alias("sv"), F.col("cell").alias("kv"), F.col("bq").alias("vq"), F.col("bv").alias("vv"), "memory_id", "vector")
     kind = queries.schema["query_id"].dataType.simpleString()
-    found = q.groupBy(*key, "bq", "bv").cogroup(v.groupBy("cv", "sv", "kv", "vq", "vv")).applyInPandas(
-        _nearest(k), f"query_id {kind}, memory_id string, distance double"
-    )
+    found = dealt(queries, active, ["cell"], block, rows, _nearest(k), f"query_id {kind}, memory_id string, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 12), "memory_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "memory_id", "distance")
 

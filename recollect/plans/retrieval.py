@@ -8,12 +8,12 @@ from pyspark.sql.window import Window
 
 from recollect.functions import vectors
 from recollect.functions.text import payload_text, stamp
-from recollect.operators import context, handoff, health, search, sla
+from recollect.operators import context, gram_index, handoff, health, search, sla, vector_index
 from recollect.operators.common import scoped
 from recollect.operators.compile import compile_memories, uncompiled
 from recollect.plans.support import _H, _M, _SESSIONS, MEMORIES, _t
 from recollect.sources.adapters import AS_OF, episodes, oracle_ctes, resolutions, vector_memories
-from recollect.sources.scratch import materialize
+from recollect.sources.scratch import materialize, scratch
 
 TASK = "the export job keeps failing after the password change"
 
@@ -61,6 +61,40 @@ def semantic_topk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.crossJoin(hits).select("queries", (F.col("hits") >= 0.9 * F.col("total")).alias("recall_of_nine_tenths"))  # one row each
 
 
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search by postings, over memories that came in two batches."""
+    path, rows = scratch(spark, "gram-index"), materialize(_memories(spark, sf_dir), "gram-memories")
+    for batch in range(2):
+        gram_index.add_memories(path, rows.where(F.pmod(F.xxhash64("memory_id"), F.lit(2)) == batch), batch)
+    rows = gram_index.search_indexed(spark, path, "EXPORT job", kind="episode_summary")
+    return rows.select("subject_id", "memory_id", "content", stamp(F.col("created_at")).alias("created_at"))
+
+
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of product codes over clustered vectors: whether it finds nine in ten of the exact neighbours for less than half of the work.
+
+    Each vector is drawn to one of forty others, for lists and codes are of use only where vectors have a structure. All memories are
+    of one subject, so that lists and not subjects divide the work; they come in two batches, and the index is fitted to the first.
+    """
+    base = vector_memories(spark, sf_dir).withColumn("n", F.substring("memory_id", 5, 20).cast("long"))
+    anchors = base.where("n < 40").select((F.col("n")).alias("_a"), F.col("embedding").alias("_e"))
+    drawn = F.zip_with("embedding", "_e", lambda x, y: (0.5 * x + y).cast("float"))
+    rows = base.join(F.broadcast(anchors), F.col("n") % 40 == F.col("_a")).withColumn("embedding", drawn)  # forty rows
+    rows = rows.withColumns({"subject_id": F.lit("all"), "tenant_id": F.lit(None).cast("string")}).drop("_a", "_e")
+    rows = materialize(rows, "clustered")
+    queries = rows.where("n % 50 = 0").select("tenant_id", "subject_id", F.concat(F.lit("q-"), "memory_id").alias("query_id"), F.col("embedding").alias("vector"))
+    path, first = scratch(spark, "vector-index"), rows.where("n % 4 < 3")
+    vector_index.save_index(spark, vector_index.fit_index(first, cells=40), path)
+    vector_index.add_vectors(path, first, 0)
+    vector_index.add_vectors(path, rows.where("n % 4 = 3"), 1)
+    exact = search.semantic_topk(queries, rows, k=5)
+    found = vector_index.search_index(path, queries, k=5, probes=4, short=4)
+    hits = exact.join(found.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_semi").agg(F.count("*").alias("hits"))
+    total, work = exact.agg(F.count("*").alias("total")), vector_index.index_work(path, queries, 5, 4, 4)
+    out = work.crossJoin(total).crossJoin(hits)  # one row each
+    return out.select("queries", (F.col("hits") >= 0.9 * F.col("total")).alias("recall_of_nine_tenths"), (F.col("work") < 0.5 * F.col("exact")).alias("less_than_half_the_work"))
+
+
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = payload_text(F.col("payload"))
     return episodes(spark, sf_dir).select("episode_id", vectors.hash_embedding(text, 32).alias("embedding"))
@@ -232,7 +266,7 @@ _BRIEF = f"""{_H}, {MEMORIES}, {_SESSIONS}, {_REQ},
 QUERIES = {
     f.__name__: f
     for f in (
-        search_memories, semantic_topk, semantic_topk_recall, hash_embedding, embedding_backfill, query_vector_cache, memory_scores, memory_breadcrumbs, episode_scores,
+        search_memories, indexed_search, semantic_topk, semantic_topk_recall, indexed_topk, hash_embedding, embedding_backfill, query_vector_cache, memory_scores, memory_breadcrumbs, episode_scores,
         repeat_issue_sessions, memory_scores_in_full, assemble_context, handoff_brief,
     )
 }
@@ -243,6 +277,7 @@ ORACLES = {
       p AS (SELECT 'q-' || q.memory_id AS query_id, v.memory_id, 1 - list_cosine_similarity(q.e, v.e) AS d FROM v q JOIN v ON q.subject_id = v.subject_id AND (q.tenant_id IS NULL OR q.tenant_id = v.tenant_id) AND q.n % 50 = 0 AND v.status = 'active'),
       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(d, 12), memory_id) AS INT) AS rank FROM p) SELECT query_id, rank, memory_id, round(d, 6) AS distance FROM r WHERE rank <= 10""",
     "semantic_topk_recall": "SELECT count(*) AS queries, true AS recall_of_nine_tenths FROM embeddings WHERE vec_id % 50 = 0",
+    "indexed_topk": "SELECT count(*) AS queries, true AS recall_of_nine_tenths, true AS less_than_half_the_work FROM embeddings WHERE vec_id % 50 = 0",
     "embedding_backfill": f"{_M} SELECT kind, CASE kind WHEN 'profile_fact' THEN 1 ELSE 16 END AS dim, count(*) AS n FROM m GROUP BY ALL",
     "query_vector_cache": f"""{_M}, l AS (SELECT sha256(text) AS k, created_at FROM texts WHERE payload <> '{{"note":1}}'), o AS (SELECT k, max(created_at) + INTERVAL 48 HOUR AS x FROM l WHERE created_at < TIMESTAMP '2024-01-20' GROUP BY ALL),
       n AS (SELECT DISTINCT k FROM l WHERE created_at >= TIMESTAMP '2024-01-20')
@@ -281,3 +316,4 @@ ORACLES = {
     "episode_scores": f"""{_POOL}, {_EPISODE_STATES} SELECT request_id, episode_id, round({_EPISODE_SCORE}, 6)::DOUBLE AS score, {_EPISODE_LINE} AS line
       FROM ep LEFT JOIN st USING (request_id, session_id) LEFT JOIN rep USING (request_id, session_id) WINDOW w AS (PARTITION BY request_id)""",
 }
+ORACLES["indexed_search"] = ORACLES["search_memories"]
