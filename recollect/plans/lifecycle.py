@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions.text import stamp
-from recollect.operators import documents, lifecycle
+from recollect.functions.vectors import Provider
 from recollect.operators import compile as comp
-from recollect.operators.common import SUBJECT
+from recollect.operators import documents, lifecycle, usage
+from recollect.operators.common import SUBJECT, join_on
 from recollect.plans.support import _M, _t
 from recollect.sources.adapters import AS_OF, EPISODES_SQL, _stamps, episodes, jobs, markdown, oracle_ctes, outbox, resolutions, whole_markdown
 from recollect.sources.scratch import scratch
+from recollect.streaming import backfill, ingest
 from recollect.streaming import jobs as streams
 
 
@@ -245,6 +248,65 @@ def health_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("updated_at", stamp(F.col("updated_at")))
 
 
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes in three batches, in which some are broken, some come twice in a batch and some again in a later one."""
+    out, eps = scratch(spark, "ingest"), episodes(spark, sf_dir)
+    eps = eps.withColumns({"metadata": F.lit(None).cast("string"), "provenance": F.lit(None).cast("string"), "n": F.substring("episode_id", 4, 20).cast("long")})
+    eps = eps.withColumn("payload", F.when(F.col("n") % 13 == 0, '["list"]').otherwise(F.col("payload")))
+    twice = eps.where("n % 3 = 2 AND n % 7 = 0")
+    batches = [eps.where("n % 3 = 0"), eps.where("n % 3 = 1").unionByName(eps.where("n % 3 = 0 AND n % 5 = 0")), eps.where("n % 3 = 2").unionByName(twice)]
+    for rows in batches:
+        rows.drop("n").coalesce(1).write.mode("append").parquet(f"{out}/source")
+    schema = eps.drop("n").schema
+    ingest.ingest_to_end(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/source"), f"{out}/store", f"{out}/checkpoint", buckets=8)
+    ddl = ", ".join(f"{n} {t}" for n, t in eps.drop("n").dtypes)
+    fine = ingest.stored_episodes(spark, f"{out}/store", ddl).select(F.lit(None).cast("string").alias("rejected"))
+    return fine.union(ingest.rejected_episodes(spark, f"{out}/store", ddl).select("rejected")).groupBy("rejected").agg(F.count("*").alias("n"))
+
+
+def _lengths(texts: list[str]) -> np.ndarray:
+    """Stands for a provider: a vector that SQL can tell, too."""
+    return np.array([[len(t), 1.0] for t in texts], np.float32).reshape(len(texts), 2)
+
+
+def backfill_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories that lack a vector, in two batches, through a provider with its cache."""
+    out = scratch(spark, "backfill")
+    rows = comp.compile_memories(comp.uncompiled(episodes(spark, sf_dir), cap=None))
+    old = F.when(F.substring("memory_id", 1, 1) == "0", F.array(F.lit(-1.0)).cast("array<float>"))
+    rows = rows.select("memory_id", "kind", "content", old.alias("embedding"))
+    rows.repartition(2, "memory_id").write.parquet(f"{out}/memories")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/memories")
+    backfill.backfill_to_end(stream, f"{out}/store", f"{out}/checkpoint", Provider(_lengths), "lengths")
+    filled = backfill.with_vectors(spark, spark.read.schema(rows.schema).parquet(f"{out}/memories"), f"{out}/store")
+    cached = spark.read.parquet(f"{out}/store/cache").agg(F.count("*").alias("cached"))
+    first = F.get("embedding", F.lit(0)).cast("long")
+    return filled.groupBy("kind").agg(F.count("embedding").alias("n"), F.sum(first).alias("total")).crossJoin(cached)  # one row
+
+
+def rolling_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage of the last 1, 7 and 30 days from day sketches, and whether the estimated subjects are within three errors of the exact ones."""
+    path, eps = scratch(spark, "usage"), episodes(spark, sf_dir)
+    tables = {"episodes": eps, "resolutions": resolutions(spark, sf_dir)}
+    usage.store_days(tables, path, "2023-12-01", "2024-01-15")
+    usage.store_days(tables, path, "2024-01-16", "2024-01-20")
+    got = usage.rolling_usage(spark, path, "2024-01-20")
+    exact, end = None, F.lit("2024-01-20").cast("date")
+    for name, df in tables.items():
+        day = F.to_date("created_at")
+        of = df.withColumn("days", F.explode(F.array(*[F.when((day <= end) & (day > F.date_sub(end, n)), n) for n in (1, 7, 30)]))).where("days IS NOT NULL")
+        one = of.groupBy("tenant_id", F.lit(name).alias("metric"), "days").agg(F.count_distinct("subject_id").alias("exact"))
+        exact = one if exact is None else exact.union(one)
+    rows = join_on(got, exact, ("tenant_id", "metric", "days"))
+    near = F.abs(F.col("subjects") - F.col("exact")) <= F.greatest(F.lit(1), F.ceil(3 * usage.ERROR * F.col("exact")))
+    return rows.select("tenant_id", "metric", "days", "n", "exact", near.alias("near"))
+
+
+def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {"episodes": episodes(spark, sf_dir), "resolutions": resolutions(spark, sf_dir), "jobs": jobs(spark, sf_dir)}
+    return usage.usage_rollup(tables)
+
+
 def outbox_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = outbox(spark, sf_dir)
     due = streams.due_events(rows, "1997-01-01 00:00:00", most=None)
@@ -279,7 +341,8 @@ QUERIES = {
         upsert_resolutions, create_snapshot, latest_snapshot, restore_snapshot, clone_subjects, create_snapshot_of_all, latest_snapshot_of_all,
         restore_snapshot_of_all, clone_all_subjects, export_subjects, verify_export, import_payload, pack_state,
         reseed_pack, delete_subject, purge_subjects, purge_jobs, purge_outbox, chunk_documents, chunk_whole_documents, write_pack_jsonl, stream_compile, minute_hits,
-        sliding_admission, sliding_admission_stream, health_alert_stream, outbox_advance,
+        sliding_admission, sliding_admission_stream, health_alert_stream, outbox_advance, ingest_stream,
+        backfill_stream, rolling_usage, usage_rollup,
     )
 }
 ORACLES = {
@@ -335,6 +398,17 @@ ORACLES = {
         CASE WHEN due THEN {_t("TIMESTAMP '1997-01-01'")} END AS last_attempt_at, CASE WHEN due AND ok THEN {_t("TIMESTAMP '1997-01-01'")} END AS delivered_at, CASE WHEN due AND NOT ok THEN 'HTTP ' || event_id END AS last_error,
         CASE WHEN NOT due THEN NULL WHEN ok THEN 200 WHEN CAST(substr(event_id, 6) AS BIGINT) % 2 = 0 THEN 503 END AS http_status FROM a""",
 }
+_N = "SELECT CAST(event_id AS BIGINT) AS n FROM events"
+ORACLES["ingest_stream"] = f"""WITH e AS ({_N}), c AS (SELECT n FROM e UNION ALL SELECT n FROM e WHERE n % 3 = 0 AND n % 5 = 0 UNION ALL SELECT n FROM e WHERE n % 3 = 2 AND n % 7 = 0),
+  r AS (SELECT CASE WHEN n % 13 = 0 THEN 'payload' WHEN row_number() OVER (PARTITION BY n) > 1 THEN 'duplicate' END AS rejected FROM c) SELECT rejected, count(*) AS n FROM r GROUP BY ALL"""
+ORACLES["backfill_stream"] = f"""{_M} SELECT kind, count(*) AS n, CAST(sum(CASE WHEN memory_id[1] = '0' THEN -1 ELSE length(content) END) AS BIGINT) AS total,
+  (SELECT count(DISTINCT content) FROM m WHERE memory_id[1] <> '0') AS cached FROM m GROUP BY kind"""
+ORACLES["rolling_usage"] = f"""{oracle_ctes("episodes", "resolutions")}, u AS (SELECT 'episodes' AS metric, tenant_id, subject_id, created_at FROM episodes UNION ALL SELECT 'resolutions', tenant_id, subject_id, created_at FROM resolutions)
+  SELECT tenant_id, metric, days, count(*) AS n, count(DISTINCT subject_id) AS exact, true AS near FROM u, (SELECT unnest([1, 7, 30])::INT AS days)
+  WHERE CAST(created_at AS DATE) <= DATE '2024-01-20' AND CAST(created_at AS DATE) > DATE '2024-01-20' - days GROUP BY ALL"""
+ORACLES["usage_rollup"] = f"""{oracle_ctes("episodes", "resolutions", "jobs")}, u AS (SELECT tenant_id, subject_id, 1 AS e, 0 AS r, 0 AS j FROM episodes UNION ALL SELECT tenant_id, subject_id, 0, 1, 0 FROM resolutions
+  UNION ALL SELECT tenant_id, subject_id, 0, 0, 1 FROM jobs) SELECT CAST(GROUPING(tenant_id, subject_id) AS INT) AS level, tenant_id, subject_id, CAST(sum(e) AS BIGINT) AS episodes,
+  CAST(sum(r) AS BIGINT) AS resolutions, CAST(sum(j) AS BIGINT) AS jobs FROM u GROUP BY ROLLUP (tenant_id, subject_id)"""
 ORACLES["sliding_admission_stream"] = ORACLES["sliding_admission"].replace("SELECT key, event_id, admitted FROM r", "SELECT key, event_id, admitted, false AS late FROM r")
 ORACLES["chunk_whole_documents"] = ORACLES["chunk_documents"].replace(
     oracle_ctes("markdown"), f"{oracle_ctes('whole_markdown')}, markdown AS (SELECT * FROM whole_markdown)"
