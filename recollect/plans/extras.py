@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.functions import text
+from recollect.functions import text, vectors
 from recollect.operators import compile as comp
 from recollect.operators import context, explore, health, lifecycle, sla
 from recollect.operators.common import SUBJECT, join_on, tenant_scope, visible_subjects
@@ -102,6 +102,25 @@ def clone_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def cosine_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's distance from the next one's."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return rows.join(after, "vec_id").select("vec_id", F.round(vectors.cosine_distance(F.col("embedding"), F.col("other")), 6).alias("distance"))
+
+
+def compiler_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another compiler in place of the library's: a procedure of every action's text."""
+
+    def procedures(eps: DataFrame) -> DataFrame:
+        rows = eps.where("type = 'action'").withColumn("content", text.payload_text(F.col("payload"))).where("content <> ''")
+        return rows.select(text.stable_id("procedure", F.col("episode_id")).alias("memory_id"), "tenant_id", "subject_id", F.lit("procedure").alias("kind"), "content")
+
+    made, marked = comp.compile_new(episodes(spark, sf_dir), AS_OF, cap=None, compiler=procedures)
+    n = marked.where(F.col("last_compiled_at") == F.lit(AS_OF).cast("timestamp")).groupBy("tenant_id").agg(F.count("*").alias("marked"))
+    return join_on(n, made.groupBy("tenant_id").agg(F.count("*").alias("made"), F.max("memory_id").alias("last_id")), ("tenant_id",))
+
+
 def retire_old_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.retire_old_jobs(jobs(spark, sf_dir), "1997-06-01 00:00:00").groupBy("status").agg(F.count("*").alias("n"))
 
@@ -149,6 +168,7 @@ QUERIES = {
     for f in (
         normalize_extractions, health_transitions, provenance_lookup, bundle_sessions, ingest_rejects, stored_tables, tenant_visible_subjects, subject_ids, id_conflicts,
         clone_strategies, retire_old_jobs, expire_windows, due_events, text_functions, session_firsts,
+        cosine_distance, compiler_hook,
     )
 }
 ORACLES = {
@@ -196,3 +216,8 @@ ORACLES = {
       o AS (SELECT sk, count(*) FILTER (status = 'open') AS n FROM resolutions GROUP BY ALL)
       SELECT f.tenant_id, f.subject_id, count(*) AS sessions, count(fu) AS asked, count(fa) AS answered, any_value(o.n) AS "open" FROM f LEFT JOIN o USING (sk) GROUP BY f.tenant_id, f.subject_id""",
 }
+ORACLES["cosine_distance"] = """SELECT a.vec_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+ORACLES["compiler_hook"] = f"""{_E}, {TEXTS}, p AS (SELECT tenant_id, sha256('procedure|' || episode_id) AS memory_id FROM texts WHERE type = 'action' AND text <> ''),
+  n AS (SELECT tenant_id, count(*) AS marked FROM episodes GROUP BY ALL), d AS (SELECT tenant_id, count(*) AS made, max(memory_id) AS last_id FROM p GROUP BY ALL)
+  SELECT n.tenant_id, marked, made, last_id FROM n LEFT JOIN d ON n.tenant_id IS NOT DISTINCT FROM d.tenant_id"""

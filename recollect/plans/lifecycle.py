@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from recollect.functions.text import stamp
 from recollect.functions.vectors import Provider
 from recollect.operators import compile as comp
-from recollect.operators import documents, lifecycle, usage
+from recollect.operators import documents, lifecycle, store, usage
 from recollect.operators.common import SUBJECT, join_on
 from recollect.plans.support import _M, _t
 from recollect.sources.adapters import AS_OF, EPISODES_SQL, _stamps, episodes, jobs, markdown, oracle_ctes, outbox, resolutions, whole_markdown
@@ -248,6 +248,20 @@ def health_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("updated_at", stamp(F.col("updated_at")))
 
 
+def stored_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolutions in a store: one subject in a hundred is purged, then every tenth session's state comes anew."""
+    path = scratch(spark, "resolution-store")
+    rows = resolutions(spark, sf_dir).select("resolution_id", "tenant_id", "subject_id", "session_id", "status", "updated_at")
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    n = F.substring("subject_id", 6, 20).cast("long")
+    store.create_store(rows, path, buckets=16)
+    store.purge_stored(spark, path, schema, rows.where(n % 100 == 7))
+    new = rows.where((n % 10 == 3) & F.col("session_id").endswith("1"))
+    new = new.withColumns({"status": F.lit("reopened"), "updated_at": F.lit(AS_OF).cast("timestamp")})
+    store.upsert_stored(spark, path, schema, new, ("tenant_id", "subject_id", "session_id"), "updated_at")
+    return store.read_store(spark, path, schema).groupBy("tenant_id", "status").agg(F.count("*").alias("n"), F.max(stamp(F.col("updated_at"))).alias("last_at"))
+
+
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes in three batches, in which some are broken, some come twice in a batch and some again in a later one."""
     out, eps = scratch(spark, "ingest"), episodes(spark, sf_dir)
@@ -342,7 +356,7 @@ QUERIES = {
         restore_snapshot_of_all, clone_all_subjects, export_subjects, verify_export, import_payload, pack_state,
         reseed_pack, delete_subject, purge_subjects, purge_jobs, purge_outbox, chunk_documents, chunk_whole_documents, write_pack_jsonl, stream_compile, minute_hits,
         sliding_admission, sliding_admission_stream, health_alert_stream, outbox_advance, ingest_stream,
-        backfill_stream, rolling_usage, usage_rollup,
+        backfill_stream, stored_changes, rolling_usage, usage_rollup,
     )
 }
 ORACLES = {
@@ -403,6 +417,10 @@ ORACLES["ingest_stream"] = f"""WITH e AS ({_N}), c AS (SELECT n FROM e UNION ALL
   r AS (SELECT CASE WHEN n % 13 = 0 THEN 'payload' WHEN row_number() OVER (PARTITION BY n) > 1 THEN 'duplicate' END AS rejected FROM c) SELECT rejected, count(*) AS n FROM r GROUP BY ALL"""
 ORACLES["backfill_stream"] = f"""{_M} SELECT kind, count(*) AS n, CAST(sum(CASE WHEN memory_id[1] = '0' THEN -1 ELSE length(content) END) AS BIGINT) AS total,
   (SELECT count(DISTINCT content) FROM m WHERE memory_id[1] <> '0') AS cached FROM m GROUP BY kind"""
+ORACLES["stored_changes"] = f"""{oracle_ctes("episodes", "resolutions")}, k AS (SELECT *, CAST(substr(subject_id, 6) AS BIGINT) AS n FROM resolutions),
+  c AS (SELECT tenant_id, CASE WHEN n % 10 = 3 AND ends_with(session_id, '1') THEN 'reopened' ELSE status END AS status,
+    CASE WHEN n % 10 = 3 AND ends_with(session_id, '1') THEN TIMESTAMP '{AS_OF}' ELSE updated_at END AS updated_at FROM k WHERE n % 100 <> 7)
+  SELECT tenant_id, status, count(*) AS n, max({_t("updated_at")}) AS last_at FROM c GROUP BY ALL"""
 ORACLES["rolling_usage"] = f"""{oracle_ctes("episodes", "resolutions")}, u AS (SELECT 'episodes' AS metric, tenant_id, subject_id, created_at FROM episodes UNION ALL SELECT 'resolutions', tenant_id, subject_id, created_at FROM resolutions)
   SELECT tenant_id, metric, days, count(*) AS n, count(DISTINCT subject_id) AS exact, true AS near FROM u, (SELECT unnest([1, 7, 30])::INT AS days)
   WHERE CAST(created_at AS DATE) <= DATE '2024-01-20' AND CAST(created_at AS DATE) > DATE '2024-01-20' - days GROUP BY ALL"""

@@ -159,3 +159,61 @@ def test_rollup_tells_subtotals_from_null_tenants(spark):
     got = {tuple(r) for r in usage.usage_rollup({"episodes": one, "jobs": one.where("subject_id = 's'")}).collect()}
     assert got == {(0, "a", "s", 1, 1), (0, "a", "t", 1, 0), (0, None, "s", 1, 1), (1, "a", None, 2, 1), (1, None, None, 1, 1), (3, None, None, 3, 2)}
     assert usage.usage_days({"episodes": one.where("false")}).agg(F.count("*")).first()[0] == 0
+
+
+def store_rows(spark, rows):
+    return spark.createDataFrame(rows, "tenant_id string, subject_id string, session_id string, status string, updated_at long")
+
+
+STORE = "tenant_id string, subject_id string, session_id string, status string, updated_at bigint"
+
+
+def test_a_purge_rewrites_only_the_buckets_it_touches(spark, tmp_path, monkeypatch):
+    from recollect.operators import store
+
+    path = str(tmp_path)
+    rows = [(["a", None][i % 2], f"s{i % 100}", f"x{i}", "open", i) for i in range(1000)]
+    store.create_store(store_rows(spark, rows), path, buckets=32)
+    read = lambda: sorted(map(tuple, store.read_store(spark, path, STORE).collect()), key=repr)
+    files = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(f"{path}/data") for f in fs if f.endswith(".parquet")}
+    assert read() == sorted(rows, key=repr)
+    before = files()
+    gone = store_rows(spark, [("a", "s4", None, None, None), ("a", "nobody", None, None, None)]).select("tenant_id", "subject_id")
+    touched = store.purge_stored(spark, path, STORE, gone)
+    left = [r for r in rows if r[:2] != ("a", "s4")]
+    assert len(touched) <= 2 and read() == sorted(left, key=repr)
+    new = {f: t for f, t in files().items() if f not in before}
+    assert before.items() <= files().items() and 0 < len(new) <= 2  # what was there is as it was
+
+    with monkeypatch.context() as m:  # killed between its rows and its commit
+        m.setattr(store, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            store.purge_stored(spark, path, STORE, gone.limit(0).union(store_rows(spark, [(None, "s5", None, None, None)]).select("tenant_id", "subject_id")))
+    assert read() == sorted(left, key=repr)
+    store.purge_stored(spark, path, STORE, store_rows(spark, [(None, "s5", None, None, None)]).select("tenant_id", "subject_id"))
+    assert read() == sorted([r for r in left if r[:2] != (None, "s5")], key=repr)
+    assert store.purge_stored(spark, path, STORE, gone.limit(0)) == []
+
+
+def test_upserts_keep_the_last_state_and_refuse_a_lost_race(spark, tmp_path):
+    from recollect.operators import store
+
+    path = str(tmp_path)
+    store.create_store(store_rows(spark, [(None, "s", "x", "open", 1), ("a", "s", "x", "open", 1), ("a", "t", "y", "open", 1)]), path, buckets=4)
+    new = store_rows(spark, [("a", "s", "x", "resolved", 2), ("a", "s", "x", "again", 3), ("a", "u", "z", "open", 1)])
+    store.upsert_stored(spark, path, STORE, new, ("tenant_id", "subject_id", "session_id"), "updated_at")
+    got = {tuple(r) for r in store.read_store(spark, path, STORE).collect()}
+    assert got == {(None, "s", "x", "open", 1), ("a", "s", "x", "again", 3), ("a", "t", "y", "open", 1), ("a", "u", "z", "open", 1)}
+    with pytest.raises(Exception, match="(?i)exists"):
+        store._commit(spark, path, 1, {0: 1})
+
+
+def test_read_jdbc_reads_ranges(spark):
+    from recollect.sources.schemas import read_jdbc
+
+    url = "jdbc:derby:memory:recollect;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(100).selectExpr("id AS n", "CAST(id * 2 AS int) AS twice").write.format("jdbc").options(url=url, dbtable="figures", **options).save()
+    rows = read_jdbc(spark, url, "figures", "n", "0", "100", 4, **options)
+    assert rows.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, rows.collect())) == [(i, 2 * i) for i in range(100)]
