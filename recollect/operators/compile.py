@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import payload_text, profile_facts, stable_id, strip
+from recollect.operators.asof import in_ranges
 from recollect.operators.common import SUBJECT, per_subject_cap
 
 Compiler = Callable[[DataFrame], DataFrame]
@@ -52,19 +54,48 @@ def compile_new(episodes: DataFrame, as_of: str, cap: int | None = 500, compiler
     return compiler(todo), todo.withColumn("last_compiled_at", F.lit(as_of).cast("timestamp"))
 
 
-def _batcher(most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        subject, batch, used = None, 0, 0
-        for rows in batches:
-            out = []
-            for tenant, name, n in zip(rows["tenant_id"], rows["subject_id"], rows["n"], strict=True):
-                if (tenant, name) != subject:
-                    subject, batch, used = (tenant, name), 0, 0
-                if used and used + n > most:
-                    batch, used = batch + 1, 0
-                used += n
-                out.append(batch)
-            yield rows[["tenant_id", "subject_id", "episode_id"]].assign(batch=out)
+def step(used: np.ndarray, n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(characters used, whether a batch is opened) after a text of n, for each number used before it."""
+    opens = (used > 0) & (used + n > most)
+    return np.where(opens, n, used + n), opens
+
+
+def passage(lengths: np.ndarray, most: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(used, batches opened) after a run of texts, for every number of characters that may be used before it: 0 to most, or one text alone."""
+    used = np.arange(max(most, longest) + 1)
+    opened = np.zeros(len(used), np.int64)
+    for n in lengths.tolist():
+        used, more = step(used, n, most)
+        opened += more
+    return used, opened
+
+
+def _runs(key: tuple, rows: pd.DataFrame, most: int, longest: int) -> pd.DataFrame:
+    """What a partition tells the ones after it: its first and last subject, and how used characters come out of it. Where the
+    last subject isn't the first that is a number; else it is a number for each that may come in, written where it changes."""
+    subject = rows["subject_id"].fillna("\0") + "\1" + rows["tenant_id"].fillna("\0")
+    last = rows[(subject == subject.iloc[-1]).to_numpy()]
+    alone = len(last) == len(rows)
+    used, opened = passage(last["n"].to_numpy(), most, longest)
+    if not alone:
+        used, opened = used[:1], opened[:1]
+    change = np.flatnonzero(np.concatenate([[True], (used[1:] != used[:-1]) | (opened[1:] != opened[:-1])]))
+    return pd.DataFrame({"_part": [key[0]], "first": [subject.iloc[0]], "last": [subject.iloc[-1]], "alone": [alone], "at": [change], "used": [used[change]], "opened": [opened[change]]})
+
+
+def _number(most: int, carries: dict[int, tuple[int, int]]):
+    def number(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        used, batch = carries.get(key[0], (0, 0))
+        subject, out = None, []
+        for tenant, name, n in zip(rows["tenant_id"], rows["subject_id"], rows["n"], strict=True):
+            if subject is not None and (tenant, name) != subject:
+                batch, used = 0, 0
+            subject = (tenant, name)
+            if used and used + n > most:
+                batch, used = batch + 1, 0
+            used += n
+            out.append(batch)
+        return rows[["tenant_id", "subject_id", "episode_id"]].assign(batch=out)
 
     return number
 
@@ -72,12 +103,25 @@ def _batcher(most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
 def pack_prompt_batches(episodes: DataFrame, most: int = 6000, text_cap: int = 4000) -> DataFrame:
     """Number each subject's texts by prompt batch: in order, a new batch where `most` characters would be passed.
 
-    Only lengths travel; each subject's are sorted in their partition and read once, with one sum held.
+    Only lengths travel. They are sorted into range partitions, which cut a hot subject; each partition works out, for every number of
+    characters that its first subject may have used before it, how that subject comes out of it (a short list, since such passages soon
+    run together), the driver follows these lists from partition to partition, and each partition numbers its texts.
     """
     text = F.substring(payload_text(F.col("payload")), 1, text_cap)
     rows = episodes.select(*SUBJECT, "episode_id", "created_at", F.length(text).alias("n")).where("n > 0")
-    rows = rows.repartition(*SUBJECT).sortWithinPartitions(*SUBJECT, "created_at", "episode_id")
-    return rows.mapInPandas(_batcher(most), "tenant_id string, subject_id string, episode_id string, batch int")
+    laid = in_ranges(rows, list(SUBJECT), [F.col("created_at"), F.col("episode_id")], "prompt-batches")
+    schema = "_part bigint, first string, last string, alone boolean, at array<bigint>, used array<bigint>, opened array<bigint>"
+    runs = laid.groupBy("_part").applyInPandas(lambda key, part: _runs(key, part.sort_values("_at"), most, text_cap), schema)
+    carries, before = {}, (None, 0, 0)
+    for r in runs.orderBy("_part").collect():  # a row a partition
+        came = before[1:] if before[0] == r["first"] else (0, 0)
+        carries[r["_part"]] = came
+        at = int(np.searchsorted(r["at"], came[0], side="right")) - 1 if r["alone"] else 0
+        before = (r["last"], r["used"][at], r["opened"][at] + (came[1] if r["alone"] else 0))
+    number = _number(most, carries)
+    return laid.groupBy("_part").applyInPandas(
+        lambda key, part: number(key, part.sort_values("_at")), "tenant_id string, subject_id string, episode_id string, batch int"
+    )
 
 
 def normalize_extractions(rows: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions.text import json_merge, stable_id, stamp
+from recollect.operators.asof import count_before, sum_before
 from recollect.operators.common import SUBJECT, join_on
 from recollect.operators.sla import SESSION
+from recollect.sources.scratch import materialize
 
 FORMAT = "recollect-export-1"
 #: What each scope carries.
@@ -199,13 +201,20 @@ EXPORTED_EPISODE = ["episode_id", "source", "type", "payload", "metadata", "prov
 EXPORTED_MEMORY = ["memory_id", "kind", "content", "summary", "confidence", "valid_from", "valid_to", "source_episode_ids", "metadata", "status", "created_at"]
 
 
-def export_rows(episodes: DataFrame, memories: DataFrame, scope: str = "all") -> DataFrame:
-    """One row of JSON per exported episode and memory, with its place: the form for subjects of any size."""
+def _json_rows(episodes: DataFrame, memories: DataFrame, scope: str) -> DataFrame:
     e = episodes.select(*SUBJECT, F.lit("episode").alias("item"), "created_at", F.col("episode_id").alias("id"), F.to_json(F.struct(*_text(episodes, EXPORTED_EPISODE))).alias("row"))
     m = memories.select(*SUBJECT, F.lit("memory").alias("item"), "created_at", F.col("memory_id").alias("id"), F.to_json(F.struct(*_text(memories, EXPORTED_MEMORY))).alias("row"))
-    rows = e.union(m) if scope == "all" else (e if scope == "episodes" else m)
-    order = Window.partitionBy(*SUBJECT, "item").orderBy("created_at", "id")
-    return rows.withColumn("position", F.row_number().over(order)).drop("created_at")
+    return e.union(m) if scope == "all" else (e if scope == "episodes" else m)
+
+
+def export_rows(episodes: DataFrame, memories: DataFrame, scope: str = "all") -> DataFrame:
+    """One row of JSON per exported episode and memory, with its place: the form for subjects of any size.
+
+    Places are counted in range partitions, so a subject of any size is spread.
+    """
+    rows = _json_rows(episodes, memories, scope)
+    placed = count_before(rows, [*SUBJECT, "item"], [F.col("created_at"), F.col("id")], F.lit(True), "export-rows")
+    return placed.withColumn("position", (F.col("found") + 1).cast("int")).drop("created_at", "found")
 
 
 def export_subjects(
@@ -215,24 +224,23 @@ def export_subjects(
 
     A subject of more than `most_rows` rows, or about `most_bytes` of them, goes into numbered
     parts (`part` of `parts`), a row each, so `too_large` is never true. A document of several
-    parts holds its number, which the checksum so covers.
+    parts holds its number, which the checksum so covers. Where a row falls is summed up in range partitions from the rows'
+    sizes alone, and the rows' JSON then goes straight to its part: no task holds more of a subject than a part.
     """
-    rows = export_rows(episodes, memories, scope)
+    json = _json_rows(episodes, memories, scope)
     # A row weighs its bytes, and enough that no part holds more than most_rows.
     weight = F.greatest(F.octet_length("row").cast("long"), F.lit(-(-most_bytes // most_rows)).cast("long"))
-    order = Window.partitionBy(*SUBJECT).orderBy("item", "position")
-    before = F.coalesce(F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_cut", F.floor(before / most_bytes))
-    rows = rows.withColumn("part", F.dense_rank().over(Window.partitionBy(*SUBJECT).orderBy("_cut")))
-    docs = rows.groupBy(*SUBJECT, "part").agg(
-        F.count_if(F.col("item") == "episode").alias("_e"), F.count_if(F.col("item") == "memory").alias("_m"),
-        F.sort_array(F.collect_list(F.struct("item", "position", "row"))).alias("_items"),
-    )
+    light = json.select(*SUBJECT, "item", "created_at", "id", weight.alias("weight"))
+    light = sum_before(light, list(SUBJECT), [F.col("item"), F.col("created_at"), F.col("id")], F.col("weight"), "export-sizes")
+    light = materialize(light.withColumn("_cut", F.expr(f"found div {most_bytes}L")).select(*SUBJECT, "item", "id", "_cut"), "export-cuts")
+    cuts = light.groupBy(*SUBJECT, "_cut").agg(F.count_if(F.col("item") == "episode").alias("_e"), F.count_if(F.col("item") == "memory").alias("_m"))
+    cuts = cuts.withColumn("part", F.row_number().over(Window.partitionBy(*SUBJECT).orderBy("_cut")))  # a row a part
+    placed = join_on(light, cuts.select(*SUBJECT, "_cut", "part"), (*SUBJECT, "_cut"), "inner").drop("_cut")
+    rows = join_on(json, placed, (*SUBJECT, "item", "id"), "inner")
+    docs = rows.groupBy(*SUBJECT, "part").agg(F.sort_array(F.collect_list(F.struct("item", "created_at", "id", "row"))).alias("_items"))
     items = lambda kind: F.transform(F.filter("_items", lambda x: x["item"] == kind), lambda x: x["row"])
     rest = F.concat(F.lit('"episodes":['), F.array_join(items("episode"), ","), F.lit('],"memories":['), F.array_join(items("memory"), ","), F.lit("]}"))
-    sizes = rows.groupBy(*SUBJECT).agg(
-        F.count_if(F.col("item") == "episode").alias("episode_count"), F.count_if(F.col("item") == "memory").alias("memory_count"), F.max("part").alias("parts")
-    )
+    sizes = cuts.groupBy(*SUBJECT).agg(F.sum("_e").alias("episode_count"), F.sum("_m").alias("memory_count"), F.max("part").alias("parts"))
     docs = join_on(docs.select(*SUBJECT, "part", rest.alias("_rest")), sizes, SUBJECT)
     docs = docs.withColumn("document", F.concat(_part_head(), "_rest"))
     return docs.select(

@@ -130,3 +130,63 @@ def test_a_batch_reads_its_buckets_only(spark, tmp_path):
     assert "bucket" in part._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:200]
     got = as_marks(conflict_index.add_batch(path, new, 1, buckets=16))
     assert got == {"m363": ("n", T0)}  # all of the subject's are alike; each but the last has its superseder
+
+
+EPISODE = "episode_id string, tenant_id string, subject_id string, payload string, created_at timestamp"
+
+
+@pytest.mark.parametrize(("partitions", "most"), [(1, 50), (12, 50), (12, 7), (12, 100_000)])
+def test_prompt_batches_of_a_hot_subject_are_those_of_a_plain_loop(spark, partitions, most):
+    from recollect.operators.compile import pack_prompt_batches
+
+    rng = random.Random(partitions + most)
+    rows = [(f"e{i:03d}", rng.choice([None, "t"]) if i % 9 == 0 else "hot", "s" if i % 9 else f"s{i % 4}", '{"text":"' + "x" * rng.randrange(0, 40) + '"}', T0 + dt.timedelta(minutes=rng.randrange(500))) for i in range(400)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r["episode_id"]: r["batch"] for r in pack_prompt_batches(spark.createDataFrame(rows, EPISODE), most=most, text_cap=30).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want, state = {}, {}
+    for i, t, s, payload, _ in sorted(rows, key=lambda r: (r[4], r[0])):
+        n = min(30, len(payload) - len('{"text":""}'))
+        if n:
+            used, batch = state.get((t, s), (0, 0))
+            if used and used + n > most:
+                used, batch = 0, batch + 1
+            want[i], state[t, s] = batch, (used + n, batch)
+    assert got == want
+
+
+def test_exports_of_a_hot_subject_are_spread(spark):
+    from recollect.operators import lifecycle
+
+    eps = spark.createDataFrame([(f"e{i:03d}", None, "hot" if i % 6 else "cold", '{"text":"hello"}', T0 + dt.timedelta(minutes=i % 50)) for i in range(300)], EPISODE)
+    eps = eps.withColumns({"source": F.lit("user"), "type": F.lit("message"), "metadata": F.lit("{}"), "provenance": F.lit("{}")})
+    mem = memories(spark, [(f"m{i}", None, "hot", "fact", f"fact {i}", "active", T0, T0, []) for i in range(20)]).withColumns({"summary": F.lit(""), "confidence": F.lit(1.0), "valid_to": F.lit(None).cast("timestamp"), "metadata": F.lit("{}")})
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = lifecycle.export_rows(eps, mem).collect()
+        whole = {r["subject_id"]: r for r in lifecycle.export_subjects(eps, mem, "2024-02-01 00:00:00").collect()}
+        parts = lifecycle.export_subjects(eps, mem, "2024-02-01 00:00:00", most_rows=40).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    placed = {}
+    for r in rows:
+        placed.setdefault((r["subject_id"], r["item"]), {})[r["position"]] = r
+    for (subject, item), by in placed.items():
+        assert sorted(by) == list(range(1, len(by) + 1))
+        times = [(r["row"].split('"created_at":"')[1][:19], r["id"]) for _, r in sorted(by.items())]
+        assert times == sorted(times)
+        inner = ",".join(r["row"] for _, r in sorted(by.items()))
+        assert inner in whole[subject]["document"]
+    assert (whole["hot"]["episode_count"], whole["hot"]["memory_count"], whole["cold"]["parts"]) == (250, 20, 1)
+    hot = sorted((r for r in parts if r["subject_id"] == "hot"), key=lambda r: r["part"])
+    assert [r["part"] for r in hot] == list(range(1, hot[0]["parts"] + 1)) and len(hot) >= 7
+    body = lambda key: ",".join(x for r in hot if (x := r["document"].split(f'"{key}":[')[1].split("]}" if key == "memories" else '],"memories"')[0]))
+    assert f'"episodes":[{body("episodes")}],"memories":[{body("memories")}]}}' in whole["hot"]["document"]
