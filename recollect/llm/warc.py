@@ -24,7 +24,8 @@ FIRST_READ = 1 << 16
 OPEN_HEADER = re.compile(rb"WARC/1\.\d+\r\n(?:[!-9;-~]{1,100}:[^\r\n]*\r\n|[ \t][^\r\n]*\r\n)*(?:[!-9;-~]{0,100}|[!-9;-~]{1,100}:[^\r\n]*|[ \t][^\r\n]*)\r?\Z")
 RECORD_SCHEMA = (
     "path string, offset long, length long, status string, reason string, record_type string, page_id long, "
-    "target_uri string, payload binary, payload_bytes long, payload_digest string, refers_to long"
+    "target_uri string, payload binary, payload_bytes long, payload_digest string, refers_to long, "
+    "inner_offset long, inner_length long"
 )
 
 
@@ -188,37 +189,44 @@ def _plain(source: Source, offset: int) -> tuple[dict[str, str], bytes, int]:
     said = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\r\n", data)
     end = data.find(b"\r\n\r\n")
     if end >= 0 and said and said.start() < end:
-        data = source.read(offset, min(end + 8 + int(said[1]), source.size - offset))
+        # The end is looked at first: a damaged length is found out by four bytes and not by reading what it claims.
+        whole = end + 8 + int(said[1])
+        if whole > left or source.read(offset + whole - 4, 4) != b"\r\n\r\n":
+            raise ValueError("length is wrong")
+        data = source.read(offset, whole)
     head, block, n = parse_record(data)
     return head, block, offset + n
 
 
-def _records(content: bytes) -> list[tuple[str, dict[str, str], bytes]]:
-    """(reason, headers, block) of all records and gaps of a member's content; raises where no record is valid."""
-    out, at, why = [], 0, ""
+def _records(content: bytes) -> list[tuple[str, dict[str, str], bytes, int, int]]:
+    """(reason, headers, block, place, length) of all records and gaps of a member's content; raises where no record is valid."""
+    out, at, bad, why = [], 0, None, ""
     while 0 <= at < len(content):
         try:
-            head, block, at = parse_record(content, at)
+            head, block, end = parse_record(content, at)
         except ValueError as e:
-            why = why or str(e)
+            if bad is None:
+                bad, why = at, str(e)
             at = content.find(b"WARC/1.", at + 1)
             continue
-        if why:
-            out.append((why, {}, b""))
-            why = ""
-        out.append(("", head, block))
-    if not any(head for _, head, _ in out):
+        if bad is not None:
+            out.append((why, {}, b"", bad, at - bad))
+            bad = None
+        out.append(("", head, block, at, end - at))
+        at = end
+    if not any(head for _, head, *_ in out):
         raise ValueError(why or "empty member")
-    return out + ([(why, {}, b"")] if why else [])
+    return out + ([(why, {}, b"", bad, len(content) - bad)] if bad is not None else [])
 
 
-def salvage(source: Source) -> Iterator[tuple[int, int, str, dict[str, str], bytes]]:
-    """(offset, length, reason, headers, block) of every record, and of gaps (reason given) between.
+def salvage(source: Source) -> Iterator[tuple[int, int, str, dict[str, str], bytes, int | None, int | None]]:
+    """(offset, length, reason, headers, block, inner offset, inner length) of every record, and of gaps (reason given) between.
 
     Records are gzip members or plain. Where one fails its checks, the next place is searched
     where a member opens or a version line stands and a whole valid record follows; the
     bytes up to there are a gap. All that a member holds has the member's offset, and what comes
-    after its first record or gap has length 0. A member is inflated whole.
+    after its first record or gap has length 0; its place and length in the member's content are the inner ones,
+    which are None outside of members. A member is inflated whole; a plain record is read only after its claimed end was found to be one.
     """
     at, bad, why = 0, None, ""
     while at < source.size:
@@ -228,7 +236,7 @@ def salvage(source: Source) -> Iterator[tuple[int, int, str, dict[str, str], byt
                 records = _records(content)
             else:
                 head, block, end = _plain(source, at)
-                records = [("", head, block)]
+                records = [("", head, block, None, None)]
         except (ValueError, zlib.error) as e:
             if bad is None:
                 bad, why = at, str(e)
@@ -237,13 +245,13 @@ def salvage(source: Source) -> Iterator[tuple[int, int, str, dict[str, str], byt
                 break
             continue
         if bad is not None:
-            yield bad, at - bad, why, {}, b""
+            yield bad, at - bad, why, {}, b"", None, None
             bad = None
         for i, one in enumerate(records):
             yield at, 0 if i else end - at, *one
         at = end
     if bad is not None:
-        yield bad, source.size - bad, why, {}, b""
+        yield bad, source.size - bad, why, {}, b"", None, None
 
 
 def _page(uri: str | None) -> int | None:
@@ -255,9 +263,9 @@ def _reader(with_payload: bool):
     def rows_of(path: str) -> Iterator[tuple]:
         files, name = _filesystem(path)
         with files.open_input_file(name) as f:
-            for offset, length, why, head, block in salvage(Source(f)):
+            for offset, length, why, head, block, *inner in salvage(Source(f)):
                 if why:
-                    yield path, offset, length, "gap", why, None, None, None, None, None, None, None
+                    yield path, offset, length, "gap", why, None, None, None, None, None, None, None, *inner
                     continue
                 kind = head.get("warc-type")
                 full = kind != "revisit"
@@ -266,12 +274,12 @@ def _reader(with_payload: bool):
                 yield (
                     path, offset, length, "record", None, kind, _page(head.get("warc-record-id")),
                     head.get("warc-target-uri"), block if with_payload else None, n,
-                    hashlib.sha256(block).hexdigest() if full else said, _page(head.get("warc-refers-to")),
+                    hashlib.sha256(block).hexdigest() if full else said, _page(head.get("warc-refers-to")), *inner,
                 )
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
-        whole = {x: "Int64" for x in ("offset", "length", "page_id", "payload_bytes", "refers_to")}
+        whole = {x: "Int64" for x in ("offset", "length", "page_id", "payload_bytes", "refers_to", "inner_offset", "inner_length")}
         for batch in batches:
             for path in batch["path"]:
                 rows, held = [], 0
@@ -290,7 +298,8 @@ def _reader(with_payload: bool):
 def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
     """Records and gaps of all .warc and .warc.gz files of a folder, a row each (RECORD_SCHEMA).
 
-    status is `record` or `gap`; gaps are the quarantine log: path, offset, length, reason. Files
+    status is `record` or `gap`; gaps are the quarantine log: path, offset, length, reason, and inner_offset
+    and inner_length where the gap lies in a gzip member's content. Files
     are streamed; a record or gzip member is the most that is in memory.
     """
     _openable(folder)
