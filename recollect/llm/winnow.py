@@ -13,28 +13,63 @@ TOKEN = r"[^\x20\x09-\x0D]{1,16}"  # a word; long runs, as of scripts without sp
 LOW32 = (1 << 32) - 1
 
 
+#: Grams are polynomials of their words' hashes at BASE, modulo the prime 2**31 - 1, so that products fit a long.
+PRIME, BASE = (1 << 31) - 1, 1_000_003
+
+
 def _packed(h: Column, at: Column) -> Column:
     """31 bits of hash over the position counted down: the least one has the rightmost tie."""
-    high = F.shiftleft(F.shiftrightunsigned(h, 33), 32)
-    return high.bitwiseOR(F.lit(LOW32) - at.cast("long"))
+    return F.shiftleft(h, 32).bitwiseOR(F.lit(LOW32) - at.cast("long"))
+
+
+def _from(values: Column, start: int, n: Column) -> Column:
+    """n values from a place, counted from 0."""
+    return F.slice(values, F.lit(start + 1), n)
+
+
+def _rolled(words: Column, k: int) -> Column:
+    """Hash of every run of k words, k <= n: all runs are rolled on by a word at a time, (hash * BASE + next word) modulo PRIME."""
+    if k == 1:
+        return words
+    more = lambda h: F.zip_with(_from(h, 0, F.size(words) - (k - 1)), _from(words, k - 1, F.size(words) - (k - 1)), lambda x, y: (x * BASE + y) % PRIME)
+    return let(_rolled(words, k - 1), more)
 
 
 def _grams(tokens: Column, k: int) -> Column:
-    n = F.size(tokens)
-    whole = F.array(_packed(F.xxhash64(tokens), F.lit(0)))
-    run = F.transform(
-        F.sequence(F.lit(0), n - k),
-        lambda i: _packed(F.xxhash64(*[F.get(tokens, i + j) for j in range(k)]), i),
-    )
-    return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, whole).otherwise(run)
+    """Packed hashes of a text's grams; each word is hashed once, whatever the number of grams that it is in."""
+    words = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(PRIME)))
+
+    def grams(h: Column) -> Column:
+        whole = F.array(_packed(F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: (acc * BASE + x) % PRIME), F.lit(0)))
+        run = F.transform(_rolled(h, k), _packed)
+        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < k, whole).otherwise(run)
+
+    return let(words, grams)
+
+
+def _beside(values: Column, shift: int) -> Column:
+    """The lesser of each value and the one `shift` after it."""
+    n = F.size(values) - shift
+    return F.zip_with(_from(values, 0, n), _from(values, shift, n), lambda x, y: F.least(x, y))
+
+
+def _halved(values: Column, shift: int) -> Column:
+    return let(values, lambda v: _beside(v, shift))
+
+
+def _least(values: Column, w: int) -> Column:
+    """The least of every w values in a row, w <= n, by doubling: of 2, of 4 and so on, and at last of two runs that overlap."""
+    width, out = 1, values
+    while width < w:
+        shift = min(width, w - width)
+        out = _halved(out, shift)
+        width += shift
+    return out
 
 
 def _chosen(grams: Column, w: int) -> Column:
     n = F.size(grams)
-    least = F.transform(
-        F.sequence(F.lit(0), n - w), lambda i: F.least(*[F.get(grams, i + j) for j in range(w)])
-    )
-    return F.when(n == 0, grams).when(n <= w, F.array(F.array_min(grams))).otherwise(F.array_distinct(least))
+    return F.when(n == 0, grams).when(n <= w, F.array(F.array_min(grams))).otherwise(F.array_distinct(_least(grams, w)))
 
 
 def winnow(text: Column, k: int = GRAM, w: int = SPAN) -> Column:
@@ -107,15 +142,13 @@ def edit_trial(docs: DataFrame, k: int = GRAM, w: int = SPAN) -> DataFrame:
     ids = materialize(ids, "winnow-ids")
     order = materialize(with_previous(ids.select("doc_id", "n")), "winnow-order")
 
-    # Both joins deal the same rows by the same key, so Spark shuffles the texts once, and each
-    # text's grams, chosen where it is read, with it.
-    docs = docs.withColumn("_a", winnow(F.col("text"), k, w))
+    # Both joins deal the same rows by the same key, so Spark shuffles the texts once; grams are chosen after that.
     named = docs.where("doc_id IS NOT NULL")
     given = named.join(order.hint("shuffle_hash"), "doc_id")
     given = given.select(
         F.col("pred_id").alias("doc_id"),
         F.expr("left(text, int(pred_n div 4))").alias("_prefix"),
-        hashes(F.col("_a")).alias("_next"),
+        hashes(winnow(F.col("text"), k, w)).alias("_next"),
     )
     if ids.where("rows > 1").limit(1).count():
         given = given.groupBy("doc_id").agg(F.min(F.struct("_prefix", "_next")).alias("_g")).select("doc_id", "_g.*")
@@ -124,7 +157,7 @@ def edit_trial(docs: DataFrame, k: int = GRAM, w: int = SPAN) -> DataFrame:
     if lengths.where("doc_id IS NULL").limit(1).count():
         nobody = docs.where("doc_id IS NULL")
         rows = rows.unionByName(nobody, allowMissingColumns=True)
-    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = rows.withColumns({"n_chars": F.char_length("text").cast("long"), "_a": winnow(F.col("text"), k, w)})
     rows = rows.withColumn("_q", F.expr("int(n_chars div 4)"))
     edited = F.expr("concat(left(text, int(n_chars) - _q), left(coalesce(_prefix, ''), _q))")
     rows = rows.select("doc_id", "n_chars", "_a", "_next", edited.alias("_edited"))

@@ -309,17 +309,23 @@ def test_winnowing(spark):
 
 
 def brute_hashes(text, k):
-    """31-bit hashes of grams: XXH64 of the words in turn, each seeded with the one before."""
+    """31-bit hashes of grams: polynomials at BASE of the words' XXH64, rolled from one gram to the next by taking the first word's
+    term off and the next word on."""
     from xxhash import xxh64_intdigest
 
     words = re.findall(r"[^\x20\x09-\x0D]{1,16}", text.lower())
-    grams = [words[i : i + k] for i in range(len(words) - k + 1)] if len(words) >= k else []
-    out = []
-    for g in grams:
-        h = 42
-        for w in g:
-            h = xxh64_intdigest(w.encode(), h)
-        out.append(h >> 33)
+    signed = [h - (1 << 64) if h >> 63 else h for h in (xxh64_intdigest(w.encode(), 42) for w in words)]
+    p, b = winnow.PRIME, winnow.BASE
+    values = [h % p for h in signed]
+    if len(words) < k:
+        return []
+    h, out = 0, []
+    for v in values[:k]:
+        h = (h * b + v) % p
+    out.append(h)
+    for gone, new in zip(values, values[k:]):
+        h = ((h - gone * pow(b, k - 1, p)) * b + new) % p
+        out.append(h)
     return out
 
 
@@ -331,6 +337,15 @@ def test_fingerprints_from_first_principles(spark):
         assert r["fingerprint"] == ",".join(f"{h[i]:x}:{i}" for i in sorted(brute_winnow(t, h, winnow.GRAM, winnow.SPAN)))
 
 
+@pytest.mark.parametrize(("k", "w"), [(1, 1), (1, 5), (2, 7), (4, 3), (5, 16), (3, 9)])
+def test_other_grams_and_windows(spark, k, w):
+    rng = random.Random(k * w)
+    texts = [" ".join(rng.choices(["a", "b", "cc", "d"], k=rng.randint(k, 40))) for _ in range(25)]
+    for r, t in zip(winnow.fingerprints(docs(spark, list(enumerate(texts))).coalesce(1), k, w).collect(), texts, strict=True):
+        h = brute_hashes(t, k)
+        assert r["fingerprint"] == ",".join(f"{h[i]:x}:{i}" for i in sorted(brute_winnow(t, h, k, w)))
+
+
 def test_likenesses_of_spread_ids(spark):
     """Ids over all of 64 bits; likeness is the Jaccard similarity of the fingerprints' hashes."""
     rng = random.Random(9)
@@ -453,6 +468,34 @@ def test_all_records_of_a_member_are_read():
     assert [x[2] for x in found] == ["", "", "digest is wrong", "", "", ""]
 
 
+def test_gaps_in_members_have_their_place():
+    payloads = [f"page {i} ".encode() * 40 for i in range(6)]
+    parts = [warc.record(i, "u", p, hashlib.sha256(p).hexdigest(), None) for i, p in enumerate(payloads)]
+    sizes = [len(p) for p in parts]
+    parts[2], parts[5] = parts[2].replace(b"page 2", b"page 7", 1), parts[5][:-20]
+    found = list(warc.salvage(warc.Source(Memory(gzip.compress(b"".join(parts), mtime=0)))))
+    assert [(x[5], x[6]) for x in found] == [(sum(sizes[:i]), sizes[i] - 20 * (i == 5)) for i in range(6)]
+    assert [bool(x[2]) for x in found] == [False, False, True, False, False, True]
+
+
+def test_a_damaged_length_is_not_read():
+    payloads = [f"page {i} ".encode() * 4000 for i in range(1000)]  # 32 MB
+    parts = [warc.record(i, "u", p, hashlib.sha256(p).hexdigest(), None) for i, p in enumerate(payloads)]
+    for k, length in ((3, b"29999999"), (500, b"99999999999999"), (700, b"12")):
+        parts[k] = re.sub(rb"(?i)(content-length: )\d+", rb"\g<1>" + length, parts[k])
+    largest = []
+
+    class Watched(Memory):
+        def read_at(self, n, offset):
+            largest.append(n)
+            return super().read_at(n, offset)
+
+    found = list(warc.salvage(warc.Source(Watched(b"".join(parts)))))
+    assert [x[4] for x in found if not x[2]] == [p for i, p in enumerate(payloads) if i not in (3, 500, 700)]
+    assert [x[2] for x in found if x[2]] == ["length is wrong"] * 3 and sum(x[1] for x in found) == sum(map(len, parts))
+    assert max(largest) <= warc.CHUNK
+
+
 def test_a_lost_record_is_an_error(spark, monkeypatch):
     df = spark.createDataFrame([(1, "u", "a", "d", 0, "p"), (2, "u", "b", "d", 0, "p")], PAGES)
     whole = warc.read_warc
