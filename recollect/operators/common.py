@@ -42,6 +42,17 @@ def scoped(rows: DataFrame) -> DataFrame:
     return rows.withColumn("scope", F.explode(scopes))
 
 
+def scoped_top(rows: DataFrame, cap: Column | int, *order: Column, more: tuple[str, ...] = (), rank: str = "pool_rank") -> DataFrame:
+    """The first `cap` rows of each scope and subject (and of columns `more`) in a total order, with their rank.
+
+    What is first in a scope is first in its tenant, so rows are cut by tenant before they are put into scopes.
+    """
+    own = Window.partitionBy(*SUBJECT, *more).orderBy(*order)
+    few = rows.withColumn(rank, F.row_number().over(own)).where(F.col(rank) <= cap).drop(rank)
+    every = Window.partitionBy(*SCOPE, *more).orderBy(*order)
+    return scoped(few).withColumn(rank, F.row_number().over(every)).where(F.col(rank) <= cap)
+
+
 def in_scope(requests: DataFrame) -> DataFrame:
     """Requests with the scope that they ask for; without a tenant_id column they name no tenant."""
     tenant = F.col("tenant_id") if "tenant_id" in requests.columns else F.lit(None).cast("string")

@@ -20,7 +20,7 @@ from recollect.functions.text import (
     word_tokens,
     words,
 )
-from recollect.operators.common import ANY_TENANT, SCOPE, in_scope, scoped
+from recollect.operators.common import ANY_TENANT, SCOPE, in_scope, scoped, scoped_top
 from recollect.sources.scratch import materialize
 
 # Scores.
@@ -87,9 +87,7 @@ def memory_pool(requests: DataFrame, memories: DataFrame, semantic: DataFrame |
     """
     active = memories.where("status = 'active'")
     cap = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in POOLS.items()], F.lit(0))
-    by_kind = Window.partitionBy("scope", "subject_id", "kind").orderBy(F.desc("created_at"), "memory_id")
-    newest = scoped(active).withColumn("pool_rank", F.row_number().over(by_kind)).where(F.col("pool_rank") <= cap)
-    rows = requests_with(requests, newest)
+    rows = requests_with(requests, scoped_top(active, cap, F.desc("created_at"), F.col("memory_id"), more=("kind",)))
     if semantic is None:
         return rows.withColumn("semantic", F.lit(None).cast("double"))
     found = semantic.where(F.col("rank") <= SEMANTIC_POOL).select("request_id", "memory_id", "distance", "rank")
@@ -136,8 +134,7 @@ def memory_scores(pool: DataFrame, as_of: str, breadcrumbs: DataFrame | None = N
 def episode_pool(requests: DataFrame, episodes: DataFrame, order: str = "oldest") -> DataFrame:
     """The subject's oldest (or newest) episodes up to the pool, with their text."""
     at = F.col("created_at") if order == "oldest" else F.desc("created_at")
-    first = Window.partitionBy("scope", "subject_id").orderBy(at, "episode_id")
-    rows = scoped(episodes).withColumn("pool_rank", F.row_number().over(first)).where(F.col("pool_rank") <= EPISODE_POOL)
+    rows = scoped_top(episodes, EPISODE_POOL, at, F.col("episode_id"))
     return requests_with(requests, rows.withColumn("text", payload_text(F.col("payload"))))
 
 

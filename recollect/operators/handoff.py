@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions.text import approx_cut, approx_tokens, payload_text
-from recollect.operators.common import SUBJECT, join_on, scoped
+from recollect.operators.common import SUBJECT, join_on, scoped_top
 from recollect.operators.context import requests_with, with_tokens
 from recollect.sources.scratch import materialize
 
@@ -21,8 +21,7 @@ ACTORS, ACTIONS = ("agent", "system", "tool"), ("action", "tool_call", "resoluti
 
 def _top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows of each subject and scope, as `pos`."""
-    rank = F.row_number().over(Window.partitionBy("scope", "subject_id").orderBy(*order))
-    return scoped(rows).withColumn("pos", rank).where(F.col("pos") <= n)
+    return scoped_top(rows, n, *order, rank="pos")
 
 
 def _lists(rows: DataFrame, **columns: Column) -> DataFrame:
