@@ -118,7 +118,7 @@ class Memo(dict):
 
     LONG = 64
 
-    def __init__(self, most: int = 250_000, size: int = 1 << 26):
+    def __init__(self, most: int = 125_000, size: int = 1 << 24):
         super().__init__()
         self.most, self.size, self.held, self.old = most, size, 0, {}
 

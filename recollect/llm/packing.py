@@ -66,7 +66,7 @@ class WordIds(Memo):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__(500_000)
+        super().__init__(250_000, 1 << 25)
         self.tokenizer = Tokenizer.from_file(path)
         self.cores = CoreIds(self.tokenizer.model)
 
