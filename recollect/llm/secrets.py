@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import small_batches
+from recollect.llm.common import discard, materialize, small_batches, small_side
 
 # The patterns of the three base kinds.
 KINDS = ("assign", "access", "hex", "novel")
@@ -156,38 +156,68 @@ class Scanner:
         return self.base(text, text.lower()), self.novel(text)
 
 
-#: What no word of the dictionary may come from: base matches, and runs that could be candidates (with a digit or letters of both cases).
-HIDDEN = rf"{ASSIGN}|AKIA[A-Z0-9]+|[0-9a-f]{{32,}}|(?=[A-Za-z0-9+/_=~.-]*(?:[0-9]|[A-Za-z][A-Z]))[A-Za-z0-9+/_=~.-]{{8,}}"
+#: What no word of the dictionary may come from: base matches, and whole runs that could be candidates (with a digit or letters of
+#: both cases). A run is looked at once, from its start, so that long ones take linear time.
+BASE = rf"{ASSIGN}|AKIA[A-Z0-9]+|[0-9a-f]{{32,}}"
+RUN = r"(?<![A-Za-z0-9+/_=~.-])(?=[A-Za-z0-9+/_=~.-]*?(?:[0-9]|[A-Za-z][A-Z]))[A-Za-z0-9+/_=~.-]{8,}"
 
 
-def speakable(words: dict[str, int], share: float = 2 / 3) -> list[str]:
-    """The words most of whose letter pairs are common ones, that is, no rarer among all words' pairs, by how often the words occur,
-    than they would be in random letters. Random letters have about a third of common pairs, words of a language nine tenths."""
+def letter_pairs(word: str) -> list[str]:
+    return [word.lower()[i : i + 2] for i in range(len(word) - 1)]
+
+
+def pair_counts(words: dict[str, int]) -> dict[str, int]:
     counts: dict[str, int] = {}
-    pairs = {w: [w.lower()[i : i + 2] for i in range(len(w) - 1)] for w in words}
     for w, n in words.items():
-        for pair in pairs[w]:
+        for pair in letter_pairs(w):
             counts[pair] = counts.get(pair, 0) + n
+    return counts
+
+
+def speakable(words: dict[str, int], share: float = 2 / 3, counts: dict[str, int] | None = None) -> list[str]:
+    """The words most of whose letter pairs are common ones, that is, no rarer among all words' pairs, by how often the words occur,
+    than they would be in random letters. Random letters have about a third of common pairs, words of a language nine tenths.
+    All words are `words`, or those that `counts` were made of."""
+    counts = pair_counts(words) if counts is None else counts
     least = sum(counts.values()) / 26**2
-    return [w for w in words if sum(counts[p] >= least for p in pairs[w]) >= share * len(pairs[w])]
+    pairs = {w: letter_pairs(w) for w in words}
+    return [w for w in words if sum(counts.get(p, 0) >= least for p in pairs[w]) >= share * len(pairs[w])]
 
 
-def corpus_words(docs: DataFrame, sample: int = 2_000, most: int = 2_000, seed: int = 3) -> bytes:
-    """The corpus's own dictionary: its commonest words and identifiers, as bytes for the compressor.
+def corpus_words(docs: DataFrame, most: int = 2_000, text: str = "text") -> bytes:
+    """The corpus's own dictionary: the commonest words and identifiers of all its texts, as bytes for the compressor.
 
-    Taken from about `sample` documents, by a hash of the id, so that the driver gets twice `most`
-    words at any size. Words hold letters and _ alone and stand in 3 different texts of them at least; equal texts count once. So that
+    Every document is counted; the driver gets the counts of letter pairs, 27 * 27 at most, and `most` words at any size.
+    Words hold letters and _ alone and stand in 3 different texts at least; equal texts count once. So that
     a secret is no entry, nothing is taken from base matches and from runs that could be candidates, and words whose letter
     pairs are mostly rare go (see `speakable`). The commonest come last, nearest to the text. Null and empty texts give no words; without
     words the dictionary is empty.
+
+    Texts stay where they are: copies of a text, known by its digest, weigh one together. Only if more than
+    BROADCAST_ROWS texts have copies do texts meet their digests in a shuffle.
     """
-    n = docs.count()
-    some = docs if n <= sample else docs.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-    some = some.select(F.col("text").cast("string").alias("text")).where("text <> ''").distinct()
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", HIDDEN, " "), F.lit("[A-Za-z_]{4,24}"), F.lit(0))))
-    counts = some.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 3")
-    top = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(2 * most).collect()}
-    return " ".join(reversed(speakable(top)[:most])).encode()
+    texts = docs.select(F.col(text).cast("string").alias("text")).where("text <> ''").withColumn("digest", F.md5("text"))
+    copies = materialize(texts.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1"), "secret-copies")
+    weighed = texts.join(small_side(copies), "digest", "left").withColumn("weight", 1 / F.coalesce("copies", F.lit(1)))
+    # A base match becomes part of a run that is left out, with what stands beside it.
+    words = F.regexp_extract_all(F.regexp_replace("text", BASE, "0" * 8), F.lit(f"{RUN}|([A-Za-z_]{{4,24}})"), F.lit(1))
+    words = weighed.select(F.explode(F.array_distinct(words)).alias("word"), "weight").where("word <> ''")
+    # A text's copies all hold its words, so sums of weights are whole numbers but for the last digits.
+    words = words.groupBy("word").agg(F.round(F.sum("weight")).cast("long").alias("n")).where("n >= 3")
+    words = materialize(words, "secret-words")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(pair_counts(dict(zip(b["word"], b["n"], strict=True))).items(), columns=["pair", "n"])
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[b["word"].isin(speakable(dict(zip(b["word"], b["n"], strict=True)), counts=counts))]
+
+    counts = {r[0]: r[1] for r in words.mapInPandas(count, "pair string, n long").groupBy("pair").sum("n").collect()}
+    top = words.mapInPandas(keep, words.schema).orderBy(F.desc("n"), "word").limit(most).collect()
+    discard(copies, words)
+    return " ".join(r["word"] for r in reversed(top)).encode()
 
 
 def joined(spans: list[Span]) -> str:
@@ -236,7 +266,8 @@ def find_secrets(docs: DataFrame, novelty: Novelty = Novelty()) -> DataFrame:
     in a sensitive context whose marginal bytes under zstandard, primed with a dictionary of code words
     and of the corpus's own words and with the text on both sides, say that they can't be compressed;
     they may lie in base spans, then the method confirms those. Spans are kind:start:end in code points,
-    whole matches. No shuffle but of the dictionary's sample: each document is read once.
+    whole matches. Texts are read three times, for their digests, for the dictionary's counts and for the scan; only digests and
+    counts of words are shuffled (see `corpus_words`).
 
     Null and empty texts have no spans; null ids stay null; repeated rows are scanned each.
     """
@@ -250,7 +281,7 @@ def redact_secrets(docs: DataFrame, novelty: Novelty = Novelty(), text: str = "t
     Null and empty texts and all rows without secrets stay as they are, repeated ones and those of null
     ids too; an empty table gives an empty one. No helper column is added.
     """
-    dictionary = corpus_words(docs)
+    dictionary = corpus_words(docs, text=text)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:

@@ -170,6 +170,21 @@ def test_dictionary_holds_words_not_secrets(spark):
     assert secrets.corpus_words(docs(spark, [])) == b""
 
 
+def test_dictionary_counts_all_documents(spark):
+    """Words that stand in 3 of 6,000 documents, whichever these are; copies of a text count once; a run of any length takes linear time."""
+    rng, known = random.Random(6), secrets.PRIMER.split()
+    rare = [a + b for a in ("harvest", "corner", "master", "station") for b in ("ing", "mate", "land", "ers")]
+    rows = [(i, f"{' '.join(rng.choices(known, k=8))} lantern number {i}" + " lantern" * (i % 3)) for i in range(6000)]
+    for k, word in enumerate(rare):
+        rows += [(10_000 + 10 * k + j, f"{word} of note {j}") for j in range(3)]
+    rows += [(20_000 + j, "alterations copied") for j in range(7)] + [(20_010, "alterations once more")]
+    rows += [(20_020 + j, f"the stations stand {j // 7}") for j in range(21)] + [(20_050, "n" * 200_000), (20_051, "number")]
+    words = secrets.corpus_words(docs(spark, rows)).decode().split()
+    assert set(rare) <= set(words) and "stations" in words and "alterations" not in words
+    assert words[-2:] == ["lantern", "number"]
+    assert len(secrets.corpus_words(docs(spark, rows), most=5).split()) == 5
+
+
 def test_redaction_keeps_columns(spark):
     df = docs(spark, ODD + [(9, "my secret: hunter2hunter2!")])
     out = secrets.redact_secrets(df)
