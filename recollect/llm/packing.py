@@ -6,9 +6,9 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import combinations_with_replacement
+from itertools import chain, combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -38,19 +38,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-ASCII_WORD = re.compile(rb"([A-Za-z]+)([" + re.escape(MARKS.encode()) + rb"]*)")
+ASCII_MARKS = MARKS.encode()
+#: Between a letter or digit and a mark the pre-tokenizer always splits.
+FIRST_MARK = re.compile(rf"[{re.escape(MARKS)}](?<=[0-9A-Za-z\u00df-\u00f6\u00f8-\u00ff].)")
+#: Lower-case letters of Latin-1 in UTF-8.
+LOW_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
-class CoreIds(Memo):
-    """lower-case word of Latin letters (UTF-8) -> the model's ids; its bytes are written as letters first."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.model, self.letters = model, byte_letters()
-
-    def make(self, core: bytes) -> bytes:
-        ids = [t.id for t in self.model.tokenize(core.decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordIds(Memo):
@@ -59,31 +55,99 @@ class WordIds(Memo):
     The tokenizer never joins characters across white space, so a text's ids are those of its
     words in turn, and marks after a letter are words of their own. Words of Latin letters
     alone are one pre-token and go straight to the tokenizer's model, in lower case and byte
-    letters as its normalizer leaves them; all others go through the whole tokenizer.
+    letters as its normalizer leaves them, many in one call; all others go through the whole tokenizer. A word with
+    capitals or marks is made of its lower-case letters' ids, which are kept as a word of their own.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__(250_000, 1 << 25)
+        super().__init__(250_000, 3 << 24)
         self.tokenizer = Tokenizer.from_file(path)
-        self.cores = CoreIds(self.tokenizer.model)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.plain = Tokenizer(self.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        #: Whether a token ends its word, as the model writes it.
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix := self.model.end_of_word_suffix:
+            self.ends[[i for token, i in self.plain.get_vocab().items() if token.endswith(suffix)]] = True
+        self.ready: dict[bytes, bytes] = {}
+
+    def parts(self, word: bytes) -> tuple[bytes, bytes] | None:
+        """A word's Latin letters in lower case and the marks after them; None of any other word."""
+        core = word.rstrip(ASCII_MARKS)
+        if core.isalpha():  # of bytes: ASCII letters alone
+            return core.lower(), word[len(core) :]
+        text = core.decode("utf-8", "replace")
+        low = text.lower()
+        return (low.encode(), word[len(core) :]) if low.isalpha() and max(low) < "\u0250" and "\u0130" not in text else None
+
+    def spelt(self, core: bytes) -> str:
+        return core.decode() if core.isascii() else core.decode("latin-1").translate(self.letters)
 
     def make(self, word: bytes) -> bytes:
-        if found := ASCII_WORD.fullmatch(word):
-            core, marks = found.groups()
-            return self.cores[core.lower()] + self[marks] if marks else self.cores[core.lower()]
-        text = word.decode("utf-8", "replace")
-        core = text.lower().rstrip(MARKS)
-        if core.isalpha() and max(core) < "\u0250" and not set("<'\u0130") & set(text):
-            found, marks = self.cores[core.encode()], text[len(core) :]
-            return found + self[marks.encode()] if marks else found
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if (found := self.ready.get(word)) is not None:
+            return found
+        if (parts := self.parts(word)) is None:
+            return packed(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        core, marks = parts
+        if core == word:
+            return packed([t.id for t in self.model.tokenize(self.spelt(word))])
+        return self[core] + self[marks] if marks else self[core]
+
+    @staticmethod
+    def parted(text: str) -> list[bytes]:
+        """Words of a text; if it is all Latin-1 and holds no special token, in lower case and with marks parted from letters before
+        them, which changes no id and leaves fewer different words."""
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = FIRST_MARK.sub(r" \g<0>", text.lower())
+            except UnicodeEncodeError:
+                pass
+        return text.encode("utf-8", "replace").split()
+
+    def prepare(self, words: set[bytes], size: int = 200) -> None:
+        """Tokenize all words of lower-case Latin-1 letters that are not kept yet, `size` in a call; a call's ids are cut where tokens end a word.
+        If these are not one a word, the words are left to `make`, as are all others."""
+        self.ready = {}
+        cores = list(filter(LOW_LETTERS.fullmatch, words.difference(self, self.old)))
+        for i in range(0, len(cores), size):
+            some = cores[i : i + size]
+            ids = self.plain.encode_batch_fast([" ".join(map(self.spelt, some))], add_special_tokens=False)[0].ids
+            ids = np.array(ids, "<u4")
+            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(stops) == len(some):
+                raw, stops = ids.tobytes(), stops.tolist()
+                self.ready.update((c, raw[s:e]) for c, s, e in zip(some, [0, *stops], stops))
 
     def of(self, text: str | None) -> bytes:
-        return b"".join([self[w] for w in text.encode("utf-8", "replace").split()]) if text else b""
+        return next(self.of_all([text]))
+
+    def of_all(self, texts: Iterable[str | None], size: int = 1 << 20) -> Iterator[bytes]:
+        """Each text's ids. Words of texts of about `size` characters together, and of slices of longer ones, are looked up once."""
+        group: list[list[bytes]] = []
+        held = 0
+        for text in texts:
+            group.append(self.parted(text) if text else [])
+            held += len(text or "")
+            if held >= size:
+                yield from self._joined(group)
+                group, held = [], 0
+        yield from self._joined(group)
+
+    def _joined(self, group: list[list[bytes]], most: int = 1 << 18) -> Iterator[bytes]:
+        if len(group) == 1 and len(group[0]) > most:
+            words = group[0]
+            yield b"".join([next(self._joined([words[i : i + most]])) for i in range(0, len(words), most)])
+            return
+        distinct = set(chain.from_iterable(group))
+        self.prepare(distinct)
+        found = {w: self[w] for w in distinct}
+        self.ready = {}
+        for words in group:
+            yield b"".join(map(found.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -99,8 +163,8 @@ def _cutter(tokenizer: str, end_id: int, window: int):
         words = shared_words(tokenizer)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = words.of(text) + last
+            for doc_id, ids in zip(batch["doc_id"], words.of_all(batch["text"]), strict=True):
+                ids += last
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     piece = ids[4 * start : 4 * (start + window)]

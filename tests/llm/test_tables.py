@@ -49,6 +49,22 @@ def test_word_ids_are_the_tokenizers(tokenizer, text):
     assert np.frombuffer(words.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_parted_and_tokenized_together(tokenizer):
+    """Marks and capitals make no words of their own, new words of letters go to the tokenizer in one call, and ids stay the tokenizer's."""
+    rng = random.Random(9)
+    words = packing.WordIds(packing.default_tokenizer())
+    alone = []
+    words.model = type("Model", (), {"tokenize": lambda self, w, real=words.model: alone.append(w) or real.tokenize(w)})()
+    list(words.of_all(["Lantern lantern, LANTERN; (lantern) été. Été!"]))
+    assert {"lantern", "été"} <= {w.decode() for w in words} and len(words) == 8 and alone == []
+    bits = ["a", "Ab", "é", "É", "ß", "ÿ", "µ", "ª", "×", "÷", "1", "²", "½", "'s", "'", "’", ".", ",,", "_", "<", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "e\u0301", "\u0338", "=", "\xad", "\xa0", "\x85", "\u0130", "Σ", "中", " ", " ", "\n", "\x1c"]
+    texts = ["".join(rng.choices(bits[: rng.choice([12, 24, len(bits)])] + [" "], k=rng.randint(1, 25))) for _ in range(3000)] + [None, "", "Long-" * 100_000]
+    for text, ids in zip(texts, words.of_all(texts, size=500), strict=True):
+        want = tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert ids == np.array(want, "<u4").tobytes(), text
+    assert words.of(texts[0]) == np.array(tokenizer.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def check_packed(rows, got, tokenizer):
     want = Counter()
     for i, t, _, _ in rows:
