@@ -185,6 +185,17 @@ def test_dictionary_counts_all_documents(spark):
     assert len(secrets.corpus_words(docs(spark, rows), most=5).split()) == 5
 
 
+def test_redaction_knows_words_of_all_documents(spark):
+    """A name near a cue is made of words that stand in 4 of 6,000 documents; it stays, of whatever column the texts are."""
+    rng, known = random.Random(8), secrets.PRIMER.split()
+    name = "TurbineHarvesterGardening"
+    rows = [(i, " ".join(rng.choices(known, k=10))) for i in range(6000)]
+    rows += [(7000 + j, f"Turbine, Harvester and Gardening {j}") for j in range(4)] + [(8000, f"the session key {name} is here")]
+    assert secrets.Scanner().novel(rows[-1][1])
+    df = docs(spark, rows).withColumnRenamed("text", "body")
+    assert secrets.redact_secrets(df, text="body").where("doc_id = 8000").first()["body"] == rows[-1][1]
+
+
 def test_redaction_keeps_columns(spark):
     df = docs(spark, ODD + [(9, "my secret: hunter2hunter2!")])
     out = secrets.redact_secrets(df)
