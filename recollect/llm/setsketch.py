@@ -227,7 +227,8 @@ def _scorer(p: Params):
         same = (ka == kb).mean(axis=1)
         return pd.Series(np.where((fit >= -p.drop) | (same >= p.num / p.den), same, -1.0))
 
-    return score
+    # A filter on the score would be pushed below its column and call it once more, in Python workers of its own.
+    return score.asNondeterministic()
 
 
 def _far(ka: np.ndarray, kb: np.ndarray, p: Params) -> np.ndarray:

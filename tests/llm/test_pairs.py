@@ -110,6 +110,17 @@ def test_sketch_agrees_with_similarity():
     assert (union == np.maximum(*setsketch.registers([a, b], p))).all()  # sketches merge
 
 
+def test_sketches_are_scored_once(spark):
+    """Scores that are filtered too are made by one Python operator: two a task would take twice the workers."""
+    p = setsketch.Params()
+    near, far = setsketch.registers([np.arange(1, 400, dtype=np.uint64), np.arange(10**6, 10**6 + 400, dtype=np.uint64)], p)
+    rows = [(bytearray(near), bytearray(x), 399, 399) for x in (near, far)]
+    df = spark.createDataFrame(rows, "ra binary, rb binary, na long, nb long")
+    scored = df.select(setsketch._scorer(p)("ra", "rb", "na", "nb").alias("same")).where("same >= 0")
+    assert scored._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r["same"] for r in scored.collect()] == [1.0]
+
+
 EMBED = "vec_id long, embedding array<double>, label int, e int, m int, rep int"
 
 
