@@ -115,6 +115,20 @@ def test_all_lists_and_a_long_short_list_are_exact(spark, vectors, tmp_path):
     assert pairs(vector_index.search_index(path, queries, k=7, probes=5, short=100)) == pairs(search.semantic_topk(queries, some, k=7))
 
 
+def test_short_lists_grow_with_their_cells(spark, tmp_path):
+    """A fixed number of codes a query loses neighbours once cells hold many alike."""
+    rng, path = np.random.default_rng(4), str(tmp_path)
+    x = np.repeat(rng.standard_normal((4, 32)), 1000, axis=0) + 0.4 * rng.standard_normal((4000, 32))
+    rows = spark.createDataFrame([(f"m{i:04d}", None, "s", "active", v.tolist()) for i, v in enumerate(x)], VECTORS)
+    vector_index.save_index(spark, vector_index.fit_index(rows, cells=4, parts=8), path)
+    vector_index.add_vectors(path, rows, 0)
+    exact, found = pairs(search.semantic_topk(asked(rows), rows, k=5)), pairs(vector_index.search_index(path, asked(rows), k=5, probes=2, short=4))
+    assert len(set(exact) & set(found)) >= 0.97 * len(exact)
+    listed = vector_index.short_lists(path, asked(rows), 5, 2, 4).count()
+    assert vector_index.index_work(path, asked(rows), 5, 2, 4).first()["work"] > listed > 400 * 20
+    assert listed < 0.25 * 400 * 4000
+
+
 def test_an_index_of_nothing(spark, vectors, tmp_path):
     path, none = str(tmp_path), vectors.limit(0)
     with pytest.raises(ValueError, match="no active memory"):
